@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, mixing, quality_model, quality_rules, tokens, warc
+from . import bpe, jaccard, mixing, quality_model, quality_rules, tokens, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+def op5_embedding_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_copies(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(_table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mixing": op1_mixing,
         "op3_bpe": op3_bpe,
         "op4_token_shards": op4_token_shards,
+        "op5_embedding_range_join": op5_embedding_range_join,
         "op6_jaccard": op6_jaccard,
         "op8_quality_rules": op8_quality_rules,
         "op9_warc": op9_warc,
