@@ -16,7 +16,9 @@ between classes without ever comparing all pairs of a group:
    goes into an index of the rarest shingles of each set (prefix filter), whose
    lists are skipped by component, by size and by position: an entry joins only
    those from which, by what is left behind both positions, the needed overlap
-   can still be reached. The pairs that remain are compared exactly.
+   can still be reached. Before that, for some rounds, a few pairs of each two
+   components that meet in a list are compared; where one links, the others are
+   answered. All pairs that remain are compared exactly.
 """
 
 from __future__ import annotations
@@ -40,7 +42,8 @@ class Join:
 
     ``region`` is the part of the hash space that the first sieve looks at,
     ``permutations`` the number of groupings by least shingle, ``group`` the
-    sets that are compared with one leader before a group is split,
+    sets that are compared with one leader before a group is split, ``rounds``
+    and ``tries`` the rounds and pairs for which two components are tried first,
     ``cell_tokens`` the shingles that a sieve's task sorts at once.
     """
 
@@ -48,7 +51,9 @@ class Join:
     percent: int = 75
     region: float = 0.4
     permutations: int = 4
-    group: int = 48
+    group: int = 200
+    rounds: int = 4
+    tries: int = 32
     cell_tokens: int = 1_000_000
 
 
@@ -351,12 +356,6 @@ def crossed(sets: DataFrame, p: Join) -> DataFrame:
                 t = np.frombuffer(content.as_py(), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(np.full(len(t), id_, np.int64)), pa.array(np.full(len(t), component, np.int64)), pa.array(np.full(len(t), len(t), np.int64))], names=["token", "id", "component", "n"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hit = [_linked(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), p.percent) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
-            kept = pa.array(hit, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], names=["a", "b"])
-
     spare = F.col("n") - F.ceil(F.col("n") * p.percent / 100)
     packed = sets.select("id", "component", "shingles").mapInArrow(chunk, _ROW)
     open_ = sieve(packed, n_cells).where(F.col("alone") <= spare).select("id")
@@ -371,15 +370,55 @@ def crossed(sets: DataFrame, p: Join) -> DataFrame:
     # a set's own shingles come first in the order, and count in its prefix
     entries = entries.withColumn("position", F.col("own") + F.col("place")).where(F.col("position") <= spare)
     entries = store.written(entries.select("token", "id", "component", "n", "position"), "index")
+    own = left.select("id", "shingles")
+    found = []
+    for r in range(p.rounds):
+        # of each list one set a component, to compare with that of the largest one
+        one = entries.groupBy("token", "component").agg(F.count(F.lit(1)).alias("m"), F.min_by("id", F.xxhash64("id", "token", F.lit(r))).alias("id"))
+        hub = one.groupBy("token").agg(F.max(F.struct("m", "component", "id")).alias("hub"))
+        near = one.join(hub, "token").where("component <> hub.component")
+        near = near.select(F.col("hub.id").alias("a"), F.col("hub.component").alias("ca"), F.col("id").alias("b"), F.col("component").alias("cb"))
+        # and of each two components a few such pairs
+        h = F.xxhash64("a", "b", F.lit(r))
+        few = near.groupBy("ca", "cb", F.pmod(h, F.lit(p.tries)).alias("try")).agg(F.min(F.struct(h.alias("h"), "a", "b")).alias("p"))
+        links = _compared(few.select("p.a", "ca", "p.b", "cb").distinct(), own, p)
+        if links.isEmpty():
+            break
+        found.append(links)
+        entries = store.written(_relabelled(entries, links, "component"), "index")
     x, y = entries.alias("x"), entries.alias("y")
     need = F.ceil((F.col("x.n") + F.col("y.n")) * p.percent / F.lit(100 + p.percent))
     left_x, left_y = F.col("x.n") - F.col("x.position"), F.col("y.n") - F.col("y.position")
     pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") < F.col("y.component")) & (F.least(left_x, left_y) >= need))
-    pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    own = left.select("id", "shingles")
-    both = pairs.join(own.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = both.join(own.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-    return store.written(both.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long"), "links")
+    pairs = pairs.select(F.col("x.id").alias("a"), F.col("x.component").alias("ca"), F.col("y.id").alias("b"), F.col("y.component").alias("cb")).distinct()
+    pairs = store.written(pairs, "pairs")
+    found.append(_compared(pairs, own, p))
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out.select("a", "b")
+
+
+def _relabelled(df: DataFrame, links: DataFrame, column: str) -> DataFrame:
+    """``df`` with the components in ``column`` joined as ``links`` (ca, cb) tells."""
+    known = graph.components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    known = known.where("node <> component").select(F.col("node").alias("__from"), F.col("component").alias("__to"))
+    out = df.join(known, F.col(column) == F.col("__from"), "left")
+    return out.select(*(F.coalesce("__to", c).alias(c) if c == column else F.col(c) for c in df.columns))
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, p: Join) -> DataFrame:
+    """Those of the pairs (a, ca, b, cb) that link, written."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = [_linked(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), p.percent) for a, b in zip(batch.column(4), batch.column(5), strict=True)]
+            kept = pa.array(hit, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(kept) for k in range(4)], names=["a", "ca", "b", "cb"])
+
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
+    both = both.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+    return store.written(both.select("a", "ca", "b", "cb", "sa", "sb").mapInArrow(compare, "a long, ca long, b long, cb long"), "links")
 
 
 def components(documents: DataFrame, p: Join = Join()) -> DataFrame:
