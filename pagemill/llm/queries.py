@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, jaccard, mixing, quality_model, quality_rules, tokens, vectors, warc
+from . import bpe, jaccard, mixing, pii, quality_model, quality_rules, tokens, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +25,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.pseudonymised(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds = F.array_sort(F.array_distinct(F.transform("pii", lambda x: x["kind"])))
+    return out.select("doc_id", "text", F.size("pii").alias("n_pii"), kinds.alias("kinds"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
@@ -56,6 +63,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
+        "op2_pii": op2_pii,
         "op3_bpe": op3_bpe,
         "op4_token_shards": op4_token_shards,
         "op5_embedding_range_join": op5_embedding_range_join,
