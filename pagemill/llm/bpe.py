@@ -13,7 +13,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import os
 import re
 import tempfile
 from collections import Counter
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import grams, lexicon
-from .store import worker_cache
+from .store import worker_cache, written
 
 #: White space as Unicode's property has it; Python's own \s differs by U+001C to U+001F.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -46,7 +45,7 @@ class Lexical:
 
     lexicon_words: int = 40_000
     longest: int = 40
-    memo: int = 300_000
+    memo: int = 800_000
 
 
 def byte_names() -> dict[str, int]:
@@ -68,10 +67,14 @@ class Bpe:
         raw = lambda s: bytes(byte[c] for c in s)
         self.special = {x["content"]: x["id"] for x in held["added_tokens"]}
         self.id = {raw(s): i for s, i in held["model"]["vocab"].items() if s not in self.special}
-        self.rank = {}
+        #: For each pair of ids, packed as (left << 20 | right): rank << 20 | merged id.
+        self.rank: dict[int, int] = {}
         for i, pair in enumerate(held["model"]["merges"]):
-            a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.rank[raw(a), raw(b)] = i
+            x, y = (raw(t) for t in (pair.split(" ") if isinstance(pair, str) else pair))
+            self.rank[self.id[x] << 20 | self.id[y]] = i << 20 | self.id[x + y]
+        self.base = [self.id.get(bytes([b]), -1) for b in range(256)]
+        #: Tokens that their own merges lead to; a piece that is one needs no merging.
+        self.whole = {t: i for t, i in self.id.items() if self.merge(t) == [i]}
         self.piece = regex.compile(PIECE, regex.V0)
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.text = [b""] * (1 + max([*self.id.values(), *self.special.values()]))
@@ -82,39 +85,41 @@ class Bpe:
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one pre-token: the pair of lowest rank merges first, from the left."""
-        if (whole := self.id.get(piece)) is not None and len(piece) == 1:
-            return [whole]
-        if len(piece) > 48:
+        if len(piece) > 64:
             return self._merge_long(piece)
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        rank, none = self.rank, 1 << 60
-        while len(parts) > 1:
-            best, at = min((rank.get(p, none), i) for i, p in enumerate(zip(parts, parts[1:], strict=False)))
-            if best == none:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.id[p] for p in parts]
+        none, get = 1 << 60, self.rank.get
+        ids = [self.base[b] for b in piece]
+        ranks = [get(x << 20 | y, none) for x, y in zip(ids, ids[1:], strict=False)]
+        while ranks and (best := min(ranks)) != none:
+            i = ranks.index(best)
+            ids[i] = best & 0xFFFFF
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = get(ids[i - 1] << 20 | ids[i], none)
+            if i < len(ranks):
+                ranks[i] = get(ids[i] << 20 | ids[i + 1], none)
+        return ids
 
     def _merge_long(self, piece: bytes) -> list[int]:
         """The same in O(n log n), with a heap of pairs over a linked list."""
-        n = len(piece)
-        part: list[bytes | None] = [piece[i : i + 1] for i in range(n)]
+        n, get = len(piece), self.rank.get
+        ids = [self.base[b] for b in piece]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, part[i], part[i + 1]) for i in range(n - 1) if (r := self.rank.get((part[i], part[i + 1]))) is not None]
+        heap = [(r, i) for i in range(n - 1) if (r := get(ids[i] << 20 | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            r, i = heapq.heappop(heap)
             j = after[i]
-            if part[i] != a or j >= n or part[j] != b:
+            if ids[i] < 0 or j >= n or get(ids[i] << 20 | ids[j]) != r:
                 continue
-            part[i], part[j] = a + b, None
+            ids[i], ids[j] = r & 0xFFFFF, -1
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
             for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < n and (r := self.rank.get((part[x], part[y]))) is not None:
-                    heapq.heappush(heap, (r, x, part[x], part[y]))
-        return [self.id[p] for p in part if p is not None]
+                if x >= 0 and y < n and (q := get(ids[x] << 20 | ids[y])) is not None:
+                    heapq.heappush(heap, (q, x))
+        return [i for i in ids if i >= 0]
 
     def encode(self, text: str) -> list[int]:
         """Ids of any text; strings of special tokens become their ids."""
@@ -123,8 +128,13 @@ class Bpe:
             if k % 2:
                 out.append(self.special[part])
             else:
-                for piece in self.piece.findall(part):
-                    out += self.merge(piece.encode())
+                letters = part.isalpha() or part[:1] == " " and part[1:].isalpha()
+                for piece in [part] if letters else self.piece.findall(part):
+                    raw = piece.encode()
+                    if (whole := self.whole.get(raw)) is None:
+                        out += self.merge(raw)
+                    else:
+                        out.append(whole)
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -135,7 +145,9 @@ def frequent(documents: DataFrame, p: Lexical, text: str = "text") -> list[str]:
     """The most frequent chunks of all texts; ties go by the chunk itself.
 
     Tasks count their own rows first, so that a chunk makes one row for each
-    ``memo`` distinct chunks of a task; the driver gets ``lexicon_words`` rows.
+    ``memo`` distinct chunks of a task. A table of how many chunks occur how
+    often, which has few rows, tells the least count that is needed; the driver
+    gets the chunks above it, and of those at it as many as are missing.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,17 +169,25 @@ def frequent(documents: DataFrame, p: Lexical, text: str = "text") -> list[str]:
         yield from flushed()
 
     counted = documents.select(text).mapInArrow(task, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
-    return [r.chunk for r in counted.orderBy(F.desc("n"), "chunk").limit(p.lexicon_words).collect()]
+    counted = written(counted, "chunks")
+    left = p.lexicon_words
+    for row in counted.groupBy("n").agg(F.count(F.lit(1)).alias("chunks")).orderBy(F.desc("n")).collect():
+        if row.chunks >= left:
+            top = [r.chunk for r in counted.where(F.col("n") > row.n).orderBy(F.desc("n"), "chunk").collect()]
+            return top + [r.chunk for r in counted.where(F.col("n") == row.n).orderBy("chunk").limit(left).collect()]
+        left -= row.chunks
+    return [r.chunk for r in counted.orderBy(F.desc("n"), "chunk").collect()]
 
 
-def _on_disk(content: bytes) -> str:
-    """The file of a lexicon in this process's temporary folder."""
-    path = f"{tempfile.gettempdir()}/lexicon-{hashlib.sha1(content).hexdigest()}-{os.getpid()}"
-    if not os.path.exists(path):
-        with open(path + ".part", "wb") as out:
-            out.write(content)
-        os.replace(path + ".part", path)
-    return path
+def opened(content: bytes) -> lexicon.Lexicon:
+    """A lexicon mapped from a file in this worker's temporary folder.
+
+    The file has no name any more once it is mapped, so nothing stays behind.
+    """
+    with tempfile.NamedTemporaryFile(prefix="lexicon-") as file:
+        file.write(content)
+        file.flush()
+        return lexicon.Lexicon(file.name)
 
 
 class Encoder:
@@ -180,9 +200,10 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit values."""
         cut = [CHUNK.findall(t) for t in texts]
-        if len(self.memo) > self.most:
-            self.memo.clear()
-        new = list(set().union(*cut) - self.memo.keys())
+        seen = set().union(*cut)
+        if len(self.memo) > self.most:  # what this batch has is likely to come again
+            self.memo = {c: self.memo[c] for c in seen & self.memo.keys()}
+        new = list(seen - self.memo.keys())
         for chunk, ids in zip(new, self.words.lookup([c.encode() for c in new]), strict=True):
             self.memo[chunk] = np.array(self.bpe.encode(chunk), "<u4").tobytes() if ids is None else ids
         get = self.memo.__getitem__
@@ -209,10 +230,10 @@ def encoded(documents: DataFrame, vocabulary_path: str, p: Lexical = Lexical(),
         vocabulary, content = held.value
         key = hashlib.sha1(vocabulary.encode() + content).hexdigest()
         bpe = worker_cache(("bpe", key), lambda: Bpe(vocabulary))
-        encoder = worker_cache(("encoder", key), lambda: Encoder(bpe, lexicon.Lexicon(_on_disk(content)), p.memo))
+        encoder = worker_cache(("encoder", key), lambda: Encoder(bpe, opened(content), p.memo))
         for batch in batches:
             texts = batch.column(text).fill_null("")
-            for i, j, _ in grams.slices(texts):
+            for i, j, _ in grams.slices(texts, 6 << 20):
                 ids = encoder.encode(texts[i:j].to_pylist())
                 back = [bpe.decode(np.frombuffer(x, "<u4").tolist()) for x in ids]
                 new = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(back, pa.string())]

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import os
 import re
+import string
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,14 +28,16 @@ from .store import worker_cache
 class Shards:
     """A shard is closed at the first document with which it has ``shard_tokens``.
 
-    ``part_chars`` is the text that one writing task gets. ``end_id`` is put
-    behind every document. ``memo`` bounds the words that a worker keeps.
+    ``part_chars`` is the bytes of text that one writing task gets. ``end_id`` is put
+    behind every document. ``memo`` bounds the words that a worker
+    keeps, ``batch_bytes`` the text that is cut into words at once.
     """
 
     end_id: int = 2
     shard_tokens: int = 1 << 21
     part_chars: int = 24 << 20
-    memo: int = 400_000
+    memo: int = 1_400_000
+    batch_bytes: int = 6 << 20
 
 
 class WordEncoder:
@@ -41,6 +48,7 @@ class WordEncoder:
     """
 
     def __init__(self, vocabulary: str, memo: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are parallel already
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(vocabulary)
@@ -48,17 +56,81 @@ class WordEncoder:
         self.library.no_padding()
         self.word = re.compile(f"[^{SPACE}]+")
         self.most, self.memo = memo, {}
-        self.kind = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
+        held = self.library.get_vocab(with_added_tokens=True)
+        self.kind = "<u2" if len(held) <= 1 << 16 else "<u4"
+        model = json.loads(vocabulary)
+        suffix = model["model"].get("end_of_word_suffix")
+        self.special = [x["content"] for x in model["added_tokens"]]
+        # where one text of many words can be cut again: behind every pre-token's last id
+        self.ends = np.zeros(max(held.values()) + 1, bool) if suffix else None
+        if suffix:
+            self.ends[[i for t, i in held.items() if t.endswith(suffix)]] = True
+            parts = [x["pattern"]["Regex"] for x in model["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split"]
+            self.piece = regex.compile(parts[0])
+
+    def _n_pieces(self, word: str) -> int:
+        if word.isascii() and word.isalpha():
+            return 1
+        folded = unicodedata.normalize("NFC", word).lower()
+        return 1 if folded.isalpha() else len(self.piece.findall(folded))
+
+    def _add(self, words: list[str]) -> None:
+        """Encode new words, many as one text where their ids can be told apart."""
+        if self.ends is not None and words:
+            ids = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.kind)
+            stop = np.flatnonzero(self.ends[ids]) + 1
+            upto = np.cumsum([self._n_pieces(w) for w in words])
+            if upto[-1] == len(stop) and (not len(stop) or stop[-1] == len(ids)):
+                at = np.concatenate([[0], stop])[np.concatenate([[0], upto])] * ids.itemsize
+                raw = ids.tobytes()
+                self.memo.update(zip(words, (raw[i:j] for i, j in zip(at, at[1:], strict=False)), strict=True))
+                return
+        for word, got in zip(words, self.library.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            self.memo[word] = np.array(got.ids, self.kind).tobytes()
+
+    def _words(self, text: str) -> list[str]:
+        # str.split differs from the pattern by four control characters only
+        odd = "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
+        return self.word.findall(text) if odd else text.split()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.word.findall(t) for t in texts]
-        if len(self.memo) > self.most:
-            self.memo.clear()
-        new = list(set().union(*cut) - self.memo.keys())
-        for word, got in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.memo[word] = np.array(got.ids, self.kind).tobytes()
-        get = self.memo.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        cut = [self._words(t) for t in texts]
+        if len(self.memo) > self.most:  # what this batch has is likely to come again
+            self.memo = {w: self.memo[w] for w in set().union(*cut) & self.memo.keys()}
+        get = self.memo.get
+        held = [list(map(get, c)) for c in cut]
+        gaps = [[i for i, x in enumerate(h) if x is None] if None in h else [] for h in held]
+        new = {c[i] for c, g in zip(cut, gaps, strict=True) for i in g}
+        if new:
+            self._learn(new, texts)
+        for c, h, g in zip(cut, held, gaps, strict=True):
+            for i in g:
+                h[i] = self.memo[c[i]]
+        return [b"".join(h) for h in held]
+
+    def _learn(self, new: set[str], texts: list[str]) -> None:
+        """Put words that occur in some texts into the memo."""
+        hidden = [s for s in self.special if any(s in t for t in texts)]
+        odd = {w for w in new if any(s in w for s in hidden)} if hidden else set()
+        # letters with punctuation behind are two pre-tokens or more, cut in between
+        joined: dict[str, tuple[str, str]] = {}
+        need = set()
+        for word in new - odd:
+            core = word.rstrip(string.punctuation)
+            if core.isalpha() and "\u03a3" not in core and (core.isascii() or unicodedata.is_normalized("NFC", core)):
+                joined[word] = core.lower(), word[len(core) :]
+                need.update(joined[word])
+            else:
+                need.add(word)
+        need.discard("")
+        plain = list(need - self.memo.keys())
+        for k in range(0, len(plain), 1000):
+            self._add(plain[k : k + 1000])
+        self.memo[""] = b""
+        for word, (core, rest) in joined.items():
+            self.memo[word] = self.memo[core] + self.memo[rest]
+        for word in odd:
+            self.memo[word] = np.array(self.library.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
 
 
 def write(documents: DataFrame, vocabulary_path: str, p: Shards = Shards()) -> DataFrame:
@@ -73,7 +145,7 @@ def write(documents: DataFrame, vocabulary_path: str, p: Shards = Shards()) -> D
     spark = documents.sparkSession
     with open(vocabulary_path, encoding="utf-8") as file:
         vocabulary = file.read()
-    size = documents.agg(F.sum(F.length("text")).alias("chars"), F.count(F.lit(1)).alias("n")).first()
+    size = documents.agg(F.sum(F.octet_length("text")).alias("chars"), F.count(F.lit(1)).alias("n")).first()
     n_parts = int(max(1, min((size.chars or 0) // p.part_chars + 1, size.n)))
     limits: list[int] = []
     if n_parts > 1:
@@ -90,7 +162,7 @@ def write(documents: DataFrame, vocabulary_path: str, p: Shards = Shards()) -> D
             texts = batch.column(1).fill_null("")
             ids = batch.column(0).cast(pa.int64())
             part = np.where(np.asarray(ids.is_valid()), np.searchsorted(limits, ids.fill_null(0).to_numpy(zero_copy_only=False), "right"), 0)
-            for i, j, _ in grams.slices(texts):
+            for i, j, _ in grams.slices(texts, p.batch_bytes):
                 got = [x + end for x in encoder.encode(texts[i:j].to_pylist())]
                 yield pa.RecordBatch.from_arrays([ids[i:j], pa.array(part[i:j], pa.int32()), pa.array(got, pa.binary())], names=["doc_id", "part", "ids"])
 

@@ -25,11 +25,11 @@ def build(ids: np.ndarray, n_bits: int, extra: dict[str, np.ndarray] | None = No
     current = np.ascontiguousarray(ids, np.uint16 if n_bits <= 16 else np.uint32)
     planes, zeros = [], []
     for level in range(n_bits):
-        bit = (current >> (n_bits - 1 - level) & 1).astype(bool)
+        bit = (current & current.dtype.type(1 << (n_bits - 1 - level))) != 0
         planes.append(squeeze.compress(np.packbits(bit, bitorder="little").tobytes()))
-        low = current[~bit]
+        low = current[np.flatnonzero(~bit)]
         zeros.append(len(low))
-        current = np.concatenate([low, current[bit]])
+        current = np.concatenate([low, current[np.flatnonzero(bit)]])
     more = {k: squeeze.compress(np.ascontiguousarray(v).tobytes()) for k, v in (extra or {}).items()}
     head = {"n": len(ids), "n_bits": n_bits, "zeros": zeros, "planes": [len(p) for p in planes], "extra": {k: [str(extra[k].dtype), len(v)] for k, v in more.items()}}
     text = json.dumps(head).encode()
@@ -130,11 +130,10 @@ class WaveletMatrix:
         """All ids in order, from the lowest plane up."""
         out = np.zeros(self.n, np.uint16 if self.n_bits <= 16 else np.uint32)
         for level in reversed(range(self.n_bits)):
-            bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").astype(bool)
-            if level < self.n_bits - 1:
-                up = np.empty_like(out)
-                z = self.zeros[level]
-                up[~bit], up[bit] = out[:z], out[z:]
-                out = up
-            out |= bit.astype(out.dtype) << (self.n_bits - 1 - level)
+            bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
+            up = np.empty_like(out)
+            z = self.zeros[level]
+            up[np.flatnonzero(~bit)] = out[:z]
+            up[np.flatnonzero(bit)] = out[z:] | out.dtype.type(1 << (self.n_bits - 1 - level))
+            out = up
         return out
