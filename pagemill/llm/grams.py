@@ -17,7 +17,7 @@ import pyarrow as pa
 
 from .store import worker_cache
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 

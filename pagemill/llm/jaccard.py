@@ -249,7 +249,7 @@ def marked(documents: DataFrame, p: Join) -> DataFrame:
                     for id_, s in zip(ids[i:j], text_sets(texts, p.k), strict=True):
                         yield id_, None, s
 
-        yield from _chunked(sets(), p.region, n_cells, 4 * p.cell_tokens)
+        yield from _chunked(sets(), p.region, n_cells, p.cell_tokens)
 
     chunks = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(task, _ROW)
     own = F.col("n") - F.ceil(F.col("n") * p.percent / 100)  # shingles that may be a set's own
@@ -348,7 +348,7 @@ def crossed(sets: DataFrame, p: Join) -> DataFrame:
                 for id_, component, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                     yield id_, component, np.frombuffer(content.as_py(), np.uint64)
 
-        yield from _chunked(rows(), 1.0, n_cells, 2 * p.cell_tokens)
+        yield from _chunked(rows(), 1.0, n_cells, p.cell_tokens)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
