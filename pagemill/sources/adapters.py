@@ -25,4 +25,5 @@ def shaped(pages: DataFrame) -> DataFrame:
     pages = pages if "method" in pages.columns else pages.withColumn("method", F.lit("text"))
     pages = pages if "skipped" in pages.columns else pages.withColumn("skipped", F.lit(False))
     name = F.regexp_extract("file_path", r"([^/]*)$", 1)
-    return pages.select("file_path", name.alias("file_name"), F.col("page_no").cast("int"), "method", "skipped", F.coalesce("raw_extract", F.lit("")).alias("raw_extract"), text.clean(F.col("raw_extract")).alias("raw_text"))
+    more = [c for c in ("duration_s",) if c in pages.columns]
+    return pages.select("file_path", name.alias("file_name"), F.col("page_no").cast("int"), "method", "skipped", F.coalesce("raw_extract", F.lit("")).alias("raw_extract"), text.clean(F.col("raw_extract")).alias("raw_text"), *more)

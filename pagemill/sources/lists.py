@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import zipfile
+from pathlib import Path
+
+import pyspark
+from pyspark import SparkContext
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +22,13 @@ def word_list(spark: SparkSession, path: str) -> list[str]:
 
 
 def stop_words() -> list[str]:
-    """The English stop words that Spark ML has."""
-    return sorted(StopWordsRemover.loadDefaultStopWords("english"))
+    """The English stop words that Spark ML has, with or without a session."""
+    if SparkContext._active_spark_context:
+        return sorted(StopWordsRemover.loadDefaultStopWords("english"))
+    for jar in Path(pyspark.__file__).parent.glob("jars/spark-mllib_*.jar"):
+        with zipfile.ZipFile(jar) as z:
+            return sorted(z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split("\n"))
+    raise RuntimeError("stop words need a Spark session here")
 
 
 def patterns(spark: SparkSession, path: str | None, stop: bool = False) -> list[str]:
