@@ -10,11 +10,14 @@ chunk is merged exactly, by rank.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
 import re
+import string
 import tempfile
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import grams, lexicon
-from .store import worker_cache, written
+from .store import worker_cache, worker_task, written
 
 #: White space as Unicode's property has it; Python's own \s differs by U+001C to U+001F.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -45,7 +48,7 @@ class Lexical:
 
     lexicon_words: int = 40_000
     longest: int = 40
-    memo: int = 800_000
+    memo: int = 1_000_000
 
 
 def byte_names() -> dict[str, int]:
@@ -58,6 +61,17 @@ def byte_names() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: White space that may stand beside a space.
+BESIDE = [c + " " for c in "\t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"]
+
+
+def pieces(text: str) -> list[str] | None:
+    """The text split at spaces, or None where white space stands before a space."""
+    if text[:1] == " " or text[-1:] == " " or "  " in text or any(b in text for b in BESIDE):
+        return None
+    return text.split(" ")
+
+
 class Bpe:
     """Exact merges of one vocabulary file in the tokenizers library's format."""
 
@@ -88,16 +102,19 @@ class Bpe:
         if len(piece) > 64:
             return self._merge_long(piece)
         none, get = 1 << 60, self.rank.get
-        ids = [self.base[b] for b in piece]
-        ranks = [get(x << 20 | y, none) for x, y in zip(ids, ids[1:], strict=False)]
-        while ranks and (best := min(ranks)) != none:
+        ids = list(map(self.base.__getitem__, piece))
+        ranks = [get(x << 20 | y, none) for x, y in zip(ids, ids[1:])]  # noqa: B905
+        while ranks:
+            best = min(ranks)
+            if best == none:
+                break
             i = ranks.index(best)
-            ids[i] = best & 0xFFFFF
+            ids[i] = new = best & 0xFFFFF
             del ids[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = get(ids[i - 1] << 20 | ids[i], none)
+                ranks[i - 1] = get(ids[i - 1] << 20 | new, none)
             if i < len(ranks):
-                ranks[i] = get(ids[i] << 20 | ids[i + 1], none)
+                ranks[i] = get(new << 20 | ids[i + 1], none)
         return ids
 
     def _merge_long(self, piece: bytes) -> list[int]:
@@ -142,7 +159,9 @@ class Bpe:
 
 
 def frequent(documents: DataFrame, p: Lexical, text: str = "text") -> list[str]:
-    """The most frequent chunks of all texts; ties go by the chunk itself.
+    """The most frequent chunks that begin with a space, without it.
+
+    Ties go by the chunk itself.
 
     Tasks count their own rows first, so that a chunk makes one row for each
     ``memo`` distinct chunks of a task. A table of how many chunks occur how
@@ -150,11 +169,12 @@ def frequent(documents: DataFrame, p: Lexical, text: str = "text") -> list[str]:
     gets the chunks above it, and of those at it as many as are missing.
     """
 
+    @worker_task("bpe")
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
 
         def flushed() -> Iterator[pa.RecordBatch]:
-            rows = [(c, n) for c, n in seen.items() if len(c) <= p.longest]
+            rows = [(c, n) for c, n in seen.items() if 0 < len(c) <= p.longest and CHUNK.fullmatch(c)]
             for k in range(0, len(rows), 50_000):
                 chunk, n = zip(*rows[k : k + 50_000], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.string()), pa.array(n, pa.int64())], names=["chunk", "n"])
@@ -163,7 +183,9 @@ def frequent(documents: DataFrame, p: Lexical, text: str = "text") -> list[str]:
         for batch in batches:
             for value in batch.column(0):
                 if value.is_valid:
-                    seen.update(CHUNK.findall(value.as_py()))
+                    one = value.as_py()
+                    parts = pieces(one)
+                    seen.update([c[1:] for c in CHUNK.findall(one) if c[0] == " "] if parts is None else parts[1:])
                     if len(seen) > p.memo:
                         yield from flushed()
         yield from flushed()
@@ -191,23 +213,67 @@ def opened(content: bytes) -> lexicon.Lexicon:
 
 
 class Encoder:
-    """Encodes many texts: lexicon first, exact merges for the rest."""
+    """Encodes many texts: lexicon first, exact merges for the rest.
+
+    A text is split at spaces; each piece stands for itself behind a space.
+    That is a cut between chunks, but for white space on both sides of a space,
+    where the run is one chunk; texts that have it are cut by the pattern.
+    """
 
     def __init__(self, bpe: Bpe, words: lexicon.Lexicon, memo: int):
         self.bpe, self.words, self.most = bpe, words, memo
         self.memo: dict[str, bytes] = {}
 
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.bpe.encode(text), "<u4").tobytes()
+
+    def _learn(self, new: list[str]) -> None:
+        """Put pieces, without their space, into the memo.
+
+        A piece the lexicon does not have is encoded exactly; letters with ASCII
+        punctuation behind are cut in between, as pre-tokens are.
+        """
+        memo, whole, merge = self.memo, self.bpe.whole, self.bpe.merge
+        rests: dict[str, bytes] = {"": b""}
+        for piece, ids in zip(new, self.words.lookup([(" " + c).encode() for c in new]), strict=True):
+            if ids is None:
+                core = piece.rstrip(string.punctuation)
+                if core.isalpha():
+                    if (ids := memo.get(core)) is None:
+                        raw = b" " + core.encode()
+                        one = whole.get(raw)
+                        ids = array("I", merge(raw) if one is None else (one,)).tobytes()
+                        memo[core] = ids
+                    if core is not piece:
+                        rest = piece[len(core) :]
+                        if rest not in rests:
+                            rests[rest] = self._ids(rest)
+                        ids += rests[rest]
+                else:
+                    ids = b"".join(map(self._ids, CHUNK.findall(" " + piece)))
+            memo[piece] = ids
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit values."""
-        cut = [CHUNK.findall(t) for t in texts]
-        seen = set().union(*cut)
+        whole = [pieces(t) for t in texts]
         if len(self.memo) > self.most:  # what this batch has is likely to come again
+            seen = set().union(*(w for w in whole if w))
             self.memo = {c: self.memo[c] for c in seen & self.memo.keys()}
-        new = list(seen - self.memo.keys())
-        for chunk, ids in zip(new, self.words.lookup([c.encode() for c in new]), strict=True):
-            self.memo[chunk] = np.array(self.bpe.encode(chunk), "<u4").tobytes() if ids is None else ids
-        get = self.memo.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        get = self.memo.get
+        held = [list(map(get, w[1:])) if w else [] for w in whole]
+        gaps = [[i for i, x in enumerate(h) if x is None] if None in h else [] for h in held]
+        new = {w[i + 1] for w, g in zip(whole, gaps, strict=True) for i in g}
+        if new:
+            self._learn(list(new))
+        out = []
+        for text, w, h, g in zip(texts, whole, held, gaps, strict=True):
+            if w is None:
+                out.append(b"".join(map(self._ids, CHUNK.findall(text))))
+                continue
+            for i in g:
+                h[i] = self.memo[w[i + 1]]
+            out.append(b"".join([b"".join(map(self._ids, CHUNK.findall(w[0]))), *h]))
+        return out
 
 
 def encoded(documents: DataFrame, vocabulary_path: str, p: Lexical = Lexical(), text: str = "text") -> DataFrame:
@@ -221,16 +287,18 @@ def encoded(documents: DataFrame, vocabulary_path: str, p: Lexical = Lexical(),
     with open(vocabulary_path, encoding="utf-8") as file:
         vocabulary = file.read()
     own_bpe = Bpe(vocabulary)
-    content = lexicon.build((c.encode(), own_bpe.encode(c)) for c in frequent(documents, p, text))
+    content = lexicon.build(((" " + c).encode(), own_bpe.encode(" " + c)) for c in frequent(documents, p, text))
     held = spark.sparkContext.broadcast((vocabulary, content))
     names = ["n_tokens", "ids", "decoded"]
     own = [c for c in documents.columns if c not in names]
 
+    @worker_task("bpe")
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, content = held.value
         key = hashlib.sha1(vocabulary.encode() + content).hexdigest()
         bpe = worker_cache(("bpe", key), lambda: Bpe(vocabulary))
         encoder = worker_cache(("encoder", key), lambda: Encoder(bpe, opened(content), p.memo))
+        gc.disable()  # words and ids make no cycles, and there are millions of them
         for batch in batches:
             texts = batch.column(text).fill_null("")
             for i, j, _ in grams.slices(texts, 6 << 20):

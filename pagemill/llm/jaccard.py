@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import graph, grams, store
+from .store import worker_task
 
 
 @dataclass(frozen=True)
@@ -52,7 +53,7 @@ class Join:
     region: float = 0.4
     permutations: int = 4
     group: int = 200
-    rounds: int = 4
+    rounds: int = 2
     tries: int = 32
     cell_tokens: int = 1_000_000
 
@@ -177,6 +178,7 @@ def sieve(chunks: DataFrame, n_parts: int) -> DataFrame:
     the first is counted; the others have 0.
     """
 
+    @worker_task("sets")
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell, rows in _grouped(batches, 1):
             if cell < 0:
@@ -185,6 +187,7 @@ def sieve(chunks: DataFrame, n_parts: int) -> DataFrame:
                 for chunk, payload in _alone([(r[0], r[2]) for r in rows]):
                     yield _row([chunk], [0], [payload])
 
+    @worker_task("sets")
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _grouped(batches, 0):
             head = [r for r in rows if r[1] < 0][0]
@@ -241,6 +244,7 @@ def marked(documents: DataFrame, p: Join) -> DataFrame:
     chars = documents.agg(F.sum(F.length("text"))).first()[0] or 0
     n_cells = int(chars / 6 * p.region) // p.cell_tokens + 1
 
+    @worker_task("sets")
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sets() -> Iterator[tuple[int | None, None, np.ndarray]]:
             for batch in batches:
@@ -260,6 +264,7 @@ def marked(documents: DataFrame, p: Join) -> DataFrame:
 def sets_of(documents: DataFrame, wanted: DataFrame, p: Join) -> DataFrame:
     """(id, n, shingles) of the documents in ``wanted`` (id, s1), written."""
 
+    @worker_task("sets")
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, signs = batch.column(0), batch.column(2).to_numpy()
@@ -290,6 +295,7 @@ def led(sets: DataFrame, p: Join) -> DataFrame:
     group of the next level.
     """
 
+    @worker_task("sets")
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = grams.constants(77, p.permutations)
         for batch in batches:
@@ -302,6 +308,7 @@ def led(sets: DataFrame, p: Join) -> DataFrame:
             for r in range(p.permutations):
                 yield pa.RecordBatch.from_arrays([ids, pa.array(least[:, r].astype(np.int64))], names=["id", "key"])
 
+    @worker_task("sets")
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, leader, first = None, 0, None
         for batch in batches:
@@ -342,6 +349,7 @@ def crossed(sets: DataFrame, p: Join) -> DataFrame:
     total = sets.agg(F.sum("n")).first()[0] or 0
     n_cells = total // p.cell_tokens + 1
 
+    @worker_task("sets")
     def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple[int, int, np.ndarray]]:
             for batch in batches:
@@ -350,6 +358,7 @@ def crossed(sets: DataFrame, p: Join) -> DataFrame:
 
         yield from _chunked(rows(), 1.0, n_cells, p.cell_tokens)
 
+    @worker_task("sets")
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for id_, component, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
@@ -382,8 +391,6 @@ def crossed(sets: DataFrame, p: Join) -> DataFrame:
         h = F.xxhash64("a", "b", F.lit(r))
         few = near.groupBy("ca", "cb", F.pmod(h, F.lit(p.tries)).alias("try")).agg(F.min(F.struct(h.alias("h"), "a", "b")).alias("p"))
         links = _compared(few.select("p.a", "ca", "p.b", "cb").distinct(), own, p)
-        if links.isEmpty():
-            break
         found.append(links)
         entries = store.written(_relabelled(entries, links, "component"), "index")
     x, y = entries.alias("x"), entries.alias("y")
@@ -410,6 +417,7 @@ def _relabelled(df: DataFrame, links: DataFrame, column: str) -> DataFrame:
 def _compared(pairs: DataFrame, sets: DataFrame, p: Join) -> DataFrame:
     """Those of the pairs (a, ca, b, cb) that link, written."""
 
+    @worker_task("sets")
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hit = [_linked(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), p.percent) for a, b in zip(batch.column(4), batch.column(5), strict=True)]

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import worker_task
+
 
 def sample(documents: DataFrame, labels: DataFrame, label: str, most: int, where=None) -> DataFrame:
     """At most ``most`` labelled documents as (text, label), the same each time.
@@ -36,6 +38,7 @@ def fitted(rows: DataFrame, fit: Callable[[pa.Table], bytes]) -> bytes | None:
     rows.
     """
 
+    @worker_task("labels")
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [b for b in batches if b.num_rows]
         if rows:

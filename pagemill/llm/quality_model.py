@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from . import grams, labelled
 from .quality_rules import linear_scores, sigmoid, sparse
+from .store import worker_task
 
 
 @dataclass(frozen=True)
@@ -29,7 +30,7 @@ class Embedding:
     chars: tuple[int, ...] = (2, 4)
     epochs: int = 6
     rate: float = 0.3
-    sample_rows: int = 6000
+    sample_rows: int = 4000
     threshold: float = 0.7
 
 
@@ -86,6 +87,7 @@ def score(documents: DataFrame, labels: DataFrame, p: Embedding = Embedding()) -
     model = labelled.fitted(rows, lambda t: fit(t, p))
     held = documents.sparkSession.sparkContext.broadcast(model)
 
+    @worker_task("quality")
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = np.frombuffer(held.value, np.float32) if held.value else np.zeros(((1 + len(p.chars)) << p.bits) + 1, np.float32)
         for batch in batches:

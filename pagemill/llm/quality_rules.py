@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import grams, labelled
+from .store import worker_task
 
 
 @dataclass(frozen=True)
@@ -31,7 +32,7 @@ class Rules:
     repeat_percent: int = 30
     window: int = 8
     threshold: float = 0.5
-    sample_rows: int = 6000
+    sample_rows: int = 4000
     bits: int = 17
     epochs: int = 8
     chars: tuple[int, ...] = (2, 4)
@@ -49,7 +50,8 @@ def sparse(texts: grams.Texts, bits: int, chars: tuple[int, ...]) -> list[tuple[
         cut = np.searchsorted(key >> bits, np.arange(texts.n + 1))
         for d in range(texts.n):
             i, j = cut[d], cut[d + 1]
-            rows[d].append(((key[i:j] & ((1 << bits) - 1)) + (f << bits), n[i:j] / max(1, n[i:j].sum())))
+            at = ((key[i:j] & ((1 << bits) - 1)) + (f << bits)).astype(np.int32)
+            rows[d].append((at, (n[i:j] / max(1, n[i:j].sum())).astype(np.float32)))
     return [(np.concatenate([x[0] for x in r]), np.concatenate([x[1] for x in r])) for r in rows]
 
 
@@ -166,13 +168,14 @@ def score(documents: DataFrame, labels: DataFrame, rules: Rules = Rules(), text:
     that have the name of an added one are replaced; other columns stay.
     """
     spark = documents.sparkSession
-    rows = labelled.sample(documents.withColumn("text", F.col(text)), labels, "quality", rules.sample_rows)
+    rows = labelled.sample(documents.select("doc_id", F.col(text).alias("text")), labels, "quality", rules.sample_rows)
     model = labelled.fitted(rows, lambda t: fit_logistic(t, rules.bits, rules.chars, rules.epochs))
     held = spark.sparkContext.broadcast(model)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "quality", "kept"]
     own = [c for c in documents.columns if c not in names]
     kinds = dict(zip(names, ["long"] * 5 + ["boolean", "double", "boolean"], strict=True))
 
+    @worker_task("quality")
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = np.frombuffer(held.value, np.float32) if held.value else None
         for batch in batches:
@@ -199,5 +202,8 @@ def score(documents: DataFrame, labels: DataFrame, rules: Rules = Rules(), text:
 
 def keep(documents: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The documents that the rules keep, with their own columns."""
-    marked = score(documents.withColumn("__text", F.col("text")), labels, rules, "__text")
-    return marked.where("kept").select(*(F.col(f"`{c}`") for c in documents.columns))
+    own = documents.columns
+    renamed = documents.select(*(F.col(f"`{c}`").alias(f"__own{i}") for i, c in enumerate(own)))
+    ids = {"doc_id": F.col(f"__own{own.index('doc_id')}")}
+    marked = score(renamed.withColumns(ids), labels, rules, f"__own{own.index('text')}")
+    return marked.where("kept").select(*(F.col(f"__own{i}").alias(c) for i, c in enumerate(own)))

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,13 +61,53 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_CACHE = "_pagemill_worker_cache"
+
+
 def worker_cache(key: object, build: Callable[[], object]) -> object:
     """A value kept for the life of this Python process.
 
     Functions that are pickled by value get fresh globals for each task, so
-    that what is costly to build lives in a module of its own.
+    that what is costly to build lives in a module of its own. A process serves
+    one operator after another; :func:`worker_task` drops what earlier ones
+    have left.
+    """
+    held = sys.modules.setdefault(_CACHE, types.ModuleType(_CACHE)).__dict__.setdefault("values", {})
+    if key not in held:
+        held[key] = build()
+    return held[key]
+
+
+def _give_back() -> None:
+    """Return free memory to the system, where that is possible."""
+    import pyarrow as pa
+
+    gc.enable()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def worker_task(name: str) -> Callable:
+    """Decorate the function of a mapInArrow: only ``name`` keeps values between tasks.
+
+    Workers stay alive between tasks and jobs, and executors have bounded
+    memory; so each task also gives back what it has freed.
     """
-    held = sys.modules.setdefault("_pagemill_worker_cache", types.ModuleType("_pagemill_worker_cache"))
-    if key not in held.__dict__:
-        held.__dict__[key] = build()
-    return held.__dict__[key]
+
+    def wrap(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+        def run(batches: Iterator) -> Iterator:
+            module = sys.modules.setdefault(_CACHE, types.ModuleType(_CACHE))
+            if module.__dict__.get("owner") != name:
+                module.__dict__.get("values", {}).clear()
+                module.__dict__["owner"] = name
+                _give_back()
+            try:
+                yield from task(batches)
+            finally:
+                _give_back()
+
+        return run
+
+    return wrap

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
@@ -21,14 +22,15 @@ from pyspark.sql import functions as F
 
 from . import grams, store, wavelet
 from .bpe import SPACE
-from .store import worker_cache
+from .store import worker_cache, worker_task
 
 
 @dataclass(frozen=True)
 class Shards:
     """A shard is closed at the first document with which it has ``shard_tokens``.
 
-    ``part_chars`` is the bytes of text that one writing task gets. ``end_id`` is put
+    ``part_chars`` is the bytes of text that one writing task gets, until
+    there are ``most_parts`` of them. ``end_id`` is put
     behind every document. ``memo`` bounds the words that a worker
     keeps, ``batch_bytes`` the text that is cut into words at once.
     """
@@ -36,7 +38,8 @@ class Shards:
     end_id: int = 2
     shard_tokens: int = 1 << 21
     part_chars: int = 24 << 20
-    memo: int = 1_400_000
+    most_parts: int = 20_000
+    memo: int = 1_800_000
     batch_bytes: int = 6 << 20
 
 
@@ -49,7 +52,7 @@ class WordEncoder:
 
     def __init__(self, vocabulary: str, memo: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are parallel already
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.library = Tokenizer.from_str(vocabulary)
         self.library.no_truncation()
@@ -67,6 +70,11 @@ class WordEncoder:
             self.ends[[i for t, i in held.items() if t.endswith(suffix)]] = True
             parts = [x["pattern"]["Regex"] for x in model["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split"]
             self.piece = regex.compile(parts[0])
+            self.plain = Tokenizer.from_str(vocabulary)
+            self.plain.normalizer = normalizers.Sequence([])
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        else:
+            self.plain = None
 
     def _n_pieces(self, word: str) -> int:
         if word.isascii() and word.isalpha():
@@ -74,16 +82,20 @@ class WordEncoder:
         folded = unicodedata.normalize("NFC", word).lower()
         return 1 if folded.isalpha() else len(self.piece.findall(folded))
 
-    def _add(self, words: list[str]) -> None:
-        """Encode new words, many as one text where their ids can be told apart."""
+    def _add(self, words: list[str], plain) -> None:
+        """Encode new words, many as one text where their ids can be told apart.
+
+        ``plain`` is the library without normaliser and pattern, for words that
+        are lower-case letters alone and so one pre-token each.
+        """
         if self.ends is not None and words:
-            ids = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.kind)
+            ids = np.array((plain or self.library).encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.kind)
             stop = np.flatnonzero(self.ends[ids]) + 1
-            upto = np.cumsum([self._n_pieces(w) for w in words])
+            upto = np.arange(1, len(words) + 1) if plain else np.cumsum([self._n_pieces(w) for w in words])
             if upto[-1] == len(stop) and (not len(stop) or stop[-1] == len(ids)):
-                at = np.concatenate([[0], stop])[np.concatenate([[0], upto])] * ids.itemsize
+                at = (np.concatenate([[0], stop])[np.concatenate([[0], upto])] * ids.itemsize).tolist()
                 raw = ids.tobytes()
-                self.memo.update(zip(words, (raw[i:j] for i, j in zip(at, at[1:], strict=False)), strict=True))
+                self.memo.update(zip(words, [raw[i:j] for i, j in zip(at, at[1:], strict=False)], strict=True))
                 return
         for word, got in zip(words, self.library.encode_batch_fast(words, add_special_tokens=False), strict=True):
             self.memo[word] = np.array(got.ids, self.kind).tobytes()
@@ -109,28 +121,40 @@ class WordEncoder:
         return [b"".join(h) for h in held]
 
     def _learn(self, new: set[str], texts: list[str]) -> None:
-        """Put words that occur in some texts into the memo."""
+        """Put words that occur in some texts into the memo.
+
+        Letters with ASCII punctuation behind are cut in between, as the
+        pre-tokeniser does, so that a word is encoded once for all its endings
+        and cases.
+        """
         hidden = [s for s in self.special if any(s in t for t in texts)]
         odd = {w for w in new if any(s in w for s in hidden)} if hidden else set()
-        # letters with punctuation behind are two pre-tokens or more, cut in between
-        joined: dict[str, tuple[str, str]] = {}
-        need = set()
-        for word in new - odd:
+        joined: list[tuple[str, str, str]] = []
+        letters, other = set(), set()
+        for word in new - odd if odd else new:
             core = word.rstrip(string.punctuation)
-            if core.isalpha() and "\u03a3" not in core and (core.isascii() or unicodedata.is_normalized("NFC", core)):
-                joined[word] = core.lower(), word[len(core) :]
-                need.update(joined[word])
+            low = core.lower()
+            if low.isalpha() and core.isalpha() and (core.isascii() or "\u03a3" not in core and unicodedata.is_normalized("NFC", core)):
+                letters.add(low)
+                if low != word:
+                    rest = word[len(core) :]
+                    if rest:
+                        other.add(rest)
+                    joined.append((word, low, rest))
             else:
-                need.add(word)
-        need.discard("")
-        plain = list(need - self.memo.keys())
-        for k in range(0, len(plain), 1000):
-            self._add(plain[k : k + 1000])
-        self.memo[""] = b""
-        for word, (core, rest) in joined.items():
-            self.memo[word] = self.memo[core] + self.memo[rest]
+                other.add(word)
+        memo = self.memo
+        many = [w for w in letters if w not in memo]
+        for k in range(0, len(many), 2000):
+            self._add(many[k : k + 2000], self.plain)
+        many = [w for w in other if w not in memo]
+        for k in range(0, len(many), 2000):
+            self._add(many[k : k + 2000], None)
+        memo[""] = b""
+        for word, low, rest in joined:
+            memo[word] = memo[low] + memo[rest]
         for word in odd:
-            self.memo[word] = np.array(self.library.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
+            memo[word] = np.array(self.library.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
 
 
 def write(documents: DataFrame, vocabulary_path: str, p: Shards = Shards()) -> DataFrame:
@@ -146,18 +170,20 @@ def write(documents: DataFrame, vocabulary_path: str, p: Shards = Shards()) -> D
     with open(vocabulary_path, encoding="utf-8") as file:
         vocabulary = file.read()
     size = documents.agg(F.sum(F.octet_length("text")).alias("chars"), F.count(F.lit(1)).alias("n")).first()
-    n_parts = int(max(1, min((size.chars or 0) // p.part_chars + 1, size.n)))
+    n_parts = int(max(1, min((size.chars or 0) // p.part_chars + 1, size.n, p.most_parts)))
     limits: list[int] = []
     if n_parts > 1:
         wanted = [i / n_parts for i in range(1, n_parts)]
         limits = sorted(set(documents.approxQuantile("doc_id", wanted, 0.1 / n_parts)))
     held = spark.sparkContext.broadcast((vocabulary, np.array(limits, np.int64)))
 
+    @worker_task("tokens")
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, limits = held.value
         key = hashlib.sha1(vocabulary.encode()).hexdigest()
         encoder = worker_cache(("words", key), lambda: WordEncoder(vocabulary, p.memo))
         end = np.array([p.end_id], encoder.kind).tobytes()
+        gc.disable()  # words and ids make no cycles, and there are millions of them
         for batch in batches:
             texts = batch.column(1).fill_null("")
             ids = batch.column(0).cast(pa.int64())
@@ -166,6 +192,7 @@ def write(documents: DataFrame, vocabulary_path: str, p: Shards = Shards()) -> D
                 got = [x + end for x in encoder.encode(texts[i:j].to_pylist())]
                 yield pa.RecordBatch.from_arrays([ids[i:j], pa.array(part[i:j], pa.int32()), pa.array(got, pa.binary())], names=["doc_id", "part", "ids"])
 
+    @worker_task("tokens")
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
 
@@ -221,6 +248,7 @@ def located(files: DataFrame) -> DataFrame:
 def read(files: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document of the shards."""
 
+    @worker_task("tokens")
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import graph, store
+from .store import worker_task
 
 
 @dataclass(frozen=True)
@@ -159,6 +160,7 @@ def links(reps: DataFrame, dim: int, p: Range) -> DataFrame:
     pivots = choose_pivots(unit(sample.column(0).combine_chunks(), dim), most, p.threshold)
     shared = spark.sparkContext.broadcast(pivots)
 
+    @worker_task("vectors")
     def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -175,6 +177,7 @@ def links(reps: DataFrame, dim: int, p: Range) -> DataFrame:
     first = np.concatenate([[0], np.cumsum(n_blocks * (n_blocks + 1) // 2)])  # tasks of the cells before
     table = spark.sparkContext.broadcast((reach, least, n_blocks, first))
 
+    @worker_task("vectors")
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (task, role): the block that a task holds has role 0."""
         reach, least, n_blocks, first = table.value
@@ -207,6 +210,7 @@ def links(reps: DataFrame, dim: int, p: Range) -> DataFrame:
     diagonal = np.concatenate([first[c] + np.cumsum([0, *range(n, 1, -1)]) for c, n in enumerate(n_blocks) if n] or [np.empty(0, np.int64)])
     own = spark.sparkContext.broadcast(frozenset(int(x) for x in diagonal))
 
+    @worker_task("vectors")
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         at, block, forest = None, None, Forest()

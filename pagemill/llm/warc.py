@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import store
+from .store import worker_task
 
 MAGIC = 0x184D2A5D
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -156,6 +157,7 @@ def write(pages: DataFrame, how: Archive = Archive()) -> DataFrame:
     held = dictionary([record(r.id, r.url, (r.html or "").encode(), None, False, how.date) for r in sampled], how.dictionary_bytes)
     shared = spark.sparkContext.broadcast(held)
 
+    @worker_task("warc")
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -191,6 +193,7 @@ def read_pages(files: DataFrame) -> DataFrame:
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
 
+    @worker_task("warc")
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):

@@ -1,0 +1,107 @@
+import random
+import re
+
+import pytest
+
+from pagemill.llm import pii
+
+
+def luhn(d):
+    digits = [int(c) for c in d][::-1]
+    return sum(x if i % 2 == 0 else x * 2 - 9 * (x > 4) for i, x in enumerate(digits)) % 10 == 0
+
+
+def run(spark, texts, **options):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [(r.text, [tuple(x) for x in r.pii]) for r in pii.pseudonymised(df, pii.Pseudonyms(**options)).orderBy("doc_id").collect()]
+
+
+#: Texts, and the kinds that are found in them.
+CASES = [
+    ("card 4111111111111111, 4111-1111-1111-1111 4111 1111 1111 1111 378282246310005", ["card"] * 4),
+    ("9807915762804491 1234567890123456 and 12345", []),
+    ("id4111111111111111x 41111111111111111111", []),
+    ("call +1 (017) 555-7713 or 212-555-1234, (212) 555-1234. +49301234567", ["phone"] * 4),
+    ("from 97.51.17.173. and 300.1.1.1, v1.2.3.4 1.2.3.4.5 01.2.3.4", ["ip"]),
+    ("on 2020-02-29 not 2021-02-29, 12/31/1999 not 31/12/1999; 24.12.2020. 1700-01-01", ["iso_date", "slash_date", "point_date"]),
+    ("123-45-6789 666-12-1234 000-11-2222 123-00-1234 900-11-1111", ["ssn"]),
+    ("mail a.b34@mail7.example.com, or x@y.io and @nobody", ["email"] * 2),
+    ('token = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce"', ["secret"]),
+    ("TOKEN B44E15E09FD311C3CF3163B66D5A9875B883D8CE!!", ["secret"]),
+    ("plain words 42, 3.5 and 1,000", []),
+    ("", []),
+    (None, []),
+]
+
+
+def test_cases(spark):
+    for (text, found), (new, kinds) in zip(CASES, run(spark, [c[0] for c in CASES]), strict=True):
+        assert [k for k, _, _ in kinds] == found, text
+        if not found:
+            assert new == text
+        for _, old, name in kinds:
+            assert old in text
+            assert name in new
+            assert re.sub("[0-9a-z]", "0", old.lower()) == re.sub("[0-9a-z]", "0", name.lower()) or "@" in old or "." in old
+
+
+def test_valid_formats_stay_valid(spark):
+    out = run(spark, [c[0] for c in CASES])
+    for _, kinds in out:
+        for kind, _, name in kinds:
+            if kind == "card":
+                assert luhn(re.sub(r"\D", "", name))
+            if kind == "ip":
+                assert all(0 <= int(x) < 256 for x in name.split("."))
+            if kind == "ssn":
+                a, g, s = map(int, name.split("-"))
+                assert 0 < a < 900 and a != 666 and g > 0 and s > 0
+    again = [name for _, kinds in run(spark, [n for n, _ in out]) for _, _, name in kinds]
+    assert len(again) == sum(len(k) for _, k in out)
+
+
+def test_same_value_same_pseudonym_and_key(spark):
+    a, b = run(spark, ["x 4111111111111111 y", "4111 1111 1111 1111"])
+    assert a[1][0][2] == b[1][0][2].replace(" ", "")
+    assert run(spark, ["x 4111111111111111 y"], key="other")[0] != a
+
+
+@pytest.mark.parametrize(("kind", "values"), [
+    ("date", [f"{y}-{m:02d}-{d:02d}" for y in (1800, 1900, 2000, 2199) for m in range(1, 13) for d in range(1, 29)]),
+    ("ip", [f"10.0.{i}.{j}" for i in range(30) for j in range(30)]),
+    ("ssn", [f"{i:03d}-{j:02d}-0001" for i in (1, 665, 667, 899) for j in range(1, 99)]),
+    ("phone", [f"+1 (212) 555-{i:04d}" for i in range(900)]),
+])
+def test_no_two_values_share_a_pseudonym(spark, kind, values):
+    ((_, found),) = run(spark, ["; ".join(values)])
+    assert [old for _, old, _ in found if old in set(values)]
+    changed = {old: new for _, old, new in found}
+    made = [changed.get(v, v) for v in values]
+    assert len(set(made)) == len(values)
+
+
+def test_feistel_is_a_permutation(spark):
+    p = pii.Pseudonyms()
+    sql = pii._feistel(p, "t", "id div 31", "id % 31", "17", "31")
+    rows = spark.range(17 * 31).selectExpr(f"{sql} as s").collect()
+    assert len({tuple(r.s) for r in rows}) == 17 * 31
+    assert all(r.s.l < 17 and r.s.r < 31 for r in rows)
+
+
+def test_no_python_in_the_plan(spark):
+    df = spark.createDataFrame([(1, "4111111111111111")], "doc_id long, text string")
+    plan = pii.pseudonymised(df)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_long_text_ties_and_columns(spark):
+    rng = random.Random(1)
+    long = " ".join("".join(rng.choice("abcdef") for _ in range(5)) for _ in range(60_000)) + " 97.51.17.173"
+    df = spark.createDataFrame([(1, long, 5, "p"), (1, long, 5, "p")], "doc_id long, text string, n_chars long, pii string")
+    out = pii.pseudonymised(df)
+    assert out.columns == ["doc_id", "text", "n_chars", "pii"]
+    a, b = out.collect()
+    assert a == b
+    assert a.text[: len(long) - 12] == long[:-12]
+    assert a.n_chars == len(a.text)
+    assert out.limit(0).count() == 0
