@@ -13,7 +13,7 @@ from ..operators import dictionary as dic
 from ..operators import pages as pg
 from ..operators import report, spelling, tagging
 from ..options import Options, parse
-from ..sources import lists, pdf, sinks
+from ..sources import lists, pdf, sinks, wiki
 
 
 def page_numbers(spec: str | None) -> set[int] | None:
@@ -142,7 +142,14 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         return 1
     name = o.path.rstrip("/")
     name = name[: -len(".pdf")] if name.lower().endswith(".pdf") else name
-    dictionary = lists.dictionary(spark, o.dictionary) if o.dictionary else None
+    dictionary = None
+    if o.dictionary and o.dictionary_revert:
+        sinks.drop(spark, o.dictionary)
+    elif o.dictionary and sinks.exists(spark, o.dictionary):
+        dictionary = lists.dictionary(spark, o.dictionary)
+    elif o.dictionary:  # topics, parted by commas
+        topics = [t.strip() for t in o.dictionary.split(",") if t.strip()]
+        dictionary = wiki.topic_dictionary(spark, topics, wiki.http_fetch(), large=True)
     if dictionary is not None:
         if o.dictionary_add:
             dictionary = dic.add(dictionary, o.dictionary_add)

@@ -28,7 +28,7 @@ def numbered(df: DataFrame, key: str, order: str, name: str, rows_per_group: int
     """
     span = df.agg(F.min(order).alias("low"), F.max(order).alias("high"), F.count(F.lit(1)).alias("n")).first()
     parts = max(1, -(-span.n // rows_per_group))
-    if parts == 1:
+    if parts == 1 or span.low is None:
         return df.withColumn(name, F.row_number().over(W.partitionBy(key).orderBy(order)))
     width = max(1, -(-(span.high - span.low + 1) // parts))
     df = df.withColumn("__part", F.floor((F.col(order) - span.low) / width))
