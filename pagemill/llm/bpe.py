@@ -48,7 +48,7 @@ class Lexical:
 
     lexicon_words: int = 40_000
     longest: int = 40
-    memo: int = 1_000_000
+    memo: int = 600_000
 
 
 def byte_names() -> dict[str, int]:
@@ -164,7 +164,7 @@ def frequent(documents: DataFrame, p: Lexical, text: str = "text") -> list[str]:
     Ties go by the chunk itself.
 
     Tasks count their own rows first, so that a chunk makes one row for each
-    ``memo`` distinct chunks of a task. A table of how many chunks occur how
+    half of ``memo`` distinct chunks of a task. A table of how many chunks occur how
     often, which has few rows, tells the least count that is needed; the driver
     gets the chunks above it, and of those at it as many as are missing.
     """
@@ -186,7 +186,7 @@ def frequent(documents: DataFrame, p: Lexical, text: str = "text") -> list[str]:
                     one = value.as_py()
                     parts = pieces(one)
                     seen.update([c[1:] for c in CHUNK.findall(one) if c[0] == " "] if parts is None else parts[1:])
-                    if len(seen) > p.memo:
+                    if len(seen) > p.memo // 2:
                         yield from flushed()
         yield from flushed()
 
@@ -301,7 +301,7 @@ def encoded(documents: DataFrame, vocabulary_path: str, p: Lexical = Lexical(),
         gc.disable()  # words and ids make no cycles, and there are millions of them
         for batch in batches:
             texts = batch.column(text).fill_null("")
-            for i, j, _ in grams.slices(texts, 6 << 20):
+            for i, j, _ in grams.slices(texts, 3 << 20):
                 ids = encoder.encode(texts[i:j].to_pylist())
                 back = [bpe.decode(np.frombuffer(x, "<u4").tolist()) for x in ids]
                 new = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(back, pa.string())]
