@@ -13,7 +13,7 @@ CAP = 70_000
 
 def train(rows: DataFrame, column: str = "text") -> DataFrame:
     """(word, freq): runs of a-z in the lower-cased text."""
-    each = rows.select(F.explode(F.regexp_extract_all(F.lower(F.coalesce(column, F.lit(""))), F.lit("[a-z]+"), F.lit(0))).alias("word"))
+    each = rows.select(F.explode_outer(F.regexp_extract_all(F.lower(F.coalesce(column, F.lit(""))), F.lit("[a-z]+"), F.lit(0))).alias("word")).where("word is not null")
     return each.groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
 
 

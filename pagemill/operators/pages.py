@@ -106,13 +106,13 @@ def fields(pages: DataFrame, letters: str = DEFAULT_FIELDS, template: str | None
 
 def sentence_rows(pages: DataFrame) -> DataFrame:
     """One row a sentence, with its number in the page and its own word count."""
-    out = pages.select("file_path", "page_no", F.posexplode(text.sentences(F.col("text"))).alias("__pos", "sentence"))
+    out = pages.select("file_path", "page_no", F.posexplode_outer(text.sentences(F.col("text"))).alias("__pos", "sentence")).where("sentence is not null")
     return out.select("file_path", "page_no", (F.col("__pos") + 1).alias("sentence_no"), F.size(text.words(F.col("sentence"))).alias("word_count"), "sentence")
 
 
 def word_rows(pages: DataFrame) -> DataFrame:
     """One row a word, with its number in the page and its length."""
-    out = pages.select("file_path", "page_no", F.posexplode(text.words(F.col("text"))).alias("__pos", "word"))
+    out = pages.select("file_path", "page_no", F.posexplode_outer(text.words(F.col("text"))).alias("__pos", "word")).where("word is not null")
     return out.select("file_path", "page_no", (F.col("__pos") + 1).alias("word_no"), F.length("word").alias("word_length"), "word")
 
 

@@ -50,7 +50,7 @@ def word_class(tags: Column) -> Column:
 
 def tagged_frequency(pages: DataFrame) -> DataFrame:
     """(word, pos, freq) over the corpus."""
-    each = pages.select(F.explode(text.words(F.col("text"))).alias("token")).select("token", tag(F.col("token")).alias("pos"))
+    each = pages.select(F.explode_outer(text.words(F.col("text"))).alias("token")).where("token is not null").select("token", tag(F.col("token")).alias("pos"))
     each = each.select(F.btrim(F.lower("token"), F.lit(text.PUNCTUATION)).alias("word"), "pos").where("word <> ''")
     return each.groupBy("word", "pos").agg(F.count(F.lit(1)).alias("freq"))
 
