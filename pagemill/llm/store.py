@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import ctypes
 import gc
+import json
 import sys
 import tempfile
 import types
@@ -13,6 +14,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OPEN: dict[str, SparkSession] = {}
 
@@ -61,6 +63,20 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lines_table(spark: SparkSession, rows: list[dict], schema: str, name: str) -> DataFrame:
+    """A small table of the driver's as JSON lines in the checkpoint folder.
+
+    Only SQL functions make it. As a file it is scanned like any other table;
+    as a literal it would swell the plan.
+    """
+    path = f"{checkpoint_dir(spark)}/pagemill/{name}-{uuid.uuid4().hex}"
+    if not _OPEN:
+        atexit.register(_drop_all)
+    _OPEN[path] = spark
+    spark.range(1).select(F.lit("\n".join(map(json.dumps, rows))).alias("value")).write.text(path)
+    return spark.read.schema(schema).json(path)
+
+
 _CACHE = "_pagemill_worker_cache"
 
 
