@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import grams, lexicon
-from .store import worker_cache, worker_task, written
+from .store import give_back, worker_cache, worker_task, written
 
 #: White space as Unicode's property has it; Python's own \s differs by U+001C to U+001F.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -48,7 +48,7 @@ class Lexical:
 
     lexicon_words: int = 40_000
     longest: int = 40
-    memo: int = 600_000
+    memo: int = 1_100_000
 
 
 def byte_names() -> dict[str, int]:
@@ -164,7 +164,7 @@ def frequent(documents: DataFrame, p: Lexical, text: str = "text") -> list[str]:
     Ties go by the chunk itself.
 
     Tasks count their own rows first, so that a chunk makes one row for each
-    half of ``memo`` distinct chunks of a task. A table of how many chunks occur how
+    a quarter of ``memo`` distinct chunks of a task. A table of how many chunks occur how
     often, which has few rows, tells the least count that is needed; the driver
     gets the chunks above it, and of those at it as many as are missing.
     """
@@ -186,7 +186,7 @@ def frequent(documents: DataFrame, p: Lexical, text: str = "text") -> list[str]:
                     one = value.as_py()
                     parts = pieces(one)
                     seen.update([c[1:] for c in CHUNK.findall(one) if c[0] == " "] if parts is None else parts[1:])
-                    if len(seen) > p.memo // 2:
+                    if len(seen) > p.memo // 4:
                         yield from flushed()
         yield from flushed()
 
@@ -223,6 +223,15 @@ class Encoder:
     def __init__(self, bpe: Bpe, words: lexicon.Lexicon, memo: int):
         self.bpe, self.words, self.most = bpe, words, memo
         self.memo: dict[str, bytes] = {}
+        self.starts: dict[str, bytes] = {}
+
+    def _first(self, piece: str) -> bytes:
+        """The ids of a text's first piece, which has no space before it."""
+        if (ids := self.starts.get(piece)) is None:
+            if len(self.starts) > self.most // 10:
+                self.starts.clear()
+            ids = self.starts[piece] = b"".join(map(self._ids, CHUNK.findall(piece)))
+        return ids
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.bpe.encode(text), "<u4").tobytes()
@@ -272,13 +281,15 @@ class Encoder:
                 continue
             for i in g:
                 h[i] = self.memo[w[i + 1]]
-            out.append(b"".join([b"".join(map(self._ids, CHUNK.findall(w[0]))), *h]))
+            out.append(b"".join([self._first(w[0]), *h]))
         return out
 
 
-def encoded(documents: DataFrame, vocabulary_path: str, p: Lexical = Lexical(), text: str = "text") -> DataFrame:
+def encoded(documents: DataFrame, vocabulary_path: str, p: Lexical = Lexical(), text: str = "text", digest: bool = False) -> DataFrame:
     """Add ``n_tokens``, ``ids`` (binary) and ``decoded`` to the columns of ``documents``.
 
+    With ``digest``, ``ids_sha256`` and ``decoded_sha256`` stand for the last
+    two and for ``text``, so that neither leaves the worker.
     Whole texts are encoded and decoded; null is the empty text and has no ids.
     Input columns of these names are replaced, others stay. The vocabulary and
     the lexicon, both of bounded size, are broadcast.
@@ -288,9 +299,11 @@ def encoded(documents: DataFrame, vocabulary_path: str, p: Lexical = Lexical(),
         vocabulary = file.read()
     own_bpe = Bpe(vocabulary)
     content = lexicon.build(((" " + c).encode(), own_bpe.encode(" " + c)) for c in frequent(documents, p, text))
+    del own_bpe
+    give_back()
     held = spark.sparkContext.broadcast((vocabulary, content))
-    names = ["n_tokens", "ids", "decoded"]
-    own = [c for c in documents.columns if c not in names]
+    names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["n_tokens", "ids", "decoded"]
+    own = [c for c in documents.columns if c not in names and not (digest and c == text)]
 
     @worker_task("bpe")
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,14 +317,18 @@ def encoded(documents: DataFrame, vocabulary_path: str, p: Lexical = Lexical(),
             for i, j, _ in grams.slices(texts, 3 << 20):
                 ids = encoder.encode(texts[i:j].to_pylist())
                 back = [bpe.decode(np.frombuffer(x, "<u4").tolist()) for x in ids]
-                new = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(back, pa.string())]
+                new = [pa.array([len(x) // 4 for x in ids], pa.int64())]
+                if digest:
+                    new.append(pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()))
+                    new.append(pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back], pa.string()))
+                else:
+                    new += [pa.array(ids, pa.binary()), pa.array(back, pa.string())]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c)[i:j] for c in own), *new], names=[*own, *names])
 
-    schema = ", ".join([*(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in own), "n_tokens long, ids binary, decoded string"])
-    return documents.select(*(F.col(f"`{c}`") for c in own)).mapInArrow(task, schema)
+    schema = ", ".join([*(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in own), *(["n_tokens long, ids_sha256 string, decoded_sha256 string"] if digest else ["n_tokens long, ids binary, decoded string"])])
+    return documents.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*own, text]))).mapInArrow(task, schema)
 
 
 def digests(documents: DataFrame, vocabulary_path: str, p: Lexical = Lexical()) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document."""
-    out = encoded(documents.select("doc_id", "text"), vocabulary_path, p)
-    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return encoded(documents.select("doc_id", "text"), vocabulary_path, p, digest=True)

@@ -24,7 +24,7 @@ def build(entries: Iterable[tuple[bytes, Sequence[int]]]) -> bytes:
     registered already, or are registered themselves.
     """
     items = sorted(entries)
-    arcs: list[dict[int, int]] = [{}]
+    arcs: list[dict[int, int] | None] = [{}]
     final: list[bool] = [False]
     register: dict[tuple, int] = {}
     path: list[tuple[int, int]] = []  # (state, label) down the last word
@@ -36,6 +36,8 @@ def build(entries: Iterable[tuple[bytes, Sequence[int]]]) -> bytes:
             key = (final[child], tuple(arcs[child].items()))
             known = register.setdefault(key, child)
             arcs[state][label] = known
+            if known != child:
+                arcs[child] = None  # an equal state stands for it
 
     last = b""
     for word, _ in items:

@@ -94,7 +94,7 @@ def worker_cache(key: object, build: Callable[[], object]) -> object:
     return held[key]
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Return free memory to the system, where that is possible."""
     import pyarrow as pa
 
@@ -118,11 +118,11 @@ def worker_task(name: str) -> Callable:
             if module.__dict__.get("owner") != name:
                 module.__dict__.get("values", {}).clear()
                 module.__dict__["owner"] = name
-                _give_back()
+                give_back()
             try:
                 yield from task(batches)
             finally:
-                _give_back()
+                give_back()
 
         return run
 
