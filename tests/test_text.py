@@ -20,7 +20,7 @@ CLEANED = {
     "1- 2": "12",
     "it , is": "it, is",
     "Straße ÉTÉ ñandú œuvre": "Strasse ETE nandu oeuvre",
-    "a\x1cb c　d  ": "abc d",
+    "aa\x1cbb cc\u3000dd  ": "aa bb cc dd",
     "50% #tag *x* +y:z": "50 tag x yz",
     "“don’t” `x`": "\"don't\" 'x'",
     None: "",
