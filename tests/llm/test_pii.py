@@ -26,6 +26,7 @@ CASES = [
     ("on 2020-02-29 not 2021-02-29, 12/31/1999 not 31/12/1999; 24.12.2020. 1700-01-01", ["iso_date", "slash_date", "point_date"]),
     ("123-45-6789 666-12-1234 000-11-2222 123-00-1234 900-11-1111", ["ssn"]),
     ("mail a.b34@mail7.example.com, or x@y.io and @nobody", ["email"] * 2),
+    ("-john@x.com %jane@x.co.uk <a-b@c-d.org>", ["email"] * 3),
     ('token = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce"', ["secret"]),
     ("TOKEN B44E15E09FD311C3CF3163B66D5A9875B883D8CE!!", ["secret"]),
     ("plain words 42, 3.5 and 1,000", []),
