@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..plans.tables import ranked
+from ..plans.tables import ensure_checkpoint_dir, ranked
 
 #: Keys of a report's scope.
 SCOPES = {"page": ["file_path", "page_no"], "file": ["file_path"], "corpus": []}
@@ -98,6 +98,8 @@ def percentile(report: DataFrame, percent: int) -> DataFrame:
     equal frequency form one row of a small table on which the running total is
     taken; only the words of the frequency at which it ends are ordered.
     """
+    ensure_checkpoint_dir(report.sparkSession)
+    report = report.checkpoint()  # a row for each word; it is read four times
     total = report.agg(F.sum("freq")).first()[0] or 0
     bound = math.ceil(percent / 100 * total)
     groups = report.groupBy("freq").agg(F.sum("freq").alias("sum"))

@@ -72,7 +72,7 @@ def corrected_tokens(rows: DataFrame, key: str, dictionary: DataFrame, column: s
     ``kind`` is punctuation (no letter or digit), other (not all letters) or
     word; only words are looked up. Case is restored.
     """
-    tokens = rows.select(key, F.posexplode(text.words(F.col(column))).alias("pos", "token"))
+    tokens = rows.select(key, F.posexplode_outer(text.words(F.col(column))).alias("pos", "token")).where("token is not null")
     kind = F.when(~F.col("token").rlike("[A-Za-z0-9]"), "punctuation").when(~F.col("token").rlike("^[A-Za-z]+$"), "other").otherwise("word")
     tokens = tokens.withColumn("kind", kind).withColumn("word", F.when(F.col("kind") == "word", F.lower("token")))
     found = suggestions(tokens.where("word is not null"), dictionary, edits)
@@ -97,7 +97,7 @@ def autocorrected(rows: DataFrame, key: str, dictionary: DataFrame, remove: bool
 
 def known_only(rows: DataFrame, key: str, dictionary: DataFrame, column: str = "text") -> DataFrame:
     """(key, text) of the words that the dictionary knows, and punctuation."""
-    tokens = rows.select(key, F.posexplode(text.words(F.col(column))).alias("pos", "token"))
+    tokens = rows.select(key, F.posexplode_outer(text.words(F.col(column))).alias("pos", "token")).where("token is not null")
     known = tokens.join(dictionary.select("word"), F.lower("token") == F.col("word"), "left_semi")
     marks = tokens.where(~F.col("token").rlike("[A-Za-z0-9]"))
     return _joined(known.unionByName(marks), rows, key, "token")

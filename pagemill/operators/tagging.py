@@ -78,7 +78,7 @@ def lemmatized(rows: DataFrame, key: str, dictionary: DataFrame, column: str = "
 
     Lemmas are found for distinct words; tokens get them by a join.
     """
-    tokens = rows.select(key, F.posexplode(text.words(F.col(column))).alias("pos", "token"))
+    tokens = rows.select(key, F.posexplode_outer(text.words(F.col(column))).alias("pos", "token")).where("token is not null")
     tokens = tokens.withColumn("class", word_class(tag(F.col("token")))).withColumn("word", F.lower("token"))
     done = tokens.join(lemmas(tokens, dictionary), ["word", "class"])
     made = done.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "lemma"))), lambda x: x["lemma"]), " ").alias("lemmas"))
