@@ -108,8 +108,8 @@ def words(c: Column) -> Column:
     x = F.regexp_replace(x, r"(?i)(n't)\b", " $1")
     x = F.regexp_replace(x, r"(?i)('s|'m|'d|'ll|'re|'ve)\b", " $1")
     bare = lambda t: F.btrim(t, F.lit(PUNCTUATION))
-    kept = F.filter(F.split(x, r"\s+"), lambda t: bare(t) != "")
-    return F.transform(kept, lambda t: F.when(t.startswith("'"), t).otherwise(bare(t)))
+    edged = F.transform(F.split(x, r"\s+"), lambda t: F.when(t.startswith("'") & (bare(t) != ""), t).otherwise(bare(t)))
+    return F.filter(edged, lambda t: t != "")
 
 
 def counted(tokens: Column) -> Column:
