@@ -4,16 +4,20 @@ A multinomial logistic regression over word n-grams is trained on the driver
 from the templates below, their parts, and plain sentences that only mention
 such words; that takes a second and depends on no data. Its weights are a table
 of bounded size, one row for each n-gram. Documents are cut into paragraphs at
-line feeds; a paragraph with a cue word is split into n-grams, joined with the
-weights, and gets a family, or ``unknown`` where the calibrated probability is
-below a limit; n-grams that training has not seen count nothing, so a licence
-sentence is found in a long paragraph too. A comparison with the templates of that family confirms it.
+line feeds; every paragraph is split into n-grams, joined with the weights, and
+gets a family, or ``unknown`` where the calibrated probability is below a limit;
+n-grams that training has not seen count nothing, so a licence sentence is found
+in a long paragraph too. A comparison with the templates of that family confirms
+it. No gate stands before the classifier; a paragraph that it names no family for
+gets a row only where it has a cue word.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -41,6 +45,8 @@ TEMPLATES: dict[str, list[str]] = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version.",
         "You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "Released under the GNU GPL.",
+        "Released under GPLv3.",
     ],
     "lgpl": [
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
@@ -84,6 +90,11 @@ TEMPLATES: dict[str, list[str]] = {
         "This is free and unencumbered software released into the public domain under the Unlicense.",
         "licensed under https://creativecommons.org/publicdomain/zero/1.0/",
     ],
+    "all-rights-reserved": [
+        "All rights reserved.",
+        "Copyright by the author. All rights reserved.",
+        "All rights reserved. No part of this publication may be reproduced without the prior written permission of the publisher.",
+    ],
 }
 
 #: Sentences with cue words that grant nothing.
@@ -91,7 +102,7 @@ OTHERS = [
     "He renewed the license of his car at the town office.", "A driving license is required for the job.",
     "The board revoked her license to practise medicine.", "The copyright debate went on for years in the press.",
     "They left without permission and came back late.", "The warranty of the machine ended last year.",
-    "All rights reserved. Copyright by the author.", "The fishing license costs five pounds a year.",
+    "The fishing license costs five pounds a year.",
     "The committee granted permission to build the bridge.", "Copyright law differs from country to country.",
     "The tax was meant to redistribute wealth among the regions.", "Poetic license is allowed in such a song.",
     "The house was sold with a warranty deed.", "No permission was asked of the owner of the land.",
@@ -100,8 +111,19 @@ OTHERS = [
     "Commercial license terms are available on request from the vendor.", "Licensed under a private agreement between the parties.",
 ]
 
-#: A paragraph without any of these is not examined.
-CUES = ["licen", "copyright", "permission", "warrant", "redistribut", "public domain", "publicdomain", "creative commons", "creativecommons", "gnu "]
+#: Plain sentences, so that common words of each language name no family.
+PLAIN = [
+    "There is a house by the river, and with it goes all of the land that can be seen from here.", "This is the work of a man who had either no time or no wish to do more.", "You may not see it at first, but the list is in the book for any one to use.",
+    "She was released from the hospital and is now at home with her family.", "The source of the river is under the hill; the following day they went on.", "We have a copy of the letter, which was sent to all of them in 2004.",
+    "It was written by the same person and is subject to change as or when it has to be.", "If you are not there, no part of the work will be done.", "The public library is open for general use and free to all.", "He reserved a table for four, and she made a note of the rights and wrongs of the case.",
+    "and the of to in that with by for as on at or from", "the by and with or in to of", "with by that", "of by in and", "that or with", "all of the", "be by or as",
+    "Er kam mit dem Zug und ging mit ihr in die Stadt.", "Mit der Zeit ist das von den Leuten vergessen worden.", "Wir sind mit allem zu Ende, und die Arbeit ist in der Hand von anderen.", "mit der und die das von zu ein in den", "mit", "und mit", "von der mit", "mit ein",
+    "Elle est dans la maison de la rue et que les gens ne le voient pas.", "le la les de des et un une en que par pas aux", "a de la", "Il a un livre par auteur.", "El hombre que vive en la casa de la esquina no es de aqui y se va con los otros.", "el la los de y en que un por con se no es", "no es de", "a la",
+]
+
+#: A paragraph with any of these gets a row even where no family is
+#: named; they keep no paragraph from the classifier.
+CUES = ["licen", "copyright", "permission", "warrant", "redistribut", "public domain", "publicdomain", "creative commons", "creativecommons", "gnu ", "gnu/", "gpl", "rights reserved", "cc by", "cc-by", "spdx", "apache", "bsd"]
 
 WORD = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
 
@@ -129,7 +151,7 @@ def examples() -> tuple[list[str], list[int], list[str]]:
     words that are long enough to tell it.
     """
     names = ["unknown", *TEMPLATES]
-    texts, classes = list(OTHERS), [0] * len(OTHERS)
+    texts, classes = [*OTHERS, *PLAIN], [0] * (len(OTHERS) + len(PLAIN))
     for c, (_, templates) in enumerate(TEMPLATES.items(), 1):
         for t in templates:
             w = t.split()
@@ -180,14 +202,14 @@ def train(p: Scan = Scan()) -> dict:
 
 
 def scanned(documents: DataFrame, p: Scan = Scan()) -> DataFrame:
-    """One row for each paragraph with a cue word.
+    """One row for each paragraph that a family is named for or that has a cue word.
 
     (doc_id, paragraph, family, probability, similarity, confirmed): the number
     of the paragraph from 0, the family or ``unknown``, its calibrated
     probability, the best overlap with a template of the family, in shared
     pairs of words over the fewer of the two, and whether that confirms it.
-    Null and empty texts have no paragraph with a cue. Rows that repeat are
-    scanned each for itself.
+    Null and empty texts have no such paragraph. Rows that repeat are scanned
+    each for itself.
     """
     spark = documents.sparkSession
     model = train(p)
@@ -198,22 +220,20 @@ def scanned(documents: DataFrame, p: Scan = Scan()) -> DataFrame:
             two = sorted(g for g in n_grams(t, 2) if " " in g)
             pairs += [{"gram": g, "t": f"{family}/{k}", "f": family, "size": len(two)} for g in two]
     templates = store.lines_table(spark, pairs, "gram string, t string, f string, size int", "templates")
-    cue = "|".join(re.escape(c) if c.strip() != c else c for c in CUES)
-    own = documents.select("doc_id", "text").where(F.col("text").rlike(f"(?i){cue}")).withColumn("row", F.monotonically_increasing_id())
-    lines = own.select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
-    lines = lines.where(F.col("line").rlike(f"(?i){cue}"))
-    words = F.expr(f"regexp_extract_all(lower(line), '{WORD}', 0)")
-    lines = lines.select("row", "doc_id", "paragraph", words.alias("words"))
+    own = documents.select("doc_id", "text").where(F.col("text").isNotNull()).withColumn("row", F.monotonically_increasing_id())
+    lines = own.select("row", "doc_id", F.posexplode(F.split(F.lower("text"), "\n")).alias("paragraph", "line"))
+    lines = lines.select("row", "doc_id", "paragraph", reduce(or_, [F.col("line").contains(c) for c in CUES]).alias("cue"), F.expr(f"regexp_extract_all(line, '{WORD}', 0)").alias("words"))
     # get() takes one element; slice() would copy the whole array for each word
-    tails = lambda k: "".join(f", ' ', get(words, i + {j})" for j in range(1, k))
-    parts = [F.col("words")] + [F.array_compact(F.expr(f"transform(words, (w, i) -> concat(w{tails(k)}))")) for k in range(2, p.orders + 1)]
-    made = F.array_distinct(F.flatten(F.array(*parts)))
-    lines = lines.withColumn("grams", made)
-    n_pairs = F.size(F.filter("grams", lambda g: (F.length(g) - F.length(F.replace(g, F.lit(" "), F.lit("")))) == 1))
-    key = ["row", "doc_id", "paragraph", "n_pairs"]
+    tails = lambda c, k: "".join(f", ' ', get({c}, i + {j})" for j in range(1, k))
+    several = lambda c, k: F.array_compact(F.expr(f"transform({c}, (w, i) -> concat(w{tails(c, k)}))"))
+    # words that no n-gram of the model has become null, and with them what they are part of
+    ours = sorted({w for g in model["grams"] for w in g.split()})
+    known = lines.select("row", "doc_id", "paragraph", "cue", F.transform("words", lambda w: F.when(w.isin(ours), w)).alias("ours"))
+    made = F.array_distinct(F.flatten(F.array(F.array_compact("ours"), *(several("ours", k) for k in range(2, p.orders + 1)))))
+    key = ["row", "doc_id", "paragraph", "cue"]
     # the outer form: for the inner one Spark infers a filter that would make the
     # n-grams a second time, and the words anew for each of them
-    each = lines.withColumn("n_pairs", n_pairs).select(*key, F.explode_outer("grams").alias("gram"))
+    each = known.select(*key, F.explode_outer(made).alias("gram")).where("cue or gram is not null")
     names = model["names"]
     scored = each.join(F.broadcast(weights), "gram", "left").groupBy(*key).agg(F.count("w").alias("known"), *(F.sum(F.coalesce(F.col("w")[k], F.lit(0.0))).alias(f"s{k}") for k in range(len(names))))
     z = [F.lit(model["scale"]) * (F.col(f"s{k}") / F.sqrt(F.greatest("known", F.lit(1))) + F.lit(float(model["bias"][k]))) for k in range(len(names))]
@@ -221,8 +241,11 @@ def scanned(documents: DataFrame, p: Scan = Scan()) -> DataFrame:
     total = F.aggregate("z", F.lit(0.0), lambda s, v: s + F.exp(v - F.col("top")))
     scored = scored.withColumn("p", 1 / total).withColumn("c", F.expr("array_position(z, top)").cast("int"))
     named = F.when((F.col("c") == 1) | (F.col("p") < p.unknown), F.lit("unknown")).otherwise(F.element_at(F.array(*map(F.lit, names)), F.col("c")))
-    scored = scored.select("row", "doc_id", "paragraph", named.alias("family"), F.col("p").alias("probability"))
-    shared = each.join(F.broadcast(templates), "gram").groupBy("row", "paragraph", "n_pairs", "t", "f", "size").agg(F.count(F.lit(1)).alias("both"))
+    scored = scored.select("row", "doc_id", "paragraph", "cue", named.alias("family"), F.col("p").alias("probability"))
+    scored = scored.where("cue or family <> 'unknown'")
+    two = lines.select("row", "paragraph", F.array_distinct(several("words", 2)).alias("two"))
+    two = two.select("row", "paragraph", F.size("two").alias("n_pairs"), F.explode_outer("two").alias("gram"))
+    shared = two.join(F.broadcast(templates), "gram").groupBy("row", "paragraph", "n_pairs", "t", "f", "size").agg(F.count(F.lit(1)).alias("both"))
     like = shared.groupBy("row", "paragraph", "f").agg(F.max(F.col("both") / F.least("size", "n_pairs")).alias("like"))
     like = like.select(F.col("row").alias("r"), F.col("paragraph").alias("q"), "f", "like")
     out = scored.join(like, (F.col("row") == F.col("r")) & (F.col("paragraph") == F.col("q")) & (F.col("family") == F.col("f")), "left")

@@ -65,3 +65,12 @@ def test_native_and_empty(spark):
     plan = licenses.scanned(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert licenses.scanned(df.limit(0)).count() == 0
+
+
+def test_no_gate_before_the_classifier(spark):
+    lines = ["All rights reserved.", "Available under CC BY-SA 4.0.", "Released under GPLv3", "GNU/GPL", "Er kam mit dem Zug.", "All of them were there.", "free of charge, to any person obtaining a copy of this software and associated documentation files"]
+    rows = licenses.scanned(spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")).collect()
+    assert {r.paragraph: r.family for r in rows if r.paragraph < 6} == {0: "all-rights-reserved", 1: "cc-by-sa", 2: "gpl", 3: "gpl"}
+    # named though it has no cue
+    assert not any(c in lines[6].lower() for c in licenses.CUES)
+    assert [r.family for r in rows if r.paragraph == 6] == ["mit"]
