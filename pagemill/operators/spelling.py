@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import process, text
+from ..plans.tables import ensure_checkpoint_dir
 
 
 def _deletes(word: Column) -> Column:
@@ -27,24 +28,28 @@ def _transposes(name: str) -> str:
 
 
 def _index(words: DataFrame, edits: int) -> DataFrame:
-    out = words.select("word", F.explode(_deletes(F.col("word"))).alias("key"))
-    for _ in range(edits - 1):
-        out = out.select("word", F.explode(_deletes(F.col("key"))).alias("key"))
-    return out.distinct()
+    keys = F.array(F.col("word"))
+    for _ in range(edits):
+        keys = F.array_distinct(F.flatten(F.transform(keys, _deletes)))
+    return words.select("word", F.explode(keys).alias("key"))
 
 
 def _near(unknown: DataFrame, dictionary: DataFrame, edits: int) -> DataFrame:
-    """(word, cand, freq): dictionary words within the edits of each word."""
-    left = _index(unknown.select("word"), edits)
-    right = _index(dictionary.select("word"), edits).withColumnRenamed("word", "cand")
-    pairs = left.join(right, "key").where(F.abs(F.length("word") - F.length("cand")) <= edits).select("word", "cand").distinct()
-    t = _transposes("word")
-    if edits == 1:
-        ok = F.expr(f"levenshtein(word, cand) <= 1 or array_contains({t}, cand)")
-    else:
-        u = _transposes("cand")
-        ok = F.expr(f"levenshtein(word, cand) <= 2 or exists({t}, x -> levenshtein(x, cand) <= 1) or exists({u}, x -> levenshtein(word, x) <= 1) or arrays_overlap({t}, {u})")
-    return pairs.where(ok).join(dictionary.select(F.col("word").alias("cand"), "freq"), "cand")
+    """(word, cand, freq, edits): dictionary words within the edits of each word.
+
+    Words too long for any dictionary word are left out before the index, whose
+    size is a power of the length.
+    """
+    longest = dictionary.agg(F.max(F.length("word")).alias("longest"))
+    short = unknown.crossJoin(F.broadcast(longest)).where(F.length("word") <= F.col("longest") + edits)
+    right = _index(dictionary.select("word").distinct(), edits).withColumnRenamed("word", "cand")
+    pairs = _index(short.select("word"), edits).join(right, "key").where(F.abs(F.length("word") - F.length("cand")) <= edits).select("word", "cand").distinct()
+    pairs = pairs.withColumn("lev", F.levenshtein("word", "cand"))
+    t, u = _transposes("word"), _transposes("cand")
+    two = f"lev <= 2 or (lev <= 4 and (exists({t}, x -> levenshtein(x, cand) <= 1) or exists({u}, x -> levenshtein(word, x) <= 1) or arrays_overlap({t}, {u})))"
+    found = F.expr(f"case when lev <= 1 or (lev = 2 and array_contains({t}, cand)) then 1 when {edits} > 1 and ({two}) then 2 end")
+    pairs = pairs.withColumn("edits", found).where("edits is not null")
+    return pairs.join(dictionary.select(F.col("word").alias("cand"), "freq"), "cand").select("word", "cand", "freq", "edits")
 
 
 def suggestions(words: DataFrame, dictionary: DataFrame, edits: int = 2) -> DataFrame:
@@ -54,16 +59,18 @@ def suggestions(words: DataFrame, dictionary: DataFrame, edits: int = 2) -> Data
     else those at two; the confidence is the share in the candidates'
     frequencies and the largest (confidence, word) wins. Else (word, 0.0).
     """
-    distinct = words.select("word").distinct()
-    sure = distinct.where(F.length("word") == 1).unionByName(distinct.where(F.length("word") > 1).join(dictionary.select("word"), "word", "left_semi"))
-    out = sure.distinct().select("word", F.col("word").alias("correction"), F.lit(1.0).alias("confidence"))
+    ensure_checkpoint_dir(words.sparkSession)
+    distinct = words.select("word").distinct().checkpoint()  # read twice; the dictionary is read four times
+    dictionary = dictionary.select("word", "freq").checkpoint()
     left = distinct.where(F.length("word") > 1).join(dictionary.select("word"), "word", "left_anti")
-    for k in range(1, edits + 1):
-        best = _near(left, dictionary, k).groupBy("word").agg(F.sum("freq").alias("total"), F.max(F.struct("freq", "cand")).alias("top"))
-        best = best.select("word", F.col("top.cand").alias("correction"), (F.col("top.freq") / F.col("total")).alias("confidence"))
-        out = out.unionByName(best)
-        left = left.join(best.select("word"), "word", "left_anti")
-    return out.unionByName(left.select("word", F.col("word").alias("correction"), F.lit(0.0).alias("confidence")))
+    # structs compare by their first field first: the fewest edits win
+    best = _near(left, dictionary, edits).groupBy("word", "edits").agg(F.sum("freq").alias("total"), F.max(F.struct("freq", "cand")).alias("top"))
+    best = best.groupBy("word").agg(F.min(F.struct("edits", "total", "top")).alias("b"))
+    best = best.select("word", F.col("b.top.cand").alias("cand"), (F.col("b.top.freq") / F.col("b.total")).alias("share"))
+    known = dictionary.select("word", F.lit(True).alias("known")).distinct()
+    out = distinct.join(known, "word", "left").join(best, "word", "left")
+    sure = (F.length("word") == 1) | F.col("known")
+    return out.select("word", F.coalesce("cand", "word").alias("correction"), F.when(sure, 1.0).otherwise(F.coalesce("share", F.lit(0.0))).alias("confidence"))
 
 
 def corrected_tokens(rows: DataFrame, key: str, dictionary: DataFrame, column: str = "text", edits: int = 2) -> DataFrame:

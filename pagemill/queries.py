@@ -145,6 +145,10 @@ QUERIES: dict[str, Query] = {
     "remove_unknown": lambda s, d: spelling.known_only(_clean(s, d), "doc_id", _spell_dictionary(s, d)),
     "corrections": lambda s, d: spelling.correction_log(_bench_rows(s, d), "item_id", _spell_dictionary(s, d)).withColumn("confidence", F.round("confidence", 6)),
     "spelling_suggest": lambda s, d: spelling.suggestions(dic.train(_read(s, d, "benchmark")), _spell_dictionary(s, d)).withColumn("confidence", F.round("confidence", 6)),
+    "autocorrect_documents": lambda s, d: spelling.autocorrected(_clean(s, d), "doc_id", _spell_dictionary(s, d)),
+    "autocorrect_remove_documents": lambda s, d: spelling.autocorrected(_clean(s, d), "doc_id", _spell_dictionary(s, d), remove=True),
+    "corrections_documents": lambda s, d: spelling.correction_log(_clean(s, d), "doc_id", _spell_dictionary(s, d)).withColumn("confidence", F.round("confidence", 6)),
+    "spelling_suggest_documents": lambda s, d: spelling.suggestions(dic.train(_read(s, d, "documents")), _spell_dictionary(s, d)).withColumn("confidence", F.round("confidence", 6)),
     "lemmatize": lambda s, d: tagging.lemmatized(_clean(s, d), "doc_id", _trained(s, d)),
     "dict_train": lambda s, d: dic.train(_read(s, d, "documents")),
     "dict_merge": lambda s, d: dic.merge(_trained(s, d), _trained(s, d, "de")),

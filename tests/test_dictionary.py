@@ -81,6 +81,25 @@ def test_correction_modes(spark):
     assert [(r.word, r.attempted, r.correction) for r in log] == [("TSET", True, "TEST"), ("Tset", True, "Test"), ("zqzqzq", False, None)]
 
 
+def test_documents_are_corrected_like_brute_force(spark, tmp_path):
+    from pagemill.queries import FREQ_CUT, QUERIES
+
+    words = ["river", "house", "table", "garden"]
+    texts = [" ".join(words * (FREQ_CUT + 1)), "teh rievr Huose x zzzzzz " + "q" * 3000 + " gardn tabel 12", None, "A HOUES"]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    d = {w: FREQ_CUT + 1 for w in words}
+    run = lambda n: QUERIES[n](spark, str(tmp_path)).collect()
+    low = {w for t in texts if t for w in "".join(c if c.isalpha() else " " for c in t.lower()).split()}
+    expected = {w: (c, round(p, 6)) for w in low for c, p in [suggest(w, d) if len(w) < 20 else (w, 0.0)]}
+    assert {r.word: (r.correction, r.confidence) for r in run("spelling_suggest_documents")} == expected
+    long = "q" * 3000
+    assert {r.doc_id: r.text for r in run("autocorrect_documents")} == {0: texts[0], 1: f"teh river House x zzzzzz {long} garden table 12", 2: "", 3: "A HOUSE"}
+    assert {r.doc_id: r.text for r in run("autocorrect_remove_documents")}[1] == "river House x garden table"
+    log = [(r.word, r.correction) for r in run("corrections_documents") if r.doc_id == 1 and r.attempted]
+    assert sorted(log) == [("Huose", "House"), ("gardn", "garden"), ("rievr", "river"), ("tabel", "table"), ("x", "x")]
+
+
 def test_tags_and_lemmas(spark):
     rows = spark.createDataFrame([(w,) for w in ("The", "running", "quickly", "boxes", "12", "Rome", "cat", "happiest")], "w string")
     assert [r.t for r in rows.select(tagging.tag(F.col("w")).alias("t")).collect()] == ["DT", "VBG", "RB", "NNS", "CD", "NNP", "NN", "JJS"]
