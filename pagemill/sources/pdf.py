@@ -234,12 +234,14 @@ def pages(binary: DataFrame, mode: str = "default", reader: Reader = read_pages,
                     began, method, skipped = time.time(), "text", False
                     if mode == "thorough" or not found:
                         method, skipped = "ocr", mode == "accelerated"
-                        found = ""
+                        embedded, found = found, ""
                         if ocr and not skipped:
                             try:
                                 found = ocr(raw, k) or ""
                             except Exception:  # an engine's failure is an empty page
                                 found = ""
+                        if embedded and not found.strip():  # nothing recognised: what the file holds is kept
+                            method, found = "text", embedded
                     rows.append((path, k, method, skipped, found, time.time() - began))
                 if rows:
                     kinds = [pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.string(), pa.float64()]

@@ -95,3 +95,12 @@ def test_stream(spark, folder, tmp_path):
     query = counts.writeStream.outputMode("complete").format("memory").queryName("stream_words").option("checkpointLocation", str(tmp_path)).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert {r.word: r.freq for r in spark.table("stream_words").collect()}["page"] == 2
+
+
+def test_thorough_keeps_text_where_ocr_gives_nothing(spark, folder):
+    def rows(**options):
+        return {(r.file_name, r.page_no): (r.method, r.raw_text) for r in pdf.read(spark, str(folder), mode="thorough", **options).collect()}
+
+    for options in ({}, {"ocr": pdf.tesseract()}, {"ocr": lambda raw, n: " \n"}):
+        assert rows(**options)[("b10.pdf", 1)] == ("text", "Page (one) here.")
+        assert rows(**options)[("b10.pdf", 2)][0] == "ocr"
