@@ -10,12 +10,12 @@ between classes without ever comparing all pairs of a group:
    sets with too many shingles of their own are out, exactly.
 2. Answers from similar sets. Sets are grouped by their least shingle under
    some permutations; each is compared with the leader of its group and, where
-   they link, takes over the leader's component instead of a search of its own.
-   Large groups are split and their leaders meet in a next level.
+   they link, takes over the leader's component; it still goes through what
+   follows, where links inside a component are not searched for. Large groups are split and their leaders meet in a next level.
 3. A second sieve asks for shingles in sets of another component. What passes
    goes into an index of the rarest shingles of each set (prefix filter), whose
-   lists are skipped by component, by size and by position: an entry joins only
-   those from which, by what is left behind both positions, the needed overlap
+   lists are joined by token with conditions on component, size and position (no
+   blocks are skipped): a pair stays only where, by what is left behind both positions, the needed overlap
    can still be reached. Before that, for some rounds, a few pairs of each two
    components that meet in a list are compared; where one links, the others are
    answered. All pairs that remain are compared exactly.
