@@ -3,8 +3,12 @@
 All texts of a slice are handled together by numpy, without a Python step for
 each word. A word is a run of bytes other than space and U+0009 to U+000D; in
 UTF-8 that is the pattern ``[^\\x20\\x09-\\x0D]+``. Hashes are the same on every
-machine. The hash of a run of bytes is a polynomial over random 64-bit values
-of the bytes, modulo 2**64, with a final mix.
+machine. A run of bytes is hashed by tabulation: every byte and place in a piece
+of 32 bytes has a random 64-bit value, these are added, and the mixed sums of
+the pieces are added again. Unlike a polynomial, whose terms are powers of one
+base, that has no texts of regular shape which collide for every table. Two
+different runs have one hash with a chance of about 2**-64; where an answer
+rests on equal runs within a text, :func:`same_runs` compares their bytes.
 """
 
 from __future__ import annotations
@@ -37,20 +41,55 @@ def constants(seed: int, n: int) -> np.ndarray:
         return mix(np.arange(1, n + 1, dtype=np.uint64) * _BASE + np.uint64(seed)) | np.uint64(1)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, for ``n`` places at least."""
-    size = 1 << max(16, int(n).bit_length())
+_PIECE = 32
 
-    def build() -> tuple[np.ndarray, np.ndarray]:
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        both = []
-        for x in (_BASE, inverse):
-            p = np.full(size, x, np.uint64)
-            p[0] = 1
-            both.append(np.cumprod(p))
-        return tuple(both)
 
-    return worker_cache(("powers", size), build)
+def _table(lower: bool) -> np.ndarray:
+    """A value for each place in a piece and byte; ``lower`` folds A-Z."""
+
+    def build() -> np.ndarray:
+        table = constants(7, _PIECE * 256).reshape(_PIECE, 256)
+        if lower:
+            table = table.copy()
+            table[:, 65:91] = table[:, 97:123]
+        return np.ascontiguousarray(table).reshape(-1)
+
+    return worker_cache(("bytes", lower), build)
+
+
+def run_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
+    """Hashes of runs of bytes, none of them empty."""
+    if not len(start):
+        return np.empty(0, np.uint64)
+    size = end - start
+    pieces = (size + (_PIECE - 1)) // _PIECE
+    last = np.cumsum(pieces)
+    number = np.arange(last[-1]) - np.repeat(last - pieces, pieces)
+    at = np.repeat(start, pieces) + _PIECE * number
+    held = np.minimum(np.repeat(end, pieces) - at, _PIECE)
+    stop = np.cumsum(held)
+    place = np.arange(stop[-1]) - np.repeat(stop - held, held)
+    byte = data[place + np.repeat(at, held)]
+    place <<= 8
+    place |= byte
+    h = np.add.reduceat(_table(lower)[place], stop - held)
+    h = mix(h + number.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+    h = np.add.reduceat(h, last - pieces)
+    return mix(h + size.astype(np.uint64) * _BASE)
+
+
+def same_runs(data: np.ndarray, start: np.ndarray, end: np.ndarray, start2: np.ndarray, end2: np.ndarray) -> np.ndarray:
+    """For pairs of runs whether they have the same bytes."""
+    size = end - start
+    same = size == end2 - start2
+    at = np.flatnonzero(same & (size > 0) & (start != start2))
+    n = size[at]
+    if len(at):
+        stop = np.cumsum(n)
+        place = np.arange(stop[-1]) - np.repeat(stop - n, n)
+        differ = data[place + np.repeat(start[at], n)] != data[place + np.repeat(start2[at], n)]
+        same[at] = ~np.logical_or.reduceat(differ, stop - n)
+    return same
 
 
 @dataclass
@@ -96,31 +135,13 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
         i = j
 
 
-class Hasher:
-    """Prefix sums over a slice, from which any run of bytes gets its hash."""
-
-    def __init__(self, texts: Texts, lower: bool = False):
-        table = constants(7, 256)
-        if lower:
-            table = table.copy()
-            table[65:91] = table[97:123]
-        n = len(texts.data)
-        up, self.down = _powers(n + 1)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(table[texts.data] * up[:n], out=self.sums[1:])
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = (self.sums[end] - self.sums[start]) * self.down[start]
-        return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
-
-
 def white(data: np.ndarray) -> np.ndarray:
     table = np.zeros(256, bool)
     table[[32, *range(9, 14)]] = True
     return table[data]
 
 
-def words(texts: Texts, lower: bool = False, hasher: Hasher | None = None) -> Words:
+def words(texts: Texts, lower: bool = False) -> Words:
     """All words of the slice; ``lower`` folds A-Z before hashing."""
     ink = ~white(texts.data)
     n = len(ink)
@@ -137,7 +158,7 @@ def words(texts: Texts, lower: bool = False, hasher: Hasher | None = None) -> Wo
     ends[stop] = ink[stop]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     doc = np.searchsorted(texts.at, start, "right") - 1
-    return Words(doc, start, end, (hasher or Hasher(texts, lower)).of(start, end))
+    return Words(doc, start, end, run_hashes(texts.data, start, end, lower))
 
 
 def windows(w: Words, k: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -146,9 +167,9 @@ def windows(w: Words, k: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     if n <= 0:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     c = constants(seed * 1000 + k, k)
-    h = w.hash[:n] * c[0]
+    h = mix(w.hash[:n] + c[0])
     for i in range(1, k):
-        h += w.hash[i : i + n] * c[i]
+        h += mix(w.hash[i : i + n] + c[i])
     at = np.flatnonzero(w.doc[:n] == w.doc[k - 1 :])
     return at, mix(h[at])
 
@@ -186,7 +207,7 @@ def shingles(texts: Texts, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
         for d, i in zip(short, first, strict=True):
             m = int(n[d])
             c = constants(1000 + k + 50 * m, m)
-            extra.append((w.hash[i : i + m] * c).sum(dtype=np.uint64))
+            extra.append(mix(w.hash[i : i + m] + c).sum(dtype=np.uint64))
         doc = np.concatenate([doc, short])
         h = np.concatenate([h, mix(np.array(extra, np.uint64))])
     return doc, h

@@ -12,22 +12,26 @@ from .store import worker_task
 
 
 def sample(documents: DataFrame, labels: DataFrame, label: str, most: int, where=None) -> DataFrame:
-    """At most ``most`` labelled documents as (text, label), the same each time.
-
-    Ids are picked by hash from ``labels``, so the bound holds before any text
-    is read. Null ids and labels are left out; a repeated id counts once, with
-    its largest label. The picked ids, of which there are ``most`` at most, are
-    broadcast.
+    """At most ``most`` labelled documents as (doc_id, text, label), the same each time.
+
+    Of the labelled ids that ``documents`` has, those with the least hashes are
+    picked before any text is read: the fit gets min(most, labelled documents)
+    rows, however many labels belong to absent ones. Null ids and labels are
+    left out. An id counts once: with its largest label, and with the largest
+    of its texts where documents repeat it. The picked ids, of which there are
+    ``most`` at most, are broadcast.
     """
     ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
     if where is not None:
         ids = ids.where(where)
-    ids = ids.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("__label"))
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    ids = ids.select(F.col("doc_id").alias("__id"), "__label")
+    ids = ids.groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.col(label).cast("int")).alias("__label"))
+    present = documents.select(F.col("doc_id").alias("__doc"))
+    ids = ids.join(present, F.col("__id") == F.col("__doc"), "left_semi")
+    ids = ids.orderBy(F.xxhash64("__id"), "__id").limit(most)
     texts = documents.select(F.col("doc_id").alias("__doc"), F.coalesce("text", F.lit("")).alias("__text"))
     found = texts.join(F.broadcast(ids), F.col("__doc") == F.col("__id"))
-    return found.select(F.col("__doc").alias("doc_id"), F.col("__text").alias("text"), F.col("__label").alias("label"))
+    once = found.groupBy(F.col("__doc").alias("doc_id")).agg(F.max("__text").alias("text"), F.max("__label").alias("label"))
+    return once
 
 
 def fitted(rows: DataFrame, fit: Callable[[pa.Table], bytes]) -> bytes | None:

@@ -126,8 +126,7 @@ def linear_scores(texts: grams.Texts, weights: np.ndarray, bits: int, chars: tup
 def base_features(texts: grams.Texts, window: int = 8) -> dict[str, np.ndarray]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of each text."""
     n, data, at = texts.n, texts.data, texts.at
-    hasher = grams.Hasher(texts)
-    w = grams.words(texts, hasher=hasher)
+    w = grams.words(texts)
     ink = ~grams.white(data)
     symbol = np.zeros(256, bool)
     symbol[list(b"#*$%&|<>")] = True
@@ -146,12 +145,23 @@ def base_features(texts: grams.Texts, window: int = 8) -> dict[str, np.ndarray]:
     full = sums[end] > sums[start]
     start, end = start[full], end[full]
     doc = np.searchsorted(at, start, "right") - 1
-    key = grams.salted(hasher.of(start, end), doc)
-    _, first = np.unique(key, return_index=True)
-    out["n_dup_lines"] = grams.counts(doc, n) - grams.counts(doc[first], n)
+    first = _earliest(grams.salted(grams.run_hashes(data, start, end), doc))
+    dup = first != np.arange(len(first))
+    if not grams.same_runs(data, start[dup], end[dup], start[first[dup]], end[first[dup]]).all():
+        dup = _dup_exact([(int(d), data[i:j].tobytes()) for d, i, j in zip(doc, start, end, strict=True)])
+    out["n_dup_lines"] = grams.counts(doc[dup], n)
     place, h = grams.windows(w, window)
-    _, which, often = np.unique(grams.salted(h, w.doc[place]), return_inverse=True, return_counts=True)
-    again = place[often[which] > 1]
+    first = _earliest(grams.salted(h, w.doc[place]))
+    dup = first != np.arange(len(first))
+    a, b = place[dup], place[first[dup]]
+    if not all(grams.same_runs(data, w.start[a + k], w.end[a + k], w.start[b + k], w.end[b + k]).all() for k in range(window)):
+        held = [data[i:j].tobytes() for i, j in zip(w.start, w.end, strict=True)]
+        keys = [(int(w.doc[p]), *held[p : p + window]) for p in place]
+        dup = _dup_exact(keys)
+        seen = {keys[k] for k in np.flatnonzero(dup)}
+        again = place[np.array([x in seen for x in keys])]
+    else:
+        again = place[np.union1d(np.flatnonzero(dup), first[dup])]
     cover = np.zeros(len(w.doc) + 1, np.int64)
     np.add.at(cover, again, 1)
     np.add.at(cover, again + window, -1)
@@ -159,6 +169,22 @@ def base_features(texts: grams.Texts, window: int = 8) -> dict[str, np.ndarray]:
     return out
 
 
+def _earliest(keys: np.ndarray) -> np.ndarray:
+    """For each key the place of the first that equals it."""
+    _, first, which = np.unique(keys, return_index=True, return_inverse=True)
+    return first[which]
+
+
+def _dup_exact(keys: list[tuple]) -> np.ndarray:
+    """Which keys equal an earlier one; where two different runs have one hash."""
+    seen: set[tuple] = set()
+    out = np.zeros(len(keys), bool)
+    for i, k in enumerate(keys):
+        out[i] = k in seen
+        seen.add(k)
+    return out
+
+
 def score(documents: DataFrame, labels: DataFrame, rules: Rules = Rules(), text: str = "text") -> DataFrame:
     """Add the base features, ``base_failed``, ``quality`` and ``kept``.
 

@@ -6,6 +6,12 @@ may hold one within the threshold of it, and of two cells only the one of lower
 number is visited, so that every pair meets once. Cells are joined apart, in
 blocks of bounded size; a block sends out counts and a spanning forest of its
 links, never the pairs themselves.
+
+Pairs are screened by a matrix product of unit vectors. Its rounding error is
+below ``slack``; pairs that are nearer to the threshold than that are decided
+by :func:`cosine`, from the vectors as they are: the correctly rounded sums of
+a*b, a*a and b*b, and the double dot / sqrt(aa * bb). A pair whose cosine is the
+threshold links.
 """
 
 from __future__ import annotations
@@ -27,14 +33,28 @@ from .store import worker_task
 class Range:
     """Links have cosine >= ``threshold``, which is above 0.
 
-    A pivot stands for ``cell`` vectors, ``most_pivots`` bounds what is
-    broadcast, ``block`` the vectors of a cell that one task holds.
+    ``block_bytes`` bounds the vectors of a cell, in double precision, that one
+    task holds; a pivot stands for as many. Vectors that a cell's bounds don't
+    keep out visit each of its blocks, so larger blocks move fewer rows. There
+    are ``least_pivots`` at least, for parallel work, where each has
+    ``least_cell`` vectors. ``most_pivots`` bounds what is broadcast. A length
+    that at most ``alone`` vectors have is joined by one task.
     """
 
     threshold: float = 0.9
-    cell: int = 4096
+    block_bytes: int = 16 << 20
+    least_pivots: int = 8
+    least_cell: int = 512
     most_pivots: int = 1024
-    block: int = 4096
+    alone: int = 4096
+
+    def block(self, dim: int) -> int:
+        """Vectors of length ``dim`` in a block."""
+        return max(2, self.block_bytes // (8 * dim))
+
+    def n_pivots(self, total: int, dim: int) -> int:
+        wanted = max(total // self.block(dim), min(self.least_pivots, total // self.least_cell))
+        return int(max(1, min(self.most_pivots, wanted)))
 
 
 def usable(v: str = "embedding") -> Column:
@@ -49,11 +69,31 @@ def unit(column: pa.Array, dim: int) -> np.ndarray:
 
     Scaling by the largest component first keeps tiny and huge vectors exact.
     """
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    flat = raw(column, dim)
     flat = flat / np.abs(flat).max(1, keepdims=True)
     return flat / np.sqrt((flat * flat).sum(1, keepdims=True))
 
 
+def raw(column: pa.Array, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+
+
+def slack(dim: int) -> float:
+    """More than the error of a product of unit vectors in double precision."""
+    return 1e-12 + 4 * dim * np.finfo(np.float64).eps
+
+
+def cosine(a: np.ndarray, b: np.ndarray) -> float:
+    """dot / sqrt(aa * bb) of two vectors, from correctly rounded sums.
+
+    Powers of two are taken out first, which changes no digit, so that nothing
+    overflows.
+    """
+    a, b = (np.ldexp(x, -int(np.frexp(np.abs(x).max())[1])) for x in (a, b))
+    dot, aa, bb = (math.fsum((x * y).tolist()) for x, y in ((a, b), (a, a), (b, b)))
+    return dot / math.sqrt(aa * bb)
+
+
 def choose_pivots(sample: np.ndarray, most: int, threshold: float) -> np.ndarray:
     """Sampled vectors, without those that link with an earlier one.
 
@@ -75,87 +115,153 @@ def visits(x: np.ndarray, pivots: np.ndarray, reach: np.ndarray, least: np.ndarr
     Let y be in cell j and link with x of cell i. Then y is not nearer to pivot
     i than to pivot j, so x is at most the threshold's angle away from the half
     space of j, and its angle to pivot j is within that angle of the angles
-    that cell j has. The bounds have a slack for rounding.
+    that cell j has. The bounds have a margin for rounding: an angle near 0, got
+    from a cosine, is off by the square root of the cosine's error.
     """
     dots = x @ pivots.T
     home = dots.argmax(1)
     angle = np.arccos(np.clip(dots, -1, 1))
     theta = math.acos(threshold)
     apart = np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 1e-300))
-    slack = 1e-9
-    near = (dots[np.arange(len(x)), home][:, None] - dots) <= apart[home] * math.sin(theta) + slack
-    near &= angle <= reach[None, :] + theta + slack
-    near &= angle >= least[None, :] - theta - slack
+    margin = 4 * math.sqrt(slack(x.shape[1]))
+    near = (dots[np.arange(len(x)), home][:, None] - dots) <= apart[home] * math.sin(theta) + margin
+    near &= angle <= reach[None, :] + theta + margin
+    near &= angle >= least[None, :] - theta - margin
     near &= np.arange(len(pivots))[None, :] < home[:, None]
     return home, near
 
 
 class Forest:
-    """Union-find over the rows of a block."""
-
-    def __init__(self):
-        self.up: dict[int, int] = {}
+    """Components of the vectors that a task holds and meets.
 
-    def find(self, x: int) -> int:
-        root = x
-        while (y := self.up.get(root, root)) != root:
-            root = y
-        while x != root:
-            self.up[x], x = root, self.up.get(x, x)
-        return root
+    ``label`` of the held ones is kept as an array, so that a batch of links is
+    brought down to the few pairs of different labels at once.
+    """
 
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-        return a != b
+    def __init__(self, ids: np.ndarray):
+        self.ids = ids
+        self.label = ids.copy()
+
+    def join(self, rows: np.ndarray, others: np.ndarray, both_held: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Take in links of held rows with ids; return the edges that join components."""
+        up: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            root = x
+            while (y := up.get(root, root)) != root:
+                root = y
+            while x != root:
+                up[x], x = root, up.get(x, x)
+            return root
+
+        left = self.label[rows]
+        right = self.label[others] if both_held else others
+        # an id that is not held gets the label of the first held row it links with
+        pair = np.unique(np.stack([left, right], 1), axis=0)
+        a, b = [], []
+        for x, y in pair[pair[:, 0] != pair[:, 1]].tolist():
+            p, q = find(x), find(y)
+            if p != q:
+                up[max(p, q)] = min(p, q)
+                a.append(x)
+                b.append(y)
+        if up:
+            old, where = np.unique(self.label, return_inverse=True)
+            self.label = np.array([find(int(x)) for x in old], np.int64)[where]
+        return np.array(a, np.int64), np.array(b, np.int64)
 
 
 _OUT = "id long, other long, n long"
 
 
+def _hits(x: np.ndarray, y: np.ndarray, raw_x: np.ndarray, raw_y: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs have a cosine of ``threshold`` at least."""
+    dots = x @ y.T
+    near = slack(x.shape[1])
+    hit = dots >= threshold + near
+    for a, b in zip(*np.nonzero((dots >= threshold - near) & ~hit), strict=True):
+        hit[a, b] = cosine(raw_x[a], raw_y[b]) >= threshold
+    return hit
+
+
 def _joined(held: tuple, more: tuple | None, threshold: float, forest: Forest) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Links of a block with itself, or with other rows, as (id, other, n).
 
-    Rows with ``other`` null (-1 here) carry the links of a vector, weighted by
-    the copies at the other end; the others are edges of the forest.
+    Blocks are (ids, unit vectors, weights, vectors as they are). Rows with
+    ``other`` null (-1 here) carry the links of a vector, weighted by the copies
+    at the other end; the others are edges of the forest.
     """
-    ids, x, w = held
-    ids2, y, w2 = held if more is None else more
-    gain, a_s, b_s = np.zeros(len(ids), np.int64), [], []
+    ids, x, w, raw_x = held
+    ids2, y, w2, raw_y = held if more is None else more
+    gain = np.zeros(len(ids), np.int64)
     for k in range(0, len(y), 1024):
-        hit = x @ y[k : k + 1024].T >= threshold
-        if more is None:  # the diagonal is no link
-            cut = np.arange(k, min(k + 1024, len(y)))
-            hit[cut, cut - k] = False
-        rows = np.flatnonzero(hit.any(0))
-        if not len(rows):
-            continue
-        hit = hit[:, rows]
-        if more is None:
-            gain += hit @ w2[k + rows]
-        else:
-            gain += hit @ w2[k + rows]
-            n = w @ hit
-            yield ids2[k + rows], np.full(len(rows), -1), n
-        for c, row in enumerate(rows):
-            other = int(ids2[k + row])
-            for at in np.flatnonzero(hit[:, c]):
-                if forest.join(int(ids[at]), other):
-                    a_s.append(int(ids[at]))
-                    b_s.append(other)
+        for i in range(0, len(x), 8192):
+            hit = _hits(x[i : i + 8192], y[k : k + 1024], raw_x[i : i + 8192], raw_y[k : k + 1024], threshold)
+            if more is None:  # the diagonal is no link
+                here = np.arange(max(i, k), min(i + len(hit), k + hit.shape[1]))
+                hit[here - i, here - k] = False
+            rows = np.flatnonzero(hit.any(0))
+            if not len(rows):
+                continue
+            hit = hit[:, rows]
+            gain[i : i + len(hit)] += hit @ w2[k + rows]
+            if more is not None:
+                yield ids2[k + rows], np.full(len(rows), -1), w[i : i + len(hit)] @ hit
+            at, c = np.nonzero(hit)
+            a, b = forest.join(i + at, k + rows[c] if more is None else ids2[k + rows[c]], more is None)
+            if len(a):
+                yield a, b, np.zeros(len(a), np.int64)
     some = np.flatnonzero(gain)
     if len(some):
         yield ids[some], np.full(len(some), -1), gain[some]
-    if a_s:
-        yield np.array(a_s), np.array(b_s), np.zeros(len(a_s), np.int64)
+
+
+def _rows(found: Iterator) -> Iterator[pa.RecordBatch]:
+    for a, b, n in found:
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64(), mask=b < 0), pa.array(n, pa.int64())], names=["id", "other", "n"])
+
+
+def _part(batch: pa.RecordBatch, i: int, j: int, dim: int) -> tuple:
+    """A block of the rows [i, j) of (id, w, embedding)."""
+    vectors = batch.column(2)[i:j]
+    return batch.column(0)[i:j].to_numpy(), unit(vectors, dim), batch.column(1)[i:j].to_numpy(), raw(vectors, dim)
+
+
+def _block(parts: list[tuple]) -> tuple:
+    return tuple(np.concatenate([p[k] for p in parts]) for k in range(4))
+
+
+def small(reps: DataFrame, p: Range) -> DataFrame:
+    """(id, other, n) of distinct vectors (id, embedding, w, dim), a block a length."""
+
+    @worker_task("vectors")
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def shut() -> Iterator[pa.RecordBatch]:
+            if held:
+                block = _block(held)
+                yield from _rows(_joined(block, None, p.threshold, Forest(block[0])))
+
+        for batch in batches:
+            dim = batch.column(3).to_numpy()
+            edge = np.flatnonzero(np.concatenate([[True], dim[1:] != dim[:-1], [True]])) if len(dim) else []
+            for i, j in zip(edge, edge[1:], strict=False):
+                if dim[i] != at:
+                    yield from shut()
+                    at, held = dim[i], []
+                held.append(_part(batch, i, j, int(dim[i])))
+        yield from shut()
+
+    n = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return reps.select("id", "w", "embedding", "dim").repartition(n, "dim").sortWithinPartitions("dim").mapInArrow(join, _OUT)
 
 
 def links(reps: DataFrame, dim: int, p: Range) -> DataFrame:
     """(id, other, n) of distinct vectors (id, embedding, w) of one length."""
     spark = reps.sparkSession
-    total = reps.count()
-    most = int(min(p.most_pivots, max(1, total // p.cell)))
+    total, size = reps.count(), p.block(dim)
+    most = p.n_pivots(total, dim)
     sample = reps.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(4 * most).select("embedding").toArrow()
     pivots = choose_pivots(unit(sample.column(0).combine_chunks(), dim), most, p.threshold)
     shared = spark.sparkContext.broadcast(pivots)
@@ -173,7 +279,7 @@ def links(reps: DataFrame, dim: int, p: Range) -> DataFrame:
     cells = cells.agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("far"), F.min("angle").alias("near")).collect()
     reach, least, n_blocks = np.full(len(pivots), -10.0), np.full(len(pivots), 10.0), np.zeros(len(pivots), np.int64)
     for c in cells:
-        reach[c.home], least[c.home], n_blocks[c.home] = c.far, c.near, -(-c.n // p.block)
+        reach[c.home], least[c.home], n_blocks[c.home] = c.far, c.near, -(-c.n // size)
     first = np.concatenate([[0], np.cumsum(n_blocks * (n_blocks + 1) // 2)])  # tasks of the cells before
     table = spark.sparkContext.broadcast((reach, least, n_blocks, first))
 
@@ -213,36 +319,32 @@ def links(reps: DataFrame, dim: int, p: Range) -> DataFrame:
     @worker_task("vectors")
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        at, block, forest = None, None, Forest()
-
-        def opened() -> tuple:
-            return tuple(np.concatenate([h[k] for h in held]) for k in range(3))
-
-        def out(found: Iterator) -> Iterator[pa.RecordBatch]:
-            for a, b, n in found:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64(), mask=b < 0), pa.array(n, pa.int64())], names=["id", "other", "n"])
+        at, block, forest = None, None, None
 
         def shut() -> Iterator[pa.RecordBatch]:
             if held and block is None and at in own.value:
-                yield from out(_joined(opened(), None, p.threshold, forest))
+                whole = _block(held)
+                yield from _rows(_joined(whole, None, p.threshold, Forest(whole[0])))
 
         for batch in batches:
             task, role = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            batch = batch.select([2, 3, 4])
             edge = np.flatnonzero(np.concatenate([[True], (task[1:] != task[:-1]) | (role[1:] != role[:-1]), [True]])) if len(task) else []
             for i, j in zip(edge, edge[1:], strict=False):
-                part = (batch.column(2)[i:j].to_numpy(), unit(batch.column(4)[i:j], dim), batch.column(3)[i:j].to_numpy())
+                part = _part(batch, i, j, dim)
                 if task[i] != at:
                     yield from shut()
-                    held, at, block, forest = [], task[i], None, Forest()
+                    held, at, block = [], task[i], None
                 if role[i] == 0:
                     held.append(part)
                     continue
                 if block is None and held:
-                    block = opened()
+                    block = _block(held)
+                    forest = Forest(block[0])
                     if at in own.value:
-                        yield from out(_joined(block, None, p.threshold, forest))
+                        yield from _rows(_joined(block, None, p.threshold, forest))
                 if block is not None:
-                    yield from out(_joined(block, part, p.threshold, forest))
+                    yield from _rows(_joined(block, part, p.threshold, forest))
         yield from shut()
 
     kind = reps.schema["embedding"].dataType.simpleString()
@@ -256,29 +358,30 @@ def near_copies(embeddings: DataFrame, p: Range = Range()) -> DataFrame:
 
     Vectors that are null, empty, zero or hold null or non-finite components
     link with nothing, and neither do rows with a null id, whose component is
-    null. Vectors of different lengths never link; each length is joined apart.
-    Equal vectors are joined once and count as often as they occur; they link
-    with one another. An empty table gives an empty result.
+    null. Vectors of different lengths never link; lengths that fill a block
+    are joined apart, all others in one go. Equal vectors are joined once and
+    count as often as they occur; they link with one another. A pair whose
+    cosine is the threshold links (see the module on rounding). Rows that
+    repeat an id each have a row. An empty table gives an empty result, and
+    other columns are ignored, whatever their names.
     """
     emb = F.transform("embedding", lambda x: x + F.lit(0).cast("float"))  # -0.0 becomes 0.0
     rows = embeddings.select("vec_id", emb.alias("embedding"))
     ok = usable() & F.col("vec_id").isNotNull()
-    rows = rows.withColumn("h1", F.when(ok, F.xxhash64(F.lit(1), "embedding"))).withColumn("h2", F.when(ok, F.xxhash64(F.lit(2), "embedding")))
-    good = rows.where("h1 is not null")
+    good = rows.where(ok).select("vec_id", "embedding", F.xxhash64(F.lit(1), "embedding").alias("h1"), F.xxhash64(F.lit(2), "embedding").alias("h2"))
+    alone = rows.where(~ok).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     classes = good.groupBy("h1", "h2").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("w"), F.first("embedding").alias("embedding"))
-    classes = store.written(classes, "classes")
-    edges, counts = None, None
-    for (dim,) in classes.select(F.size("embedding")).distinct().collect():
-        found = store.written(links(classes.where(F.size("embedding") == dim), dim, p), "range")
-        e, c = found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")), found.where("other is null").select("id", "n")
-        edges, counts = (e, c) if edges is None else (edges.union(e), counts.union(c))
-    narrow = rows.select("vec_id", "h1", "h2")
-    if edges is None:
-        return narrow.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    summed = counts.groupBy("id").agg(F.sum("n").alias("n"))
+    classes = store.written(classes.withColumn("dim", F.size("embedding")), "classes")
+    # a length with more vectors than a block; of these there are few
+    sizes = classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n"))
+    large = [r.dim for r in sizes.where((F.col("n") > p.alone) | (F.col("n") > F.lit(p.block_bytes) / 8 / F.col("dim"))).orderBy("dim").collect()]
+    found = store.written(small(classes.where(~F.col("dim").isin(large)) if large else classes, p), "range")
+    for dim in large:
+        found = found.union(store.written(links(classes.where(F.col("dim") == dim), dim, p), "range"))
+    edges = found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b"))
+    summed = found.where("other is null").groupBy("id").agg(F.sum("n").alias("n"))
     placed = graph.components(edges)
     side = classes.select("h1", "h2", "id", "w").join(summed, "id", "left").join(placed.withColumnRenamed("node", "id"), "id", "left")
-    side = side.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n"), F.coalesce("component", "id").alias("component"))
-    out = narrow.join(side, ["h1", "h2"], "left")
-    component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    side = side.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    out = good.select("vec_id", "h1", "h2").join(side, ["h1", "h2"])
+    return out.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept")).union(alone)

@@ -61,3 +61,35 @@ def test_features_do_not_depend_on_neighbours():
 def test_mix_is_a_bijection_on_a_sample():
     x = np.arange(100_000, dtype=np.uint64)
     assert len(np.unique(grams.mix(x))) == len(x)
+
+
+def regular(n):
+    """The Thue-Morse word of 2**n letters and its complement."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_regular_runs_have_hashes_of_their_own():
+    for n in (6, 10, 12):
+        a, b = regular(n)
+        for first, second in ((a, b), (a.replace("a", "xy"), b.replace("a", "xy")), (" ".join(a), " ".join(b))):
+            (_, _, t), = grams.slices(pa.array([first, second]))
+            doc, h = grams.shingles(t)
+            w = grams.words(t)
+            if " " not in first:
+                assert len(set(w.hash.tolist())) == 2
+                assert len(set(h.tolist())) == 2
+            whole = grams.run_hashes(t.data, t.at[:-1], t.at[1:])
+            assert whole[0] != whole[1]
+
+
+def test_runs_by_bytes():
+    data = np.frombuffer(b"abcabdabc" + b"x" * 100 + b"x" * 99 + b"y", np.uint8)
+    start, end = np.array([0, 3, 6, 9, 109, 0]), np.array([3, 6, 9, 109, 209, 3])
+    other, stop = np.array([6, 0, 0, 109, 109, 0]), np.array([9, 3, 2, 209, 209, 3])
+    assert grams.same_runs(data, start, end, other, stop).tolist() == [True, False, False, False, True, True]
+    h = grams.run_hashes(data, start[:5], end[:5])
+    assert h[0] == h[2] and len(set(h.tolist())) == 4
+    assert grams.run_hashes(np.frombuffer(b"ABC", np.uint8), np.array([0]), np.array([3]), True)[0] == grams.run_hashes(np.frombuffer(b"abc", np.uint8), np.array([0]), np.array([3]))[0]

@@ -3,9 +3,11 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from pagemill.llm import quality_model, quality_rules
+from pagemill.llm import grams, labelled, quality_model, quality_rules
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, n_words int"
 
@@ -57,6 +59,33 @@ def test_rules_against_brute_force(tables):
     assert sum(right) > 0.97 * len(right)
 
 
+def test_regular_lines_and_equal_hashes(spark, monkeypatch):
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    text = f"{a}\n{b}\nplain"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality_rules.score(docs, labels).first().n_dup_lines == 0
+    # where hashes are equal, bytes decide
+    monkeypatch.setattr(grams, "salted", lambda h, doc: doc.astype(np.uint64))
+    rng = random.Random(3)
+    texts = ["\n".join(" ".join(rng.choice("abc") for _ in range(rng.randint(1, 12))) for _ in range(20)) for _ in range(5)]
+    (_, _, t), = grams.slices(pa.array(texts))
+    got = quality_rules.base_features(t)
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    assert [tuple(int(got[k][i]) for k in names) for i in range(5)] == [base(x) for x in texts]
+
+
+def test_the_sample_is_of_present_documents(spark):
+    docs = spark.range(1000).selectExpr("id as doc_id", "concat('text ', id) as text")
+    docs = docs.union(spark.createDataFrame([(5, "a"), (5, "b"), (None, "c")], "doc_id long, text string"))
+    labels = spark.range(1_000_000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality", "0 as toxic")
+    assert labelled.sample(docs, labels, "quality", 4000).count() == 1000
+    assert labelled.sample(docs, labels, "quality", 300).count() == 300
+    assert labelled.sample(docs.where("doc_id < 0"), labels, "quality", 4000).count() == 0
+
+
 def test_rules_rerun_and_division_agree(tables):
     docs, labels = tables
     a = {(r.doc_id, r.text): r.quality for r in quality_rules.score(docs, labels).collect()}
