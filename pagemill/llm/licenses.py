@@ -31,16 +31,20 @@ from . import store
 #: Characteristic passages of each family, as published.
 TEMPLATES: dict[str, list[str]] = {
     "apache-2.0": [
+        "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
         "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.",
     ],
     "mit": [
+        "Released under the MIT License.",
+        "This software is licensed under the terms of the MIT license.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
         "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ],
     "gpl": [
+        "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
         "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
@@ -48,16 +52,19 @@ TEMPLATES: dict[str, list[str]] = {
         "This program is free software: you can redistribute it and/or modify",
     ],
     "lgpl": [
+        "This work is licensed under the GNU Lesser General Public License.",
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
         "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
         "You should have received a copy of the GNU Lesser General Public License along with this library; if not, write to the Free Software Foundation, Inc.",
     ],
     "agpl": [
+        "This work is licensed under the GNU Affero General Public License.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "See the GNU Affero General Public License for more details. You should have received a copy of the GNU Affero General Public License along with this program.",
         "If your software can interact with users remotely through a computer network, you should also make sure that it provides a way for users to get its source.",
     ],
     "bsd": [
+        "Released under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
         "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
@@ -70,6 +77,7 @@ TEMPLATES: dict[str, list[str]] = {
         "This Source Code Form is \"Incompatible With Secondary Licenses\", as defined by the Mozilla Public License, v. 2.0.",
     ],
     "isc": [
+        "Released under the ISC License.",
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
         "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS.",
     ],
@@ -88,22 +96,26 @@ TEMPLATES: dict[str, list[str]] = {
         "All rights granted under the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html",
     ],
     "cc-by": [
+        "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
         "To view a copy of this license, visit https://creativecommons.org/licenses/by/4.0/",
         "Except where otherwise noted, content on this site is licensed under a Creative Commons Attribution 4.0 International license.",
     ],
     "cc-by-sa": [
+        "Licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
         "To view a copy of this license, visit https://creativecommons.org/licenses/by-sa/4.0/",
         "Text is available under the Creative Commons Attribution-ShareAlike License; additional terms may apply.",
     ],
     "cc-by-nc": [
+        "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
         "To view a copy of this license, visit https://creativecommons.org/licenses/by-nc/4.0/",
         "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
         "licensed under https://creativecommons.org/licenses/by-nc-sa/4.0/",
     ],
     "cc-by-nd": [
+        "Licensed under CC BY-ND 4.0.",
         "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
         "To view a copy of this license, visit https://creativecommons.org/licenses/by-nd/4.0/",
     ],
@@ -374,21 +386,29 @@ def scanned(documents: DataFrame, p: Scan = Scan()) -> DataFrame:
     # repeated rows have added up alike
     root = F.sqrt(F.greatest(F.col("known") / F.col("n"), F.lit(1)))
     z = [F.lit(model["scale"]) * (F.col(f"s{k}") / F.col("n") / root + F.lit(float(model["bias"][k]))) + F.lit(model["shift"] if k == 0 else 0.0) for k in range(len(names))]
-    scored = found.withColumn("z", F.array(*z)).withColumn("top", F.array_max("z"))
-    total = F.aggregate("z", F.lit(0.0), lambda s, v: s + F.exp(v - F.col("top")))
-    scored = scored.withColumn("probability", 1 / total).withColumn("c", F.expr("array_position(z, top)").cast("int"))
-    scored = scored.withColumn("c", F.when(F.col("probability") < p.unknown, F.lit(1)).otherwise(F.col("c"))).where("cue or c <> 1")
-    like = [F.lit(0.0)]
-    for family in names[1:]:
-        overlap = []
-        for t in TEMPLATES[family]:
+    # lambdas and a generator keep the optimiser from making the scores again for each use
+    verdict = F.transform(
+        F.transform(F.array(F.array(*z)), lambda z: F.struct(z.alias("z"), F.array_max(z).alias("top"))),
+        lambda x: F.struct(
+            (1 / F.aggregate(x["z"], F.lit(0.0), lambda s, v: s + F.exp(v - x["top"]))).alias("p"),
+            F.array_position(x["z"], x["top"]).cast("int").alias("c"),
+        ),
+    )
+    scored = found.select("doc_id", "paragraph", "cue", "n_pairs", "n", *(f"b{k}" for k in range(n_words)), F.explode_outer(verdict).alias("v"))
+    scored = scored.where(F.col("cue") | ((F.col("v.c") > 1) & (F.col("v.p") >= p.unknown)))
+    scored = scored.withColumn("probability", F.col("v.p")).withColumn("c", F.when(F.col("v.p") < p.unknown, F.lit(1)).otherwise(F.col("v.c")))
+    made = []  # for each family its templates, as (pairs, their bits)
+    for family in names:
+        masks = []
+        for t in TEMPLATES.get(family, []):
             mask = [0] * n_words
             for g in pairs(t):
                 mask[bits[g] // 63] |= 1 << bits[g] % 63
-            both = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"b{k}").bitwiseAND(F.lit(m).cast("long"))) for k, m in enumerate(mask) if m])
-            overlap.append(both / F.least(F.lit(len(pairs(t))), F.greatest("n_pairs", F.lit(1))))
-        like.append(F.greatest(*overlap) if len(overlap) > 1 else overlap[0])
-    similarity = reduce(lambda a, k: a.when(F.col("c") == k + 1, like[k]), range(1, len(names)), F.when(F.col("c") == 1, F.lit(0.0)))
+            masks.append(f"named_struct('size', {len(pairs(t))}, 'mask', array({', '.join(f'{m}L' for m in mask)}))")
+        made.append(f"array({', '.join(masks)})" if masks else "cast(array() as array<struct<size: int, mask: array<bigint>>>)")
+    both = "aggregate(zip_with(bits, t.mask, (b, m) -> cast(bit_count(b & m) as int)), 0, (x, y) -> x + y)"
+    scored = scored.withColumn("bits", F.array(*(f"b{k}" for k in range(n_words))))
+    similarity = F.expr(f"coalesce(array_max(transform(element_at(array({', '.join(made)}), c), t -> {both} / least(t.size, greatest(n_pairs, 1)))), 0D)")
     family = F.element_at(F.array(*map(F.lit, names)), F.col("c"))
     out = scored.select("doc_id", "paragraph", family.alias("family"), "probability", similarity.alias("similarity"), "n")
     out = out.withColumn("__again", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
