@@ -25,8 +25,17 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
+#: For test data only; real runs set spark.pagemill.pii.key.
+EXAMPLE_KEY = "example key of the check"
+
+
+def pii_key(spark: SparkSession) -> pii.Pseudonyms:
+    """Pseudonyms under the key that the session names."""
+    return pii.Pseudonyms(spark.conf.get("spark.pagemill.pii.key", EXAMPLE_KEY))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pii.pseudonymised(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = pii.pseudonymised(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), pii_key(spark))
     kinds = F.array_sort(F.array_distinct(F.transform("pii", lambda x: x["kind"])))
     return out.select("doc_id", "text", F.size("pii").alias("n_pii"), kinds.alias("kinds"))
 
