@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm import bpe, jaccard, mixing, pii, quality_rules, store
+from pagemill.llm.queries import pii_key
 
 #: SQL for run()'s rows; quality scores and merges have none.
 ORACLE_SQL = None
@@ -29,8 +30,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data by pseudonyms of the same format."""
-    return pii.pseudonymised(docs).drop("pii")
+    """Replace personal data by pseudonyms of the same format, under the session's key."""
+    return pii.pseudonymised(docs, pii_key(spark)).drop("pii")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
