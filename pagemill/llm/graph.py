@@ -31,7 +31,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         # small star: a node and its lower neighbours go to the least of these
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = store.written(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        last, e = e, store.written(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        store.forget(last)
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))

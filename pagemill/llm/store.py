@@ -22,11 +22,14 @@ _OPEN: dict[str, SparkSession] = {}
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that the session names in ``spark.checkpoint.dir``.
 
-    Only where it is unset, as in tests, a local folder is made and set.
+    Only where it is unset and the session runs in one process, as in tests, a
+    local folder is made and set; on a cluster that would scatter tables.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if held.isEmpty() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = held.get() if held.isDefined() else "file://" + tempfile.mkdtemp(prefix="pagemill-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -34,6 +37,41 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+class Scope:
+    """Tables written inside are dropped at the end, also after an error.
+
+    Those that :meth:`keep` names pass to the scope around.
+    """
+
+    def __init__(self):
+        self.made: dict[str, SparkSession] = {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Let the table that ``df`` was read from by :func:`written` outlive the scope."""
+        path = _PATHS[id(df)][1]
+        spark = self.made.pop(path)
+        if len(_SCOPES) > 1:
+            _SCOPES[-2].made[path] = spark
+        return df
+
+
+_SCOPES: list[Scope] = []
+_PATHS: dict[int, tuple[DataFrame, str]] = {}
+
+
+@contextlib.contextmanager
+def scope() -> Iterator[Scope]:
+    held = Scope()
+    _SCOPES.append(held)
+    try:
+        yield held
+    finally:
+        _SCOPES.remove(held)
+        for path, spark in held.made.items():
+            with contextlib.suppress(Exception):
+                drop(spark, path)
+
+
 def _drop_all() -> None:
     for path, spark in list(_OPEN.items()):
         with contextlib.suppress(Exception):
@@ -46,21 +84,42 @@ def drop(spark: SparkSession, path: str) -> None:
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
     _OPEN.pop(path, None)
+    for key in [k for k, (_, held) in _PATHS.items() if held == path]:
+        del _PATHS[key]
+
+
+def forget(df: DataFrame) -> None:
+    """Drop the table that ``df`` was read from by :func:`written`, if it still is there."""
+    if id(df) in _PATHS:
+        path = _PATHS[id(df)][1]
+        for held in _SCOPES:
+            held.made.pop(path, None)
+        drop(df.sparkSession, path)
+
+
+def _new(spark: SparkSession, name: str) -> str:
+    path = f"{checkpoint_dir(spark)}/pagemill/{name}-{uuid.uuid4().hex}"
+    if not _OPEN:
+        atexit.register(_drop_all)
+    _OPEN[path] = spark
+    if _SCOPES:
+        _SCOPES[-1].made[path] = spark
+    return path
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet under the checkpoint folder and read it back.
 
     The result depends on files alone, so a lost executor costs no
-    recomputation of what came before. The folder goes when Python ends.
+    recomputation of what came before. The folder goes at the end of the
+    :func:`scope` around, with :func:`forget`, or when Python ends.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/pagemill/{name}-{uuid.uuid4().hex}"
-    if not _OPEN:
-        atexit.register(_drop_all)
-    _OPEN[path] = spark
+    path = _new(spark, name)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = (out, path)
+    return out
 
 
 def lines_table(spark: SparkSession, rows: list[dict], schema: str, name: str) -> DataFrame:
@@ -69,10 +128,7 @@ def lines_table(spark: SparkSession, rows: list[dict], schema: str, name: str) -
     Only SQL functions make it. As a file it is scanned like any other table;
     as a literal it would swell the plan.
     """
-    path = f"{checkpoint_dir(spark)}/pagemill/{name}-{uuid.uuid4().hex}"
-    if not _OPEN:
-        atexit.register(_drop_all)
-    _OPEN[path] = spark
+    path = _new(spark, name)
     spark.range(1).select(F.lit("\n".join(map(json.dumps, rows))).alias("value")).write.text(path)
     return spark.read.schema(schema).json(path)
 

@@ -246,7 +246,11 @@ def located(files: DataFrame) -> DataFrame:
 
 
 def read(files: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document of the shards."""
+    """doc_id, start, n_tokens and ids_crc32 of every document of the shards.
+
+    All planes are decoded; some places are also read through the directory,
+    by access and select. A file that is damaged raises.
+    """
 
     @worker_task("tokens")
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,10 +258,13 @@ def read(files: DataFrame) -> DataFrame:
             for start, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 matrix = wavelet.WaveletMatrix(content.as_py())
                 ids = matrix.decode().astype("<u4")
-                length = matrix.extra["length"]
+                length = matrix.extra("length")
                 cut = np.concatenate([[0], np.cumsum(length)])
+                last = cut[1:][:: max(1, len(length) // 64)] - 1
+                if (matrix.access(last) != ids[last]).any() or matrix.select(int(ids[0]), 0) != 0:
+                    raise ValueError("a shard's directory and planes disagree")
                 crc = [zlib.crc32(ids[i:j].data) for i, j in zip(cut, cut[1:], strict=False)]
-                doc = pa.array(matrix.extra["doc_id"], pa.int64(), mask=matrix.extra["known"] == 0)
+                doc = pa.array(matrix.extra("doc_id"), pa.int64(), mask=matrix.extra("known") == 0)
                 yield pa.RecordBatch.from_arrays([doc, pa.array(start + cut[:-1]), pa.array(length), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return located(files).select("start", "content").mapInArrow(task, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -13,6 +13,7 @@ import hashlib
 import io
 import re
 import struct
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,16 +32,19 @@ URN = "urn:pagemill:page:"
 
 @dataclass(frozen=True)
 class Archive:
-    """``sample_records`` of ``sample_bytes`` at most make the dictionary.
+    """Whole records of ``sample_bytes`` in all, about, make the dictionary of
+    ``dictionary_bytes``, a hundred times as many as it holds; a page of more
+    than an eighth of that is no sample, though it is archived like all others.
 
     Payloads of fewer than ``least_bytes`` are never revisits. A file is closed
-    when it has ``file_bytes``.
+    when it has ``file_bytes``. Up to ``broadcast_rows`` repeated digests are
+    broadcast, of 28 bytes each.
     """
 
     least_bytes: int = 0
-    sample_records: int = 800
-    sample_bytes: int = 1 << 14
     dictionary_bytes: int = 1 << 16
+    sample_bytes: int = 100 << 16
+    broadcast_rows: int = 200_000
     file_bytes: int = 8 << 20
     level: int = 3
     date: str = "1970-01-01T00:00:00Z"
@@ -125,36 +129,62 @@ def page(head: dict[str, str], block: bytes) -> tuple:
     return _id(head["WARC-Record-ID"]), length, claimed, head["WARC-Type"], _id(head.get("WARC-Refers-To"))
 
 
-def decided(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Add ``digest``, ``revisit`` and ``refers_to`` to page_id, url and html.
+def decided(pages: DataFrame, how: Archive = Archive()) -> DataFrame:
+    """Add ``revisit`` and ``refers_to`` to page_id, url and html.
 
-    Digests of payloads that occur once never enter the join. Both sides are
-    dealt by digest, and a digest with very many pages is split by the
-    adaptive planner.
+    Payloads are compared by digest and id alone. Where few digests repeat, they
+    are broadcast and no html moves. Beyond that, the revisits are told by a
+    join of ids and digests, and pages meet them by both, so that a digest with
+    very many pages is dealt over all tasks.
     """
     own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     own = own.withColumn("digest", F.unhex(F.sha1(F.col("html").cast("binary"))))
-    many = own.where(F.octet_length("html") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("owner"), F.count(F.lit(1)).alias("n"))
-    many = many.where("n > 1").drop("n")
-    out = own.join(many, "digest", "left")
-    revisit = F.col("owner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("owner")) & (F.octet_length("html") >= least_bytes)
+    narrow = own.where(F.octet_length("html") >= how.least_bytes).select("page_id", "digest")
+    many = narrow.groupBy("digest").agg(F.max("page_id").alias("owner"), F.count(F.lit(1)).alias("n"))
+    many = store.written(many.where("n > 1 and owner is not null").select("digest", "owner"), "digests")
+    other = ~F.col("page_id").eqNullSafe(F.col("owner"))
+    if many.count() <= how.broadcast_rows:
+        out = own.join(F.broadcast(many), "digest", "left")
+    else:
+        again = narrow.join(many, "digest").where(other).distinct()
+        again = again.select(F.col("page_id").alias("__id"), F.col("digest").alias("__digest"), "owner")
+        out = own.join(again, F.col("page_id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest")), "left")
+    revisit = F.col("owner").isNotNull() & other & (F.octet_length("html") >= how.least_bytes)
     return out.select("page_id", "url", "html", revisit.alias("revisit"), F.when(revisit, F.col("owner")).alias("refers_to"))
 
 
+def samples(pages: DataFrame, how: Archive) -> list[bytes]:
+    """Whole records of distinct payloads, those with the least digests."""
+    size = F.octet_length(F.coalesce("html", F.lit("")))
+    narrow = pages.where(size <= how.sample_bytes // 8).select("page_id", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("d"), size.alias("size"))
+    once = narrow.groupBy("d").agg(F.max("page_id").alias("id"), F.max("size").alias("size"))
+    mean = once.agg(F.avg("size")).first()[0] or 0
+    picked = once.orderBy("d").limit(int(how.sample_bytes / (mean + 512)) + 1)
+    found = pages.select(F.col("page_id").alias("id"), "url", F.coalesce("html", F.lit("")).alias("html")).where(F.octet_length("html") <= how.sample_bytes // 8)
+    found = found.join(F.broadcast(picked.select("id", "d")), "id").where(F.sha1(F.col("html").cast("binary")) == F.col("d"))
+    found = found.groupBy("id", "d").agg(F.min(F.struct("html", "url")).alias("r")).orderBy("d")
+    out, total = [], 0
+    for r in found.toLocalIterator():
+        out.append(record(r.id, r.r.url, r.r.html.encode(), None, False, how.date))
+        total += len(out[-1])
+        if total >= how.sample_bytes:
+            break
+    return out
+
+
 def write(pages: DataFrame, how: Archive = Archive()) -> DataFrame:
     """Archive all pages; one row (name, n_records, content) for each file.
 
     ``content`` is the file as it is on disk (see :func:`export`). A null html
     is an empty payload. Pages that share payload and page_id, being the
     response both, are both written whole; a null page_id revisits another
-    page's payload but is referred to by none. An empty table gives no files.
+    page's payload but is referred to by none, and pages of a payload that only
+    null ids have are all written whole. A page of many megabytes is one record
+    in one batch. An empty table gives no files. Other columns are ignored,
+    whatever their names.
     """
     spark = pages.sparkSession
-    narrow = pages.select("page_id", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("d"))
-    picked = narrow.groupBy("d").agg(F.max("page_id").alias("id")).orderBy("d").limit(how.sample_records)
-    sampled = pages.select(F.col("page_id").alias("id"), "url", F.substring("html", 1, how.sample_bytes).alias("html"))
-    sampled = sampled.join(F.broadcast(picked.select("id")), "id").orderBy("id", "html").limit(how.sample_records).collect()
-    held = dictionary([record(r.id, r.url, (r.html or "").encode(), None, False, how.date) for r in sampled], how.dictionary_bytes)
+    held = dictionary(samples(pages, how), how.dictionary_bytes)
     shared = spark.sparkContext.broadcast(held)
 
     @worker_task("warc")
@@ -182,7 +212,7 @@ def write(pages: DataFrame, how: Archive = Archive()) -> DataFrame:
         if n:
             yield closed()
 
-    return decided(pages, how.least_bytes).mapInArrow(task, "name string, n_records long, content binary")
+    return decided(pages, how).mapInArrow(task, "name string, n_records long, content binary")
 
 
 def read_pages(files: DataFrame) -> DataFrame:
@@ -206,17 +236,28 @@ def read_pages(files: DataFrame) -> DataFrame:
 
 
 def export(files: DataFrame, folder: str) -> None:
-    """Write each archive of :func:`write` as a file, from the driver.
+    """Write each archive of :func:`write` as a file, from the executors.
 
-    ``folder`` is any path that Hadoop's file systems reach. One file at a time
-    passes through the driver.
+    ``folder`` is a path or an address that pyarrow's file systems reach from
+    all of them. A file gets its name when it is whole, so that a task that runs
+    again leaves none behind that is cut.
     """
-    jvm, conf = files.sparkSession._jvm, files.sparkSession._jsc.hadoopConfiguration()
-    for row in files.toLocalIterator():
-        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{row.name}")
-        out = path.getFileSystem(conf).create(path)
-        out.write(bytearray(row.content))
-        out.close()
+
+    @worker_task("warc")
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        system.create_dir(base, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                part = f"{base}/.{name}.{uuid.uuid4().hex}"
+                with system.open_output_stream(part) as out:
+                    out.write(content.as_buffer())
+                system.move(part, f"{base}/{name}")
+            yield batch.select([0])
+
+    files.select("name", "content").mapInArrow(task, "name string").write.format("noop").mode("overwrite").save()
 
 
 def round_trip(pages: DataFrame, how: Archive = Archive()) -> DataFrame:

@@ -79,7 +79,7 @@ def test_wavelet(n_bits):
     ids = (rng.zipf(1.4, 3000) % (1 << n_bits)).astype(np.uint32)
     m = wavelet.WaveletMatrix(wavelet.build(ids, n_bits, {"x": np.arange(3)}))
     assert (m.decode() == ids).all()
-    assert (m.extra["x"] == np.arange(3)).all()
+    assert (m.extra("x") == np.arange(3)).all()
     at = rng.integers(0, len(ids), 200)
     assert (m.access(at) == ids[at]).all()
     for token in [*set(ids[:20].tolist()), (1 << n_bits) - 1, 1 << n_bits]:
@@ -91,6 +91,31 @@ def test_wavelet(n_bits):
             assert m.select(token, k) == (where[k] if 0 <= k < len(where) else -1)
 
 
+def test_wavelet_opens_only_what_it_needs(tmp_path):
+    rng = np.random.default_rng(3)
+    n, n_bits = (1 << 20) + 77, 12
+    ids = (rng.zipf(1.3, n) % (1 << n_bits)).astype(np.uint16)
+    (tmp_path / "w").write_bytes(wavelet.build(ids, n_bits))
+    content = np.memmap(tmp_path / "w", np.uint8, "r")
+    m = wavelet.WaveletMatrix(content.data)
+    assert m.n_pieces == 5 and m.opened == 0
+    for place in (0, 262_143, 262_144, n // 2, n - 1):
+        m = wavelet.WaveletMatrix(content.data)
+        assert m.access([place])[0] == ids[place] and m.opened <= n_bits
+    for token in (1, 2, 7, 300, 4000):
+        where = np.flatnonzero(ids == token)
+        for k in {0, len(where) // 3, len(where) - 1}:
+            m = wavelet.WaveletMatrix(content.data)
+            assert m.select(token, k) == where[k] and m.opened <= 4 * n_bits
+            place = int(where[k]) + 1
+            m = wavelet.WaveletMatrix(content.data)
+            assert m.rank(token, place) == k + 1 and m.opened <= 2 * n_bits
+    m = wavelet.WaveletMatrix(content.data, keep=3)
+    at = rng.integers(0, n, 500)
+    assert (m.access(at) == ids[at]).all() and len(m._held) <= 3
+    assert (m.decode() == ids).all()
+
+
 def test_wavelet_empty():
     m = wavelet.WaveletMatrix(wavelet.build(np.empty(0, np.uint16), 16))
     assert len(m.decode()) == m.count(3) == 0

@@ -31,7 +31,7 @@ def expected(least=0):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("how", [warc.Archive(), warc.Archive(file_bytes=2000, least_bytes=20), warc.Archive(sample_records=0)])
+@pytest.mark.parametrize("how", [warc.Archive(), warc.Archive(file_bytes=2000, least_bytes=20), warc.Archive(sample_bytes=0), warc.Archive(broadcast_rows=0)])
 def test_round_trip(pages, how):
     assert sorted((tuple(r) for r in warc.round_trip(pages, how).collect()), key=repr) == expected(how.least_bytes)
 
@@ -65,3 +65,16 @@ def test_export_and_empty(pages, tmp_path):
     names = list(tmp_path.glob("*.warc.zst"))
     assert sum(1 for n in names for h, _ in warc.read(n.read_bytes()) if h["WARC-Type"] != "warcinfo") == len(ROWS)
     assert warc.round_trip(pages.limit(0)).count() == 0
+
+
+def test_html_moves_for_no_page_that_stands_alone(pages):
+    plan = warc.decided(pages)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_samples_are_whole_records(pages):
+    how = warc.Archive(sample_bytes=20_000)
+    held = warc.samples(pages, how)
+    assert 10_000 <= sum(map(len, held)) < 24_000
+    assert all(b"\r\n\r\n" in x for x in held)
+    assert warc.samples(pages, warc.Archive(sample_bytes=0)) == [] or sum(map(len, warc.samples(pages, warc.Archive(sample_bytes=0)))) < 1000
