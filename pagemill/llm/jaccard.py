@@ -3,22 +3,30 @@
 Texts with equal sets are one class. What follows only serves to find all links
 between classes without ever comparing all pairs of a group:
 
-1. A sieve. A set that links with another shares 75% of its shingles with it,
-   so of any choice of its shingles all but a quarter of the set occur in some
-   other set. Shingles in a fixed part of the hash space are dealt by hash, in
-   packed arrays that each task has sorted and reduced to one entry a shingle;
-   sets with too many shingles of their own are out, exactly.
-2. Answers from similar sets. Sets are grouped by their least shingle under
-   some permutations; each is compared with the leader of its group and, where
-   they link, takes over the leader's component; it still goes through what
-   follows, where links inside a component are not searched for. Large groups are split and their leaders meet in a next level.
-3. A second sieve asks for shingles in sets of another component. What passes
-   goes into an index of the rarest shingles of each set (prefix filter), whose
-   lists are joined by token with conditions on component, size and position (no
-   blocks are skipped): a pair stays only where, by what is left behind both positions, the needed overlap
-   can still be reached. Before that, for some rounds, a few pairs of each two
-   components that meet in a list are compared; where one links, the others are
-   answered. All pairs that remain are compared exactly.
+1. A sieve, before the join. A set that links with another shares 75% of its
+   shingles with it, so of any choice of its shingles all but a quarter of the
+   set occur in some other set. Shingles in a fixed part of the hash space are
+   dealt by hash, in packed arrays that each task has sorted and reduced to one
+   entry a shingle; sets with too many shingles of their own link with nothing.
+   What passes is asked again, later, for shingles in sets of another component.
+   The sieve answers nothing else; all links come from 2 and 3.
+2. Highly similar sets. Sets are grouped by their least shingle under some
+   permutations, and each is compared with the leader of its group. Large
+   groups are split and their leaders meet in a next level. A set that links
+   takes over the leader's component; one that shares ``close`` percent follows
+   the leader, and is not indexed: its answers are derived.
+3. The index. The rarest shingles of each set that follows none (prefix filter,
+   longer by what followers can add) have lists, whose entries of equal size and
+   position are blocks; blocks that cannot hold an answer are skipped whole
+   (:mod:`pagemill.llm.relations`). Long lists are split, and their parts meet in
+   tasks of their own. The sets of a pair that remains are compared exactly, and
+   the answers of their followers derived from theirs by the difference of the
+   sets. Before that, for some rounds, a few pairs of each two components that
+   meet in a list are compared; where one links, the others are answered.
+
+Shingles are 64-bit hashes and classes 128 bits; two different ones are taken
+for one with a chance of about 2**-64 a pair, and no regular text brings that
+about (see :mod:`pagemill.llm.grams`).
 """
 
 from __future__ import annotations
@@ -33,10 +41,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from . import graph, grams, store
+from . import graph, grams, relations, store
 from .store import worker_task
 
 
+_ENTRY = ["id", "component", "n", "lo", "hi", "slack"]
+
+
 @dataclass(frozen=True)
 class Join:
     """Links need ``100 * intersection >= percent * union``.
@@ -45,7 +56,9 @@ class Join:
     ``permutations`` the number of groupings by least shingle, ``group`` the
     sets that are compared with one leader before a group is split, ``rounds``
     and ``tries`` the rounds and pairs for which two components are tried first,
-    ``cell_tokens`` the shingles that a sieve's task sorts at once.
+    ``cell_tokens`` the shingles that a sieve's task sorts at once. A set that
+    shares ``close`` percent with its leader follows it. ``list_part`` is the
+    number of entries of a list that two tasks' parts are made of.
     """
 
     k: int = 5
@@ -56,6 +69,8 @@ class Join:
     rounds: int = 2
     tries: int = 32
     cell_tokens: int = 1_000_000
+    close: int = 95
+    list_part: int = 8192
 
 
 def least_shared(n: np.ndarray, percent: int) -> np.ndarray:
@@ -277,18 +292,30 @@ def sets_of(documents: DataFrame, wanted: DataFrame, p: Join) -> DataFrame:
     return store.written(own.select("id", "text", "s1").mapInArrow(task, "id long, n long, shingles binary"), "sets", "lz4")
 
 
-def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    small, large = (a, b) if len(a) <= len(b) else (b, a)
-    if not len(small) or 100 * len(small) < percent * len(large):
-        return False
-    at = np.searchsorted(large, small)
-    at[at == len(large)] = 0
-    both = int((large[at] == small).sum())
-    return 100 * both >= percent * (len(a) + len(b) - both)
+def _met(left: DataFrame, right: DataFrame, key: str, how: str = "inner", sizes: DataFrame | None = None) -> DataFrame:
+    """``left`` joined with ``right``, in which ``key`` is unique.
+
+    Rows of hot keys stay where they are and get the rows of ``right`` that they
+    need by broadcast; all others are dealt by key. A key is hot that more than
+    a thousandth of the rows have, so there are less than a thousand of them.
+    ``sizes`` has (key, __n), where that is known.
+    """
+    n = left.groupBy(key).agg(F.count(F.lit(1)).alias("__n")) if sizes is None else sizes
+    total = (left.count() if sizes is None else sizes.agg(F.sum("__n")).first()[0]) or 0
+    hot = [r[0] for r in n.where(F.col(key).isNotNull() & (F.col("__n") > max(total / 1000, 1000))).select(key).collect()]
+    if not hot:
+        return left.join(right, key, how)
+    warm = left.where(F.col(key).isin(hot)).join(F.broadcast(right.where(F.col(key).isin(hot))), key, how)
+    cold = left.where(~F.coalesce(F.col(key).isin(hot), F.lit(False))).join(right, key, how)
+    return cold.unionByName(warm)
+
+
+_LED = "key long, a long, b long, linked boolean, close boolean, extra int"
 
 
 def led(sets: DataFrame, p: Join) -> DataFrame:
-    """Links (a, b) of sets with the leaders of their groups.
+    """Sets b and the leaders a of their groups, whether they link, whether they
+    are close, and how many shingles b has that a has not; written.
 
     Groups have an equal least shingle under a permutation. A group of more
     than ``group`` sets is split by hash, and the leaders of its parts form a
@@ -310,41 +337,139 @@ def led(sets: DataFrame, p: Join) -> DataFrame:
 
     @worker_task("sets")
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, leader, first = None, 0, None
+        at, leader, first = None, 0, np.empty(0, np.uint64)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int32())
         for batch in batches:
-            out: tuple[list, list, list, list] = ([], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [], [])
             for key, part, id_, content in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
                 s = np.frombuffer(content.as_buffer(), np.uint64)
                 if (key, part) != at:
                     at, leader, first = (key, part), id_, s.copy()
-                for column, value in zip(out, (key, leader, id_, id_ != leader and _linked(first, s, p.percent)), strict=True):
+                n, m = len(first), len(s)
+                both = relations.common(first, s) if id_ != leader and 100 * min(n, m) >= p.percent * max(n, m) else 0
+                row = (key, leader, id_, relations.linked(both, n, m, p.percent), relations.linked(both, n, m, max(p.close, p.percent)), m - both)
+                for column, value in zip(out, row, strict=True):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["key", "a", "b", "linked"])
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=["key", "a", "b", "linked", "close", "extra"])
 
     level = store.written(sets.select("id", "shingles").mapInArrow(keys, "id long, key long").distinct(), "keys")
+    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = None
     while True:
         sizes = level.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        rows = level.join(sizes, "key")
+        sizes = store.written(sizes, "sizes")
+        rows = _met(level, sizes, "key", sizes=sizes.select("key", F.col("size").alias("__n")))
         rows = rows.withColumn("part", F.pmod(F.xxhash64("id", F.lit(5)), F.ceil(F.col("size") / p.group)).cast("int"))
         rows = rows.join(sets.select("id", "shingles"), "id").select("key", "part", "id", "shingles")
-        n = sets.sparkSession.conf.get("spark.sql.shuffle.partitions")
-        done = rows.repartition(int(n), "key", "part").sortWithinPartitions("key", "part", "id").mapInArrow(compare, "key long, a long, b long, linked boolean")
+        done = rows.repartition(n, "key", "part").sortWithinPartitions("key", "part", "id").mapInArrow(compare, _LED)
         done = store.written(done, "led")
-        links = done.where("linked").select("a", "b")
+        links = done.where("linked").select("a", "b", "close", "extra")
         found = links if found is None else found.union(links)
         leaders = done.where("a = b").select(F.col("a").alias("id"), "key")
         again = leaders.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
-        level = leaders.join(again, "key").select("id", "key")
+        level = _met(leaders, again, "key").select("id", "key")
         if level.isEmpty():
             return found
 
 
-def crossed(sets: DataFrame, p: Join) -> DataFrame:
-    """Links (a, b) between sets of different components.
+def grouped(left: DataFrame, near: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Hosts (id, component, n, lo, hi, slack, shingles), and (host, members).
+
+    ``left`` has the sets (id, component, n, shingles), ``near`` close pairs
+    (a, b, extra). A set that has a close leader follows the smallest one that
+    itself follows none; all others are hosts. A host leads ``group`` sets for
+    each permutation and level at most, so its members fit one row.
+    """
+    ids = store.written(left.select("id", "n"), "ids")
+    near = near.join(ids.select(F.col("id").alias("a")), "a", "left_semi").join(ids.select(F.col("id").alias("b")), "b", "left_semi")
+    near = store.written(near, "near")
+    follow = near.join(near.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+    follow = follow.groupBy(F.col("b").alias("id")).agg(F.min(F.struct("a", "extra")).alias("f"))
+    follow = store.written(follow.select("id", F.col("f.a").alias("host"), F.col("f.extra").alias("extra")), "follow")
+
+    @worker_task("sets")
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            minus, plus = [], []
+            for own, host in zip(batch.column(1), batch.column(2), strict=True):
+                y, x = np.frombuffer(own.as_buffer(), np.uint64), np.frombuffer(host.as_buffer(), np.uint64)
+                minus.append(np.setdiff1d(x, y, True).tobytes())
+                plus.append(np.setdiff1d(y, x, True).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(minus, pa.binary()), pa.array(plus, pa.binary())], names=["host", "minus", "plus"])
+
+    both = follow.join(left.select("id", F.col("shingles").alias("own")), "id")
+    both = both.join(left.select(F.col("id").alias("host"), "shingles"), "host").select("host", "own", "shingles")
+    members = both.mapInArrow(differ, "host long, minus binary, plus binary")
+    members = store.written(members.groupBy("host").agg(F.collect_list(F.struct("minus", "plus")).alias("members")), "members")
+    span = follow.join(ids, "id").groupBy("host").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("extra").alias("most"))
+    hosts = left.join(follow.select("id"), "id", "left_anti").join(span.withColumnRenamed("host", "id"), "id", "left")
+    hosts = hosts.select("id", "component", "n", F.least("n", "low").alias("lo"), F.greatest("n", "high").alias("hi"), F.coalesce("most", F.lit(0)).cast("long").alias("slack"), "shingles")
+    return store.written(hosts, "hosts", "lz4"), members
+
+
+def listed(entries: DataFrame, p: Join) -> DataFrame:
+    """Pairs (a, ca, b, cb) of entries (token, id, component, lo, hi, slack, left, parts)
+    that meet in a list and can belong to linked sets.
+
+    A list of several parts has a task for each two of them.
+    """
+    names = ["token", "i", "j", "side", "id", "component", "lo", "hi", "slack", "left"]
+
+    @worker_task("sets")
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def pairs(columns: tuple, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+            a, ca, b, cb = columns[4][x], columns[5][x], columns[4][y], columns[5][y]
+            swap = ca > cb
+            a, b = np.where(swap, b, a), np.where(swap, a, b)
+            ca, cb = np.where(swap, cb, ca), np.where(swap, ca, cb)
+            rows = np.unique(np.stack([a, ca, b, cb], 1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in range(4)], names=["a", "ca", "b", "cb"])
+
+        def met(rows: tuple) -> Iterator[pa.RecordBatch]:
+            token, i, j, side, _, component, lo, hi, slack, left = rows
+            first = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+            length = np.diff(np.append(first, len(token)))
+            brief = (length <= relations.SHORT) & (i[first] == j[first])
+            x, y = relations.short_pairs(first[brief], length[brief], lo, hi, slack, left, component, p.percent)
+            if len(x):
+                yield pairs(rows, x, y)
+            for at in np.flatnonzero(~brief & (length > 1)):
+                s = slice(first[at], first[at] + length[at])
+                part = tuple(c[s] for c in rows)
+                sides = None if i[first[at]] == j[first[at]] else side[s]
+                for x, y in relations.block_pairs(lo[s], hi[s], slack[s], left[s], component[s], p.percent, sides):
+                    yield pairs(part, x, y)
 
-    ``sets`` has (id, component, n, shingles). First the second sieve, then the
-    index over what it leaves.
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = tuple(batch.column(k).to_numpy() for k in range(len(names)))
+            if held:
+                rows = tuple(np.concatenate([h[k] for h in held] + [rows[k]]) for k in range(len(names)))
+            # the last list may go on in the next batch
+            changes = np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1]) | (rows[2][1:] != rows[2][:-1]))
+            cut = int(changes[-1]) + 1 if len(changes) else 0
+            if cut:
+                yield from met(tuple(r[:cut] for r in rows))
+            held = [tuple(r[cut:] for r in rows)]
+        if held:
+            yield from met(held[0])
+
+    own = F.pmod(F.xxhash64("id", F.lit(9)), F.col("parts")).cast("int")
+    dealt = entries.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("token", F.least("own", "other").cast("int").alias("i"), F.greatest("own", "other").cast("int").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), *names[4:])
+    n = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(n, "token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(meet, "a long, ca long, b long, cb long").distinct()
+
+
+def crossed(sets: DataFrame, near: DataFrame, p: Join) -> DataFrame:
+    """Links (a, b) that join sets of different components.
+
+    ``sets`` has (id, component, n, shingles), ``near`` close pairs. First the
+    second sieve, then the index over the hosts of what it leaves. A link of
+    followers is told by their hosts, which are in the same components.
     """
     total = sets.agg(F.sum("n")).first()[0] or 0
     n_cells = total // p.cell_tokens + 1
@@ -361,44 +486,48 @@ def crossed(sets: DataFrame, p: Join) -> DataFrame:
     @worker_task("sets")
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for id_, component, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                t = np.frombuffer(content.as_py(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(np.full(len(t), id_, np.int64)), pa.array(np.full(len(t), component, np.int64)), pa.array(np.full(len(t), len(t), np.int64))], names=["token", "id", "component", "n"])
+            for i in range(batch.num_rows):
+                t = np.frombuffer(batch.column(6)[i].as_buffer(), np.int64)
+                own = [pa.array(np.full(len(t), batch.column(k)[i].as_py(), np.int64)) for k in range(6)]
+                yield pa.RecordBatch.from_arrays([pa.array(t), *own], names=["token", *_ENTRY])
 
     spare = F.col("n") - F.ceil(F.col("n") * p.percent / 100)
     packed = sets.select("id", "component", "shingles").mapInArrow(chunk, _ROW)
     open_ = sieve(packed, n_cells).where(F.col("alone") <= spare).select("id")
     left = store.written(sets.join(open_.distinct(), "id"), "open", "lz4")
-    tokens = left.select("id", "component", "shingles").mapInArrow(spread, "token long, id long, component long, n long")
+    hosts, members = grouped(left, near)
+    tokens = hosts.select(*_ENTRY, "shingles").mapInArrow(spread, "token long, id long, component long, n long, lo long, hi long, slack long")
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("c1"), F.max("component").alias("c2"))
-    shared = shared.where("c1 < c2").select("token", "df")
+    shared = store.written(shared.where("c1 < c2").select("token", "df"), "tokens")
     inside = W.partitionBy("id", "n")
-    entries = tokens.join(shared, "token")
+    entries = _met(tokens, shared, "token", sizes=shared.select("token", F.col("df").alias("__n")))
     entries = entries.withColumn("place", F.row_number().over(inside.orderBy("df", "token")) - 1)
-    entries = entries.withColumn("own", F.col("n") - F.count(F.lit(1)).over(inside))
     # a set's own shingles come first in the order, and count in its prefix
-    entries = entries.withColumn("position", F.col("own") + F.col("place")).where(F.col("position") <= spare)
-    entries = store.written(entries.select("token", "id", "component", "n", "position"), "index")
-    own = left.select("id", "shingles")
+    entries = entries.withColumn("left", F.count(F.lit(1)).over(inside) - F.col("place"))
+    # the least that hosts share whose groups link: a partner has from percent to
+    # 100 / percent of the size, and its followers add at most `rate` of theirs
+    rate = (100 - max(p.close, p.percent)) / max(p.close, p.percent)
+    factor = min(p.percent / 100 * (1 - rate), 1 - rate * 100 / p.percent)
+    least = F.ceil(F.col("lo") * F.lit(max(0.0, factor)) - 1e-9) - F.col("slack")
+    entries = entries.where(F.col("left") >= F.greatest(least, F.lit(1)))
+    entries = entries.withColumn("parts", F.ceil(F.col("df") / p.list_part))
+    entries = store.written(entries.select("token", *_ENTRY, "left", "parts"), "index")
+    own = hosts.select("id", "shingles").join(members.withColumnRenamed("host", "id"), "id", "left")
+    own = store.written(own, "own", "lz4") if not members.isEmpty() else own
     found = []
     for r in range(p.rounds):
         # of each list one set a component, to compare with that of the largest one
         one = entries.groupBy("token", "component").agg(F.count(F.lit(1)).alias("m"), F.min_by("id", F.xxhash64("id", "token", F.lit(r))).alias("id"))
         hub = one.groupBy("token").agg(F.max(F.struct("m", "component", "id")).alias("hub"))
-        near = one.join(hub, "token").where("component <> hub.component")
-        near = near.select(F.col("hub.id").alias("a"), F.col("hub.component").alias("ca"), F.col("id").alias("b"), F.col("component").alias("cb"))
+        meet = _met(one, store.written(hub, "hubs"), "token").where("component <> hub.component")
+        meet = meet.select(F.col("hub.id").alias("a"), F.col("hub.component").alias("ca"), F.col("id").alias("b"), F.col("component").alias("cb"))
         # and of each two components a few such pairs
         h = F.xxhash64("a", "b", F.lit(r))
-        few = near.groupBy("ca", "cb", F.pmod(h, F.lit(p.tries)).alias("try")).agg(F.min(F.struct(h.alias("h"), "a", "b")).alias("p"))
+        few = meet.groupBy("ca", "cb", F.pmod(h, F.lit(p.tries)).alias("try")).agg(F.min(F.struct(h.alias("h"), "a", "b")).alias("p"))
         links = _compared(few.select("p.a", "ca", "p.b", "cb").distinct(), own, p)
         found.append(links)
         entries = store.written(_relabelled(entries, links, "component"), "index")
-    x, y = entries.alias("x"), entries.alias("y")
-    need = F.ceil((F.col("x.n") + F.col("y.n")) * p.percent / F.lit(100 + p.percent))
-    left_x, left_y = F.col("x.n") - F.col("x.position"), F.col("y.n") - F.col("y.position")
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") < F.col("y.component")) & (F.least(left_x, left_y) >= need))
-    pairs = pairs.select(F.col("x.id").alias("a"), F.col("x.component").alias("ca"), F.col("y.id").alias("b"), F.col("y.component").alias("cb")).distinct()
-    pairs = store.written(pairs, "pairs")
+    pairs = store.written(listed(entries, p), "pairs")
     found.append(_compared(pairs, own, p))
     out = found[0]
     for more in found[1:]:
@@ -408,25 +537,35 @@ def crossed(sets: DataFrame, p: Join) -> DataFrame:
 
 def _relabelled(df: DataFrame, links: DataFrame, column: str) -> DataFrame:
     """``df`` with the components in ``column`` joined as ``links`` (ca, cb) tells."""
+    if links.isEmpty():
+        return df
     known = graph.components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
     known = known.where("node <> component").select(F.col("node").alias("__from"), F.col("component").alias("__to"))
-    out = df.join(known, F.col(column) == F.col("__from"), "left")
+    known = store.written(known.withColumnRenamed("__from", column), "merged")
+    out = _met(df, known, column, "left")
     return out.select(*(F.coalesce("__to", c).alias(c) if c == column else F.col(c) for c in df.columns))
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, p: Join) -> DataFrame:
-    """Those of the pairs (a, ca, b, cb) that link, written."""
+    """Those of the pairs of hosts (a, ca, b, cb) whose groups link, written.
+
+    ``sets`` has (id, shingles, members).
+    """
+
+    def group(shingles: pa.Scalar, members: pa.Scalar) -> relations.Group:
+        differ = [tuple(np.frombuffer(m[k], np.uint64) for k in ("minus", "plus")) for m in members.as_py() or []]
+        return relations.Group(np.frombuffer(shingles.as_buffer(), np.uint64), differ)
 
     @worker_task("sets")
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit = [_linked(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), p.percent) for a, b in zip(batch.column(4), batch.column(5), strict=True)]
+            hit = [relations.groups_link(group(sa, ma), group(sb, mb), p.percent) for sa, ma, sb, mb in zip(*(batch.column(k) for k in range(4, 8)), strict=True)]
             kept = pa.array(hit, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(kept) for k in range(4)], names=["a", "ca", "b", "cb"])
 
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = both.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-    return store.written(both.select("a", "ca", "b", "cb", "sa", "sb").mapInArrow(compare, "a long, ca long, b long, cb long"), "links")
+    both = _met(pairs, sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"), F.col("members").alias("ma")), "a")
+    both = _met(both, sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"), F.col("members").alias("mb")), "b")
+    return store.written(both.select("a", "ca", "b", "cb", "sa", "ma", "sb", "mb").mapInArrow(compare, "a long, ca long, b long, cb long"), "links")
 
 
 def components(documents: DataFrame, p: Join = Join()) -> DataFrame:
@@ -435,23 +574,31 @@ def components(documents: DataFrame, p: Join = Join()) -> DataFrame:
     Null and empty texts and texts without words have no shingles and link with
     nothing. Rows with a null id belong to the class of their text, and to no
     component (null) where no row with an id has it. Rows that repeat an id are
-    placed each by its own text. An empty table gives an empty result.
+    placed each by its own text. A pair whose similarity is the limit links. A
+    very long text is one slice of its own and one set, whose shingles a task
+    holds at once. Other columns are ignored, whatever their names. An empty
+    table gives an empty result.
     """
-    marks = marked(documents, p)
-    classes = marks.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.min("maybe").alias("maybe"))
-    wanted = classes.where("maybe and rep is not null").select(F.col("rep").alias("id"), "s1")
-    sets = sets_of(documents, wanted, p)
-    first = led(sets, p)
-    known = graph.components(first)
-    placed = sets.join(known.select(F.col("node").alias("id"), "component"), "id", "left")
-    placed = placed.withColumn("component", F.coalesce("component", "id"))
-    more = crossed(placed.select("id", "component", "n", "shingles"), p)
-    found = graph.components(first.union(more))
-    classes = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    classes = classes.select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
-    out = marks.join(classes, ["n", "s1", "s2"], "left")
-    same_id = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", F.when(F.col("n") == 0, F.col("id"))).alias("component_id"))
-    return same_id
+    with store.scope() as held:
+        marks = held.keep(marked(documents.select("doc_id", "text"), p))
+        classes = marks.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.min("maybe").alias("maybe"))
+        wanted = classes.where("maybe and rep is not null").select(F.col("rep").alias("id"), "s1")
+        sets = sets_of(documents, wanted, p)
+        links = led(sets, p)
+        first = links.select("a", "b")
+        known = graph.components(first)
+        placed = sets.join(known.select(F.col("node").alias("id"), "component"), "id", "left")
+        placed = placed.withColumn("component", F.coalesce("component", "id"))
+        more = crossed(placed.select("id", "component", "n", "shingles"), links.where("close").select("a", "b", "extra"), p)
+        found = graph.components(first.union(more))
+        classes = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
+        classes = classes.select(F.struct("n", "s1", "s2").alias("set"), F.coalesce("component", "rep").alias("component"))
+        classes = held.keep(store.written(classes, "classes"))
+    some = marks.where("n > 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.struct("n", "s1", "s2").alias("set"))
+    copies = some.groupBy("set").agg(F.count(F.lit(1)).alias("__n"))
+    # null where only rows with a null id have the set
+    out = _met(some, classes, "set", sizes=copies).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    return out.union(marks.where("n = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
 
 
 def keep_first(documents: DataFrame, p: Join = Join()) -> DataFrame:

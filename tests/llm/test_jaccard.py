@@ -56,12 +56,59 @@ def corpus(seed, bases=12):
 @pytest.mark.parametrize(("seed", "small"), [(1, False), (2, True), (3, True)])
 def test_against_all_pairs(spark, seed, small):
     rows = corpus(seed)
-    p = jaccard.Join(group=3, cell_tokens=500, permutations=1, tries=2) if small else jaccard.Join()
+    p = jaccard.Join(group=3, cell_tokens=500, permutations=1, tries=2, close=80, list_part=5) if small else jaccard.Join()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = sorted(tuple(r) for r in jaccard.components(df, p).select("doc_id", "n_shingles", "component_id").collect())
     assert got == sorted(brute(rows))
 
 
+def test_links_that_only_followers_have(spark):
+    """x, its follower y, and z, which links with y and not with x."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(12):
+        x = [f"w{rng.randrange(10**6)}" for _ in range(204)]
+        y = list(x)
+        y[20] = f"y{k}"
+        z = list(y)
+        n = 0
+        while True:  # edits far from each other, until one more would break the link with y
+            more = list(z)
+            more[40 + 12 * n] = f"z{k}.{n}"
+            if len(sets(" ".join(more)) & sets(" ".join(y))) * 100 < 75 * len(sets(" ".join(more)) | sets(" ".join(y))):
+                break
+            z, n = more, n + 1
+        rows += [(3 * k, " ".join(x)), (3 * k + 1, " ".join(y)), (3 * k + 2, " ".join(z))]
+        assert len(sets(rows[-1][1]) & sets(rows[-3][1])) * 100 < 75 * len(sets(rows[-1][1]) | sets(rows[-3][1]))
+    expected = sorted(brute(rows))
+    assert all(c == 3 * (i // 3) for i, _, c in expected)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for p in (jaccard.Join(), jaccard.Join(permutations=1, rounds=0, list_part=2)):
+        assert sorted(map(tuple, jaccard.components(df, p).collect())) == expected
+
+
+def test_tables_are_dropped(spark):
+    from pagemill.llm import store
+
+    before = set(store._OPEN)
+    out = jaccard.components(spark.createDataFrame([(a, b, 1, 2) for a, b in corpus(6, 4)], "doc_id long, text string, s1 long, component long"))
+    assert len(set(store._OPEN) - before) <= 2 and out.count() == len(corpus(6, 4))
+    with pytest.raises(RuntimeError), store.scope():
+        store.written(spark.range(3), "x")
+        raise RuntimeError
+    assert len(set(store._OPEN) - before) <= 2
+
+
+def test_hot_keys_are_joined_by_broadcast(spark):
+    left = spark.range(4000).selectExpr("if(id % 2 = 0, 7, id) as k", "id as v").union(spark.createDataFrame([(None, 1)], "k long, v long"))
+    right = spark.range(3000).selectExpr("id as k", "id * 10 as w")
+    for how in ("inner", "left"):
+        key = lambda df: sorted(map(tuple, df.select("k", "v", "w").collect()), key=repr)
+        met = jaccard._met(left, right, "k", how)
+        assert key(met) == key(left.join(right, "k", how))
+        assert "Union" in met._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_other_thresholds(spark):
     rows = corpus(4, 6)
     df = spark.createDataFrame(rows, "doc_id long, text string")
