@@ -81,7 +81,7 @@ def test_answers_are_derived_from_the_hosts():
     said, links = 0, {True: 0, False: 0}
     for _ in range(400):
         base = np.unique(rng.integers(0, 1000, 80).astype(np.uint64))
-        other = np.union1d(rng.choice(base, int(len(base) * rng.uniform(0.72, 0.92)), replace=False), rng.integers(1000, 2000, rng.integers(8, 12)).astype(np.uint64))
+        other = np.union1d(rng.choice(base, int(len(base) * rng.uniform(0.66, 0.9)), replace=False), rng.integers(1000, 2000, rng.integers(8, 12)).astype(np.uint64))
         a, left = group(rng, base, 4, 3, other)
         b, right = group(rng, other, 3, 3, base)
         truth = any(r.linked(len(np.intersect1d(x, y)), len(x), len(y), 75) for x in left for y in right)
@@ -93,7 +93,7 @@ def test_answers_are_derived_from_the_hosts():
         if truth and not hosts:
             assert seen["derived"] >= 1
             said += 1
-    assert min(links.values()) > 20 and said > 10
+    assert min(links.values()) > 20 and said > 20
 
 
 def test_common_and_need():
