@@ -592,9 +592,9 @@ def components(documents: DataFrame, p: Join = Join()) -> DataFrame:
         more = crossed(placed.select("id", "component", "n", "shingles"), links.where("close").select("a", "b", "extra"), p)
         found = graph.components(first.union(more))
         classes = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
-        classes = classes.select(F.struct("n", "s1", "s2").alias("set"), F.coalesce("component", "rep").alias("component"))
+        classes = classes.select(F.concat_ws(" ", "n", "s1", "s2").alias("set"), F.coalesce("component", "rep").alias("component"))
         classes = held.keep(store.written(classes, "classes"))
-    some = marks.where("n > 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.struct("n", "s1", "s2").alias("set"))
+    some = marks.where("n > 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.concat_ws(" ", "n", "s1", "s2").alias("set"))
     copies = some.groupBy("set").agg(F.count(F.lit(1)).alias("__n"))
     # null where only rows with a null id have the set
     out = _met(some, classes, "set", sizes=copies).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
