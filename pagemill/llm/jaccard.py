@@ -66,7 +66,7 @@ class Join:
     region: float = 0.4
     permutations: int = 4
     group: int = 200
-    rounds: int = 2
+    rounds: int = 1
     tries: int = 32
     cell_tokens: int = 1_000_000
     close: int = 95
@@ -298,10 +298,13 @@ def _met(left: DataFrame, right: DataFrame, key: str, how: str = "inner", sizes:
     Rows of hot keys stay where they are and get the rows of ``right`` that they
     need by broadcast; all others are dealt by key. A key is hot that more than
     a thousandth of the rows have, so there are less than a thousand of them.
-    ``sizes`` has (key, __n), where that is known.
+    ``sizes`` has (key, __n), where that is known. What is given is read more
+    than once and should be a table.
     """
     n = left.groupBy(key).agg(F.count(F.lit(1)).alias("__n")) if sizes is None else sizes
     total = (left.count() if sizes is None else sizes.agg(F.sum("__n")).first()[0]) or 0
+    if total <= 1000:
+        return left.join(right, key, how)
     hot = [r[0] for r in n.where(F.col(key).isNotNull() & (F.col("__n") > max(total / 1000, 1000))).select(key).collect()]
     if not hot:
         return left.join(right, key, how)
@@ -366,10 +369,10 @@ def led(sets: DataFrame, p: Join) -> DataFrame:
         links = done.where("linked").select("a", "b", "close", "extra")
         found = links if found is None else found.union(links)
         leaders = done.where("a = b").select(F.col("a").alias("id"), "key")
-        again = leaders.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
-        level = _met(leaders, again, "key").select("id", "key")
-        if level.isEmpty():
+        again = store.written(leaders.groupBy("key").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1"), "again")
+        if again.isEmpty():
             return found
+        level = store.written(_met(leaders, again.select("key"), "key", sizes=again).select("id", "key"), "keys")
 
 
 def grouped(left: DataFrame, near: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -513,18 +516,19 @@ def crossed(sets: DataFrame, near: DataFrame, p: Join) -> DataFrame:
     entries = entries.withColumn("parts", F.ceil(F.col("df") / p.list_part))
     entries = store.written(entries.select("token", *_ENTRY, "left", "parts"), "index")
     own = hosts.select("id", "shingles").join(members.withColumnRenamed("host", "id"), "id", "left")
-    own = store.written(own, "own", "lz4") if not members.isEmpty() else own
+    own = store.written(own, "own", "lz4")
     found = []
     for r in range(p.rounds):
         # of each list one set a component, to compare with that of the largest one
         one = entries.groupBy("token", "component").agg(F.count(F.lit(1)).alias("m"), F.min_by("id", F.xxhash64("id", "token", F.lit(r))).alias("id"))
-        hub = one.groupBy("token").agg(F.max(F.struct("m", "component", "id")).alias("hub"))
-        meet = _met(one, store.written(hub, "hubs"), "token").where("component <> hub.component")
+        one = store.written(one, "ones")
+        hub = store.written(one.groupBy("token").agg(F.max(F.struct("m", "component", "id")).alias("hub"), F.count(F.lit(1)).alias("__n")).where("__n > 1"), "hubs")
+        meet = _met(one, hub.drop("__n"), "token", sizes=hub.select("token", "__n")).where("component <> hub.component")
         meet = meet.select(F.col("hub.id").alias("a"), F.col("hub.component").alias("ca"), F.col("id").alias("b"), F.col("component").alias("cb"))
         # and of each two components a few such pairs
         h = F.xxhash64("a", "b", F.lit(r))
         few = meet.groupBy("ca", "cb", F.pmod(h, F.lit(p.tries)).alias("try")).agg(F.min(F.struct(h.alias("h"), "a", "b")).alias("p"))
-        links = _compared(few.select("p.a", "ca", "p.b", "cb").distinct(), own, p)
+        links = _compared(store.written(few.select("p.a", "ca", "p.b", "cb").distinct(), "few"), own, p)
         found.append(links)
         entries = store.written(_relabelled(entries, links, "component"), "index")
     pairs = store.written(listed(entries, p), "pairs")
@@ -549,7 +553,7 @@ def _relabelled(df: DataFrame, links: DataFrame, column: str) -> DataFrame:
 def _compared(pairs: DataFrame, sets: DataFrame, p: Join) -> DataFrame:
     """Those of the pairs of hosts (a, ca, b, cb) whose groups link, written.
 
-    ``sets`` has (id, shingles, members).
+    ``pairs`` is a table, ``sets`` one of (id, shingles, members).
     """
 
     def group(shingles: pa.Scalar, members: pa.Scalar) -> relations.Group:
@@ -564,7 +568,7 @@ def _compared(pairs: DataFrame, sets: DataFrame, p: Join) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(kept) for k in range(4)], names=["a", "ca", "b", "cb"])
 
     both = _met(pairs, sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"), F.col("members").alias("ma")), "a")
-    both = _met(both, sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"), F.col("members").alias("mb")), "b")
+    both = _met(both, sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"), F.col("members").alias("mb")), "b", sizes=pairs.groupBy("b").agg(F.count(F.lit(1)).alias("__n")))
     return store.written(both.select("a", "ca", "b", "cb", "sa", "ma", "sb", "mb").mapInArrow(compare, "a long, ca long, b long, cb long"), "links")
 
 
