@@ -15,6 +15,7 @@ PLAIN = {"ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "ł":
 #: What may stand at the edges of a word and is taken off.
 PUNCTUATION = string.punctuation
 
+#: Signs that become an apostrophe.
 APOSTROPHES = "[‘’‚‛′`]"
 KEPT = "a-zA-Z0-9' .;,\"$/@!?&\\-()_"
 
@@ -97,21 +98,45 @@ def clean(c: Column, upto: str = "trim") -> Column:
     raise ValueError(f"no cleaning step is named {upto}")
 
 
-def words(c: Column) -> Column:
-    """Tokens: contractions and "cannot" cut, punctuation off the edges.
-
-    Works on cleaned text, in which word characters are ASCII.
-    """
+def _pieces(c: Column) -> Column:
+    """Pieces between white space, with signs and contractions cut off."""
     x = F.regexp_replace(c, r"([^\w\s'.-])", " $1 ")
     x = F.regexp_replace(x, r"\.(\s|$)", " . $1")
     x = F.regexp_replace(x, r"(?i)\b(can)(not)\b", "$1 $2")
     x = F.regexp_replace(x, r"(?i)(n't)\b", " $1")
     x = F.regexp_replace(x, r"(?i)('s|'m|'d|'ll|'re|'ve)\b", " $1")
+    return F.split(x, r"\s+")
+
+
+def words(c: Column) -> Column:
+    """Tokens: contractions and "cannot" cut, punctuation off the edges.
+
+    Works on cleaned text, in which word characters are ASCII.
+    """
     bare = lambda t: F.btrim(t, F.lit(PUNCTUATION))
-    edged = F.transform(F.split(x, r"\s+"), lambda t: F.when(t.startswith("'") & (bare(t) != ""), t).otherwise(bare(t)))
+    edged = F.transform(_pieces(c), lambda t: F.when(t.startswith("'") & (bare(t) != ""), t).otherwise(bare(t)))
     return F.filter(edged, lambda t: t != "")
 
 
+def tokens(c: Column) -> Column:
+    """The tokens of :func:`words`, and between them the punctuation around them."""
+    marks = F.lit(PUNCTUATION)
+
+    def cut(t: Column) -> Column:
+        rest = F.ltrim(t, marks)
+        core = F.rtrim(rest, marks)
+        lead = F.substring(t, F.lit(1), F.length(t) - F.length(rest))
+        tail = F.substring(rest, F.length(core) + 1, F.length(rest))
+        return F.when((core == "") | t.startswith("'"), F.array(t)).otherwise(F.array(lead, core, tail))
+
+    return F.filter(F.flatten(F.transform(_pieces(c), cut)), lambda t: t != "")
+
+
+def spaced(tokens: Column) -> Column:
+    """Text of tokens: a space before each that has a letter or digit; signs are glued."""
+    return F.trim(F.array_join(F.transform(tokens, lambda t: F.concat(F.when(t.rlike("[A-Za-z0-9]"), " ").otherwise(""), t)), ""))
+
+
 def counted(tokens: Column) -> Column:
     """Tokens as reports count them: lower case, without edge punctuation."""
     return F.filter(F.transform(tokens, lambda t: F.btrim(F.lower(t), F.lit(PUNCTUATION))), lambda t: t != "")

@@ -72,12 +72,13 @@ def wiki_links(body: Column) -> Column:
 
 
 def wiki_text(body: Column) -> Column:
-    """Letters of the body without its markup, single spaces between words."""
+    """Letters of the body without its markup, single spaces between words.
+
+    References, templates, links with their text, tables, headings, tags,
+    entities and words with an underscore go; letters of any script stay.
+    """
     c = body
-    for pattern in (r"(?s)&lt;ref.*?/(?:ref)?&gt;", r"(?s)<ref.*?/(?:ref)?>", r"(?s)\{\|.*?\|\}", r"(?s)\{\{[^{}]*\}\}", r"(?s)\{\{[^{}]*\}\}", r"\[\[[^\]]*:[^\]]*\]\]"):
-        c = F.regexp_replace(c, pattern, " ")
-    c = F.regexp_replace(c, r"\[\[[^\]|]*\|([^\]]*)\]\]", "$1")
-    for pattern in (r"\[https?:[^\]]*\]", r"=+[^=\n]*=+", r"<[^>]*>", r"&[a-z]+;", r"\S*_\S*", r"[^A-Za-z]"):
+    for pattern in (r"(?s)&lt;ref.*?/(?:ref)?&gt;", r"(?s)<ref.*?/(?:ref)?>", r"(?s)\{\{[^{}]*\}\}", r"(?s)\{\{[^{}]*\}\}", r"(?s)\[\[.*?\]\]", r"(?s)\{[^{}]*\}", r"(?s)\[[^\[\]]*\]", r"==+[^=\n]*==+", r"(?s)&lt;.*?&gt;", r"<[^>]*>", r"&[a-z]+;", r"\S*_\S*", r"[^\p{L}]"):
         c = F.regexp_replace(c, pattern, " ")
     return F.trim(F.regexp_replace(c, " +", " "))
 

@@ -79,7 +79,7 @@ def corrected_tokens(rows: DataFrame, key: str, dictionary: DataFrame, column: s
     ``kind`` is punctuation (no letter or digit), other (not all letters) or
     word; only words are looked up. Case is restored.
     """
-    tokens = rows.select(key, F.posexplode_outer(text.words(F.col(column))).alias("pos", "token")).where("token is not null")
+    tokens = rows.select(key, F.posexplode_outer(text.tokens(F.col(column))).alias("pos", "token")).where("token is not null")
     kind = F.when(~F.col("token").rlike("[A-Za-z0-9]"), "punctuation").when(~F.col("token").rlike("^[A-Za-z]+$"), "other").otherwise("word")
     tokens = tokens.withColumn("kind", kind).withColumn("word", F.when(F.col("kind") == "word", F.lower("token")))
     found = suggestions(tokens.where("word is not null"), dictionary, edits)
@@ -90,12 +90,16 @@ def corrected_tokens(rows: DataFrame, key: str, dictionary: DataFrame, column: s
 
 
 def _joined(tokens: DataFrame, rows: DataFrame, key: str, value: str) -> DataFrame:
-    made = tokens.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", value))), lambda x: x[value]), " ").alias("made"))
+    """(key, text): tokens in order, signs glued to what stands before them."""
+    made = tokens.groupBy(key).agg(text.spaced(F.transform(F.array_sort(F.collect_list(F.struct("pos", value))), lambda x: x[value])).alias("made"))
     return rows.select(key).join(made, key, "left").select(key, F.coalesce("made", F.lit("")).alias("text"))
 
 
 def autocorrected(rows: DataFrame, key: str, dictionary: DataFrame, remove: bool = False, column: str = "text", edits: int = 2) -> DataFrame:
-    """(key, text) with words corrected; ``remove`` drops what stays unknown."""
+    """(key, text) with words corrected; ``remove`` drops what stays unknown.
+
+    Punctuation stays either way, glued to the token before it.
+    """
     tokens = corrected_tokens(rows, key, dictionary, column, edits)
     if remove:
         tokens = tokens.where((F.col("confidence") > 0) | (F.col("kind") == "punctuation"))
@@ -104,7 +108,7 @@ def autocorrected(rows: DataFrame, key: str, dictionary: DataFrame, remove: bool
 
 def known_only(rows: DataFrame, key: str, dictionary: DataFrame, column: str = "text") -> DataFrame:
     """(key, text) of the words that the dictionary knows, and punctuation."""
-    tokens = rows.select(key, F.posexplode_outer(text.words(F.col(column))).alias("pos", "token")).where("token is not null")
+    tokens = rows.select(key, F.posexplode_outer(text.tokens(F.col(column))).alias("pos", "token")).where("token is not null")
     known = tokens.join(dictionary.select("word"), F.lower("token") == F.col("word"), "left_semi")
     marks = tokens.where(~F.col("token").rlike("[A-Za-z0-9]"))
     return _joined(known.unionByName(marks), rows, key, "token")

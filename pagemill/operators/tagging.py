@@ -76,10 +76,11 @@ def lemmas(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
 def lemmatized(rows: DataFrame, key: str, dictionary: DataFrame, column: str = "text") -> DataFrame:
     """(key, text) with every token replaced by its lemma, in lower case.
 
-    Lemmas are found for distinct words; tokens get them by a join.
+    Lemmas are found for distinct words; tokens get them by a join. Punctuation
+    stays, glued to the token before it.
     """
-    tokens = rows.select(key, F.posexplode_outer(text.words(F.col(column))).alias("pos", "token")).where("token is not null")
+    tokens = rows.select(key, F.posexplode_outer(text.tokens(F.col(column))).alias("pos", "token")).where("token is not null")
     tokens = tokens.withColumn("class", word_class(tag(F.col("token")))).withColumn("word", F.lower("token"))
     done = tokens.join(lemmas(tokens, dictionary), ["word", "class"])
-    made = done.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "lemma"))), lambda x: x["lemma"]), " ").alias("lemmas"))
+    made = done.groupBy(key).agg(text.spaced(F.transform(F.array_sort(F.collect_list(F.struct("pos", "lemma"))), lambda x: x["lemma"])).alias("lemmas"))
     return rows.select(key).join(made, key, "left").select(key, F.coalesce("lemmas", F.lit("")).alias("text"))

