@@ -31,6 +31,7 @@ about (see :mod:`pagemill.llm.grams`).
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -58,7 +59,9 @@ class Join:
     and ``tries`` the rounds and pairs for which two components are tried first,
     ``cell_tokens`` the shingles that a sieve's task sorts at once. A set that
     shares ``close`` percent with its leader follows it. ``list_part`` is the
-    number of entries of a list that two tasks' parts are made of.
+    number of entries of a list that two tasks' parts are made of. Where an
+    entry meets ``dense`` others of its list or fewer on average, nothing is
+    tried first: the lists themselves are no dearer, and the links are the same.
     """
 
     k: int = 5
@@ -71,6 +74,7 @@ class Join:
     cell_tokens: int = 1_000_000
     close: int = 95
     list_part: int = 8192
+    dense: int = 64
 
 
 def least_shared(n: np.ndarray, percent: int) -> np.ndarray:
@@ -302,12 +306,11 @@ def _met(left: DataFrame, right: DataFrame, key: str, how: str = "inner", sizes:
     than once and should be a table.
     """
     n = left.groupBy(key).agg(F.count(F.lit(1)).alias("__n")) if sizes is None else sizes
-    total = (left.count() if sizes is None else sizes.agg(F.sum("__n")).first()[0]) or 0
-    if total <= 1000:
-        return left.join(right, key, how)
-    hot = [r[0] for r in n.where(F.col(key).isNotNull() & (F.col("__n") > max(total / 1000, 1000))).select(key).collect()]
-    if not hot:
+    total, most = n.where(F.col(key).isNotNull()).agg(F.sum("__n"), F.max("__n")).first()
+    limit = max((total or 0) / 1000, 1000)
+    if (most or 0) <= limit:
         return left.join(right, key, how)
+    hot = [r[0] for r in n.where(F.col(key).isNotNull() & (F.col("__n") > limit)).select(key).collect()]
     warm = left.where(F.col(key).isin(hot)).join(F.broadcast(right.where(F.col(key).isin(hot))), key, how)
     cold = left.where(~F.coalesce(F.col(key).isin(hot), F.lit(False))).join(right, key, how)
     return cold.unionByName(warm)
@@ -356,7 +359,6 @@ def led(sets: DataFrame, p: Join) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=["key", "a", "b", "linked", "close", "extra"])
 
     level = store.written(sets.select("id", "shingles").mapInArrow(keys, "id long, key long").distinct(), "keys")
-    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = None
     while True:
         sizes = level.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -364,7 +366,7 @@ def led(sets: DataFrame, p: Join) -> DataFrame:
         rows = _met(level, sizes, "key", sizes=sizes.select("key", F.col("size").alias("__n")))
         rows = rows.withColumn("part", F.pmod(F.xxhash64("id", F.lit(5)), F.ceil(F.col("size") / p.group)).cast("int"))
         rows = rows.join(sets.select("id", "shingles"), "id").select("key", "part", "id", "shingles")
-        done = rows.repartition(n, "key", "part").sortWithinPartitions("key", "part", "id").mapInArrow(compare, _LED)
+        done = rows.repartition("key", "part").sortWithinPartitions("key", "part", "id").mapInArrow(compare, _LED)
         done = store.written(done, "led")
         links = done.where("linked").select("a", "b", "close", "extra")
         found = links if found is None else found.union(links)
@@ -383,7 +385,7 @@ def grouped(left: DataFrame, near: DataFrame) -> tuple[DataFrame, DataFrame]:
     itself follows none; all others are hosts. A host leads ``group`` sets for
     each permutation and level at most, so its members fit one row.
     """
-    ids = store.written(left.select("id", "n"), "ids")
+    ids = left.select("id", "n")
     near = near.join(ids.select(F.col("id").alias("a")), "a", "left_semi").join(ids.select(F.col("id").alias("b")), "b", "left_semi")
     near = store.written(near, "near")
     follow = near.join(near.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
@@ -463,8 +465,7 @@ def listed(entries: DataFrame, p: Join) -> DataFrame:
     own = F.pmod(F.xxhash64("id", F.lit(9)), F.col("parts")).cast("int")
     dealt = entries.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("token", F.least("own", "other").cast("int").alias("i"), F.greatest("own", "other").cast("int").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), *names[4:])
-    n = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(n, "token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(meet, "a long, ca long, b long, cb long").distinct()
+    return dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(meet, "a long, ca long, b long, cb long").distinct()
 
 
 def crossed(sets: DataFrame, near: DataFrame, p: Join) -> DataFrame:
@@ -518,7 +519,8 @@ def crossed(sets: DataFrame, near: DataFrame, p: Join) -> DataFrame:
     own = hosts.select("id", "shingles").join(members.withColumnRenamed("host", "id"), "id", "left")
     own = store.written(own, "own", "lz4")
     found = []
-    for r in range(p.rounds):
+    meets = shared.agg(F.sum(F.col("df").cast("double") * F.col("df")) / F.sum("df")).first()[0] or 0
+    for r in range(p.rounds if meets > p.dense else 0):
         # of each list one set a component, to compare with that of the largest one
         one = entries.groupBy("token", "component").agg(F.count(F.lit(1)).alias("m"), F.min_by("id", F.xxhash64("id", "token", F.lit(r))).alias("id"))
         one = store.written(one, "ones")
@@ -533,10 +535,7 @@ def crossed(sets: DataFrame, near: DataFrame, p: Join) -> DataFrame:
         entries = store.written(_relabelled(entries, links, "component"), "index")
     pairs = store.written(listed(entries, p), "pairs")
     found.append(_compared(pairs, own, p))
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return out.select("a", "b")
+    return functools.reduce(DataFrame.union, found).select("a", "b")
 
 
 def _relabelled(df: DataFrame, links: DataFrame, column: str) -> DataFrame:
@@ -594,7 +593,9 @@ def components(documents: DataFrame, p: Join = Join()) -> DataFrame:
         placed = sets.join(known.select(F.col("node").alias("id"), "component"), "id", "left")
         placed = placed.withColumn("component", F.coalesce("component", "id"))
         more = crossed(placed.select("id", "component", "n", "shingles"), links.where("close").select("a", "b", "extra"), p)
-        found = graph.components(first.union(more))
+        # what is joined so far is a star for each component, and the new links come to it
+        stars = known.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        found = known if more.isEmpty() else graph.components(stars.union(more))
         classes = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
         classes = classes.select(F.concat_ws(" ", "n", "s1", "s2").alias("set"), F.coalesce("component", "rep").alias("component"))
         classes = held.keep(store.written(classes, "classes"))

@@ -56,7 +56,7 @@ def corpus(seed, bases=12):
 @pytest.mark.parametrize(("seed", "small"), [(1, False), (2, True), (3, True)])
 def test_against_all_pairs(spark, seed, small):
     rows = corpus(seed)
-    p = jaccard.Join(group=3, cell_tokens=500, permutations=1, tries=2, close=80, list_part=5) if small else jaccard.Join()
+    p = jaccard.Join(group=3, cell_tokens=500, permutations=1, tries=2, close=80, list_part=5, dense=0) if small else jaccard.Join()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = sorted(tuple(r) for r in jaccard.components(df, p).select("doc_id", "n_shingles", "component_id").collect())
     assert got == sorted(brute(rows))
