@@ -170,7 +170,9 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     if o.corrections:
         keyed = pages.withColumn("text", F.col("raw_text")).withColumn("__key", F.concat_ws("\u0001", "file_path", F.col("page_no").cast("string")))
         log = spelling.correction_log(keyed.select("__key", "text"), "__key", dictionary)
-        log = log.orderBy("__key", "pos").select(F.col("word").alias("Unknown Word"), F.col("attempted").alias("Correction Attempted"), F.col("correction").alias("Correction"), F.col("confidence").alias("Confidence"))
+        # pages in their order by number, not as text
+        places = pg.with_overall(pages).select(F.concat_ws("\u0001", "file_path", F.col("page_no").cast("string")).alias("__key"), "page_no_overall")
+        log = log.join(places, "__key").orderBy("page_no_overall", "pos").select(F.col("word").alias("Unknown Word"), F.col("attempted").alias("Correction Attempted"), F.col("correction").alias("Correction"), F.col("confidence").alias("Confidence"))
         sinks.write_one(log, f"{name}-corrections.csv")
     if not o.quiet:
         print(pg.corpus_stats(shown).first().asDict())
