@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, licenses, mixing, pii, quality_model, quality_rules, tokens, vectors, warc
+from . import bpe, jaccard, licenses, merkle, mixing, pieces, pii, quality_model, quality_rules, tokens, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,14 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
+
+
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
@@ -85,6 +93,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_warc": op9_warc,
         "op10_quality_classifier": op10_quality_classifier,
+        "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_pieces": op12_pieces,
     }
 
 
@@ -122,6 +132,47 @@ SELECT page_id, CAST(size AS BIGINT) AS payload_bytes,
 FROM p JOIN o ON h = d"""
 
 
+
+def _merkle_sql(source_levels: int = 14, levels: int = 7) -> str:
+    """The manifest in SQL, with the levels unrolled: up to 3 ** 14 rows of a source, 3 ** 7 sources.
+
+    A tree that has one node left stays as it is. ``lft`` and ``rgt`` are the
+    siblings of a node in its run.
+    """
+    part = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || {0}, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(part.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    step = "list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda r, i: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)"
+    crc = f"xor(list_reduce(list_prepend(4294967295, [CAST(ord(x) AS BIGINT) FOR x IN string_split(CAST(doc_id AS VARCHAR), '')]), lambda c, b: {step}), 4294967295)"
+    run = "OVER (PARTITION BY key, pos // 3 ORDER BY pos ROWS BETWEEN"
+    with_siblings = f"SELECT *, coalesce(string_agg(h, '') {run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lft, coalesce(string_agg(h, '') {run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rgt FROM "
+
+    def tree(p: str, first: str, upto: int) -> list[str]:
+        out = [f"{p}0 AS ({with_siblings}({first}))"]
+        for i in range(upto):
+            up = f"SELECT key, pos // 3 AS pos, CAST(ceil(any_value(n) / 3.0) AS BIGINT) AS n, CASE WHEN any_value(n) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY pos)) END AS h FROM {p}{i} GROUP BY key, pos // 3"
+            out.append(f"{p}{i + 1} AS ({with_siblings}({up}))")
+        return out
+
+    ctes = [
+        f"d0 AS (SELECT doc_id, source, {leaf('text')} AS leaf, CASE WHEN doc_id IS NOT NULL AND ({crc}) % 2 = 0 THEN {leaf("replace(text, chr(10), '')")} ELSE {leaf('text')} END AS altered FROM documents)",
+        "d AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM d0)",
+        *tree("a", "SELECT source AS key, pos, n, leaf AS h FROM d", source_levels),
+        f"t AS (SELECT key AS source, h FROM a{source_levels})",
+        *tree("b", "SELECT 0 AS key, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n, h FROM t", levels),
+        "s AS (SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS spos FROM t)",
+        f"f0 AS (SELECT d.*, subroot, spos, altered AS f, '' AS proof, (SELECT h FROM b{levels}) AS root FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source)",
+    ]
+    at = 0
+    for p, key, pos, upto in (("a", "source", "pos", source_levels), ("b", "0", "spos", levels)):
+        for i in range(upto):
+            ctes.append(f"f{at + 1} AS (SELECT f.* REPLACE (CASE WHEN g.n = 1 THEN f ELSE sha256(lft || f || rgt) END AS f, proof || lft || rgt AS proof) FROM f{at} f JOIN {p}{i} g ON {key if key == '0' else 'f.source'} IS NOT DISTINCT FROM g.key AND f.{pos} // {3**i} = g.pos)")
+            at += 1
+    return "WITH " + ",\n".join(ctes) + f"\nSELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, f AS folded_root, f = root AS verified FROM f{at}"
+
+
+OP11_SQL = _merkle_sql()
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that it can express; the others have tests."""
-    return {"op5_embedding_range_join": OP5_SQL, "op6_jaccard": OP6_SQL, "op9_warc": OP9_SQL}
+    return {"op5_embedding_range_join": OP5_SQL, "op6_jaccard": OP6_SQL, "op9_warc": OP9_SQL, "op11_merkle_manifest": OP11_SQL}
