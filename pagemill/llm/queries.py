@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, licenses, merkle, mixing, pieces, pii, quality_model, quality_rules, tokens, vectors, warc
+from . import bpe, erasure, jaccard, licenses, merkle, mixing, pieces, pii, quality_model, quality_rules, tokens, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +81,11 @@ def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
 
+def op13_erasure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = (_table(spark, sf_dir, name) for name in ("clients", "clicks", "sales", "sale_lines"))
+    return erasure.erased(*tables, erasure.new_folder(spark))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
@@ -95,6 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_quality_classifier": op10_quality_classifier,
         "op11_merkle_manifest": op11_merkle_manifest,
         "op12_pieces": op12_pieces,
+        "op13_erasure": op13_erasure,
     }
 
 
