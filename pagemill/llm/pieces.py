@@ -8,7 +8,8 @@ over buckets by the chunk, and a bucket segments each of its chunks once for
 the whole corpus. Ids go back to the blocks in the order in which the block
 listed its chunks, and there each place of a text gets the ids of its chunk.
 
-Texts cross the network once, chunks and ids once for each block that has them.
+Texts cross the network once, chunks and ids once for each block that has them,
+all of them in packs that Zstandard has compressed.
 All of a block's steps but the segmentation are vectorised.
 """
 
@@ -22,6 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +42,7 @@ class Cut:
     bounds their number, and with it the number of tasks and of rows.
     """
 
-    block_bytes: int = 24 << 20
+    block_bytes: int = 16 << 20
     slice_bytes: int = 3 << 20
     bucket_bytes: int = 8 << 20
     most_buckets: int = 20_000
@@ -136,7 +138,7 @@ def encoded(documents: DataFrame, model_path: str, p: Cut = Cut(), key: str = "d
     blocks, buckets = _blocks(docs, "text", p)
     tasks = min(blocks, 20_000)
     # rows that share an id are dealt by their texts
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(tasks, "block")
+    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).mapInArrow(worker_task("pieces")(_pack_rows), "block int, pack binary").repartition(tasks, "block")
 
     @worker_task("pieces")
     def list_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,14 +146,14 @@ def encoded(documents: DataFrame, model_path: str, p: Cut = Cut(), key: str = "d
             chunks, bucket = listed(parts, buckets)
             start, end = _rows(bucket)
             size = pc.binary_length(chunks).to_numpy().astype("<u4")
-            packed = [b"".join(chunks[i:j].cast(pa.large_binary()).to_pylist()) for i, j in zip(start, end, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array([block] * len(start), pa.int32()), pa.array(bucket[start], pa.int32()), pa.array([size[i:j].tobytes() for i, j in zip(start, end, strict=True)], pa.binary()), pa.array(packed, pa.binary())], ["block", "bucket", "sizes", "chunks"])
+            packed = [_squeezed(size[i:j].tobytes(), b"".join(chunks[i:j].cast(pa.large_binary()).to_pylist())) for i, j in zip(start, end, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array([block] * len(start), pa.int32()), pa.array(bucket[start], pa.int32()), pa.array(packed, pa.binary())], ["block", "bucket", "chunks"])
 
         held: dict[int, list[pa.Array]] = {}  # a task has few blocks
         waiting: dict[int, int] = {}
         for batch in batches:
-            for block in pc.unique(batch.column("block")).to_pylist():
-                texts = batch.column("text").filter(pc.equal(batch.column("block"), block))
+            for block, pack in zip(batch.column("block").to_pylist(), batch.column("pack"), strict=True):
+                texts = _unpack_rows([pack]).column("text").combine_chunks()
                 for i, j, _ in grams.slices(texts, p.slice_bytes):
                     found = cut(texts[i:j])[0].unique()
                     held.setdefault(block, []).append(found)
@@ -169,7 +171,7 @@ def encoded(documents: DataFrame, model_path: str, p: Cut = Cut(), key: str = "d
         memo: dict[bytes, bytes] = {}  # the distinct chunks of this task's buckets
         for batch in batches:
             each = []
-            for sizes, chunks in zip(batch.column("sizes").to_pylist(), batch.column("chunks").to_pylist(), strict=True):
+            for sizes, chunks in map(_stretched, batch.column("chunks").to_pylist()):
                 ends = np.frombuffer(sizes, "<u4").cumsum().tolist()
                 each.append([chunks[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)])
             new = list(dict.fromkeys(c for words in each for c in words if c not in memo))
@@ -177,22 +179,21 @@ def encoded(documents: DataFrame, model_path: str, p: Cut = Cut(), key: str = "d
                 some = new[begin : begin + 20_000]
                 memo.update(zip(some, map(_packed, model.segment([c.decode() for c in some])), strict=True))
             found = [[memo[c] for c in words] for words in each]
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("bucket"), pa.array([np.fromiter(map(len, x), "<u4", len(x)).tobytes() for x in found], pa.binary()), pa.array([b"".join(x) for x in found], pa.binary())], ["block", "bucket", "lengths", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("bucket"), pa.array([_squeezed(np.fromiter(map(len, x), "<u4", len(x)).tobytes(), b"".join(x)) for x in found], pa.binary())], ["block", "bucket", "ids"])
 
     def place(texts: pa.Table, answers: pa.Table) -> pa.Table:
         model = model_of()
+        texts = _unpack_rows(texts.column("pack"))
         column = texts.column("text").combine_chunks()
-        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
         cuts = [(i, j, *cut(column[i:j])) for i, j, _ in grams.slices(column, p.slice_bytes)]
         chunks, _ = listed([c.unique() for _, _, c, _ in cuts], buckets)
-        answers = answers.sort_by("bucket")
-        length = np.frombuffer(b"".join(answers.column("lengths").to_pylist()), "<u4").astype(np.int64)
-        flat, n = _unpacked(b"".join(answers.column("ids").to_pylist()), length)
+        told = [_stretched(x) for x in answers.sort_by("bucket").column("ids").to_pylist()]
+        flat, n = _unpacked(b"".join(x for _, x in told), np.frombuffer(b"".join(x for x, _ in told), "<u4").astype(np.int64))
         if len(n) != len(chunks):
             raise ValueError(f"{len(chunks)} chunks have {len(n)} answers")
         ends = np.append(0, n.cumsum()).astype(np.int64)
         of = lambda values: pc.binary_join(pa.LargeListArray.from_arrays(ends, values.take(pa.array(flat))), "," if values is model.decimal else b"")
-        told, back = of(model.decimal) if digest else None, of(model.bytes)
+        decimal, back = of(model.decimal) if digest else None, of(model.bytes)
         out = []
         for i, j, found, counts in cuts:
             code = pc.index_in(found, value_set=chunks).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -202,7 +203,7 @@ def encoded(documents: DataFrame, model_path: str, p: Cut = Cut(), key: str = "d
             decoded = [x[1:] for x in per_text(back, b"").to_pylist()]  # without the space put before the text
             size = pa.array(sums[at[1:]] - sums[at[:-1]], pa.int64())
             if digest:
-                new = [pa.array([hashlib.sha256(x).hexdigest() for x in per_text(told, ",").cast(pa.large_binary()).to_pylist()], pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in decoded], pa.string())]
+                new = [pa.array([hashlib.sha256(x).hexdigest() for x in per_text(decimal, ",").cast(pa.large_binary()).to_pylist()], pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in decoded], pa.string())]
             else:
                 ids = [np.concatenate([flat[ends[c] : ends[c + 1]] for c in code[a:b]] or [flat[:0]]).astype("<u4").tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
                 new = [pa.array(ids, pa.binary()), pa.array([x.decode("utf-8", "replace") for x in decoded], pa.string())]
@@ -211,11 +212,53 @@ def encoded(documents: DataFrame, model_path: str, p: Cut = Cut(), key: str = "d
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["doc_id", "n_tokens", "ids", "decoded"]
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digest else "ids binary, decoded string")
-    lists = dealt.mapInArrow(list_chunks, "block int, bucket int, sizes binary, chunks binary")
-    answers = lists.repartition(min(buckets, 20_000), "bucket").mapInArrow(segment, "block int, bucket int, lengths binary, ids binary")
+    lists = dealt.mapInArrow(list_chunks, "block int, bucket int, chunks binary")
+    answers = lists.repartition(min(buckets, 20_000), "bucket").mapInArrow(segment, "block int, bucket int, ids binary")
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(place, schema)
 
 
+def _pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, pack) of the rows of each block in a batch or several, compressed."""
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+
+    def packs(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.set_column(rows.schema.get_field_index("text"), "text", rows.column("text").cast(pa.large_string()))
+        rows = rows.take(pc.sort_indices(rows, sort_keys=[("block", "ascending")])).combine_chunks()
+        block = rows.column("block").to_numpy()
+        starts, ends = _rows(block)
+        out = []
+        for i, j in zip(starts.tolist(), ends.tolist(), strict=True):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.drop_columns(["block"]).schema, options=options) as writer:
+                writer.write_table(rows.slice(i, j - i).drop_columns(["block"]))
+            out.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(block[starts], pa.int32()), pa.array(out, pa.binary())], ["block", "pack"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) > 32 << 20:
+            yield packs(pa.Table.from_batches(held))
+            held = []
+    if any(b.num_rows for b in held):
+        yield packs(pa.Table.from_batches(held))
+
+
+def _unpack_rows(packs) -> pa.Table:
+    """The rows of packs; texts are large strings, so that they are one array."""
+    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in packs])
+
+
+def _squeezed(lengths: bytes, values: bytes) -> bytes:
+    """Lengths of 32 bits and the values behind them, compressed."""
+    return len(lengths).to_bytes(4, "little") + zstandard.ZstdCompressor().compress(lengths + values)
+
+
+def _stretched(data: bytes) -> tuple[bytes, bytes]:
+    n, whole = int.from_bytes(data[:4], "little"), zstandard.ZstdDecompressor().decompress(data[4:])
+    return whole[:n], whole[n:]
+
+
 def _packed(ids: list[int]) -> bytes:
     """Ids of a chunk in 16 bits each, or where one needs it 32 bits and a mark."""
     return np.array(ids, "<u2").tobytes() if max(ids) < 65_536 else np.array(ids, "<u4").tobytes() + b"\1"
