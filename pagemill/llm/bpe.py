@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import grams, lexicon
-from .store import give_back, worker_cache, worker_task, written
+from .store import give_back, quoted, worker_cache, worker_task, written
 
 #: White space as Unicode's property has it; Python's own \s differs by U+001C to U+001F.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -190,7 +190,7 @@ def frequent(documents: DataFrame, p: Lexical, text: str = "text") -> list[str]:
                         yield from flushed()
         yield from flushed()
 
-    counted = documents.select(text).mapInArrow(task, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
+    counted = documents.select(F.col(f"`{text}`").alias("text")).mapInArrow(task, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
     counted = written(counted, "chunks")
     left = p.lexicon_words
     for row in counted.groupBy("n").agg(F.count(F.lit(1)).alias("chunks")).orderBy(F.desc("n")).collect():
@@ -291,7 +291,9 @@ def encoded(documents: DataFrame, vocabulary_path: str, p: Lexical = Lexical(),
     With ``digest``, ``ids_sha256`` and ``decoded_sha256`` stand for the last
     two and for ``text``, so that neither leaves the worker.
     Whole texts are encoded and decoded; null is the empty text and has no ids.
-    Input columns of these names are replaced, others stay. The vocabulary and
+    Texts of any length are worked on one at a time; rows that repeat an id each
+    give a row. Input columns of these names are replaced, others stay, whatever
+    their names. The vocabulary and
     the lexicon, both of bounded size, are broadcast.
     """
     spark = documents.sparkSession
@@ -303,7 +305,7 @@ def encoded(documents: DataFrame, vocabulary_path: str, p: Lexical = Lexical(),
     give_back()
     held = spark.sparkContext.broadcast((vocabulary, content))
     names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["n_tokens", "ids", "decoded"]
-    own = [c for c in documents.columns if c not in names and not (digest and c == text)]
+    own = {f"__own{i}": c for i, c in enumerate(documents.columns) if c not in names and not (digest and c == text)}  # safe names for tasks
 
     @worker_task("bpe")
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,7 +315,7 @@ def encoded(documents: DataFrame, vocabulary_path: str, p: Lexical = Lexical(),
         encoder = worker_cache(("encoder", key), lambda: Encoder(bpe, opened(content), p.memo))
         gc.disable()  # words and ids make no cycles, and there are millions of them
         for batch in batches:
-            texts = batch.column(text).fill_null("")
+            texts = batch.column("__text").fill_null("")
             for i, j, _ in grams.slices(texts, 3 << 20):
                 ids = encoder.encode(texts[i:j].to_pylist())
                 back = [bpe.decode(np.frombuffer(x, "<u4").tolist()) for x in ids]
@@ -325,8 +327,10 @@ def encoded(documents: DataFrame, vocabulary_path: str, p: Lexical = Lexical(),
                     new += [pa.array(ids, pa.binary()), pa.array(back, pa.string())]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c)[i:j] for c in own), *new], names=[*own, *names])
 
-    schema = ", ".join([*(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in own), *(["n_tokens long, ids_sha256 string, decoded_sha256 string"] if digest else ["n_tokens long, ids binary, decoded string"])])
-    return documents.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*own, text]))).mapInArrow(task, schema)
+    added = ["n_tokens long", *(["ids_sha256 string", "decoded_sha256 string"] if digest else ["ids binary", "decoded string"])]
+    schema = ", ".join([*(f"{k} {documents.schema[c].dataType.simpleString()}" for k, c in own.items()), *added])
+    given = documents.select(*(F.col(quoted(c)).alias(k) for k, c in own.items()), F.col(f"`{text}`").alias("__text"))
+    return given.mapInArrow(task, schema).select(*(F.col(k).alias(c) for k, c in own.items()), *names)
 
 
 def digests(documents: DataFrame, vocabulary_path: str, p: Lexical = Lexical()) -> DataFrame:

@@ -27,7 +27,9 @@ class Mix:
     """``weights`` repeat over the sources by code point, null last.
 
     ``share`` is the part of all words that the mix holds. ``knapsack_words``
-    bounds the budget that the dynamic programme fills, and so its memory.
+    is the budget that the dynamic programme fills after most was dealt, or four
+    times the longest document; ``knapsack_bits`` bounds what it keeps where it
+    searches all sums of a source.
     ``buckets`` cuts the documents of one source and length, which may be many,
     into parts that are ranked apart.
     """
@@ -37,6 +39,7 @@ class Mix:
     most_copies: int = 3
     seed: int = 42
     knapsack_words: int = 1 << 15
+    knapsack_bits: int = 1 << 31
     buckets: int = 64
 
 
@@ -71,45 +74,65 @@ def targets(sizes: Sequence[tuple[str | None, int]], mix: Mix = Mix()) -> dict[s
     return found
 
 
-def fill(lengths: np.ndarray, free: np.ndarray, budget: int) -> tuple[np.ndarray, int]:
-    """How many of ``free`` documents of each length add up to ``budget`` best.
+def _reached(lengths: np.ndarray, free: np.ndarray, upto: int, wanted: int) -> tuple[int, list[tuple[int, int, int]]]:
+    """The sums up to ``upto``, as the bits of an integer, and the steps to them.
 
-    A bounded knapsack whose value is its weight: the reachable sums are the
-    bits of an integer, and each length enters in parts of 1, 2, 4, ... copies.
-    Returns the numbers and their sum, the largest that is not above the budget.
+    Each length enters in parts of 1, 2, 4, ... copies; a step is (length's
+    place, copies, sums before it). No more steps are made once ``wanted`` is reached.
     """
-    taken = np.zeros(len(lengths), np.int64)
-    mask, reach = (1 << (budget + 1)) - 1, 1
+    mask, reach = (1 << (upto + 1)) - 1, 1
     steps: list[tuple[int, int, int]] = []
-    for i in np.flatnonzero((lengths > 0) & (lengths <= budget) & (free > 0)):
-        most, part = min(int(free[i]), budget // int(lengths[i])), 1
+    for i in np.flatnonzero((lengths > 0) & (lengths <= upto) & (free > 0)):
+        most, part = min(int(free[i]), upto // int(lengths[i])), 1
         while most:
             c = min(part, most)
             steps.append((int(i), c, reach))
             reach |= (reach << (c * int(lengths[i]))) & mask
             most, part = most - c, part * 2
-        if reach >> budget & 1:
+        if reach >> wanted & 1:
             break
-    at = best = reach.bit_length() - 1
+    return reach, steps
+
+
+def _back(lengths: np.ndarray, steps: list[tuple[int, int, int]], at: int) -> np.ndarray:
+    """How many of each length make the sum ``at``."""
+    taken = np.zeros(len(lengths), np.int64)
     for i, c, before in reversed(steps):
         if not before >> at & 1:
             taken[i] += c
             at -= c * int(lengths[i])
-    return taken, best
+    return taken
 
 
-def plan_source(lengths: np.ndarray, n: np.ndarray, target: float, mix: Mix) -> tuple[int, np.ndarray]:
-    """Copies of every document, and how many of each length get one more."""
-    total = int((lengths * n).sum())
-    extra = np.zeros(len(lengths), np.int64)
-    if not total:
-        return 0, extra
-    base = min(int(target // total), mix.most_copies)
-    rest = round(target) - base * total
-    if base == mix.most_copies or rest <= 0:
-        return base, extra
-    reserve = mix.knapsack_words // 2
-    share = n * (max(0, rest - reserve) / total)
+def fill(lengths: np.ndarray, free: np.ndarray, budget: int) -> tuple[np.ndarray, int]:
+    """How many of ``free`` documents of each length add up to ``budget`` best, from below.
+
+    A bounded knapsack whose value is its weight. Returns the numbers and their
+    sum, the largest that is not above the budget.
+    """
+    reach, steps = _reached(lengths, free, budget, budget)
+    best = reach.bit_length() - 1
+    return _back(lengths, steps, best), best
+
+
+def nearest(lengths: np.ndarray, free: np.ndarray, budget: int) -> tuple[np.ndarray, int]:
+    """As :func:`fill`, but the nearest sum, from below or above; of two the lower one."""
+    some = lengths[(lengths > 0) & (free > 0)]
+    if budget <= 0 or not len(some):
+        return np.zeros(len(lengths), np.int64), 0
+    step = int(np.gcd.reduce(some))  # sums are its multiples
+    small, wanted = lengths // step, round(budget / step)
+    reach, steps = _reached(small, free, -(-budget // step) + int(some.max()) // step, wanted)
+    middle = budget // step
+    low, rest = (reach & ((1 << (middle + 1)) - 1)).bit_length() - 1, reach >> (middle + 1)
+    high = middle + (rest & -rest).bit_length() if rest else None
+    best = low if high is None or budget - low * step <= high * step - budget else high
+    return _back(small, steps, best), best * step
+
+
+def _dealt(lengths: np.ndarray, n: np.ndarray, rest: int, reserve: int) -> tuple[np.ndarray, int]:
+    """Take of all lengths in proportion until about ``reserve`` is left of ``rest``."""
+    share = n * (max(0, rest - reserve) / max(1, int((lengths * n).sum())))
     extra = np.minimum(np.floor(share).astype(np.int64), n)
     rest -= int((extra * lengths).sum())
     for i in np.argsort(extra - share, kind="stable"):  # largest fraction first
@@ -117,13 +140,48 @@ def plan_source(lengths: np.ndarray, n: np.ndarray, target: float, mix: Mix) ->
             extra[i] += 1
             rest -= int(lengths[i])
     for i in np.argsort(-lengths, kind="stable"):
-        if rest <= mix.knapsack_words:
+        if rest <= 2 * reserve:
             break
         more = min(int(n[i] - extra[i]), int((rest - reserve) // max(1, int(lengths[i]))))
         extra[i] += more
         rest -= more * int(lengths[i])
-    more, _ = fill(lengths, n - extra, int(min(rest, mix.knapsack_words)))
-    return base, extra + more
+    return extra, rest
+
+
+def plan_source(lengths: np.ndarray, n: np.ndarray, target: float, mix: Mix) -> tuple[int, np.ndarray]:
+    """Copies of every document, and how many more of each length.
+
+    First each document is taken at most once more, with most of the rest dealt
+    in proportion. Where that misses the target by a word or more, any number
+    of copies up to ``most_copies`` is open and nothing is dealt before, which
+    finds the nearest sum that there is; the sums of a source whose knapsack
+    would hold more than ``knapsack_bits`` bits are not searched like that.
+    Such a source has many documents, and the first way meets its target unless
+    its lengths have a common step, which both ways allow for.
+    """
+    total = int((lengths * n).sum())
+    if not total:
+        return 0, np.zeros(len(lengths), np.int64)
+    base, want = min(int(target // total), mix.most_copies), round(target)
+    rest = want - base * total
+    if base == mix.most_copies or rest <= 0:
+        return base, np.zeros(len(lengths), np.int64)
+    best, miss = np.zeros(len(lengths), np.int64), rest
+    longest, half = int(lengths[n > 0].max()), mix.knapsack_words // 2
+    for reserve in dict.fromkeys([half, max(half, 2 * longest)]):
+        extra, left = _dealt(lengths, n, rest, reserve)
+        more, got = nearest(lengths, n - extra, left)
+        if abs(left - got) < miss:
+            best, miss = extra + more, abs(left - got)
+        if not miss:
+            return base, best
+    free = n * mix.most_copies
+    steps = int(np.ceil(np.log2(free[free > 0] + 1)).sum())
+    if steps * (want + longest) // int(np.gcd.reduce(lengths[(lengths > 0) & (n > 0)])) <= mix.knapsack_bits:
+        any_, got = nearest(lengths, free, want)
+        if abs(want - got) < miss:
+            return 0, any_
+    return base, best
 
 
 def _keys(df: DataFrame, mix: Mix, size: Column) -> DataFrame:
@@ -141,7 +199,8 @@ def mixed(documents: DataFrame, mix: Mix = Mix(), columns: Sequence[str] = ("doc
     """``columns`` of all documents with size, source_size, target, copies, taken.
 
     Needs doc_id, text and source. Documents without words are taken once and
-    count nothing. Rows that repeat an id are ranked side by side; between rows
+    count nothing. The words that a source gives are the nearest to its target
+    that any choice of copies allows (:func:`plan_source`). Rows that repeat an id are ranked side by side; between rows
     that are equal in id, source and length either may be taken. An empty table
     gives an empty result. The list of sources is collected to the driver: it
     is the mix's configuration, one row for each source. The lengths of a
@@ -160,13 +219,14 @@ def mixed(documents: DataFrame, mix: Mix = Mix(), columns: Sequence[str] = ("doc
     def plan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__size")
         base, extra = plan_source(pdf["__size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), float(pdf["target"].iloc[0]), mix)
-        return pd.DataFrame({"__key": pdf["__key"], "__size": pdf["__size"], "source_size": pdf["source_size"], "target": pdf["target"], "__base": base, "__extra": extra})
+        return pd.DataFrame({"__key": pdf["__key"], "__size": pdf["__size"], "source_size": pdf["source_size"], "target": pdf["target"], "__base": base, "__extra": extra, "__docs": pdf["n"]})
 
     lengths = hist.groupBy("__key", "__size").agg(F.sum("__n").alias("n")).join(by_source, "__key")
-    plans = lengths.groupBy("__key").applyInPandas(plan, "__key string, __size long, source_size long, target double, __base long, __extra long")
+    plans = lengths.groupBy("__key").applyInPandas(plan, "__key string, __size long, source_size long, target double, __base long, __extra long, __docs long")
     before = F.sum("__n").over(W.partitionBy("__key", "__size").orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1))
     parts = hist.withColumn("__before", F.coalesce(before, F.lit(0))).join(plans, ["__key", "__size"])
-    parts = parts.select("__key", "__size", "__bucket", "source_size", "target", "__base", (F.col("__extra") - F.col("__before")).alias("__need"))
+    whole, more = F.floor(F.col("__extra") / F.col("__docs")), F.col("__extra") % F.col("__docs")
+    parts = parts.select("__key", "__size", "__bucket", "source_size", "target", (F.col("__base") + whole).alias("__base"), (more - F.col("__before")).alias("__need"))
     own = list(columns)
     if set(own) <= {"doc_id", "source"}:
         rows_ = narrow

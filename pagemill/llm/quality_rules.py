@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import grams, labelled
-from .store import worker_task
+from .store import quoted, worker_task
 
 
 @dataclass(frozen=True)
@@ -191,14 +191,16 @@ def score(documents: DataFrame, labels: DataFrame, rules: Rules = Rules(), text:
     ``quality`` is the calibrated probability of a good text. Null and empty
     texts have no words and fail. Without any labelled row there is no model:
     ``quality`` is null and the base rules alone decide. Columns of the input
-    that have the name of an added one are replaced; other columns stay.
+    that have the name of an added one are replaced; other columns stay,
+    whatever their names. Rows that repeat an id are scored each. A quality that
+    equals the threshold is kept. Texts are scored whole, however long.
     """
     spark = documents.sparkSession
-    rows = labelled.sample(documents.select("doc_id", F.col(text).alias("text")), labels, "quality", rules.sample_rows)
+    rows = labelled.sample(documents.select("doc_id", F.col(f"`{text}`").alias("text")), labels, "quality", rules.sample_rows)
     model = labelled.fitted(rows, lambda t: fit_logistic(t, rules.bits, rules.chars, rules.epochs))
     held = spark.sparkContext.broadcast(model)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "quality", "kept"]
-    own = [c for c in documents.columns if c not in names]
+    own = {f"__own{i}": c for i, c in enumerate(documents.columns) if c not in names}  # safe names for tasks
     kinds = dict(zip(names, ["long"] * 5 + ["boolean", "double", "boolean"], strict=True))
 
     @worker_task("quality")
@@ -208,7 +210,7 @@ def score(documents: DataFrame, labels: DataFrame, rules: Rules = Rules(), text:
             if not batch.num_rows:
                 continue
             found: list[dict[str, np.ndarray]] = []
-            for _, _, texts in grams.slices(batch.column(text)):
+            for _, _, texts in grams.slices(batch.column("__text")):
                 x = base_features(texts, rules.window)
                 x["base_failed"] = (x["n_words"] < rules.least_words) | (100 * x["n_repeat_words"] > rules.repeat_percent * x["n_words"])
                 if values is None:
@@ -222,14 +224,15 @@ def score(documents: DataFrame, labels: DataFrame, rules: Rules = Rules(), text:
             new = [pa.array(np.concatenate([x[k] for x in found]), from_pandas=k == "quality") for k in names]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *new], names=[*own, *names])
 
-    schema = ", ".join([*(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in own), *(f"{k} {v}" for k, v in kinds.items())])
-    return documents.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*own, text]))).mapInArrow(apply, schema)
+    schema = ", ".join([*(f"{k} {documents.schema[c].dataType.simpleString()}" for k, c in own.items()), *(f"{k} {v}" for k, v in kinds.items())])
+    given = documents.select(*(F.col(quoted(c)).alias(k) for k, c in own.items()), F.col(f"`{text}`").alias("__text"))
+    return given.mapInArrow(apply, schema).select(*(F.col(k).alias(c) for k, c in own.items()), *names)
 
 
 def keep(documents: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The documents that the rules keep, with their own columns."""
     own = documents.columns
-    renamed = documents.select(*(F.col(f"`{c}`").alias(f"__own{i}") for i, c in enumerate(own)))
+    renamed = documents.select(*(F.col(quoted(c)).alias(f"__own{i}") for i, c in enumerate(own)))
     ids = {"doc_id": F.col(f"__own{own.index('doc_id')}")}
     marked = score(renamed.withColumns(ids), labels, rules, f"__own{own.index('text')}")
     return marked.where("kept").select(*(F.col(f"__own{i}").alias(c) for i, c in enumerate(own)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,13 +26,19 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
-#: For test data only; real runs set spark.pagemill.pii.key.
-EXAMPLE_KEY = "example key of the check"
+#: Keys of sessions that name none, made at random and kept nowhere else.
+_KEYS: dict[str, str] = {}
 
 
 def pii_key(spark: SparkSession) -> pii.Pseudonyms:
-    """Pseudonyms under the key that the session names."""
-    return pii.Pseudonyms(spark.conf.get("spark.pagemill.pii.key", EXAMPLE_KEY))
+    """Pseudonyms under the key in ``spark.pagemill.pii.key``.
+
+    Without the setting the key is a random one of this application: equal
+    values still get equal pseudonyms in all its runs, but nobody can undo them
+    and no other application makes the same.
+    """
+    own = _KEYS.setdefault(spark.sparkContext.applicationId, secrets.token_hex(32))
+    return pii.Pseudonyms(spark.conf.get("spark.pagemill.pii.key", None) or own)
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,6 +88,11 @@ def drop(spark: SparkSession, path: str) -> None:
         del _PATHS[key]
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark reads it, whatever signs it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def forget(df: DataFrame) -> None:
     """Drop the table that ``df`` was read from by :func:`written`, if it still is there."""
     if id(df) in _PATHS:

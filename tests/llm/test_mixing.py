@@ -96,3 +96,60 @@ def test_apply_repeats_rows(docs):
 def test_empty(docs):
     assert mixing.mixed(docs.limit(0)).count() == 0
     assert mixing.apply(docs.limit(0)).count() == 0
+
+
+def sums(lengths, most) -> set[int]:
+    reach = {0}
+    for n, f in zip(lengths, most, strict=True):
+        reach = {r + k * int(n) for r in reach for k in range(int(f) + 1)}
+    return reach
+
+
+def test_nearest_against_all_subsets():
+    rng = random.Random(6)
+    for _ in range(200):
+        lengths = np.array(sorted(rng.sample(range(1, 30), 4))) * rng.choice([1, 1, 7])
+        free = np.array([rng.randint(0, 3) for _ in lengths])
+        budget = rng.randint(0, 150)
+        taken, got = mixing.nearest(lengths, free, budget)
+        assert abs(got - budget) == min(abs(r - budget) for r in sums(lengths, free))
+        assert (taken * lengths).sum() == got
+        assert (taken <= free).all()
+
+
+@pytest.mark.parametrize("longest", [50, 33_000, 90_000])
+def test_plan_is_the_nearest_of_all_choices(longest):
+    rng = random.Random(longest)
+    for _ in range(60):
+        lengths = np.array(sorted(rng.sample(range(longest // 2, longest), rng.randint(1, 3))))
+        n = np.array([rng.randint(1, 3) for _ in lengths])
+        total = int((lengths * n).sum())
+        target = rng.uniform(0, 3) * total
+        base, extra = mixing.plan_source(lengths, n, target, mixing.Mix())
+        got = base * total + int((extra * lengths).sum())
+        assert (base * n + extra <= 3 * n).all()
+        assert abs(got - round(target)) == min(abs(r - round(target)) for r in sums(lengths, 3 * n))
+
+
+def test_long_documents():
+    mix = mixing.Mix()
+    assert (mixing.plan_source(np.array([40_000]), np.array([3]), 50_000.0, mix)[1] * 40_000).sum() == 40_000
+    assert (mixing.plan_source(np.array([33_000]), np.array([10]), 49_000.0, mix)[1] * 33_000).sum() == 33_000
+    base, extra = mixing.plan_source(np.array([8, 60_000]), np.array([1, 1]), 58_832.0, mix)
+    assert base * 60_008 + (extra * np.array([8, 60_000])).sum() == 60_000 - 0
+
+
+def test_selection_is_a_plain_sort(spark, docs):
+    """Of each source and length the first documents by part and seeded hash get one copy more."""
+    from pyspark.sql import functions as F
+
+    mix = mixing.Mix(buckets=4)
+    hashes = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64(F.lit(mix.seed), F.col("doc_id")).alias("h")).collect()}
+    by: dict = {}
+    for r in mixing.mixed(docs, mix).collect():
+        if r.size:
+            by.setdefault((r.source, r.size), []).append((hashes[r.doc_id] % 4, hashes[r.doc_id], r.doc_id is not None, r.doc_id or 0, r.copies))
+    for rows in by.values():
+        copies = [x[-1] for x in sorted(rows)]
+        assert copies == sorted(copies, reverse=True)
+        assert copies[0] - copies[-1] <= 1

@@ -251,3 +251,16 @@ def test_long_text_ties_and_columns(spark):
     assert a.text[: len(long) - 12] == long[:-12]
     assert a.n_chars == len(a.text)
     assert out.limit(0).count() == 0
+
+
+def test_no_key_is_published(spark):
+    from pagemill.llm import queries
+
+    made = queries.pii_key(spark)
+    assert made == queries.pii_key(spark)
+    assert len(made.key) == 64
+    spark.conf.set("spark.pagemill.pii.key", "given")
+    try:
+        assert queries.pii_key(spark).key == "given"
+    finally:
+        spark.conf.unset("spark.pagemill.pii.key")

@@ -109,6 +109,14 @@ def test_keep_returns_the_input_columns(tables):
     assert {(r.kept, r.n_words) for r in rows} == {("clash", 7)}
 
 
+def test_columns_of_any_name(tables):
+    docs, labels = tables
+    odd = docs.limit(20).select("*", docs.n_words.alias("a b.c"), docs.lang.alias("x`y"), docs.lang.alias("text2"))
+    out = quality_rules.score(odd, labels)
+    assert [c for c in out.columns if c in ("a b.c", "x`y", "text2")] == ["a b.c", "x`y", "text2"]
+    assert {r["a b.c"] for r in out.collect()} == {7}
+
+
 def test_calibration_is_monotone():
     import numpy as np
 

@@ -70,6 +70,9 @@ def test_bpe_digests_and_clashes(docs, spark):
     assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(TEXTS[4].encode()).hexdigest())
     clash = spark.createDataFrame([(1, "ab", "x", 5)], "doc_id long, text string, ids string, n int")
     assert bpe.encoded(clash, path).columns == ["doc_id", "text", "n", "n_tokens", "ids", "decoded"]
+    dotted = spark.createDataFrame([(1, "ab", "x", 5)], "doc_id long, text string, `a b.c` string, n int")
+    (row,) = bpe.encoded(dotted, path).collect()
+    assert (row["a b.c"], row.decoded, row.n) == ("x", "ab", 5)
     assert bpe.digests(docs.limit(0), path).count() == 0
 
 
