@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..plans.tables import ranked
+from ..plans.tables import numbered, ranked
 
 #: Output columns by their letters.
 FIELDS = {
@@ -37,6 +37,7 @@ def selected(pages: DataFrame, spec: str | None) -> DataFrame:
     """Pages of a list like ``1 2 11-14``, counted from 1; all without a list."""
     if not spec:
         return pages
+    pages = pages.drop("__place")  # the pages left have other places
     keep = F.lit(False)
     for part in spec.split():
         if not (m := re.fullmatch(r"(\d+)(?:-(\d+))?", part)):
@@ -50,17 +51,20 @@ def with_overall(pages: DataFrame) -> DataFrame:
     """Add ``page_no_overall``: files in natural order, pages within.
 
     Files are ranked, one row each, and the pages of earlier files are added to
-    the page's own place; no task sorts the pages of the corpus.
+    the page's own place; no task sorts the pages of the corpus. The place is
+    ``__place`` where pages carry it, else it is counted by ranges of page
+    numbers, so that no task sorts a file, either.
     """
+    if "__place" not in pages.columns:
+        pages = numbered(pages, "file_path", "page_no", "__place")
     files = pages.groupBy("file_path").agg(F.count(F.lit(1)).alias("__n"))
     order = ranked(files.withColumn("__key", text.natural_key(F.col("file_path"))), ["__key", "file_path"], "__file")
     from pyspark.sql import Window as W
 
     before = F.coalesce(F.sum("__n").over(W.orderBy("__file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     order = order.select(F.col("file_path").alias("__path"), "__file", before.alias("__before"))
-    place = F.row_number().over(W.partitionBy("file_path").orderBy("page_no")) if "__place" not in pages.columns else F.col("__place")
     out = pages.join(order, F.col("file_path").eqNullSafe(F.col("__path")))
-    return out.withColumn("page_no_overall", (place + F.col("__before")).cast("long")).withColumnRenamed("__file", "file_ord").drop("__path", "__before")
+    return out.withColumn("page_no_overall", (F.col("__place") + F.col("__before")).cast("long")).withColumnRenamed("__file", "file_ord").drop("__path", "__before", "__place")
 
 
 def file_order(pages: DataFrame) -> DataFrame:

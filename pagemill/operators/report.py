@@ -30,10 +30,15 @@ def page_counts(pages: DataFrame, tags: Column | None = None) -> DataFrame:
     return each.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("freq"), F.min("__pos").alias("first_no"))
 
 
-def frequency(counts: DataFrame, scope: str = "corpus") -> DataFrame:
-    """(scope's keys, word, freq): counts of pages added up."""
+def frequency(counts: DataFrame, scope: str = "corpus", first: bool = False) -> DataFrame:
+    """(scope's keys, word, freq): counts of pages added up.
+
+    With ``first``, also ``first_seen``: the page and the place in it where the
+    word first occurs within the scope.
+    """
     keys = SCOPES[scope]
-    return counts.groupBy(*keys, "word").agg(F.sum("freq").alias("freq"))
+    more = [F.min(F.struct("page_no", "first_no")).alias("first_seen")] if first else []
+    return counts.groupBy(*keys, "word").agg(F.sum("freq").alias("freq"), *more)
 
 
 def last_wins(counts: DataFrame, scope: str = "corpus") -> DataFrame:
@@ -112,6 +117,47 @@ def percentile(report: DataFrame, percent: int) -> DataFrame:
     return report.where(F.col("freq") > edge["freq"]).unionByName(last)
 
 
+def _edges(report: DataFrame, keys: Sequence[str], kind: str, n: int) -> DataFrame:
+    """(keys, __edge, __need): of each scope the frequency at which it is cut, and how many words of it stay.
+
+    Running sums go over a histogram, a row for each frequency of a scope, of
+    which a scope of m words has at most sqrt(2 m).
+    """
+    by = W.partitionBy(*keys)
+    down = by.orderBy(F.desc("freq")).rowsBetween(W.unboundedPreceding, -1)
+    groups = report.groupBy(*keys, "freq").agg(F.count(F.lit(1)).alias("__words"), F.sum("freq").alias("__sum"))
+    if kind == "top":
+        size, bound = F.col("__words"), F.lit(n)
+    else:  # the bound is ceil(percent / 100 * total) in double arithmetic
+        size, bound = F.col("__sum"), F.ceil(F.lit(n / 100) * F.sum("__sum").over(by).cast("double"))
+    groups = groups.withColumn("__before", F.coalesce(F.sum(size).over(down), F.lit(0))).withColumn("__bound", bound)
+    last = groups.where("__before < __bound").groupBy(*keys).agg(F.min_by(F.struct("freq", "__before", "__bound"), "freq").alias("e"))
+    left = F.col("e.__bound") - F.col("e.__before")
+    need = left if kind == "top" else F.ceil(left / F.col("e.freq"))
+    return last.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("e.freq").alias("__edge"), need.alias("__need"))
+
+
+def limited_within(report: DataFrame, keys: Sequence[str], limit: str, ties: Sequence[str] = ("first_seen",)) -> DataFrame:
+    """Each scope's report limited on its own: ``N%``, ``N+`` or ``N`` as :func:`limited` has them.
+
+    Words above a scope's edge frequency stay, those below go, and of the words
+    at it the first in the order of ``ties`` stay; they alone are ranked, so no
+    window holds all words of a file. The report is read twice and should be cut
+    from its lineage by the caller if it is dear. Keys may be null.
+    """
+    kind, n = parse_limit(limit)
+    if kind == "least":
+        return least_frequency(report, n)
+    if (kind, n) == ("percent", 100):
+        return report
+    edges = _edges(report, keys, kind, n)
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    met = report.join(edges, same).drop(*(f"__{k}" for k in keys))
+    at_edge = met.where("freq = __edge").withColumn("__rank", F.row_number().over(W.partitionBy(*keys).orderBy(*ties)))
+    kept = [met.where("freq > __edge").drop("__edge", "__need"), at_edge.where("__rank <= __need").drop("__edge", "__need", "__rank")]
+    return kept[0].unionByName(kept[1])
+
+
 def limited(report: DataFrame, limit: str) -> DataFrame:
     kind, n = parse_limit(limit)
     return {"percent": percentile, "least": least_frequency, "top": top}[kind](report, n)

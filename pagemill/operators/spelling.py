@@ -1,9 +1,12 @@
 """Spelling correction against a frequency dictionary, without UDFs.
 
 Only distinct unknown words are looked up. Words within one edit (deletion,
-transposition, replacement, insertion) or two are found by a symmetric-delete
-index: both sides drop one or two letters and meet in an equi-join; the pairs
-are then checked exactly.
+transposition, replacement, insertion) or two are found by one of two indexes
+and then checked exactly. Short words meet by symmetric deletion: both sides
+drop one or two letters. Its keys grow with the square of the length, so longer
+words meet by their parts: an edit changes two parts of a word at most, so of
+five parts of a dictionary word one stands unchanged in every word within two
+edits, at most two places away. The keys of a word are then as many at any length.
 """
 
 from __future__ import annotations
@@ -11,8 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import process, text
+from ..functions import process
 from ..plans.tables import ensure_checkpoint_dir
+from .positions import assembled, indexed
 
 
 def _deletes(word: Column) -> Column:
@@ -34,17 +38,47 @@ def _index(words: DataFrame, edits: int) -> DataFrame:
     return words.select("word", F.explode(keys).alias("key"))
 
 
-def _near(unknown: DataFrame, dictionary: DataFrame, edits: int) -> DataFrame:
-    """(word, cand, freq, edits): dictionary words within the edits of each word.
+#: Words of more letters meet by their parts.
+SHORT = 12
 
-    Words too long for any dictionary word are left out before the index, whose
-    size is a power of the length.
-    """
-    longest = dictionary.agg(F.max(F.length("word")).alias("longest"))
-    short = unknown.crossJoin(F.broadcast(longest)).where(F.length("word") <= F.col("longest") + edits)
-    right = _index(dictionary.select("word").distinct(), edits).withColumnRenamed("word", "cand")
-    pairs = _index(short.select("word"), edits).join(right, "key").where(F.abs(F.length("word") - F.length("cand")) <= edits).select("word", "cand").distinct()
-    pairs = pairs.withColumn("lev", F.levenshtein("word", "cand"))
+
+def _parts(words: DataFrame, edits: int) -> DataFrame:
+    """(cand, key): the parts of dictionary words, by length and place."""
+    n = 2 * edits + 1
+    size = F.length("cand")
+    start = lambda k: F.floor(F.lit(k) * size / n).cast("int")
+    keys = [F.concat_ws(":", size, F.lit(k), F.col("cand").substr(start(k) + 1, start(k + 1) - start(k))) for k in range(n)]
+    return words.select("cand", F.explode(F.array(*keys)).alias("key"))
+
+
+def _probes(words: DataFrame, edits: int) -> DataFrame:
+    """(word, key): what stands in a word where a part of a dictionary word may be."""
+    n = 2 * edits + 1
+    keys = []
+    for more in range(-edits, edits + 1):
+        size = F.length("word") + more
+        for k in range(n):
+            start, end = F.floor(F.lit(k) * size / n).cast("int"), F.floor(F.lit(k + 1) * size / n).cast("int")
+            for shift in range(-edits, edits + 1):
+                fits = (start + shift >= 0) & (end + shift <= F.length("word"))
+                keys.append(F.when(fits, F.concat_ws(":", size, F.lit(k), F.col("word").substr(start + (shift + 1), end - start))))
+    return words.select("word", F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias("key"))
+
+
+def _candidates(unknown: DataFrame, dictionary: DataFrame, edits: int) -> DataFrame:
+    """(word, cand): pairs that may be within the edits, all that are among them."""
+    right = dictionary.select(F.col("word").alias("cand")).distinct()
+    short = unknown.where(F.length("word") <= SHORT).select("word")
+    deletes = _index(right.where(F.length("cand") <= SHORT + edits).withColumnRenamed("cand", "word"), edits).withColumnRenamed("word", "cand")
+    by_deletes = _index(short, edits).join(deletes, "key").select("word", "cand")
+    long = unknown.where(F.length("word") > SHORT).select("word")
+    by_parts = _probes(long, edits).join(_parts(right.where(F.length("cand") > SHORT - edits), edits), "key").select("word", "cand")
+    return by_deletes.unionByName(by_parts).where(F.abs(F.length("word") - F.length("cand")) <= edits).distinct()
+
+
+def _near(unknown: DataFrame, dictionary: DataFrame, edits: int) -> DataFrame:
+    """(word, cand, freq, edits): dictionary words within the edits of each word."""
+    pairs = _candidates(unknown, dictionary, edits).withColumn("lev", F.levenshtein("word", "cand"))
     t, u = _transposes("word"), _transposes("cand")
     two = f"lev <= 2 or (lev <= 4 and (exists({t}, x -> levenshtein(x, cand) <= 1) or exists({u}, x -> levenshtein(word, x) <= 1) or arrays_overlap({t}, {u})))"
     found = F.expr(f"case when lev <= 1 or (lev = 2 and array_contains({t}, cand)) then 1 when {edits} > 1 and ({two}) then 2 end")
@@ -73,26 +107,25 @@ def suggestions(words: DataFrame, dictionary: DataFrame, edits: int = 2) -> Data
     return out.select("word", F.coalesce("cand", "word").alias("correction"), F.when(sure, 1.0).otherwise(F.coalesce("share", F.lit(0.0))).alias("confidence"))
 
 
-def corrected_tokens(rows: DataFrame, key: str, dictionary: DataFrame, column: str = "text", edits: int = 2) -> DataFrame:
-    """(key, pos, token, kind, correction, confidence) of every token.
-
-    ``kind`` is punctuation (no letter or digit), other (not all letters) or
-    word; only words are looked up. Case is restored.
-    """
-    tokens = rows.select(key, F.posexplode_outer(text.tokens(F.col(column))).alias("pos", "token")).where("token is not null")
+def _kinds(index: DataFrame) -> DataFrame:
+    """Add ``kind`` (punctuation: no letter or digit; other: not all letters; word) and ``word``."""
     kind = F.when(~F.col("token").rlike("[A-Za-z0-9]"), "punctuation").when(~F.col("token").rlike("^[A-Za-z]+$"), "other").otherwise("word")
-    tokens = tokens.withColumn("kind", kind).withColumn("word", F.when(F.col("kind") == "word", F.lower("token")))
-    found = suggestions(tokens.where("word is not null"), dictionary, edits)
-    out = tokens.join(found, "word", "left")
-    confidence = F.when(F.col("kind") == "punctuation", -1.0).when(F.col("kind") == "other", -2.0).otherwise(F.col("confidence"))
-    correction = F.when(F.col("kind") == "word", process.like_case(F.col("correction"), F.col("token"))).otherwise(F.col("token"))
-    return out.select(key, "pos", "token", "kind", correction.alias("correction"), confidence.alias("confidence"))
+    return index.withColumn("kind", kind).withColumn("word", F.when(F.col("kind") == "word", F.lower("token")))
+
 
+def corrected(index: DataFrame, key: str, dictionary: DataFrame, edits: int = 2) -> DataFrame:
+    """(key, token, positions, kind, known, correction, confidence) of an index.
 
-def _joined(tokens: DataFrame, rows: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, text): tokens in order, signs glued to what stands before them."""
-    made = tokens.groupBy(key).agg(text.spaced(F.transform(F.array_sort(F.collect_list(F.struct("pos", value))), lambda x: x[value])).alias("made"))
-    return rows.select(key).join(made, key, "left").select(key, F.coalesce("made", F.lit("")).alias("text"))
+    Only words are joined, with a row for each word of a text; numbers and signs
+    pass by. Case is restored.
+    """
+    tokens = _kinds(index)
+    found = suggestions(tokens.where("kind = 'word'"), dictionary, edits)
+    found = found.join(dictionary.select("word", F.lit(True).alias("known")).distinct(), "word", "left")
+    words = tokens.where("kind = 'word'").join(found, "word")
+    words = words.select(key, "token", "positions", "kind", F.coalesce("known", F.lit(False)).alias("known"), process.like_case(F.col("correction"), F.col("token")).alias("correction"), "confidence")
+    marks = tokens.where("kind <> 'word'").select(key, "token", "positions", "kind", F.lit(False).alias("known"), F.col("token").alias("correction"), F.when(F.col("kind") == "punctuation", -1.0).otherwise(-2.0).alias("confidence"))
+    return words.unionByName(marks)
 
 
 def autocorrected(rows: DataFrame, key: str, dictionary: DataFrame, remove: bool = False, column: str = "text", edits: int = 2) -> DataFrame:
@@ -100,23 +133,23 @@ def autocorrected(rows: DataFrame, key: str, dictionary: DataFrame, remove: bool
 
     Punctuation stays either way, glued to the token before it.
     """
-    tokens = corrected_tokens(rows, key, dictionary, column, edits)
+    tokens = corrected(indexed(rows, key, column), key, dictionary, edits)
     if remove:
         tokens = tokens.where((F.col("confidence") > 0) | (F.col("kind") == "punctuation"))
-    return _joined(tokens, rows, key, "correction")
+    return assembled(tokens, rows, key, F.col("correction"))
 
 
 def known_only(rows: DataFrame, key: str, dictionary: DataFrame, column: str = "text") -> DataFrame:
     """(key, text) of the words that the dictionary knows, and punctuation."""
-    tokens = rows.select(key, F.posexplode_outer(text.tokens(F.col(column))).alias("pos", "token")).where("token is not null")
-    known = tokens.join(dictionary.select("word"), F.lower("token") == F.col("word"), "left_semi")
-    marks = tokens.where(~F.col("token").rlike("[A-Za-z0-9]"))
-    return _joined(known.unionByName(marks), rows, key, "token")
+    tokens = indexed(rows, key, column).withColumn("word", F.lower("token"))
+    mark = ~F.col("token").rlike("[A-Za-z0-9]")
+    known = tokens.where(~mark).join(dictionary.select("word"), "word", "left_semi").select(key, "token", "positions")
+    return assembled(known.unionByName(tokens.where(mark).select(key, "token", "positions")), rows, key, F.col("token"))
 
 
 def correction_log(rows: DataFrame, key: str, dictionary: DataFrame, column: str = "text", edits: int = 2) -> DataFrame:
     """(key, pos, word, attempted, correction, confidence) of unknown words."""
-    tokens = corrected_tokens(rows, key, dictionary, column, edits).where("kind = 'word'").withColumn("low", F.lower("token"))
-    unknown = tokens.join(dictionary.select(F.col("word").alias("low")), "low", "left_anti")
+    unknown = corrected(indexed(rows, key, column), key, dictionary, edits).where("kind = 'word' and not known")
     done = F.col("confidence") > 0
-    return unknown.select(key, "pos", F.col("token").alias("word"), done.alias("attempted"), F.when(done, F.col("correction")).alias("correction"), F.when(done, F.col("confidence")).alias("confidence"))
+    each = unknown.select(key, F.explode("positions").alias("pos"), F.col("token").alias("word"), "correction", "confidence")
+    return each.select(key, "pos", "word", done.alias("attempted"), F.when(done, F.col("correction")).alias("correction"), F.when(done, F.col("confidence")).alias("confidence"))

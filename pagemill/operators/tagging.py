@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .positions import assembled, indexed
 
 #: Closed-class words and their tags.
 LEXICON = {
@@ -48,11 +51,11 @@ def word_class(tags: Column) -> Column:
     return F.when(tags.startswith("JJ"), "a").when(tags.contains("RB"), "r").when(tags.startswith("VB"), "v").otherwise("n")
 
 
-def tagged_frequency(pages: DataFrame) -> DataFrame:
-    """(word, pos, freq) over the corpus."""
-    each = pages.select(F.explode_outer(text.words(F.col("text"))).alias("token")).where("token is not null").select("token", tag(F.col("token")).alias("pos"))
-    each = each.select(F.btrim(F.lower("token"), F.lit(text.PUNCTUATION)).alias("word"), "pos").where("word <> ''")
-    return each.groupBy("word", "pos").agg(F.count(F.lit(1)).alias("freq"))
+def tagged_frequency(pages: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, word, pos, freq) over the corpus, or over each page or file that the keys tell apart."""
+    each = pages.select(*keys, F.explode_outer(text.words(F.col("text"))).alias("token")).where("token is not null").select(*keys, "token", tag(F.col("token")).alias("pos"))
+    each = each.select(*keys, F.btrim(F.lower("token"), F.lit(text.PUNCTUATION)).alias("word"), "pos").where("word <> ''")
+    return each.groupBy(*keys, "word", "pos").agg(F.count(F.lit(1)).alias("freq"))
 
 
 def lemmas(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -76,11 +79,10 @@ def lemmas(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
 def lemmatized(rows: DataFrame, key: str, dictionary: DataFrame, column: str = "text") -> DataFrame:
     """(key, text) with every token replaced by its lemma, in lower case.
 
-    Lemmas are found for distinct words; tokens get them by a join. Punctuation
-    stays, glued to the token before it.
+    Lemmas are found for distinct words and joined to a row for each distinct
+    token of a text. Punctuation stays, glued to the token before it.
     """
-    tokens = rows.select(key, F.posexplode_outer(text.tokens(F.col(column))).alias("pos", "token")).where("token is not null")
-    tokens = tokens.withColumn("class", word_class(tag(F.col("token")))).withColumn("word", F.lower("token"))
-    done = tokens.join(lemmas(tokens, dictionary), ["word", "class"])
-    made = done.groupBy(key).agg(text.spaced(F.transform(F.array_sort(F.collect_list(F.struct("pos", "lemma"))), lambda x: x["lemma"])).alias("lemmas"))
-    return rows.select(key).join(made, key, "left").select(key, F.coalesce("lemmas", F.lit("")).alias("text"))
+    index = indexed(rows, key, column).withColumn("class", word_class(tag(F.col("token")))).withColumn("word", F.lower("token"))
+    found = lemmas(index, dictionary).where("lemma <> word")  # most words are their own lemma
+    done = index.join(found, ["word", "class"], "left")
+    return assembled(done, rows, key, F.coalesce("lemma", "word"))

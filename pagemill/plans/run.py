@@ -14,6 +14,7 @@ from ..operators import pages as pg
 from ..operators import report, spelling, tagging
 from ..options import Options, parse
 from ..sources import lists, pdf, sinks, wiki
+from .tables import ensure_checkpoint_dir
 
 
 def page_numbers(spec: str | None) -> set[int] | None:
@@ -111,23 +112,24 @@ def reports(pages: DataFrame, o: Options) -> DataFrame:
     Reports of pages and files carry their keys; the limit holds in each.
     """
     spark = pages.sparkSession
+    keys = report.SCOPES[o.scope or "corpus"]
     if o.report_pos:
-        found = tagging.tagged_frequency(pages)
+        found, ties = tagging.tagged_frequency(pages, keys), ["word", "pos"]
     else:
         counts = report.page_counts(pg.with_overall(pages) if o.scope == "corpus" else pages)
-        found = report.first_seen(counts) if o.scope == "corpus" else report.frequency(counts, o.scope)
+        found, ties = (report.first_seen(counts), []) if o.scope == "corpus" else (report.frequency(counts, o.scope, first=True), ["first_seen"])
     if o.report_only is not None:
         found = report.only(found, lists.patterns(spark, o.report_only or None))
     if o.report_ignore is not None:
         found = report.ignored(found, lists.patterns(spark, o.report_ignore or None, stop=True))
-    kind, n = report.parse_limit(o.report_limit)
-    if o.scope == "corpus" and not o.report_pos:
+    if not ties:
         return report.limited(found, o.report_limit)
-    if kind == "least":
-        return report.least_frequency(found, n)
-    if (kind, n) != ("percent", 100):
-        raise ValueError("only a least frequency limits reports by page, by file or by part of speech")
-    return found
+    if report.parse_limit(o.report_limit)[0] != "least":
+        ensure_checkpoint_dir(spark)
+        found = found.checkpoint()  # read twice by a limit
+    if keys:
+        return report.limited_within(found, keys, o.report_limit, ties)
+    return report.limited_within(found.withColumn("__all", F.lit(0)), ["__all"], o.report_limit, ties).drop("__all")
 
 
 def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> int:

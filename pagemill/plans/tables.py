@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use ``spark.checkpoint.dir``; where it is unset, as in tests, a local one."""
+    """Use ``spark.checkpoint.dir``; only a local master, as in tests, gets a folder where it is unset."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(path or "file://" + tempfile.mkdtemp(prefix="pagemill-"))
 
 

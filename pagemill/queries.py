@@ -5,7 +5,7 @@ All queries run over whole tables. Queries that sort give a rank column.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from .functions import process, text
 from .operators import dictionary as dic
 from .operators import pages as pg
 from .operators import report, spelling, tagging
+from .plans.tables import ensure_checkpoint_dir
 from .sources.adapters import pages_from_conversations, pages_from_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,12 +25,6 @@ IGNORE = ["the", "of", "and the"]
 LISTED = ["The", "and", "of", "to", "ing", "der", "die"]
 FREQ_CUT = 20
 
-XML = (
-    "<mediawiki><page><title>Ada</title><text xml:space=\"preserve\">'''Ada''' wrote [[Notes (text)|notes]] on the [[engine#Parts]]. {{Infobox|a=1}} See [[File:x.png]] &amp; [[Babbage]].</text></page>"
-    "<page><title>Countess</title><text>#REDIRECT [[Ada]]</text></page>"
-    "<page><title>Engine</title><text>== Parts ==\nA {| table |} of [[gear]]s, 12 in all_of_it.<ref>none</ref></text></page></mediawiki>"
-)
-
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -58,9 +53,8 @@ def _seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.first_seen(_counts(spark, sf_dir, overall=True))
 
 
-def _trained(spark: SparkSession, sf_dir: str, lang: str = "en") -> DataFrame:
-    docs = _read(spark, sf_dir, "documents").where(F.col("lang") == lang)
-    return dic.train(docs)
+def _trained(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
+    return dic.train(_read(spark, sf_dir, table))
 
 
 def _step(name: str) -> Query:
@@ -79,10 +73,6 @@ def _spell_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dic.shrink(_trained(spark, sf_dir), FREQ_CUT)
 
 
-def _wiki(spark: SparkSession) -> DataFrame:
-    return dic.wiki_pages(spark.range(1).select(F.lit(XML).alias("xml")))
-
-
 def _report(change) -> Query:
     return lambda s, d: change(_corpus(s, d))
 
@@ -91,6 +81,13 @@ def _ranked_words(change) -> Query:
     return lambda s, d: change(_seen(s, d)).select("word", "freq")
 
 
+def _within(spark: SparkSession, sf_dir: str, scope: str, limit: str) -> DataFrame:
+    """The report of each page or file, limited within it."""
+    ensure_checkpoint_dir(spark)
+    found = report.frequency(_counts(spark, sf_dir), scope, first=True).checkpoint()
+    return report.limited_within(found, report.SCOPES[scope], limit).drop("first_seen")
+
+
 def _chain(c):
     """Digits, case, then ignored words, in the order of the processing steps."""
     return process.ignore(F.lower(process.strip_digits(process.strip_punctuation(c))), IGNORE)
@@ -128,6 +125,10 @@ QUERIES: dict[str, Query] = {
     "freq_limit_pct_70": _ranked_words(lambda r: report.limited(r, "70%")),
     "freq_limit_pct_7": _ranked_words(lambda r: report.limited(r, "7%")),
     "freq_limit_top_100": _ranked_words(lambda r: report.limited(r, "100")),
+    "freq_file_limit_pct_70": lambda s, d: _within(s, d, "file", "70%"),
+    "freq_file_limit_top_100": lambda s, d: _within(s, d, "file", "100"),
+    "freq_page_limit_top_10": lambda s, d: _within(s, d, "page", "10"),
+    "freq_page_limit_pct_28": lambda s, d: _within(s, d, "page", "28%"),
     "freq_limit_min_50": _report(lambda r: report.limited(r, "50+")),
     "freq_only": _report(lambda r: report.only(r, LISTED)),
     "freq_ignore": _report(lambda r: report.ignored(r, LISTED)),
@@ -140,6 +141,8 @@ QUERIES: dict[str, Query] = {
     "process_only": _process(lambda c: process.only(c, ONLY)),
     "process_ignore": _process(lambda c: process.ignore(c, IGNORE)),
     "process_chain": _process(_chain),
+    "process_stopwords": _process(lambda c: process.ignore(c, _stop_words())),
+    "process_only_stopwords": _process(lambda c: process.only(c, _stop_words())),
     "autocorrect": lambda s, d: spelling.autocorrected(_bench_rows(s, d), "item_id", _spell_dictionary(s, d)),
     "autocorrect_remove": lambda s, d: spelling.autocorrected(_bench_rows(s, d), "item_id", _spell_dictionary(s, d), remove=True),
     "remove_unknown": lambda s, d: spelling.known_only(_clean(s, d), "doc_id", _spell_dictionary(s, d)),
@@ -151,15 +154,11 @@ QUERIES: dict[str, Query] = {
     "spelling_suggest_documents": lambda s, d: spelling.suggestions(dic.train(_read(s, d, "documents")), _spell_dictionary(s, d)).withColumn("confidence", F.round("confidence", 6)),
     "lemmatize": lambda s, d: tagging.lemmatized(_clean(s, d), "doc_id", _trained(s, d)),
     "dict_train": lambda s, d: dic.train(_read(s, d, "documents")),
-    "dict_merge": lambda s, d: dic.merge(_trained(s, d), _trained(s, d, "de")),
+    "dict_merge": lambda s, d: dic.merge(_trained(s, d), _trained(s, d, "conversations")),
     "dict_shrink": lambda s, d: dic.shrink(dic.train(_read(s, d, "documents")), 5),
     "dict_cap": lambda s, d: dic.cap(dic.train(_read(s, d, "documents")), 5000),
     "dict_add": lambda s, d: dic.add(_trained(s, d), "a banana, A bandana the"),
     "dict_remove": lambda s, d: dic.remove(_trained(s, d), ["the 12", "And", "zzz"]),
-    "wiki_pages": lambda s, d: _wiki(s),
-    "wiki_links": lambda s, d: _wiki(s).select("title", F.posexplode(dic.wiki_links(F.col("body"))).alias("pos", "link")),
-    "wiki_body": lambda s, d: _wiki(s).select("title", dic.wiki_text(F.col("body")).alias("text")),
-    "wiki_redirect": lambda s, d: dic.wiki_redirects(_wiki(s)),
 }
 
 
@@ -249,6 +248,16 @@ def _percent(p: int) -> str:
 SELECT word, freq FROM r WHERE before < ceil({p}::DOUBLE / 100 * total)"""
 
 
+def _scoped(keys: str, limit: str) -> str:
+    """SQL for reports by keys: of each the words whose running count, or running sum, is under the limit."""
+    seen = f"{_EACH}, q AS (SELECT source AS file_path, {keys}, word, count(*) AS freq, min({{'b': page_no, 'c': i}}) AS first FROM e WHERE word <> '' GROUP BY ALL)"
+    by = "PARTITION BY file_path" + (", page_no" if keys == "page_no" else "")
+    before = "sum(freq)" if limit.endswith("%") else "count(*)"
+    bound = f"ceil({limit[:-1]}::DOUBLE / 100 * total)" if limit.endswith("%") else limit
+    shown = "file_path, page_no, word, freq" if keys == "page_no" else "file_path, word, freq"
+    return f"{seen}, r AS (SELECT *, coalesce({before} OVER ({by} ORDER BY freq DESC, first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(freq) OVER ({by}) AS total FROM q) SELECT {shown} FROM r WHERE before < {bound}"
+
+
 def _page_fields(columns: str, where: str = "") -> str:
     return f"{_PAGES} SELECT {columns} FROM p {where}"
 
@@ -256,38 +265,54 @@ def _page_fields(columns: str, where: str = "") -> str:
 _FP, _FN, _PN, _WC, _TX, _RT = 'source AS "Source File Path"', 'source AS "Source File Name"', 'page_no AS "Page Number (File)"', 'CAST(len(words) AS INTEGER) AS "Word Count"', 'c AS "Text"', 'c AS "Raw Text"'
 
 
-def _ignoring(c: str) -> str:
-    for w in IGNORE:
-        c = f"regexp_replace({c}, '(?i)\\b{w}\\b', '', 'g')"
+def _q(word: str) -> str:
+    return word.replace("'", "''")
+
+
+def _ignoring(c: str, words: Sequence[str] = IGNORE) -> str:
+    for w in words:
+        c = f"regexp_replace({c}, '(?i)\\b{_q(w)}\\b', '', 'g')"
     return f"trim(regexp_replace({c}, ' {{2,}}', ' ', 'g'))"
 
 
 _NO_PUNCT = f"regexp_replace(array_to_string({_split('c')}, ' '), '[^\\w\\s''-]|_', '', 'g')"
 _TRAIN = "SELECT word, count(*) AS freq FROM (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')) AS word FROM {0}) GROUP BY word"
-_EN = _TRAIN.format("(SELECT text FROM documents WHERE lang = 'en')")
+_ALL = _TRAIN.format("documents")
 
 # spelling: distinct words of the benchmark against the dictionary
 _SPELL = f"""
-d AS (SELECT word, freq FROM ({_EN}) WHERE freq > {FREQ_CUT}),
+d AS (SELECT word, freq FROM ({_ALL}) WHERE freq > {FREQ_CUT}),
 u0 AS (SELECT DISTINCT word FROM ({{0}})),
-u AS (SELECT word, [substr(word, 1, i - 1) || substr(word, i + 1, 1) || substr(word, i, 1) || substr(word, i + 2) FOR i IN range(1, length(word))] AS swaps FROM u0 WHERE length(word) > 1 AND word NOT IN (SELECT word FROM d)),
-ds AS (SELECT word, freq, [substr(word, 1, i - 1) || substr(word, i + 1, 1) || substr(word, i, 1) || substr(word, i + 2) FOR i IN range(1, length(word))] AS swaps FROM d),
-q AS (SELECT u.word, u.swaps AS us, ds.word AS cand, ds.swaps AS cs, freq, levenshtein(u.word, ds.word) AS lev FROM u JOIN ds ON abs(length(u.word) - length(ds.word)) <= 2),
+u AS (SELECT word, array_to_string(list_sort(string_split(word, '')), '') AS letters, [substr(word, 1, i - 1) || substr(word, i + 1, 1) || substr(word, i, 1) || substr(word, i + 2) FOR i IN range(1, length(word))] AS swaps FROM u0 WHERE length(word) > 1 AND word NOT IN (SELECT word FROM d)),
+ds AS (SELECT word, freq, array_to_string(list_sort(string_split(word, '')), '') AS letters, [substr(word, 1, i - 1) || substr(word, i + 1, 1) || substr(word, i, 1) || substr(word, i + 2) FOR i IN range(1, length(word))] AS swaps FROM d),
+q0 AS (SELECT u.word, ds.word AS cand, u.letters AS ul, ds.letters AS cl, levenshtein(u.word, ds.word) AS lev FROM (SELECT *, length(word) + unnest([-2, -1, 0, 1, 2]) AS size FROM u) u JOIN ds ON u.size = length(ds.word)),
+q1 AS (SELECT word, cand, lev FROM q0 WHERE lev <= 2 OR (lev = 3 AND levenshtein(ul, cl) <= 2) OR (lev = 4 AND ul = cl)),
+q AS (SELECT q1.word, cand, lev, u.swaps AS us, ds.swaps AS cs, freq FROM q1 JOIN u ON q1.word = u.word JOIN ds ON cand = ds.word),
 k AS (SELECT word, cand, freq, CASE WHEN lev <= 1 OR list_contains(us, cand) THEN 1
-   WHEN lev <= 2 OR (lev <= 4 AND (len([x FOR x IN us IF levenshtein(x, cand) <= 1]) > 0 OR len([x FOR x IN cs IF levenshtein(word, x) <= 1]) > 0 OR list_has_any(us, cs))) THEN 2 END AS edits FROM q WHERE lev <= 4),
+   WHEN lev <= 2 OR len([x FOR x IN us IF levenshtein(x, cand) <= 1]) > 0 OR len([x FOR x IN cs IF levenshtein(word, x) <= 1]) > 0 OR list_has_any(us, cs) THEN 2 END AS edits FROM q),
 b AS (SELECT word, min(edits) AS edits FROM k WHERE edits IS NOT NULL GROUP BY word),
 g AS (SELECT k.word, sum(freq) AS total, max({{{{'f': freq, 'c': cand}}}}) AS top FROM k JOIN b ON k.word = b.word AND k.edits = b.edits GROUP BY k.word),
 s AS (SELECT u0.word, CASE WHEN g.word IS NOT NULL THEN top.c ELSE u0.word END AS correction, CASE WHEN g.word IS NOT NULL THEN top.f::DOUBLE / total WHEN length(u0.word) = 1 OR u0.word IN (SELECT word FROM d) THEN 1.0 ELSE 0.0 END AS confidence FROM u0 LEFT JOIN g ON u0.word = g.word)"""
-_BENCH = "WITH " + _steps("benchmark", "item_id") + f""",
-tok AS (SELECT item_id, unnest(words) AS token, unnest(range(0, len(words))) AS pos FROM (SELECT item_id, {_marked('c')} AS words FROM c9)),
+def _spelled(table: str, key: str) -> str:
+    """CTEs up to ``done``: every token of a table with its correction."""
+    return "WITH " + _steps(table, key) + f""",
+tok AS (SELECT {key}, unnest(words) AS token, unnest(range(0, len(words))) AS pos FROM (SELECT {key}, {_marked('c')} AS words FROM c9)),
 kinds AS (SELECT *, CASE WHEN NOT regexp_matches(token, '[A-Za-z0-9]') THEN 'punctuation' WHEN NOT regexp_full_match(token, '[A-Za-z]+') THEN 'other' ELSE 'word' END AS kind FROM tok),
-""" + _SPELL.format("SELECT lower(token) AS word FROM kinds WHERE kind = 'word'") + """,
-done AS (SELECT item_id, pos, token, kind, CASE WHEN kind <> 'word' THEN token WHEN token = upper(token) THEN upper(correction) WHEN token = upper(token[1]) || lower(token[2:]) THEN upper(correction[1]) || lower(correction[2:]) ELSE correction END AS correction,
+""" + _SPELL.format("SELECT lower(token) AS word FROM kinds WHERE kind = 'word'") + f""",
+done AS (SELECT {key}, pos, token, kind, CASE WHEN kind <> 'word' THEN token WHEN token = upper(token) THEN upper(correction) WHEN token = upper(token[1]) || lower(token[2:]) THEN upper(correction[1]) || lower(correction[2:]) ELSE correction END AS correction,
   CASE kind WHEN 'punctuation' THEN -1.0 WHEN 'other' THEN -2.0 ELSE confidence END AS confidence FROM kinds LEFT JOIN s ON kind = 'word' AND s.word = lower(token))"""
 
 
-def _joined(value: str, where: str) -> str:
-    return f"{_BENCH} SELECT b0.item_id, {_glued(value, where)} AS text FROM benchmark b0 LEFT JOIN done ON b0.item_id = done.item_id GROUP BY b0.item_id"
+def _joined(table: str, key: str, where: str) -> str:
+    return f"{_spelled(table, key)} SELECT b0.{key}, {_glued('correction', where)} AS text FROM {table} b0 LEFT JOIN done ON b0.{key} = done.{key} GROUP BY b0.{key}"
+
+
+def _logged(table: str, key: str) -> str:
+    return f"{_spelled(table, key)} SELECT {key}, CAST(pos AS INTEGER) AS pos, token AS word, confidence > 0 AS attempted, CASE WHEN confidence > 0 THEN correction END AS correction, CASE WHEN confidence > 0 THEN round(confidence, 6) END AS confidence FROM done WHERE kind = 'word' AND lower(token) NOT IN (SELECT word FROM d)"
+
+
+def _suggested(table: str) -> str:
+    return "WITH " + _SPELL.format(_TRAIN.format(table).replace("{", "{{").replace("}", "}}")).lstrip() + " SELECT word, correction, round(confidence, 6) AS confidence FROM s"
 
 
 def _tag_sql(t: str) -> str:
@@ -306,22 +331,12 @@ def _lemma_sql() -> str:
     return f"""{_DOC}, tok AS (SELECT doc_id, unnest(words) AS token, unnest(range(0, len(words))) AS pos FROM (SELECT doc_id, {_marked('c')} AS words FROM c9)),
 tags AS (SELECT doc_id, pos, lower(token) AS word, {_tag_sql('token')} AS tag FROM tok),
 classes AS (SELECT doc_id, pos, word, CASE WHEN tag LIKE 'JJ%' THEN 'a' WHEN tag LIKE '%RB%' THEN 'r' WHEN tag LIKE 'VB%' THEN 'v' ELSE 'n' END AS class FROM tags),
-v AS (SELECT DISTINCT word, class FROM classes), tries AS ({' UNION ALL '.join(tries)}), d AS ({_EN}),
+v AS (SELECT DISTINCT word, class FROM classes), tries AS ({' UNION ALL '.join(tries)}), d AS ({_ALL}),
 best AS (SELECT word, class, min_by(lemma, i) AS lemma FROM tries WHERE lemma IN (SELECT word FROM d) GROUP BY word, class),
 made AS (SELECT doc_id, {_glued('coalesce(lemma, c.word)')} AS text FROM classes c LEFT JOIN best ON c.word = best.word AND c.class = best.class GROUP BY doc_id)
 SELECT d0.doc_id, coalesce(made.text, '') AS text FROM documents d0 LEFT JOIN made ON d0.doc_id = made.doc_id"""
 
 
-_WIKI = "WITH w AS (SELECT unnest(regexp_extract_all('" + XML.replace("'", "''") + "', '(?s)<page>(.*?)</page>', 1)) AS page), pages AS (SELECT regexp_extract(page, '(?s)<title>(.*?)</title>', 1) AS title, regexp_extract(page, '(?s)<text[^>]*>(.*?)</text>', 1) AS body FROM w), l AS (SELECT title, body, [x FOR x IN [regexp_replace(y, '[|#].*', '') FOR y IN regexp_extract_all(body, '\\[\\[([^\\]]*)\\]\\]', 1) IF NOT contains(y, ':')] IF x <> ''] AS links FROM pages)"
-
-
-def _wiki_text(c: str) -> str:
-    gone = ["(?s)&lt;ref.*?/(?:ref)?&gt;", "(?s)<ref.*?/(?:ref)?>", *["(?s)\\{\\{[^{}]*\\}\\}"] * 2, "(?s)\\[\\[.*?\\]\\]", "(?s)\\{[^{}]*\\}", "(?s)\\[[^\\[\\]]*\\]", "==+[^=\\n]*==+", "(?s)&lt;.*?&gt;", "<[^>]*>", "&[a-z]+;", "\\S*_\\S*", "[^\\p{L}]", " +"]
-    for pattern in gone:
-        c = f"regexp_replace({c}, '{pattern}', ' ', 'g')"
-    return f"trim({c})"
-
-
 def oracle_sql() -> dict[str, str]:
     only = ", ".join(f"regexp_extract_all(c, '(?i)\\b{w}\\b')" for w in ONLY)
     chain = _ignoring(f"lower(regexp_replace({_NO_PUNCT}, '\\d', '', 'g'))")
@@ -351,6 +366,8 @@ def oracle_sql() -> dict[str, str]:
         "freq_chron": f"{_EACH} SELECT row_number() OVER (ORDER BY first) AS rank, word, freq FROM n",
         "freq_limit_pct_70": _percent(70), "freq_limit_pct_7": _percent(7),
         "freq_limit_top_100": f"{_EACH} SELECT word, freq FROM n ORDER BY freq DESC, first LIMIT 100",
+        "freq_file_limit_pct_70": _scoped("0 AS none", "70%"), "freq_file_limit_top_100": _scoped("0 AS none", "100"),
+        "freq_page_limit_top_10": _scoped("page_no", "10"), "freq_page_limit_pct_28": _scoped("page_no", "28%"),
         "freq_limit_min_50": f"{_CORPUS} SELECT word, freq FROM n WHERE freq >= 50",
         "freq_only": f"{_CORPUS} SELECT word, freq FROM n WHERE word IN ({_quoted(LISTED)})",
         "freq_ignore": f"{_CORPUS} SELECT word, freq FROM n WHERE word NOT IN ({_quoted(LISTED)})",
@@ -363,22 +380,24 @@ def oracle_sql() -> dict[str, str]:
         "process_only": doc(f"array_to_string(flatten([{only}]), ' ')"),
         "process_ignore": doc(_ignoring("c")),
         "process_chain": doc(chain),
-        "autocorrect": _joined("correction", "true"),
-        "autocorrect_remove": _joined("correction", "confidence > 0 OR kind = 'punctuation'"),
-        "remove_unknown": f"{_DOC}, tok AS (SELECT doc_id, unnest(words) AS token, unnest(range(0, len(words))) AS pos FROM (SELECT doc_id, {_marked('c')} AS words FROM c9)), d AS (SELECT word FROM ({_EN}) WHERE freq > {FREQ_CUT}) SELECT d0.doc_id, {_glued('token', "lower(token) IN (SELECT word FROM d) OR NOT regexp_matches(token, '[A-Za-z0-9]')")} AS text FROM documents d0 LEFT JOIN tok ON d0.doc_id = tok.doc_id GROUP BY d0.doc_id",
-        "corrections": f"{_BENCH} SELECT item_id, CAST(pos AS INTEGER) AS pos, token AS word, confidence > 0 AS attempted, CASE WHEN confidence > 0 THEN correction END AS correction, CASE WHEN confidence > 0 THEN round(confidence, 6) END AS confidence FROM done WHERE kind = 'word' AND lower(token) NOT IN (SELECT word FROM d)",
-        "spelling_suggest": "WITH " + _SPELL.format(_TRAIN.format("benchmark").replace("{", "{{").replace("}", "}}")).lstrip() + " SELECT word, correction, round(confidence, 6) AS confidence FROM s",
+        "process_stopwords": doc(_ignoring("c", _stop_words())),
+        "process_only_stopwords": doc("array_to_string(flatten([" + ", ".join(f"regexp_extract_all(c, '(?i)\\b{_q(w)}\\b')" for w in _stop_words()) + "]), ' ')"),
+        "autocorrect": _joined("benchmark", "item_id", "true"),
+        "autocorrect_remove": _joined("benchmark", "item_id", "confidence > 0 OR kind = 'punctuation'"),
+        "autocorrect_documents": _joined("documents", "doc_id", "true"),
+        "autocorrect_remove_documents": _joined("documents", "doc_id", "confidence > 0 OR kind = 'punctuation'"),
+        "remove_unknown": f"{_DOC}, tok AS (SELECT doc_id, unnest(words) AS token, unnest(range(0, len(words))) AS pos FROM (SELECT doc_id, {_marked('c')} AS words FROM c9)), d AS (SELECT word FROM ({_ALL}) WHERE freq > {FREQ_CUT}) SELECT d0.doc_id, {_glued('token', "lower(token) IN (SELECT word FROM d) OR NOT regexp_matches(token, '[A-Za-z0-9]')")} AS text FROM documents d0 LEFT JOIN tok ON d0.doc_id = tok.doc_id GROUP BY d0.doc_id",
+        "corrections": _logged("benchmark", "item_id"),
+        "corrections_documents": _logged("documents", "doc_id"),
+        "spelling_suggest": _suggested("benchmark"),
+        "spelling_suggest_documents": _suggested("documents"),
         "lemmatize": _lemma_sql(),
         "dict_train": _TRAIN.format("documents"),
-        "dict_merge": _TRAIN.format("(SELECT text FROM documents WHERE lang IN ('en', 'de'))"),
+        "dict_merge": _TRAIN.format("(SELECT text FROM documents UNION ALL SELECT text FROM conversations)"),
         "dict_shrink": f"SELECT * FROM ({_TRAIN.format('documents')}) WHERE freq > 5",
         "dict_cap": f"WITH n AS ({_TRAIN.format('documents')}), t AS (SELECT i FROM (SELECT DISTINCT freq AS i FROM n UNION SELECT 0) WHERE (SELECT count(*) FROM n WHERE freq > i) <= 5000) SELECT word, freq FROM n WHERE freq > (SELECT min(i) FROM t)",
-        "dict_add": f"SELECT word, CAST(sum(freq) AS BIGINT) AS freq FROM ({_EN} UNION ALL SELECT * FROM (VALUES ('a', 2), ('banana', 1), ('bandana', 1), ('the', 1)) v(word, freq)) GROUP BY word",
-        "dict_remove": f"SELECT * FROM ({_EN}) WHERE word NOT IN ('the', 'and', 'zzz')",
-        "wiki_pages": f"{_WIKI} SELECT title, body FROM pages",
-        "wiki_links": f"{_WIKI} SELECT title, CAST(unnest(range(0, len(links))) AS INTEGER) AS pos, unnest(links) AS link FROM l",
-        "wiki_body": f"{_WIKI} SELECT title, {_wiki_text('body')} AS text FROM pages",
-        "wiki_redirect": f"{_WIKI}, t AS (SELECT title, CASE WHEN upper(substr(ltrim(body), 1, 9)) = '#REDIRECT' THEN links[1] END AS target, body FROM l) SELECT t.title, t.target, coalesce(p.body, t.body) AS body FROM t LEFT JOIN pages p ON t.target = p.title",
+        "dict_add": f"SELECT word, CAST(sum(freq) AS BIGINT) AS freq FROM ({_ALL} UNION ALL SELECT * FROM (VALUES ('a', 2), ('banana', 1), ('bandana', 1), ('the', 1)) v(word, freq)) GROUP BY word",
+        "dict_remove": f"SELECT * FROM ({_ALL}) WHERE word NOT IN ('the', 'and', 'zzz')",
     }
 
 

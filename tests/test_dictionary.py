@@ -8,6 +8,12 @@ from pagemill.operators import dictionary as dic
 from pagemill.operators import spelling, tagging
 from pagemill.sources import lists
 
+XML = (
+    "<mediawiki><page><title>Ada</title><text xml:space=\"preserve\">'''Ada''' wrote [[Notes (text)|notes]] on the [[engine#Parts]]. {{Infobox|a=1}} See [[File:x.png]] &amp; [[Babbage]].</text></page>"
+    "<page><title>Countess</title><text>#REDIRECT [[Ada]]</text></page>"
+    "<page><title>Engine</title><text>== Parts ==\nA {| table |} of [[gear]]s, 12 in all_of_it.<ref>none</ref></text></page></mediawiki>"
+)
+
 
 def frame(spark, d):
     return spark.createDataFrame(list(d.items()), "word string, freq long")
@@ -115,9 +121,32 @@ def test_tags_and_lemmas(spark):
 
 
 def test_wiki(spark):
-    from pagemill.queries import XML
-
     pages = dic.wiki_pages(spark.createDataFrame([(XML,)], "xml string"))
     assert {r.title: r.links for r in pages.select("title", dic.wiki_links(F.col("body")).alias("links")).collect()}["Ada"] == ["Notes (text)", "engine", "Babbage"]
     assert {r.title: r.t for r in pages.select("title", dic.wiki_text(F.col("body")).alias("t")).collect()}["Ada"] == "Ada wrote on the See"
     assert {r.title: r.target for r in dic.wiki_redirects(pages).collect()} == {"Ada": None, "Countess": "Ada", "Engine": None}
+
+
+def test_long_words_meet_by_their_parts(spark):
+    """Every word within two edits of a long one is a candidate, whichever edits they are."""
+    import random
+
+    rng = random.Random(4)
+    letters = "abcde"
+
+    def edit(w: str) -> str:
+        i, kind = rng.randrange(len(w)), rng.randrange(4)
+        if kind == 0:
+            return w[:i] + w[i + 1 :]
+        if kind == 1:
+            return w[:i] + rng.choice(letters) + w[i:]
+        if kind == 2:
+            return w[:i] + rng.choice(letters) + w[i + 1 :]
+        return w[:i] + w[i + 1 : i + 2] + w[i] + w[i + 2 :]
+
+    words = ["".join(rng.choice(letters) for _ in range(rng.randrange(9, 40))) for _ in range(60)]
+    pairs = {(edit(edit(w)), w) for w in words for _ in range(8)} | {(edit(w), w) for w in words for _ in range(4)}
+    unknown = spark.createDataFrame([(u,) for u in sorted({u for u, _ in pairs})], "word string")
+    d = spark.createDataFrame([(w, 3) for w in words], "word string, freq long")
+    near = {(r.word, r.cand) for r in spelling._near(unknown, d, 2).collect()}
+    assert pairs <= near

@@ -83,3 +83,34 @@ def test_ranked_and_numbered(spark):
         k = str(x % 3 == 0).lower()
         seen[k] += 1
         assert got[(k, x)] == seen[k]
+
+
+def test_limits_within_scopes_against_sorting(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(rng.choice([None, "a", "b", "hot", "hot"]), f"w{i}", rng.choice([1, 1, 1, 2, 3, 9]), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "file_path string, word string, freq long, first_seen int")
+    for limit in ("7%", "70%", "0%", "100%", "3", "1000", "0", "2+"):
+        got = {(r.file_path, r.word) for r in report.limited_within(df, ["file_path"], limit).collect()}
+        kind, n = report.parse_limit(limit)
+        expected = set()
+        for f in {r[0] for r in rows}:
+            mine = sorted((r for r in rows if r[0] == f), key=lambda r: (-r[2], r[3]))
+            total, before = sum(r[2] for r in mine), 0
+            for k, r in enumerate(mine):
+                if {"percent": before < math.ceil(n / 100 * total), "top": k < n, "least": r[2] >= n}[kind]:
+                    expected.add((f, r[1]))
+                before += r[2]
+        assert got == expected
+    assert report.limited_within(df.limit(0), ["file_path"], "7%").collect() == []
+
+
+def test_one_file_with_all_pages(spark):
+    from pagemill.sources.adapters import pages_from_documents
+
+    docs = spark.range(300).selectExpr("id * 7 as doc_id", "'hot' as source", "concat('t', id) as text")
+    pages = pages_from_documents(docs)
+    assert [r.page_no_overall for r in pg.with_overall(pages).orderBy("page_no").collect()] == list(range(1, 301))
+    some = pg.with_overall(pg.selected(pages, "2 5-6"))
+    assert [(r.page_no, r.page_no_overall) for r in some.orderBy("page_no").collect()] == [(2, 1), (5, 2), (6, 3)]
