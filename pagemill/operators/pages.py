@@ -6,10 +6,11 @@ import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..plans.tables import numbered, ranked
+from ..plans.tables import ensure_checkpoint_dir, numbered, ranked
 
 #: Output columns by their letters.
 FIELDS = {
@@ -59,8 +60,6 @@ def with_overall(pages: DataFrame) -> DataFrame:
         pages = numbered(pages, "file_path", "page_no", "__place")
     files = pages.groupBy("file_path").agg(F.count(F.lit(1)).alias("__n"))
     order = ranked(files.withColumn("__key", text.natural_key(F.col("file_path"))), ["__key", "file_path"], "__file")
-    from pyspark.sql import Window as W
-
     before = F.coalesce(F.sum("__n").over(W.orderBy("__file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     order = order.select(F.col("file_path").alias("__path"), "__file", before.alias("__before"))
     out = pages.join(order, F.col("file_path").eqNullSafe(F.col("__path")))
@@ -135,6 +134,33 @@ def corpus_stats(pages: DataFrame) -> DataFrame:
     return total.withColumn("page_count_active", F.col("page_count") - F.col("page_count_skipped"))
 
 
+#: Characters that a part of a file's text has, but for the page that it ends with.
+PART = 1 << 20
+
+
+def file_text(pages: DataFrame, size: int = PART) -> DataFrame:
+    """(file_path, part, text): a file's pages in order, joined by a space, in bounded parts.
+
+    A page belongs to the part in which it begins, counted in characters from
+    the file's beginning; parts in order, joined by a space, are the file's
+    text. Parts may be missing where a page is longer than one. No task holds a
+    file: lengths are added up by ranges of pages, and only lengths are sorted.
+    """
+    ensure_checkpoint_dir(pages.sparkSession)
+    lengths = pages.select("file_path", "page_no", (F.length("text") + 1).cast("long").alias("__n")).checkpoint()
+    by = W.partitionBy("file_path", "__range")
+    lengths = lengths.withColumn("__range", F.floor(F.col("page_no") / F.lit(10_000)))
+    sums = lengths.groupBy("file_path", "__range").agg(F.sum("__n").alias("__sum"))
+    before = F.coalesce(F.sum("__sum").over(W.partitionBy("file_path").orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sums.select(F.col("file_path").alias("__path"), F.col("__range").alias("__r"), before.alias("__start"))
+    own = F.coalesce(F.sum("__n").over(by.orderBy("page_no").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    at = lengths.withColumn("__own", own).join(starts, F.col("file_path").eqNullSafe(F.col("__path")) & (F.col("__range") == F.col("__r")))
+    at = at.select("__path", F.col("page_no").alias("__page"), F.floor((F.col("__start") + F.col("__own")) / F.lit(size)).cast("long").alias("part"))
+    met = pages.join(at, F.col("file_path").eqNullSafe(F.col("__path")) & (F.col("page_no") == F.col("__page")))
+    rows = F.array_sort(F.collect_list(F.struct("page_no", "text")))
+    return met.groupBy("file_path", "part").agg(F.array_join(F.transform(rows, lambda r: r["text"]), " ").alias("text"))
+
+
 def joined_text(pages: DataFrame, letters: Sequence[str] = ("file_path",)) -> DataFrame:
     """The text of each file, its pages in order joined by a space.
 

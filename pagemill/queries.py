@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .functions import process, text
 from .operators import dictionary as dic
 from .operators import pages as pg
-from .operators import report, spelling, tagging
+from .operators import punkt, report, spelling, tagging
 from .plans.tables import ensure_checkpoint_dir
 from .sources.adapters import pages_from_conversations, pages_from_documents
 
@@ -112,6 +112,10 @@ QUERIES: dict[str, Query] = {
     "page_word_count": lambda s, d: _clean(s, d).select("doc_id", F.size(text.words(F.col("text"))).alias("word_count")),
     "page_sentence_count": lambda s, d: _clean(s, d).select("doc_id", F.size(text.sentences(F.col("text"))).alias("sentence_count")),
     "tokenize_sentences": lambda s, d: pg.sentence_rows(_pages(s, d)),
+    "punkt_statistics": lambda s, d: punkt.statistics(_clean(s, d)).withColumn("score", F.round("score", 2) + F.lit(0.0)),
+    "punkt_collocations": lambda s, d: punkt.collocations(_clean(s, d)).withColumn("score", F.round("score", 2) + F.lit(0.0)),
+    "tokenize_sentences_trained": lambda s, d: punkt.sentence_rows(_clean(s, d), "doc_id"),
+    "file_text": lambda s, d: pg.file_text(_pages(s, d)),
     "tokenize_words": lambda s, d: pg.word_rows(_pages(s, d)),
     "file_stats": lambda s, d: pg.file_stats(_pages(s, d)),
     "corpus_stats": lambda s, d: pg.corpus_stats(_pages(s, d)),
@@ -258,6 +262,29 @@ def _scoped(keys: str, limit: str) -> str:
     return f"{seen}, r AS (SELECT *, coalesce({before} OVER ({by} ORDER BY freq DESC, first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(freq) OVER ({by}) AS total FROM q) SELECT {shown} FROM r WHERE before < {bound}"
 
 
+def _loglik(k: str, n: str, p: str) -> str:
+    return f"(CASE WHEN {k} = 0 THEN 0.0 ELSE {k} * ln({p}) END + CASE WHEN {n} - {k} = 0 THEN 0.0 ELSE ({n} - {k}) * ln(1 - {p}) END)"
+
+
+def _punkt() -> str:
+    """CTEs with the statistics of types (stat), pairs (col) and tokens (tk)."""
+    kind = "regexp_replace(regexp_replace(lower({0}), '^[^a-z0-9]+', ''), '\\.$', '')"
+    letters, whole = "length(replace(type, '.', ''))", "CAST(n_period + n_bare AS DOUBLE)"
+    ratio = f"2 * ({_loglik('n_period::DOUBLE', whole, '0.99::DOUBLE')} - {_loglik('n_period::DOUBLE', whole, 'p')})"
+    rest = "(total - a)"
+    score = f"-2 * ({_loglik('k', 'a', '(b / total)')} + {_loglik('(b - k)', rest, '(b / total)')} - {_loglik('k', 'a', '(k / a)')} - {_loglik('(b - k)', rest, '((b - k) / greatest(total - a, 1.0))')})"
+    return f"""{_DOC}, tk0 AS (SELECT doc_id, unnest(l) AS t, unnest(range(0, len(l))) AS i FROM (SELECT doc_id, [x FOR x IN string_split(c, ' ') IF x <> ''] AS l FROM c9)),
+tk AS (SELECT doc_id, t, i, {kind.format('t')} AS type, lead({kind.format('t')}) OVER (PARTITION BY doc_id ORDER BY i) AS following, t LIKE '%.' AS dot, regexp_matches(t, '^[^A-Za-z0-9]*([A-Za-z]|[0-9]+)\\.$') AS initial FROM tk0),
+n AS (SELECT type, CAST(count(*) FILTER (dot) AS BIGINT) AS n_period, CAST(count(*) FILTER (NOT dot) AS BIGINT) AS n_bare FROM tk GROUP BY type),
+pp AS (SELECT least(greatest(sum(n_period)::DOUBLE / sum(n_period + n_bare)::DOUBLE, 1e-9), 1 - 1e-9) AS p FROM n),
+stat AS (SELECT type, n_period, n_bare, CASE WHEN {letters} = 0 THEN 0.0 ELSE {ratio} * exp(-{letters}::DOUBLE) * (length(type) - {letters} + 1) * pow({letters}::DOUBLE, -n_bare::DOUBLE) END AS score FROM n, pp WHERE n_period > 0),
+abb AS (SELECT *, score >= 0.3 AND regexp_matches(type, '[a-z]') AS abbreviation FROM stat),
+pair AS (SELECT type, following, count(*) AS n FROM tk WHERE initial AND following IS NOT NULL GROUP BY ALL),
+cnt AS (SELECT type, count(*)::DOUBLE AS b, (count(*) FILTER (initial))::DOUBLE AS a FROM tk GROUP BY type),
+met AS (SELECT pair.type, pair.following, n, n::DOUBLE AS k, x.a AS a, y.b AS b, (SELECT count(*)::DOUBLE FROM tk) AS total FROM pair JOIN cnt x ON pair.type = x.type JOIN cnt y ON pair.following = y.type),
+col AS (SELECT * FROM (SELECT type, following, n, {score} AS score FROM met WHERE k / a > b / total) WHERE score >= 7.88)"""
+
+
 def _page_fields(columns: str, where: str = "") -> str:
     return f"{_PAGES} SELECT {columns} FROM p {where}"
 
@@ -354,6 +381,12 @@ def oracle_sql() -> dict[str, str]:
         "page_word_count": f"{_DOC} SELECT doc_id, CAST(len({_split('c')}) AS INTEGER) AS word_count FROM c9",
         "page_sentence_count": f"{_DOC} SELECT doc_id, CAST(len({_sentences('c')}) AS INTEGER) AS sentence_count FROM c9",
         "tokenize_sentences": f"{_PAGES}, z AS (SELECT source, page_no, {_sentences('c')} AS l FROM p), y AS (SELECT source, page_no, unnest(l) AS sentence, CAST(unnest(range(1, len(l) + 1)) AS INTEGER) AS sentence_no FROM z) SELECT source AS file_path, page_no, sentence_no, CAST(len({_split('sentence')}) AS INTEGER) AS word_count, sentence FROM y",
+        "punkt_statistics": f"{_punkt()} SELECT type, n_period, n_bare, round(score, 2) + 0.0::DOUBLE AS score, abbreviation FROM abb",
+        "punkt_collocations": f"{_punkt()} SELECT type, following, n, round(score, 2) + 0.0::DOUBLE AS score FROM col",
+        "tokenize_sentences_trained": f"""{_punkt()}, e AS (SELECT *, regexp_matches(t, '[.!?]+["'')]*$') AND NOT (dot AND (type IN (SELECT type FROM abb WHERE abbreviation) OR (coalesce((type, following) IN (SELECT (type, following) FROM col), false)))) AS ends FROM tk),
+g AS (SELECT doc_id, t, i, coalesce(sum(CAST(ends AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM e)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY g) AS INTEGER) AS sentence_no, string_agg(t, ' ' ORDER BY i) AS sentence FROM g GROUP BY doc_id, g""",
+        "file_text": f"{_PAGES}, z AS (SELECT source, page_no, c, CAST(coalesce(sum(length(c) + 1) OVER (PARTITION BY source ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begins FROM p) SELECT source AS file_path, begins // {pg.PART} AS part, string_agg(c, ' ' ORDER BY page_no) AS text FROM z GROUP BY ALL",
         "tokenize_words": f"{_PAGES}, y AS (SELECT source, page_no, unnest(words) AS word, CAST(unnest(range(1, len(words) + 1)) AS INTEGER) AS word_no FROM p) SELECT source AS file_path, page_no, word_no, CAST(length(word) AS INTEGER) AS word_length, word FROM y",
         "file_stats": f"{_PAGES} SELECT source AS file_path, count(*) AS page_count, 0::BIGINT AS page_count_skipped, 0::BIGINT AS page_count_ocr, count(*) AS page_count_text, CAST(sum(len(words)) AS BIGINT) AS word_count FROM p GROUP BY source",
         "corpus_stats": f"{_PAGES} SELECT count(DISTINCT source) AS file_count, count(*) AS page_count, 0::BIGINT AS page_count_skipped, 0::BIGINT AS page_count_ocr, count(*) AS page_count_text, CAST(sum(len(words)) AS BIGINT) AS word_count, count(*) AS page_count_active FROM p",
