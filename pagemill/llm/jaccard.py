@@ -189,7 +189,15 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[tuple[int,
         yield at, rows
 
 
-def sieve(chunks: DataFrame, n_parts: int) -> DataFrame:
+#: Tasks of a shuffle, at most; a task then has several cells, one after another.
+MOST_TASKS = 20_000
+#: Bytes of rows that are broadcast, at most.
+MOST_BROADCAST = 64 << 20
+#: Tasks that the rows of a hot key are dealt over where broadcast is out.
+SALTS = 64
+
+
+def sieve(chunks: DataFrame, n_cells: int) -> DataFrame:
     """(id, n, s1, s2, m, alone) of every set in rows made by :func:`_chunked`.
 
     ``m`` counts a set's shingles in the region, ``alone`` those that no set of
@@ -218,6 +226,7 @@ def sieve(chunks: DataFrame, n_parts: int) -> DataFrame:
                     alone[index] += count
             yield pa.RecordBatch.from_arrays([pa.array(id_, mask=known == 0), *map(pa.array, (n, s1, s2, m, alone))], names=["id", "n", "s1", "s2", "m", "alone"])
 
+    n_parts = min(n_cells, MOST_TASKS)
     # a chunk's own row has a negative cell, dealt by its chunk
     dealt = F.when(F.col("cell") < 0, -1 - F.pmod("chunk", F.lit(n_parts))).otherwise(F.col("cell"))
     cells = chunks.repartition(n_parts, dealt).sortWithinPartitions("cell", "chunk").mapInArrow(reduce, _ROW)
@@ -300,8 +309,10 @@ def _met(left: DataFrame, right: DataFrame, key: str, how: str = "inner", sizes:
     """``left`` joined with ``right``, in which ``key`` is unique.
 
     Rows of hot keys stay where they are and get the rows of ``right`` that they
-    need by broadcast; all others are dealt by key. A key is hot that more than
-    a thousandth of the rows have, so there are less than a thousand of them.
+    need by broadcast, if these have less than ``MOST_BROADCAST`` bytes; else
+    they are dealt by key and salt, and the rows of ``right`` go to every salt.
+    All others are dealt by key. A key is hot that more than a thousandth of the
+    rows have, so there are less than a thousand of them.
     ``sizes`` has (key, __n), where that is known. What is given is read more
     than once and should be a table.
     """
@@ -311,7 +322,15 @@ def _met(left: DataFrame, right: DataFrame, key: str, how: str = "inner", sizes:
     if (most or 0) <= limit:
         return left.join(right, key, how)
     hot = [r[0] for r in n.where(F.col(key).isNotNull() & (F.col("__n") > limit)).select(key).collect()]
-    warm = left.where(F.col(key).isin(hot)).join(F.broadcast(right.where(F.col(key).isin(hot))), key, how)
+    many, few = left.where(F.col(key).isin(hot)), right.where(F.col(key).isin(hot))
+    wide = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in right.dtypes if kind in ("binary", "string")]
+    size = few.agg(F.sum(sum(wide, F.lit(8 * len(right.columns)).cast("long")))).first()[0] or 0
+    if size <= MOST_BROADCAST:
+        warm = many.join(F.broadcast(few), key, how)
+    else:
+        salted = many.withColumn("__salt", F.pmod(F.xxhash64(*many.columns), F.lit(SALTS)))
+        spread = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+        warm = salted.join(spread, [key, "__salt"], how).drop("__salt")
     cold = left.where(~F.coalesce(F.col(key).isin(hot), F.lit(False))).join(right, key, how)
     return cold.unionByName(warm)
 

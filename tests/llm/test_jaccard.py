@@ -154,3 +154,13 @@ def test_components(spark):
             up[max(x, y)] = min(x, y)
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in up}
+
+
+def test_hot_keys_beyond_the_broadcast_bound(spark, monkeypatch):
+    left = spark.range(6000).selectExpr("id", "if(id % 3 = 0, 7, id) as key")
+    right = spark.range(0, 6000, 2).selectExpr("id as key", "cast(repeat('x', 50) as binary) as payload").unionByName(spark.createDataFrame([(7, b"hot")], "key long, payload binary"))
+    expected = {how: sorted(map(repr, left.join(right, "key", how).collect())) for how in ("inner", "left")}
+    for bound in (jaccard.MOST_BROADCAST, 0):
+        monkeypatch.setattr(jaccard, "MOST_BROADCAST", bound)
+        for how, rows in expected.items():
+            assert sorted(map(repr, jaccard._met(left, right, "key", how).select("key", "id", "payload").collect())) == rows
