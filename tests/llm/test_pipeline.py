@@ -15,7 +15,7 @@ pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="no test data")
 def test_names():
     names = set(entry.queries())
     assert "pipeline" in names
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert len([x for x in names if x.startswith(f"op{n}_")]) == 1
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
 
