@@ -281,7 +281,7 @@ def erased(clients: DataFrame, clicks: DataFrame, sales: DataFrame, sale_lines:
             _folder(spark, staged)
             # a row for each file
             work = gone.join(F.broadcast(listed), (F.col("table_name") == F.col("__table")) & (F.col("file_no") == F.col("__no")))
-            work = work.repartition("table_name", "file_no").sortWithinPartitions("table_name", "file_no", "first")
+            work = work.repartition(_tasks(spark, len(files)), "table_name", "file_no").sortWithinPartitions("table_name", "file_no", "first")
             work = work.select("table_name", "file_no", "source", "target", "staged", "first", "last")
             done = work.mapInArrow(store.worker_task("erasure")(_rewritten), "table_name string, file_no long, source string, target string, n_rows long").collect()
             for r in done:
@@ -294,7 +294,12 @@ def erased(clients: DataFrame, clicks: DataFrame, sales: DataFrame, sale_lines:
         if left:
             final.append((name, i, rows - left, (name, i) in new, path, _plain(path)))
     shown = spark.createDataFrame(final, "table_name string, file_no long, n_erased long, rewritten boolean, path string, shown string")
-    return shown.repartition("path").mapInArrow(store.worker_task("erasure")(_described), _RESULT)
+    return shown.repartition(_tasks(spark, len(final)), "path").mapInArrow(store.worker_task("erasure")(_described), _RESULT)
+
+
+def _tasks(spark: SparkSession, files: int) -> int:
+    """Two tasks a core, a file each at least: rows are few and small but stand for files, so AQE must not put them together."""
+    return max(1, min(files, 2 * spark.sparkContext.defaultParallelism))
 
 
 def _folder(spark: SparkSession, path: str) -> None:
