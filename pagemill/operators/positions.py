@@ -7,6 +7,8 @@ are put together again from the positions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,14 +16,14 @@ from ..functions import text
 from ..plans.tables import ensure_checkpoint_dir
 
 
-def indexed(rows: DataFrame, key: str, column: str = "text") -> DataFrame:
+def indexed(rows: DataFrame, key: str, column: str = "text", cut: Callable[[Column], Column] = text.tokens) -> DataFrame:
     """(key, token, positions), cut from its lineage, as it is read several times.
 
     Null and empty texts have no row. Rows that share a key count as one text,
     whose tokens stand at the same places.
     """
     ensure_checkpoint_dir(rows.sparkSession)
-    each = rows.select(key, F.posexplode_outer(text.tokens(F.col(column))).alias("pos", "token")).where("token is not null")
+    each = rows.select(key, F.posexplode_outer(cut(F.col(column))).alias("pos", "token")).where("token is not null")
     return each.groupBy(key, "token").agg(F.collect_list("pos").alias("positions")).checkpoint()
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +38,16 @@ DETACHMENT = {
     "r": [],
 }
 
+#: Published rules of a transformation-based tagger, in their
+#: order: (tag, new tag, places beside it, tags of which one stands there).
+RULES = [
+    ("NN", "VB", (-1,), ("TO",)), ("VBP", "VB", (-1, -2, -3), ("MD",)), ("NN", "VB", (-1, -2), ("MD",)), ("VB", "NN", (-1, -2), ("DT",)), ("VBD", "VBN", (-1, -2, -3), ("VBZ",)),
+    ("VBN", "VBD", (-1,), ("PRP",)), ("VBN", "VBD", (-1,), ("NNP",)), ("VBD", "VBN", (-1,), ("VBD",)), ("VBP", "VB", (-1,), ("TO",)), ("VB", "VBP", (-1,), ("NNS",)),
+    ("VBD", "VBN", (-1, -2, -3), ("VBP",)), ("IN", "WDT", (1,), ("VB",)), ("VB", "VBP", (-1,), ("PRP",)), ("IN", "WDT", (1,), ("VBZ",)), ("JJ", "NNP", (1,), ("NNP",)), ("IN", "WDT", (1,), ("VBD",)),
+]
+#: Endings that tell the class of the word they are put to.
+VOTES = {"VB": ("ing", "ed"), "JJ": ("est", "ly"), "NN": ("s",)}
+
 
 def tag(word: Column) -> Column:
     """Penn tag of a token: lexicon, digits, endings, capitals, else noun."""
@@ -86,3 +98,62 @@ def lemmatized(rows: DataFrame, key: str, dictionary: DataFrame, column: str = "
     found = lemmas(index, dictionary).where("lemma <> word")  # most words are their own lemma
     done = index.join(found, ["word", "class"], "left")
     return assembled(done, rows, key, F.coalesce("lemma", "word"))
+
+
+def learned(words: DataFrame, least: int = 2) -> DataFrame:
+    """(word, pos): plain words that their inflected forms in the corpus tell to be verbs or adjectives.
+
+    ``words`` is (word, freq). A form in -ing or -ed votes for a verb, one in
+    -est or -ly for an adjective, one in -s for a noun, each as often as it
+    occurs, for what stands before the ending, with and without a mute e. The
+    class with the most votes, at least ``least``, wins; ties and nouns have no
+    row, nor have words that the lexicon or an ending tags already.
+    """
+    low, forms = F.col("word"), []
+    for name, endings in VOTES.items():
+        for ending in endings:
+            stem = F.expr(f"substr(word, 1, length(word) - {len(ending)})")
+            stems = [stem, F.concat(stem, F.lit("e"))] if ending[0] in "aeiou" else [stem]
+            votes = F.array(*(F.struct(x.alias("word"), F.lit(name).alias("pos")) for x in stems))
+            forms.append(F.when(low.endswith(ending) & (F.length(low) > len(ending) + 1), votes))
+    each = words.select("freq", F.explode(F.flatten(F.array_compact(F.array(*forms)))).alias("f")).select("f.word", "f.pos", "freq")
+    votes = each.groupBy("word").agg(*(F.sum(F.when(F.col("pos") == name, F.col("freq")).otherwise(0)).alias(name) for name in VOTES))
+    best = F.when((F.col("VB") > F.col("JJ")) & (F.col("VB") > F.col("NN")), "VB").when((F.col("JJ") > F.col("VB")) & (F.col("JJ") > F.col("NN")), "JJ")
+    found = votes.select("word", best.alias("pos"), F.greatest("VB", "JJ").alias("n")).where((F.col("n") >= least) & F.col("pos").isNotNull())
+    plain = words.where((tag(low) == "NN") & (F.length(low) > 1)).select("word")
+    return plain.join(found, "word").select("word", "pos")
+
+
+def context_tags(rows: DataFrame, key: str, lexicon: DataFrame, column: str = "text") -> DataFrame:
+    """(key, tokens, tags): the words of each text and their tags, by what stands beside them.
+
+    A word's first tag is that of :func:`tag`, for plain nouns that of the
+    learned lexicon, where it has one. The rules then go over the tags one
+    after another; a rule sees the tags as they were before it. The lexicon is
+    joined to a row for each distinct word of a text. Texts without a word,
+    null ones among them, have no row; rows that share a key count as one text.
+    """
+    index = indexed(rows, key, column, text.words).withColumn("pos", tag(F.col("token")))
+    plain = index.where("pos = 'NN'").withColumn("word", F.lower("token")).drop("pos")
+    known = plain.join(lexicon.select("word", "pos"), "word", "left").withColumn("pos", F.coalesce("pos", F.lit("NN"))).select(index.columns)
+    each = index.where("pos <> 'NN'").unionByName(known).groupBy(key).agg(F.collect_list(F.struct("positions", "token", "pos")).alias("__all"))
+    placed = F.flatten(F.transform("__all", lambda x: F.transform(x["positions"], lambda p: F.struct(p.alias("p"), x["token"].alias("token"), x["pos"].alias("pos")))))
+    out = each.select(key, F.array_sort(placed).alias("__all"))
+    out = out.select(key, F.transform("__all", lambda x: x["token"]).alias("tokens"), F.transform("__all", lambda x: x["pos"]).alias("tags"))
+    for old, new, places, near in RULES:
+        # a step of its own for each rule, as each reads the tags several times
+        beside = lambda i: reduce(or_, (F.get("tags", i + p).isin(*near) for p in places))  # noqa: B023, E731
+        out = out.withColumn("tags", F.transform("tags", lambda t, i: F.when((t == old) & beside(i), new).otherwise(t)))  # noqa: B023
+    return out
+
+
+def tag_rows(rows: DataFrame, key: str, lexicon: DataFrame, column: str = "text") -> DataFrame:
+    """(key, word_no, token, pos): a row for each word, numbered from 1, with its tag in context."""
+    each = context_tags(rows, key, lexicon, column).select(key, F.posexplode(F.arrays_zip("tokens", "tags")).alias("__pos", "x"))
+    return each.select(key, (F.col("__pos") + 1).alias("word_no"), F.col("x.tokens").alias("token"), F.col("x.tags").alias("pos"))
+
+
+def context_frequency(tagged: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, word, pos, freq) of rows with ``token`` and ``pos``."""
+    each = tagged.select(*keys, F.btrim(F.lower("token"), F.lit(text.PUNCTUATION)).alias("word"), "pos").where("word <> ''")
+    return each.groupBy(*keys, "word", "pos").agg(F.count(F.lit(1)).alias("freq"))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import process
+from ..functions import process, text
 from ..operators import dictionary as dic
 from ..operators import pages as pg
 from ..operators import report, spelling, tagging
@@ -90,14 +90,14 @@ def content(pages: DataFrame, o: Options) -> DataFrame:
     if not (o.sentences or o.words):
         return pg.fields(pages, letters, o.custom_text, raw=o.show_raw)
     unit = "sentence" if o.sentences else "word"
-    rows = (pg.sentence_rows if o.sentences else pg.word_rows)(pages)
-    extra = pages.drop("text").withColumnRenamed("raw_text", "__raw")
+    rows = (pg.sentence_rows_raw if o.sentences else pg.word_rows_raw)(pages)
+    extra = pages.drop("text", "raw_text")
     rows = rows.join(extra, ["file_path", "page_no"])
     number = {"sentence": "Sentence Number", "word": "Word Number"}[unit]
     values = {
         "p": F.col("file_path").alias("Source File Path"), "n": F.col("file_name").alias("Source File Name"), "f": F.col("page_no").alias("Page Number (File)"),
         "o": F.col("page_no_overall").alias("Page Number (Overall)") if need else None, "w": (F.col("word_count").alias("Word Count") if o.sentences else F.col("word_length").alias("Word Length")),
-        "t": F.col(unit).alias("Text"), "r": F.col("__raw").alias("Raw Text"), "c": pg.custom(o.custom_text).alias("Custom Text") if o.custom_text is not None else None,
+        "t": F.col(unit).alias("Text"), "r": F.col("raw").alias("Raw Text"), "c": pg.custom(o.custom_text).alias("Custom Text") if o.custom_text is not None else None,
     }
     known = [x for x in letters.lower() if values.get(x) is not None and (x != "r" or o.show_raw)]
     at = max([i for i, x in enumerate(known) if x in "fo"], default=-1) + 1
@@ -114,7 +114,11 @@ def reports(pages: DataFrame, o: Options) -> DataFrame:
     spark = pages.sparkSession
     keys = report.SCOPES[o.scope or "corpus"]
     if o.report_pos:
-        found, ties = tagging.tagged_frequency(pages, keys), ["word", "pos"]
+        rows = pages.select(F.struct("file_path", "page_no").alias("__page"), "text")
+        words = pages.select(F.explode_outer(text.counted(text.words(F.col("text")))).alias("word")).where("word is not null")
+        lexicon = tagging.learned(words.groupBy("word").agg(F.count(F.lit(1)).alias("freq")))
+        tagged = tagging.tag_rows(rows, "__page", lexicon).select("__page.*", "token", "pos")
+        found, ties = tagging.context_frequency(tagged, keys), ["word", "pos"]
     else:
         counts = report.page_counts(pg.with_overall(pages) if o.scope == "corpus" else pages)
         found, ties = (report.first_seen(counts), []) if o.scope == "corpus" else (report.frequency(counts, o.scope, first=True), ["first_seen"])

@@ -88,6 +88,11 @@ def _within(spark: SparkSession, sf_dir: str, scope: str, limit: str) -> DataFra
     return report.limited_within(found, report.SCOPES[scope], limit).drop("first_seen")
 
 
+def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words with their tags in context, under a lexicon learned from the same texts."""
+    return tagging.tag_rows(_clean(spark, sf_dir), "doc_id", tagging.learned(_corpus(spark, sf_dir)))
+
+
 def _chain(c):
     """Digits, case, then ignored words, in the order of the processing steps."""
     return process.ignore(F.lower(process.strip_digits(process.strip_punctuation(c))), IGNORE)
@@ -117,6 +122,8 @@ QUERIES: dict[str, Query] = {
     "tokenize_sentences_trained": lambda s, d: punkt.sentence_rows(_clean(s, d), "doc_id"),
     "file_text": lambda s, d: pg.file_text(_pages(s, d)),
     "tokenize_words": lambda s, d: pg.word_rows(_pages(s, d)),
+    "sentence_rows_raw": lambda s, d: pg.sentence_rows_raw(_pages(s, d).withColumn("text", process.strip_digits(F.lower("raw_text")))),
+    "word_rows_raw": lambda s, d: pg.word_rows_raw(_pages(s, d).withColumn("text", process.strip_digits(F.col("raw_text")))),
     "file_stats": lambda s, d: pg.file_stats(_pages(s, d)),
     "corpus_stats": lambda s, d: pg.corpus_stats(_pages(s, d)),
     "freq_page": lambda s, d: report.frequency(_counts(s, d), "page"),
@@ -138,6 +145,9 @@ QUERIES: dict[str, Query] = {
     "freq_ignore": _report(lambda r: report.ignored(r, LISTED)),
     "freq_stopwords": lambda s, d: report.ignored(_corpus(s, d), _stop_words()),
     "freq_pos": lambda s, d: tagging.tagged_frequency(_clean(s, d)),
+    "pos_lexicon": lambda s, d: tagging.learned(_corpus(s, d)),
+    "pos_tags": _tagged,
+    "freq_pos_context": lambda s, d: tagging.context_frequency(_tagged(s, d)),
     "process_punctuation": _process(process.strip_punctuation),
     "process_digits": _process(process.strip_digits),
     "process_numeric_words": _process(process.drop_numeric_words),
@@ -285,6 +295,10 @@ met AS (SELECT pair.type, pair.following, n, n::DOUBLE AS k, x.a AS a, y.b AS b,
 col AS (SELECT * FROM (SELECT type, following, n, {score} AS score FROM met WHERE k / a > b / total) WHERE score >= 7.88)"""
 
 
+#: SQL for a text without its digits.
+_DIGITLESS = "regexp_replace({0}, '\\d', '', 'g')"
+
+
 def _page_fields(columns: str, where: str = "") -> str:
     return f"{_PAGES} SELECT {columns} FROM p {where}"
 
@@ -351,6 +365,30 @@ def _tag_sql(t: str) -> str:
     return out + f" WHEN regexp_matches({t}, '^[A-Z]') THEN 'NNP' ELSE 'NN' END"
 
 
+def _learned_sql() -> str:
+    """CTEs with corpus frequencies (n) and the lexicon learned from them (lex)."""
+    forms = []
+    for name, endings in tagging.VOTES.items():
+        for e in endings:
+            for more in ["", "e"] if e[0] in "aeiou" else [""]:
+                forms.append(f"SELECT left(word, length(word) - {len(e)}) || '{more}' AS word, '{name}' AS pos, freq FROM n WHERE word LIKE '%{e}' AND length(word) > {len(e) + 1}")
+    votes = ", ".join(f"coalesce(sum(freq) FILTER (pos = '{name}'), 0) AS {name}" for name in tagging.VOTES)
+    return f"""{_CORPUS}, forms AS ({' UNION ALL '.join(forms)}), votes AS (SELECT word, {votes} FROM forms GROUP BY word),
+best AS (SELECT word, CASE WHEN VB > JJ AND VB > NN THEN 'VB' WHEN JJ > VB AND JJ > NN THEN 'JJ' END AS pos FROM votes WHERE greatest(VB, JJ) >= 2),
+lex AS (SELECT word, pos FROM best JOIN n USING (word) WHERE pos IS NOT NULL AND length(word) > 1 AND {_tag_sql('word')} = 'NN')"""
+
+
+def _context_sql() -> str:
+    """CTEs, the last of which (k) has words with their tags, a rule after the other by lag and lead."""
+    first = _tag_sql("t")
+    out = f"""{_learned_sql()}, k_t AS (SELECT doc_id, unnest(l) AS t, CAST(unnest(range(1, len(l) + 1)) AS INTEGER) AS i FROM (SELECT doc_id, {_split('c')} AS l FROM c9)),
+k_f AS (SELECT doc_id, t, i, {first} AS g FROM k_t), k0 AS (SELECT doc_id, t, i, CASE WHEN g = 'NN' THEN coalesce(pos, g) ELSE g END AS g FROM k_f LEFT JOIN lex ON lex.word = lower(t))"""
+    for j, (old, new, places, near) in enumerate(tagging.RULES):
+        beside = " OR ".join(f"coalesce({'lag' if p < 0 else 'lead'}(g, {abs(p)}) OVER w IN ({', '.join(repr(x) for x in near)}), false)" for p in places)
+        out += f",\nk{j + 1} AS (SELECT doc_id, t, i, CASE WHEN g = '{old}' AND ({beside}) THEN '{new}' ELSE g END AS g FROM k{j} WINDOW w AS (PARTITION BY doc_id ORDER BY i))"
+    return f"{out}, k AS (SELECT * FROM k{len(tagging.RULES)})"
+
+
 def _lemma_sql() -> str:
     tries = []
     for c, rules in tagging.DETACHMENT.items():
@@ -387,6 +425,8 @@ def oracle_sql() -> dict[str, str]:
 g AS (SELECT doc_id, t, i, coalesce(sum(CAST(ends AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM e)
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY g) AS INTEGER) AS sentence_no, string_agg(t, ' ' ORDER BY i) AS sentence FROM g GROUP BY doc_id, g""",
         "file_text": f"{_PAGES}, z AS (SELECT source, page_no, c, CAST(coalesce(sum(length(c) + 1) OVER (PARTITION BY source ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begins FROM p) SELECT source AS file_path, begins // {pg.PART} AS part, string_agg(c, ' ' ORDER BY page_no) AS text FROM z GROUP BY ALL",
+        "sentence_rows_raw": f"{_PAGES}, z AS (SELECT source, page_no, {_sentences(_DIGITLESS.format('lower(c)'))} AS l, {_sentences('c')} AS r FROM p), y AS (SELECT source, page_no, r, unnest(l) AS sentence, CAST(unnest(range(1, len(l) + 1)) AS INTEGER) AS sentence_no FROM z) SELECT source AS file_path, page_no, sentence_no, CAST(len({_split('sentence')}) AS INTEGER) AS word_count, sentence, r[sentence_no] AS raw FROM y",
+        "word_rows_raw": f"{_PAGES}, z AS (SELECT source, page_no, words AS r, {_split(_DIGITLESS.format('c'))} AS l FROM p), y AS (SELECT source, page_no, r, unnest(l) AS word, CAST(unnest(range(1, len(l) + 1)) AS INTEGER) AS word_no FROM z) SELECT source AS file_path, page_no, word_no, CAST(length(word) AS INTEGER) AS word_length, word, r[word_no] AS raw FROM y",
         "tokenize_words": f"{_PAGES}, y AS (SELECT source, page_no, unnest(words) AS word, CAST(unnest(range(1, len(words) + 1)) AS INTEGER) AS word_no FROM p) SELECT source AS file_path, page_no, word_no, CAST(length(word) AS INTEGER) AS word_length, word FROM y",
         "file_stats": f"{_PAGES} SELECT source AS file_path, count(*) AS page_count, 0::BIGINT AS page_count_skipped, 0::BIGINT AS page_count_ocr, count(*) AS page_count_text, CAST(sum(len(words)) AS BIGINT) AS word_count FROM p GROUP BY source",
         "corpus_stats": f"{_PAGES} SELECT count(DISTINCT source) AS file_count, count(*) AS page_count, 0::BIGINT AS page_count_skipped, 0::BIGINT AS page_count_ocr, count(*) AS page_count_text, CAST(sum(len(words)) AS BIGINT) AS word_count, count(*) AS page_count_active FROM p",
@@ -406,6 +446,9 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY g) AS INTEGE
         "freq_ignore": f"{_CORPUS} SELECT word, freq FROM n WHERE word NOT IN ({_quoted(LISTED)})",
         "freq_stopwords": f"{_CORPUS} SELECT word, freq FROM n WHERE word NOT IN ({_quoted(_stop_words())})",
         "freq_pos": f"{_DOC} SELECT {_bare('t')} AS word, {_tag_sql('t')} AS pos, count(*) AS freq FROM (SELECT unnest({_split('c')}) AS t FROM c9) WHERE {_bare('t')} <> '' GROUP BY ALL",
+        "pos_lexicon": f"{_learned_sql()} SELECT word, pos FROM lex",
+        "pos_tags": f"{_context_sql()} SELECT doc_id, i AS word_no, t AS token, g AS pos FROM k",
+        "freq_pos_context": f"{_context_sql()} SELECT {_bare('t')} AS word, g AS pos, count(*) AS freq FROM k WHERE {_bare('t')} <> '' GROUP BY ALL",
         "process_punctuation": doc(_NO_PUNCT),
         "process_digits": doc("regexp_replace(c, '\\d', '', 'g')"),
         "process_numeric_words": doc(f"array_to_string([t FOR t IN {_split('c')} IF NOT regexp_matches(t, '\\d')], ' ')"),
