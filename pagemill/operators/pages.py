@@ -88,10 +88,11 @@ def custom(template: str) -> Column:
     return F.concat(*parts) if parts else F.lit("")
 
 
-def fields(pages: DataFrame, letters: str = DEFAULT_FIELDS, template: str | None = None, raw: bool = True) -> DataFrame:
+def fields(pages: DataFrame, letters: str = DEFAULT_FIELDS, template: str | None = None, raw: bool = True, more: Sequence[Column] = ()) -> DataFrame:
     """Output columns in the order of the letters; repeats get a number behind.
 
     Unknown letters are dropped, and without a known one the default holds.
+    ``more`` are columns that go behind them.
     """
     known = [x for x in letters.lower() if x in FIELDS and (x != "c" or template is not None)] or list(DEFAULT_FIELDS)
     if not raw:
@@ -104,7 +105,7 @@ def fields(pages: DataFrame, letters: str = DEFAULT_FIELDS, template: str | None
     for x in known:
         seen[x] = seen.get(x, 0) + 1
         out.append(values[x].alias(FIELDS[x] if seen[x] == 1 else f"{FIELDS[x]} {seen[x]}"))
-    return pages.select(*out)
+    return pages.select(*out, *more)
 
 
 def sentence_rows(pages: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,13 +83,17 @@ def processed(pages: DataFrame, o: Options, dictionary: DataFrame | None = None)
 
 
 def content(pages: DataFrame, o: Options) -> DataFrame:
-    """The content table: pages, or a row for each sentence or word."""
+    """The content table: pages, or a row for each sentence or word.
+
+    Behind the columns asked for come ``__file``, ``__page`` and ``__unit``,
+    the places by which the rows are ordered.
+    """
     letters = o.fields
-    need = "o" in letters.lower() or "$" in (o.custom_text or "")
-    if need:
+    if "file_ord" not in pages.columns:
         pages = pg.with_overall(pages)
+    places = [F.col("file_ord").cast("int").alias("__file"), F.col("page_no_overall").alias("__page")]
     if not (o.sentences or o.words):
-        return pg.fields(pages, letters, o.custom_text, raw=o.show_raw)
+        return pg.fields(pages, letters, o.custom_text, raw=o.show_raw, more=[*places, F.lit(0).alias("__unit")])
     unit = "sentence" if o.sentences else "word"
     rows = (pg.sentence_rows_raw if o.sentences else pg.word_rows_raw)(pages)
     extra = pages.drop("text", "raw_text")
@@ -96,14 +101,63 @@ def content(pages: DataFrame, o: Options) -> DataFrame:
     number = {"sentence": "Sentence Number", "word": "Word Number"}[unit]
     values = {
         "p": F.col("file_path").alias("Source File Path"), "n": F.col("file_name").alias("Source File Name"), "f": F.col("page_no").alias("Page Number (File)"),
-        "o": F.col("page_no_overall").alias("Page Number (Overall)") if need else None, "w": (F.col("word_count").alias("Word Count") if o.sentences else F.col("word_length").alias("Word Length")),
+        "o": F.col("page_no_overall").alias("Page Number (Overall)"), "w": (F.col("word_count").alias("Word Count") if o.sentences else F.col("word_length").alias("Word Length")),
         "t": F.col(unit).alias("Text"), "r": F.col("raw").alias("Raw Text"), "c": pg.custom(o.custom_text).alias("Custom Text") if o.custom_text is not None else None,
     }
     known = [x for x in letters.lower() if values.get(x) is not None and (x != "r" or o.show_raw)]
     at = max([i for i, x in enumerate(known) if x in "fo"], default=-1) + 1
     columns = [values[x] for x in known]
     columns.insert(at, F.col(f"{unit}_no").alias(number))
-    return rows.select(*columns)
+    return rows.select(*columns, *places, F.col(f"{unit}_no").alias("__unit"))
+
+
+def shown_columns(rows: DataFrame) -> list[str]:
+    return [c for c in rows.columns if c not in ("__file", "__page", "__unit")]
+
+
+def targets(pages: DataFrame, ending: str) -> DataFrame:
+    """(file, target): for each source file, by its place, the file next to it with another ending."""
+    spark = pages.sparkSession
+    root = sinks.qualified(spark, "/").removesuffix("/")
+    path = F.col("file_path")
+    whole = F.when(path.rlike("^[a-z][a-z0-9]*://"), path).otherwise(F.concat(F.lit(root), F.regexp_replace(path, "^file:/+|^/+", "/")))
+    return pages.select(F.col("file_ord").cast("int").alias("file"), F.concat(F.regexp_replace(whole, "(?i)[.]pdf$", ""), F.lit(ending)).alias("target")).distinct()
+
+
+def sections(pages: DataFrame, o: Options, name: str) -> DataFrame:
+    """The sections of a report by page or file: keys, ``file``, ``section`` and ``title``.
+
+    Without split, all are of file 0 behind a title of the whole; with split,
+    each file's are of its own, and a file's own report needs one title only.
+    """
+    own = F.col("file_ord").cast("int") if o.split else F.lit(0)
+    if o.scope == "page":
+        last = pages.groupBy(F.col("file_path").alias("__path")).agg(F.count(F.lit(1)).alias("__n"))
+        title = F.concat(F.lit("Frequency Report for "), "file_name", F.lit(" Page "), F.col("page_no").cast("string"), F.lit("/"), F.col("__n").cast("string"))
+        active = pages.where("not coalesce(skipped, false)") if "skipped" in pages.columns else pages
+        return active.join(last, F.col("file_path") == F.col("__path")).select("file_path", "page_no", own.alias("file"), F.col("page_no_overall").alias("section"), title.alias("title"))
+    title = F.concat(F.lit("Frequency Report for "), "file_name") if not o.split else F.lit(None).cast("string")
+    return pages.select("file_path", own.alias("file"), F.col("file_ord").cast("long").alias("section"), title.alias("title")).distinct()
+
+
+def write_report(seen: DataFrame, o: Options, name: str) -> None:
+    """The report's file, in sections by page or file; with split one for each source, next to it."""
+    whole = f"Frequency Report for {sinks.base_name(o.path)}"
+    if o.split and o.scope != "page":
+        o = replace(o, report=False, report_file=True)
+    found = reports(seen, o)
+    if o.scope not in ("page", "file"):
+        order = [F.desc("freq"), "word"] if o.report_sort else ["word"]
+        return sinks.write_one(sinks.report_lines(found, name, order), f"{name}-FR.csv", whole)
+    pages = seen if "file_ord" in seen.columns else pg.with_overall(seen)
+    parts = sections(pages, o, name)
+    lines = sinks.section_lines(found, parts, report.SCOPES[o.scope], o.report_sort)
+    if not o.split:
+        return sinks.write_one(lines.orderBy(*sinks.SECTION_ORDER).select("line"), f"{name}-FR.csv", whole, raw=True)
+    path = F.regexp_replace(F.regexp_extract("file_path", "([^/]*)/*$", 1), "(?i)[.]pdf$", "")
+    first = pages.select(F.col("file_ord").cast("int").alias("file"), F.concat(F.lit("Frequency Report for "), path).alias("title")).distinct()
+    first = first.select("file", F.lit(-1).cast("long").alias("section"), F.lit(0).alias("part"), F.lit(0).cast("long").alias("least"), F.lit("").alias("word"), sinks.line(first, ["title"]).alias("line"))
+    return sinks.write_each(lines.unionByName(first), targets(pages, "-FR.csv"), sinks.SECTION_ORDER)
 
 
 def reports(pages: DataFrame, o: Options) -> DataFrame:
@@ -120,7 +174,7 @@ def reports(pages: DataFrame, o: Options) -> DataFrame:
         tagged = tagging.tag_rows(rows, "__page", lexicon).select("__page.*", "token", "pos")
         found, ties = tagging.context_frequency(tagged, keys), ["word", "pos"]
     else:
-        counts = report.page_counts(pg.with_overall(pages) if o.scope == "corpus" else pages)
+        counts = report.page_counts(pg.with_overall(pages) if o.scope == "corpus" and "file_ord" not in pages.columns else pages)
         found, ties = (report.first_seen(counts), []) if o.scope == "corpus" else (report.frequency(counts, o.scope, first=True), ["first_seen"])
     if o.report_only is not None:
         found = report.only(found, lists.patterns(spark, o.report_only or None))
@@ -163,21 +217,23 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
             dictionary = dic.remove(dictionary, o.dictionary_remove.split())
         if not o.dictionary_large:
             dictionary = dic.cap(dictionary)
+    ensure_checkpoint_dir(spark)
+    pages = pg.with_overall(pages).checkpoint()  # files are opened and recognised once, for all outputs
     seen, shown = processed(pages, o, dictionary)
     rows = content(shown, o)
+    columns = shown_columns(rows)
     if o.split:
-        sinks.write_split(rows, f"{name}-pages")
+        lines = rows.select(F.col("__file").alias("file"), "__page", "__unit", sinks.line(rows, columns).alias("line"))
+        sinks.write_each(lines, targets(shown, ".csv"), ["__page", "__unit"], sinks.quoted(columns) + "\r\n")
     else:
-        sinks.write_one(rows.orderBy(*[c for c in ("Source File Path", "Page Number (File)") if c in rows.columns]), f"{name}.csv")
+        sinks.write_one(rows.orderBy("__page", "__unit").select(*(F.col(f"`{c}`") for c in columns)), f"{name}.csv")
     if o.scope or o.report_pos:
-        found = reports(seen, o)
-        order = [F.desc("freq"), "word"] if o.report_sort else [*(c for c in ("file_path", "page_no") if c in found.columns), "word"]
-        sinks.write_one(sinks.report_lines(found, name, order), f"{name}-FR.csv", f"Frequency Report for {sinks.base_name(o.path)}")
+        write_report(seen, o, name)
     if o.corrections:
         keyed = pages.withColumn("text", F.col("raw_text")).withColumn("__key", F.concat_ws("\u0001", "file_path", F.col("page_no").cast("string")))
         log = spelling.correction_log(keyed.select("__key", "text"), "__key", dictionary)
         # pages in their order by number, not as text
-        places = pg.with_overall(pages).select(F.concat_ws("\u0001", "file_path", F.col("page_no").cast("string")).alias("__key"), "page_no_overall")
+        places = pages.select(F.concat_ws("\u0001", "file_path", F.col("page_no").cast("string")).alias("__key"), "page_no_overall")
         log = log.join(places, "__key").orderBy("page_no_overall", "pos").select(F.col("word").alias("Unknown Word"), F.col("attempted").alias("Correction Attempted"), F.col("correction").alias("Correction"), F.col("confidence").alias("Confidence"))
         sinks.write_one(log, f"{name}-corrections.csv")
     if not o.quiet:

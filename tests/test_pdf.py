@@ -2,6 +2,7 @@ import csv
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from pagemill.plans.run import main
 from pagemill.sources import pdf, sinks
@@ -77,8 +78,45 @@ def test_run(spark, folder):
     report = folder.with_name(folder.name + "-FR.csv").read_text().splitlines()
     assert report[0] == f"Frequency Report for {folder.name}"
     assert report[1:3] == ["Word,Frequency", "page,2"]
-    assert main([str(folder), "-tw", "-s", "-q", "-f", "pft"], spark) == 0
-    assert len(list(folder.with_name(folder.name + "-pages").glob("file=*"))) == 2
+
+
+def test_a_file_for_each_source(spark, folder):
+    assert main([str(folder), "-tw", "-s", "-q", "-f", "nftr", "-st", "-pn", "-r"], spark) == 0
+    head = b"Source File Name,Page Number (File),Word Number,Text,Raw Text\r\n"
+    assert (folder / "b10.csv").read_bytes() == head + b"b10.pdf,1,1,Page,Page\r\nb10.pdf,1,2,one,one\r\nb10.pdf,1,3,here,here\r\nb10.pdf,3,1,Third,Third\r\nb10.pdf,3,2,page,page\r\n"
+    assert (folder / "sub" / "b2.csv").read_bytes() == head + b"b2.PDF,1,1,Ete,Ete\r\nb2.PDF,1,2,deux,deux\r\n"
+    assert (folder / "b10-FR.csv").read_bytes() == b"Frequency Report for b10\r\nWord,Frequency\r\nhere,1\r\none,1\r\npage,2\r\nthird,1\r\n"
+    assert (folder / "sub" / "b2-FR.csv").read_bytes() == b"Frequency Report for b2\r\nWord,Frequency\r\ndeux,1\r\nete,1\r\n"
+    assert not [p for p in folder.rglob(".*") if p.name != ".hidden.pdf"]  # no stages or attempts stay
+
+
+def test_sections(spark, folder):
+    out = folder.with_name(folder.name + "-FR.csv")
+    top = f"Frequency Report for {folder.name}"
+    b10, b2 = ["here,1", "one,1", "page,2", "third,1"], ["deux,1", "ete,1"]
+    assert main([str(folder), "-rf", "-q"], spark) == 0
+    assert out.read_bytes() == "".join(f"{x}\r\n" for x in [top, "Frequency Report for b10.pdf", "Word,Frequency", *b10, "Frequency Report for b2.PDF", "Word,Frequency", *b2]).encode()
+    assert main([str(folder), "-rf", "-rs", "-rl", "1", "-q"], spark) == 0
+    assert out.read_text(newline="").split("\r\n") == [top, "Frequency Report for b10.pdf", "Word,Frequency", "page,2", "Frequency Report for b2.PDF", "Word,Frequency", "ete,1", ""]
+    assert main([str(folder), "-rp", "-q"], spark) == 0
+    pages = [["Frequency Report for b10.pdf Page 1/3", "Word,Frequency", "here,1", "one,1", "page,1"], ["Frequency Report for b10.pdf Page 2/3", "Word,Frequency"], ["Frequency Report for b10.pdf Page 3/3", "Word,Frequency", "page,1", "third,1"], ["Frequency Report for b2.PDF Page 1/1", "Word,Frequency", *b2]]
+    assert out.read_text(newline="").split("\r\n") == [top, *(x for page in pages for x in page), ""]
+    assert main([str(folder), "-rp", "-s", "-a", "-q"], spark) == 0  # the page that OCR would read is skipped
+    assert (folder / "b10-FR.csv").read_text(newline="").split("\r\n") == ["Frequency Report for b10", *pages[0], *pages[2], ""]
+
+
+def test_a_large_file_in_order(spark, tmp_path):
+    """One target has nearly all lines, one none; names have signs a URI cannot have."""
+    rows = spark.range(40_000).select(F.when(F.col("id") % 1000 == 0, 2).otherwise(1).cast("int").alias("file"), "id", F.format_string("%d,é \u2028\n", "id").alias("line"))
+    names = {1: "a b%20#1.csv", 2: "ü?.csv", 3: "none.csv"}
+    targets = spark.createDataFrame([(k, f"file://{tmp_path}/{v}") for k, v in names.items()], "file int, target string")
+    for _ in range(2):  # again over what is there
+        sinks.write_each(rows, targets, ["id"], "h\r\n")
+    made = {k: (tmp_path / v).read_bytes() for k, v in names.items()}
+    lines = {k: [i for i in range(40_000) if (i % 1000 == 0) == (k == 2)] for k in (1, 2)} | {3: []}
+    assert made == {k: ("h\r\n" + "".join(f"{i},é \u2028\n\r\n" for i in lines[k])).encode() for k in names}
+    assert sorted(p.name for p in tmp_path.iterdir()) == sorted(names.values())
+    sinks.write_each(rows.limit(0), targets.limit(0), ["id"])
 
 
 def test_csv(spark, tmp_path):
