@@ -15,6 +15,7 @@ from ..operators import pages as pg
 from ..operators import report, spelling, tagging
 from ..options import Options, parse
 from ..sources import lists, pdf, sinks, wiki
+from . import dictionaries
 from .tables import ensure_checkpoint_dir
 
 
@@ -203,20 +204,16 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     name = o.path.rstrip("/")
     name = name[: -len(".pdf")] if name.lower().endswith(".pdf") else name
     dictionary = None
-    if o.dictionary and o.dictionary_revert:
-        sinks.drop(spark, o.dictionary)
-    elif o.dictionary and sinks.exists(spark, o.dictionary):
-        dictionary = lists.dictionary(spark, o.dictionary)
-    elif o.dictionary:  # topics, parted by commas
+    if o.dictionary and any(sinks.exists(spark, x) for x in (o.dictionary, o.dictionary.rstrip("/") + dictionaries.KEPT)):
+        base = lists.dictionary(spark, o.dictionary) if sinks.exists(spark, o.dictionary) else None
+        dictionary = dictionaries.edited(spark, o.dictionary, base, o.dictionary_add, o.dictionary_remove, o.dictionary_revert)
+    elif o.dictionary:  # topics, parted by commas; edits hold for this run
         topics = [t.strip() for t in o.dictionary.split(",") if t.strip()]
         dictionary = wiki.topic_dictionary(spark, topics, wiki.http_fetch(), large=True)
-    if dictionary is not None:
-        if o.dictionary_add:
-            dictionary = dic.add(dictionary, o.dictionary_add)
-        if o.dictionary_remove:
-            dictionary = dic.remove(dictionary, o.dictionary_remove.split())
-        if not o.dictionary_large:
-            dictionary = dic.cap(dictionary)
+        dictionary = dic.add(dictionary, o.dictionary_add) if o.dictionary_add else dictionary
+        dictionary = dic.remove(dictionary, o.dictionary_remove.split()) if o.dictionary_remove else dictionary
+    if dictionary is not None and not o.dictionary_large:
+        dictionary = dic.cap(dictionary)
     ensure_checkpoint_dir(spark)
     pages = pg.with_overall(pages).checkpoint()  # files are opened and recognised once, for all outputs
     seen, shown = processed(pages, o, dictionary)

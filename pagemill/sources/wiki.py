@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import dictionary as dic
+from ..plans.tables import ensure_checkpoint_dir
 
 Fetch = Callable[[Sequence[str]], str]
 
@@ -50,7 +51,8 @@ def crawl(spark: SparkSession, topics: Sequence[str], fetch: Fetch, batch: int =
     All links are fetched. Pages that are named twice are fetched once.
     """
     start = spark.createDataFrame([(t,) for t in dict.fromkeys(topics)], "title string")
-    first = dic.wiki_pages(exports(start, fetch, batch)).cache()
+    ensure_checkpoint_dir(spark)
+    first = dic.wiki_pages(exports(start, fetch, batch)).checkpoint()  # fetched once, whatever is lost
     links = first.select(F.explode(dic.wiki_links(F.col("body"))).alias("title")).distinct()
     second = dic.wiki_pages(exports(links.join(start, "title", "left_anti").coalesce(4), fetch, batch))
     pages = first.unionByName(second).dropDuplicates(["title"])
