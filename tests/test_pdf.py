@@ -105,6 +105,18 @@ def test_sections(spark, folder):
     assert (folder / "b10-FR.csv").read_text(newline="").split("\r\n") == ["Frequency Report for b10", *pages[0], *pages[2], ""]
 
 
+def test_tags_and_kept_edits(spark, folder, tmp_path):
+    out = folder.with_name(folder.name + "-FR.csv")
+    assert main([str(folder), "-rf", "-rpos", "-q"], spark) == 0
+    assert out.read_text(newline="").split("\r\n")[1:5] == ["Frequency Report for b10.pdf", "Word,POS,Frequency", "here,NN,1", "one,NN,1"]
+    (tmp_path / "words").write_text("page 4\none 2\nthird 1\n")
+    lines = lambda *a: (main([str(folder), "-d", str(tmp_path / "words"), "-pw", "-q", "-f", "t", *a], spark), folder.with_name(folder.name + ".csv").read_text(newline="").split("\r\n"))
+    assert lines()[1] == ["Text", "Page( one).", "", '"Third, page"', "", ""]
+    assert lines("-daw", "here")[1][1] == "Page( one) here."
+    assert lines()[1][1] == "Page( one) here."  # kept by the run before
+    assert lines("-dr")[1][1] == "Page( one)."
+
+
 def test_a_large_file_in_order(spark, tmp_path):
     """One target has nearly all lines, one none; names have signs a URI cannot have."""
     rows = spark.range(40_000).select(F.when(F.col("id") % 1000 == 0, 2).otherwise(1).cast("int").alias("file"), "id", F.format_string("%d,é \u2028\n", "id").alias("line"))
