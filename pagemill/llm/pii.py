@@ -29,7 +29,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Patterns by kind, tried in this order; none can begin inside a word or a number.
@@ -90,8 +90,8 @@ def _quoted(s: str) -> str:
 
 
 def _noise(p: Pseudonyms, kind: str, *parts: str) -> str:
-    """60 keyed bits for some values, as a bigint."""
-    text = f"concat_ws('|', {_quoted(p.key)}, {_quoted(kind)}, {', '.join(parts)})"
+    """60 keyed bits for some values, as a bigint; the key is the column ``__key``."""
+    text = f"concat_ws('|', __key, {_quoted(kind)}, {', '.join(parts)})"
     return f"cast(conv(substr(sha2({text}, 256), 1, 15), 16, 10) as bigint)"
 
 
@@ -191,8 +191,8 @@ def _replaced(p: Pseudonyms, kind: str, m: str) -> str:
         ours = read(month, day("t"), read(first, late, m))
         return f"if(__month_first, {ours}, {read(first, day('t'), read(month, late, m))})"
     if kind == "email":
-        name = f"substr(sha2(concat_ws('|', {_quoted(p.key)}, 'name', lower({m})), 256), 1, 12)"
-        domain = f"substr(sha2(concat_ws('|', {_quoted(p.key)}, 'domain', lower(substring_index({m}, '@', -1))), 256), 1, 8)"
+        name = f"substr(sha2(concat_ws('|', __key, 'name', lower({m})), 256), 1, 12)"
+        domain = f"substr(sha2(concat_ws('|', __key, 'domain', lower(substring_index({m}, '@', -1))), 256), 1, 8)"
         return f"concat('u', {name}, '@d', {domain}, '.example')"
     if kind == "assigned":
         return _let(f"regexp_extract({m}, '[=:][ ]{{0,2}}[\"\\']?(.*)$', 1)", "v", f"concat(substr({m}, 1, length({m}) - length(v)), {_named(p, 'v')})")
@@ -203,7 +203,7 @@ def _replaced(p: Pseudonyms, kind: str, m: str) -> str:
 
 def _named(p: Pseudonyms, v: str) -> str:
     """SQL for the name of a secret: hexadecimal digits for such, else the same classes."""
-    block = lambda i: f"sha2(concat_ws('|', {_quoted(p.key)}, 'secret', '{i}', lower(v)), 256)"
+    block = lambda i: f"sha2(concat_ws('|', __key, 'secret', '{i}', lower(v)), 256)"
     hexadecimal = _let(f"substr(concat({block(0)}, {block(1)}), 1, length(v))", "h", "if(v = upper(v), upper(h), h)")
     number = "cast(conv(substr(h, 2 * i - 1, 2), 16, 10) as int)"
     one = f"case when c >= '0' and c <= '9' then substr('0123456789', {number} % 10 + 1, 1) when c >= 'a' and c <= 'z' then substr('abcdefghijklmnopqrstuvwxyz', {number} % 26 + 1, 1) when c >= 'A' and c <= 'Z' then substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', {number} % 26 + 1, 1) else c end"
@@ -214,7 +214,7 @@ def _named(p: Pseudonyms, v: str) -> str:
 def pseudonyms(text: str, p: Pseudonyms) -> tuple[Column, Column]:
     """An array of (kind, old, new) of what is found in a text, and the text between.
 
-    Needs the column ``__month_first``. Only texts that have a digit or an @ are
+    Needs the columns ``__month_first`` and ``__key``. Only texts that have a digit or an @ are
     searched, as every kind needs one.
     """
     union = "|".join(f"(?:{PATTERNS[k]})" for k in p.kinds)
@@ -233,6 +233,15 @@ def pseudonyms(text: str, p: Pseudonyms) -> tuple[Column, Column]:
     )
 
 
+def key_column(spark: SparkSession, p: Pseudonyms) -> Column:
+    """The key as the value of a subquery over a table of one row.
+
+    Plans, event logs and the user interface name that table's column and never
+    its value, as they would that of a literal.
+    """
+    return spark.sql("select * from values (:key) as held(key)", args={"key": p.key}).scalar()
+
+
 def pseudonymised(documents: DataFrame, p: Pseudonyms) -> DataFrame:
     """The documents with ``text`` replaced, and ``pii`` with (kind, old, new).
 
@@ -248,6 +257,7 @@ def pseudonymised(documents: DataFrame, p: Pseudonyms) -> DataFrame:
     own = dict(zip(documents.columns, names, strict=True))
     month = F.col(own["lang"]).isin(*p.month_first) if "lang" in own else F.lit(True)
     out = documents.toDF(*names).withColumn("__month_first", F.coalesce(month, F.lit(True))).withColumn("__text", F.col(own["text"]))
+    out = out.withColumn("__key", key_column(documents.sparkSession, p))
     found, pieces = pseudonyms("__text", p)
     out = out.withColumn("__found", found)
     joined = F.array_join(F.flatten(F.zip_with(pieces, "__found", lambda a, b: F.array(F.coalesce(a, F.lit("")), F.coalesce(b["new"], F.lit(""))))), "")

@@ -229,7 +229,7 @@ def test_no_two_values_share_a_pseudonym(spark, kind, values):
 def test_feistel_is_a_permutation(spark):
     p = pii.Pseudonyms(KEY)
     sql = pii._feistel(p, "t", "id div 31", "id % 31", "17", "31")
-    rows = spark.range(17 * 31).selectExpr(f"{sql} as s").collect()
+    rows = spark.range(17 * 31).withColumn("__key", pii.key_column(spark, p)).selectExpr(f"{sql} as s").collect()
     assert len({tuple(r.s) for r in rows}) == 17 * 31
     assert all(r.s.l < 17 and r.s.r < 31 for r in rows)
 
@@ -240,6 +240,16 @@ def test_no_python_in_the_plan(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_the_key_is_in_no_plan(spark):
+    df = spark.createDataFrame([(1, "a@b.org 4111111111111111 2024-03-05 password=x1y2z3w4 10.0.0.7 SECRET")], "doc_id long, text string")
+    out = pii.pseudonymised(df, pii.Pseudonyms("5ecret-of-this-test"))
+    assert len(out.first().pii) == 5
+    assert "5ecret-of-this-test" not in out._jdf.queryExecution().toString()
+    # another key, another pseudonym: the column is what the networks use
+    other = pii.pseudonymised(df, pii.Pseudonyms("5ecret-of-another"))
+    assert all(a.new != b.new for a, b in zip(out.first().pii, other.first().pii, strict=True))
+
+
 def test_long_text_ties_and_columns(spark):
     rng = random.Random(1)
     long = " ".join("".join(rng.choice("abcdef") for _ in range(5)) for _ in range(60_000)) + " 97.51.17.173"
