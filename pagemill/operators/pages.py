@@ -141,21 +141,28 @@ def word_rows_raw(pages: DataFrame) -> DataFrame:
     return _beside_raw(pages, text.words).select("file_path", "page_no", (F.col("__pos") + 1).alias("word_no"), F.length("__x.text").alias("word_length"), F.col("__x.text").alias("word"), F.col("__x.raw").alias("raw"))
 
 
+def counted_columns() -> dict[str, Column]:
+    """What a page adds to the counts of its file and corpus, besides itself."""
+    return {"page_count_skipped": F.coalesce(F.col("skipped"), F.lit(False)).cast("int"), "page_count_ocr": F.coalesce(F.col("method") == "ocr", F.lit(False)).cast("int"), "page_count_text": F.coalesce(F.col("method") != "ocr", F.lit(False)).cast("int"), "word_count": n_words()}
+
+
 def file_stats(pages: DataFrame) -> DataFrame:
     """Pages, skipped, read by OCR and as text, and words of each file."""
-    return pages.groupBy("file_path").agg(
-        F.count(F.lit(1)).alias("page_count"), F.count_if("skipped").alias("page_count_skipped"), F.count_if(F.col("method") == "ocr").alias("page_count_ocr"),
-        F.count_if(F.col("method") != "ocr").alias("page_count_text"), F.sum(n_words().cast("long")).alias("word_count"),
-    )
+    return pages.groupBy("file_path").agg(F.count(F.lit(1)).alias("page_count"), *(F.sum(c.cast("long")).alias(x) for x, c in counted_columns().items()))
 
 
 def corpus_stats(pages: DataFrame) -> DataFrame:
     """The same over all files, with the pages that were not skipped."""
     files = file_stats(pages)
-    total = files.agg(F.count(F.lit(1)).alias("file_count"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("page_count", "page_count_skipped", "page_count_ocr", "page_count_text", "word_count")))
+    total = files.agg(F.count(F.lit(1)).alias("file_count"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("page_count", *counted_columns())))
     return total.withColumn("page_count_active", F.col("page_count") - F.col("page_count_skipped"))
 
 
+def with_active(totals: dict[str, int]) -> dict[str, int]:
+    """Totals that were counted elsewhere, with the pages that were not skipped."""
+    return totals | {"page_count_active": totals["page_count"] - totals["page_count_skipped"]}
+
+
 #: Characters that a part of a file's text has, but for the page that it ends with.
 PART = 1 << 20
 

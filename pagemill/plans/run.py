@@ -6,7 +6,7 @@ import sys
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import process, text
@@ -87,14 +87,16 @@ def content(pages: DataFrame, o: Options) -> DataFrame:
     """The content table: pages, or a row for each sentence or word.
 
     Behind the columns asked for come ``__file``, ``__page`` and ``__unit``,
-    the places by which the rows are ordered.
+    the places by which the rows are ordered, and with pages as rows what their
+    totals are counted from.
     """
     letters = o.fields
     if "file_ord" not in pages.columns:
         pages = pg.with_overall(pages)
     places = [F.col("file_ord").cast("int").alias("__file"), F.col("page_no_overall").alias("__page")]
     if not (o.sentences or o.words):
-        return pg.fields(pages, letters, o.custom_text, raw=o.show_raw, more=[*places, F.lit(0).alias("__unit")])
+        counts = [c.alias(f"__{x}") for x, c in pg.counted_columns().items()] if {"skipped", "method"} <= set(pages.columns) else []
+        return pg.fields(pages, letters, o.custom_text, raw=o.show_raw, more=[*places, F.lit(0).alias("__unit"), *counts])
     unit = "sentence" if o.sentences else "word"
     rows = (pg.sentence_rows_raw if o.sentences else pg.word_rows_raw)(pages)
     extra = pages.drop("text", "raw_text")
@@ -113,7 +115,20 @@ def content(pages: DataFrame, o: Options) -> DataFrame:
 
 
 def shown_columns(rows: DataFrame) -> list[str]:
-    return [c for c in rows.columns if c not in ("__file", "__page", "__unit")]
+    return [c for c in rows.columns if not c.startswith("__")]
+
+
+def watched(rows: DataFrame, totals: Observation | None) -> DataFrame:
+    """Content rows whose totals are counted while they are written.
+
+    To be put behind the last exchange: there a task counts once, however often
+    it or an earlier stage is run again, and whatever a sort samples. Files have
+    numbers without gaps, so the largest is their count.
+    """
+    if totals is None:
+        return rows
+    of = lambda x: F.coalesce(F.sum(F.col(f"__{x}").cast("long")), F.lit(0).cast("long")).alias(x)
+    return rows.observe(totals, F.coalesce(F.max("__file").cast("long"), F.lit(0).cast("long")).alias("file_count"), F.count(F.lit(1)).alias("page_count"), *map(of, pg.counted_columns()))
 
 
 def targets(pages: DataFrame, ending: str) -> DataFrame:
@@ -219,11 +234,13 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     seen, shown = processed(pages, o, dictionary)
     rows = content(shown, o)
     columns = shown_columns(rows)
+    totals = None if o.quiet or "__word_count" not in rows.columns else Observation()
     if o.split:
-        lines = rows.select(F.col("__file").alias("file"), "__page", "__unit", sinks.line(rows, columns).alias("line"))
-        sinks.write_each(lines, targets(shown, ".csv"), ["__page", "__unit"], sinks.quoted(columns) + "\r\n")
+        hidden = [c for c in rows.columns if c.startswith("__")]
+        lines = rows.select(F.col("__file").alias("file"), *hidden, sinks.line(rows, columns).alias("line"))
+        sinks.write_each(lines, targets(shown, ".csv"), ["__page", "__unit"], sinks.quoted(columns) + "\r\n", watch=lambda x: watched(x, totals))
     else:
-        sinks.write_one(rows.orderBy("__page", "__unit").select(*(F.col(f"`{c}`") for c in columns)), f"{name}.csv")
+        sinks.write_one(watched(rows.orderBy("__page", "__unit"), totals).select(*(F.col(f"`{c}`") for c in columns)), f"{name}.csv")
     if o.scope or o.report_pos:
         write_report(seen, o, name)
     if o.corrections:
@@ -234,5 +251,5 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         log = log.join(places, "__key").orderBy("page_no_overall", "pos").select(F.col("word").alias("Unknown Word"), F.col("attempted").alias("Correction Attempted"), F.col("correction").alias("Correction"), F.col("confidence").alias("Confidence"))
         sinks.write_one(log, f"{name}-corrections.csv")
     if not o.quiet:
-        print(pg.corpus_stats(shown).first().asDict())
+        print(pg.with_active(totals.get) if totals else pg.corpus_stats(shown).first().asDict())
     return 0

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyarrow import fs
@@ -102,7 +102,7 @@ def write_one(rows: DataFrame, path: str, title: str | None = None, header: bool
         drop(spark, stage)
 
 
-def write_each(lines: DataFrame, targets: DataFrame, order: Sequence[str], head: str = "", tasks: int = 64) -> None:
+def write_each(lines: DataFrame, targets: DataFrame, order: Sequence[str], head: str = "", tasks: int = 64, watch: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> None:
     """A file for each target: ``head``, then its lines in order.
 
     ``lines`` has ``file`` (int), ``line`` and the columns of ``order``;
@@ -118,7 +118,7 @@ def write_each(lines: DataFrame, targets: DataFrame, order: Sequence[str], head:
     stage = _stage(spark, first.target)
     try:
         by = ["file", *order]
-        lines.repartitionByRange(*by).sortWithinPartitions(*by).select("line", "file").write.partitionBy("file").option("lineSep", "\r\n").text(stage)
+        watch(lines.repartitionByRange(*by).sortWithinPartitions(*by)).select("line", "file").write.partitionBy("file").option("lineSep", "\r\n").text(stage)
         folder = F.concat(F.lit(f"{stage}/file="), F.col("file").cast("string"))
         targets.select(folder.alias("folder"), "target", F.lit(head).alias("head")).repartition(tasks, "target").mapInArrow(_joined, "n long").agg(F.sum("n")).collect()
     finally:

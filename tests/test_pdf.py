@@ -1,9 +1,11 @@
+import ast
 import csv
 import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
+from pagemill.operators import pages as pg
 from pagemill.plans.run import main
 from pagemill.sources import pdf, sinks
 from pagemill.streaming import ingest
@@ -90,6 +92,19 @@ def test_a_file_for_each_source(spark, folder):
     assert not [p for p in folder.rglob(".*") if p.name != ".hidden.pdf"]  # no stages or attempts stay
 
 
+def test_totals_without_a_pass_of_their_own(spark, folder, capsys, monkeypatch):
+    """Counted behind the last exchange of the written rows; equal to the counts of the pages read again."""
+    printed = lambda *a: (capsys.readouterr(), main([str(folder), *a], spark), ast.literal_eval(capsys.readouterr().out))[2]
+    expected = pg.corpus_stats(pdf.read(spark, str(folder)).withColumn("text", F.col("raw_text"))).first().asDict()
+    assert expected["file_count"] == 2 and expected["page_count"] == 4 and expected["word_count"] == 7
+    assert printed("-tw") == expected  # rows of words know nothing of pages without any
+    monkeypatch.setattr(pg, "corpus_stats", None)
+    assert printed() == expected
+    assert printed("-s", "-f", "n", "-st") == expected  # what is not written is counted too
+    assert printed("-a")["page_count_skipped"] == 1
+    assert printed("-p", "9") == dict.fromkeys(expected, 0)
+
+
 def test_sections(spark, folder):
     out = folder.with_name(folder.name + "-FR.csv")
     top = f"Frequency Report for {folder.name}"
