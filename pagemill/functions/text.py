@@ -1,12 +1,22 @@
-"""Cleaning, tokens and sort keys, as Column functions without UDFs."""
+"""Cleaning, tokens and sort keys, as Column functions.
+
+Single steps are Spark's own expressions. The whole cleaning and the cutting
+into tokens, which every report needs of the whole corpus, run over Arrow
+batches: a text is passed over by a few fast string methods, and what stands
+between two spaces is cut once for all its occurrences.
+"""
 
 from __future__ import annotations
 
+import re
 import string
 import unicodedata
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Letters that become several ASCII letters.
 WIDE = {"ß": "ss", "ẞ": "SS", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "Þ": "Th"}
@@ -89,23 +99,161 @@ STEPS = {
 }
 
 
+#: Characters that cleaning deletes stand as this one until its step comes.
+_GONE = "#"
+_ASCII = dict.fromkeys([*range(9, 14), *range(28, 33)], " ") | {ord("`"): "'"}
+_KEPT = set(string.ascii_letters + string.digits + "' .;,\"$/@!?&-()_")
+_DELETED = dict.fromkeys(i for i in range(128) if chr(i) not in _KEPT)
+
+
+class _Folds(dict):
+    """Letters beyond ASCII as the steps up to :func:`apostrophes` leave them; what those keep is deleted later."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = out = " " if c.isspace() else "'" if re.match(APOSTROPHES, c) else _GONE
+        return out
+
+
+_FOLDS = _Folds({ord(a): b for a, b in [*zip(_SOURCE, _TARGET, strict=True), *WIDE.items()]})
+_BEYOND = re.compile(r"[^\x00-\x7f]+")
+# each begins with the letter or sign it looks for, which the search then skips to
+_HYPHEN = re.compile(r"-(?<=\S-) +")
+_LETTER = re.compile(r" (?=\w )(?<=\b\w )")
+_THE = re.compile(r"([tT])(?!he\b)(?<=\b[tT]) ?[hH] ?[eE]\b")
+_AND = re.compile(r"a(?!nd\b)(?<=\ba) ?n ?d\b")
+
+
+def _cleaned(t: str | None) -> str:
+    """All steps of one text. Behind the first one it is ASCII."""
+    if not t:
+        return ""
+    if not t.isascii():
+        t = _BEYOND.sub(lambda m: m[0].translate(_FOLDS), t)
+    t = t.translate(_ASCII)
+    if "- " in t:
+        t = _HYPHEN.sub("", t)
+    t = _LETTER.sub("", t.translate(_DELETED))
+    if "  " in t:
+        t = re.sub(" {2,}", " ", t)
+    for sign in ".,;":
+        t = t.replace(f" {sign}", sign)
+    return _AND.sub("and", _THE.sub(r"\1he", t)).strip(" ")
+
+
+def _each(values: pa.Array, change: Callable[[str | None], str | None]) -> pa.Array:
+    return pa.array([change(v) for v in values.to_pylist()], pa.string())
+
+
+def _clean(values: pa.Array) -> pa.Array:
+    return _each(values, _cleaned)
+
+
 def clean(c: Column, upto: str = "trim") -> Column:
     """All cleaning steps up to and including one of them."""
+    if upto not in STEPS:
+        raise ValueError(f"no cleaning step is named {upto}")
+    if upto == "trim":
+        return _arrow(_clean)(c)
     for name, step in STEPS.items():
         c = step(c)
         if name == upto:
-            return c
-    raise ValueError(f"no cleaning step is named {upto}")
+            break
+    return c
+
+
+def _arrow(change: Callable) -> Callable[[Column], Column]:
+    return F.arrow_udf(change, StringType())
+
+
+_SIGN = re.compile(r"(?a)([^\w\s'.-])")
+_STOP = re.compile(r"\.( |\Z)")
+_CANNOT = re.compile(r"(?ai)\b(can)(not)\b")
+_NOT = re.compile(r"(?ai)(n't)\b")
+_SHORT = re.compile(r"(?ai)('s|'m|'d|'ll|'re|'ve)\b")
+_SPACES = dict.fromkeys(range(9, 14), " ")
+
+
+def _pieces(t: str) -> list[str]:
+    """Pieces of what stands between white space, signs and contractions cut off."""
+    t = _CANNOT.sub(r"\1 \2", _STOP.sub(r" . \1", _SIGN.sub(r" \1 ", t)))
+    t = _SHORT.sub(r" \1", _NOT.sub(r" \1", t))
+    return [x for x in t.split(" ") if x]
+
+
+def _word(t: str) -> str:
+    bare = t.strip(PUNCTUATION)
+    return t if bare and t[0] == "'" else bare
+
+
+def _marked(t: str) -> list[str]:
+    rest = t.lstrip(PUNCTUATION)
+    core = rest.rstrip(PUNCTUATION)
+    return [t] if not core or t[0] == "'" else [t[: len(t) - len(rest)], core, rest[len(core) :]]
 
 
-def _pieces(c: Column) -> Column:
-    """Pieces between white space, with signs and contractions cut off."""
-    x = F.regexp_replace(c, r"([^\w\s'.-])", " $1 ")
-    x = F.regexp_replace(x, r"\.(\s|$)", " . $1")
-    x = F.regexp_replace(x, r"(?i)\b(can)(not)\b", "$1 $2")
-    x = F.regexp_replace(x, r"(?i)(n't)\b", " $1")
-    x = F.regexp_replace(x, r"(?i)('s|'m|'d|'ll|'re|'ve)\b", " $1")
-    return F.split(x, r"\s+")
+class _Cut(dict):
+    """What stands between spaces, as its tokens joined by spaces; each is cut once."""
+
+    #: Entries kept at most, a few tens of MB.
+    MOST = 200_000
+
+    def __init__(self, cut: Callable[[str], list[str]]):
+        super().__init__()
+        self.cut = cut
+
+    def __missing__(self, t: str) -> str:
+        if len(self) >= self.MOST:
+            self.clear()
+        self[t] = out = " ".join(x for x in self.cut(t) if x)
+        return out
+
+    def texts(self, values: pa.Array) -> pa.Array:
+        found = self.__getitem__
+        return _each(values, lambda v: None if v is None else " ".join(filter(None, map(found, v.translate(_SPACES).split(" ")))))
+
+
+def _plain(t: str) -> str | None:
+    """The word of a piece that has no other but signs around it, an empty one where it has none; None where it takes a closer look."""
+    core = t.strip(PUNCTUATION)
+    plain = "'" not in t and (not core or core.isascii() and core.isalnum() and "cannot" not in core.lower())
+    return core if plain else None
+
+
+def _cut_words(t: str) -> list[str]:
+    core = _plain(t)
+    return [_word(x) for x in _pieces(t)] if core is None else [core]
+
+
+def _cut_tokens(t: str) -> list[str]:
+    if core := _plain(t):
+        lead = t[: t.index(core)]
+        tail = t[len(lead) + len(core) :]
+        if len(lead) < 2 and len(tail) < 2:
+            return [lead, core, tail]
+    return [y for x in _pieces(t) for y in _marked(x)]
+
+
+# one of each in a worker, whatever its batches
+_WORDS, _TOKENS = _Cut(_cut_words), _Cut(_cut_tokens)
+_COUNTED = _Cut(lambda t: [x.lower().strip(PUNCTUATION) for x in _cut_words(t)])
+
+
+def _word_texts(values: pa.Array) -> pa.Array:
+    return _WORDS.texts(values)
+
+
+def _counted_texts(values: pa.Array) -> pa.Array:
+    return _COUNTED.texts(values)
+
+
+def _token_texts(values: pa.Array) -> pa.Array:
+    return _TOKENS.texts(values)
+
+
+def _tokens(c: Column, cut: Callable) -> Column:
+    joined = _arrow(cut)(c)  # no token has a space in it
+    return F.when(joined == "", F.array().cast("array<string>")).otherwise(F.split(joined, " "))
 
 
 def words(c: Column) -> Column:
@@ -113,23 +261,17 @@ def words(c: Column) -> Column:
 
     Works on cleaned text, in which word characters are ASCII.
     """
-    bare = lambda t: F.btrim(t, F.lit(PUNCTUATION))
-    edged = F.transform(_pieces(c), lambda t: F.when(t.startswith("'") & (bare(t) != ""), t).otherwise(bare(t)))
-    return F.filter(edged, lambda t: t != "")
+    return _tokens(c, _word_texts)
 
 
-def tokens(c: Column) -> Column:
-    """The tokens of :func:`words`, and between them the punctuation around them."""
-    marks = F.lit(PUNCTUATION)
+def counted_words(c: Column) -> Column:
+    """The words of a text as reports count them: :func:`counted` of :func:`words`."""
+    return _tokens(c, _counted_texts)
 
-    def cut(t: Column) -> Column:
-        rest = F.ltrim(t, marks)
-        core = F.rtrim(rest, marks)
-        lead = F.substring(t, F.lit(1), F.length(t) - F.length(rest))
-        tail = F.substring(rest, F.length(core) + 1, F.length(rest))
-        return F.when((core == "") | t.startswith("'"), F.array(t)).otherwise(F.array(lead, core, tail))
 
-    return F.filter(F.flatten(F.transform(_pieces(c), cut)), lambda t: t != "")
+def tokens(c: Column) -> Column:
+    """The tokens of :func:`words`, and between them the punctuation around them."""
+    return _tokens(c, _token_texts)
 
 
 def spaced(tokens: Column) -> Column:

@@ -26,7 +26,7 @@ def page_counts(pages: DataFrame, tags: Column | None = None) -> DataFrame:
     """
     keys = [c for c in ("file_path", "page_no", "page_no_overall", "file_ord") if c in pages.columns]
     # the outer form keeps Spark from inferring a filter that makes the words twice
-    each = pages.select(*keys, F.posexplode_outer(text.counted(text.words(F.col("text")))).alias("__pos", "word")).where("word is not null")
+    each = pages.select(*keys, F.posexplode_outer(text.counted_words(F.col("text"))).alias("__pos", "word")).where("word is not null")
     return each.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("freq"), F.min("__pos").alias("first_no"))
 
 

@@ -185,7 +185,7 @@ def reports(pages: DataFrame, o: Options) -> DataFrame:
     keys = report.SCOPES[o.scope or "corpus"]
     if o.report_pos:
         rows = pages.select(F.struct("file_path", "page_no").alias("__page"), "text")
-        words = pages.select(F.explode_outer(text.counted(text.words(F.col("text")))).alias("word")).where("word is not null")
+        words = pages.select(F.explode_outer(text.counted_words(F.col("text"))).alias("word")).where("word is not null")
         lexicon = tagging.learned(words.groupBy("word").agg(F.count(F.lit(1)).alias("freq")))
         tagged = tagging.tag_rows(rows, "__page", lexicon).select("__page.*", "token", "pos")
         found, ties = tagging.context_frequency(tagged, keys), ["word", "pos"]

@@ -45,7 +45,7 @@ def _counts(spark: SparkSession, sf_dir: str, overall: bool = False) -> DataFram
 
 def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corpus frequencies that need no order: straight from the texts."""
-    each = _clean(spark, sf_dir).select(F.explode_outer(text.counted(text.words(F.col("text")))).alias("word")).where("word is not null")
+    each = _clean(spark, sf_dir).select(F.explode_outer(text.counted_words(F.col("text"))).alias("word")).where("word is not null")
     return each.groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
 
 
@@ -127,7 +127,7 @@ QUERIES: dict[str, Query] = {
     "file_stats": lambda s, d: pg.file_stats(_pages(s, d)),
     "corpus_stats": lambda s, d: pg.corpus_stats(_pages(s, d)),
     "freq_page": lambda s, d: report.frequency(_counts(s, d), "page"),
-    "freq_file": lambda s, d: _read(s, d, "documents").select(F.col("source").alias("file_path"), F.explode_outer(text.counted(text.words(text.clean(F.col("text"))))).alias("word")).where("word is not null").groupBy("file_path", "word").agg(F.count(F.lit(1)).alias("freq")),
+    "freq_file": lambda s, d: _read(s, d, "documents").select(F.col("source").alias("file_path"), F.explode_outer(text.counted_words(text.clean(F.col("text")))).alias("word")).where("word is not null").groupBy("file_path", "word").agg(F.count(F.lit(1)).alias("freq")),
     "freq_corpus": _corpus,
     "freq_corpus_last_wins": lambda s, d: report.last_wins(_counts(s, d, overall=True)),
     "freq_sorted_alpha": lambda s, d: report.ordered(_corpus(s, d), "alpha"),

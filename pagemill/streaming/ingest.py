@@ -19,5 +19,5 @@ def pdf_pages(spark: SparkSession, path: str, **options) -> DataFrame:
 
 def word_counts(pages: DataFrame) -> DataFrame:
     """Running word frequencies of a stream of pages (complete or update mode)."""
-    each = pages.select(F.explode(text.counted(text.words(F.col("raw_text")))).alias("word"))
+    each = pages.select(F.explode(text.counted_words(F.col("raw_text"))).alias("word"))
     return each.groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
