@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 import string
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -192,20 +192,20 @@ def _marked(t: str) -> list[str]:
     return [t] if not core or t[0] == "'" else [t[: len(t) - len(rest)], core, rest[len(core) :]]
 
 
-class _Cut(dict):
-    """What stands between spaces, as its tokens joined by spaces; each is cut once."""
+class Cut(dict):
+    """What stands between spaces, as what a function makes of it, once for each."""
 
     #: Entries kept at most, a few tens of MB.
     MOST = 200_000
 
-    def __init__(self, cut: Callable[[str], list[str]]):
+    def __init__(self, cut: Callable[[str], str]):
         super().__init__()
         self.cut = cut
 
     def __missing__(self, t: str) -> str:
         if len(self) >= self.MOST:
             self.clear()
-        self[t] = out = " ".join(x for x in self.cut(t) if x)
+        self[t] = out = self.cut(t)
         return out
 
     def texts(self, values: pa.Array) -> pa.Array:
@@ -213,6 +213,10 @@ class _Cut(dict):
         return _each(values, lambda v: None if v is None else " ".join(filter(None, map(found, v.translate(_SPACES).split(" ")))))
 
 
+def _joined(parts: Iterable[str]) -> str:
+    return " ".join(filter(None, parts))
+
+
 def _plain(t: str) -> str | None:
     """The word of a piece that has no other but signs around it, an empty one where it has none; None where it takes a closer look."""
     core = t.strip(PUNCTUATION)
@@ -235,8 +239,8 @@ def _cut_tokens(t: str) -> list[str]:
 
 
 # one of each in a worker, whatever its batches
-_WORDS, _TOKENS = _Cut(_cut_words), _Cut(_cut_tokens)
-_COUNTED = _Cut(lambda t: [x.lower().strip(PUNCTUATION) for x in _cut_words(t)])
+_WORDS, _TOKENS = Cut(lambda t: _joined(_cut_words(t))), Cut(lambda t: _joined(_cut_tokens(t)))
+_COUNTED = Cut(lambda t: _joined(x.lower().strip(PUNCTUATION) for x in _cut_words(t)))
 
 
 def _word_texts(values: pa.Array) -> pa.Array:
@@ -252,7 +256,7 @@ def _token_texts(values: pa.Array) -> pa.Array:
 
 
 def _tokens(c: Column, cut: Callable) -> Column:
-    joined = _arrow(cut)(c)  # no token has a space in it
+    joined = _arrow(cut)(c)
     return F.when(joined == "", F.array().cast("array<string>")).otherwise(F.split(joined, " "))
 
 
@@ -274,9 +278,18 @@ def tokens(c: Column) -> Column:
     return _tokens(c, _token_texts)
 
 
-def spaced(tokens: Column) -> Column:
-    """Text of tokens: a space before each that has a letter or digit; signs are glued."""
-    return F.trim(F.array_join(F.transform(tokens, lambda t: F.concat(F.when(t.rlike("[A-Za-z0-9]"), " ").otherwise(""), t)), ""))
+def token_text(c: Column) -> Column:
+    """The tokens of :func:`tokens`, none of which has a space in it, joined by spaces."""
+    return _arrow(_token_texts)(c)
+
+
+def word_text(c: Column) -> Column:
+    """The tokens of :func:`words` joined by spaces."""
+    return _arrow(_word_texts)(c)
+
+
+#: Tokens with a space before each that has a letter or digit; signs are glued.
+SPACED = Cut(lambda t: f" {t}" if re.search("[A-Za-z0-9]", t) else t)
 
 
 def counted(tokens: Column) -> Column:

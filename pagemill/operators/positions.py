@@ -1,35 +1,64 @@
-"""A positional index of texts: of each text its distinct tokens and where they stand.
+"""Texts as their tokens, cut once, and tokens of them replaced.
 
-A text is cut into tokens once. What is found out about a token is then joined
-to a row for each distinct token of a text, not to each occurrence, and texts
-are put together again from the positions.
+What is found out about a token is found out once for the corpus. Only tokens
+that are replaced come back to the texts that have them, as one short list each;
+a text stays whole in its row and is put together again where it is.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import text
 from ..plans.tables import ensure_checkpoint_dir
 
 
-def indexed(rows: DataFrame, key: str, column: str = "text", cut: Callable[[Column], Column] = text.tokens) -> DataFrame:
-    """(key, token, positions), cut from its lineage, as it is read several times.
+def cut(rows: DataFrame, key: str, column: str = "text", tokens: Callable[[Column], Column] = text.token_text) -> DataFrame:
+    """(key, tokens: joined by spaces), cut from its lineage, as it is read several times."""
+    ensure_checkpoint_dir(rows.sparkSession)
+    return rows.select(key, tokens(F.col(column)).alias("tokens")).checkpoint()
+
+
+def distinct(texts: DataFrame) -> DataFrame:
+    """(token) of all texts."""
+    return texts.select(F.explode(F.split("tokens", " ")).alias("token")).where("token <> ''").distinct()
+
+
+def places(texts: DataFrame, key: str) -> DataFrame:
+    """(key, pos, token): a row for each token of each text."""
+    return texts.where("tokens <> ''").select(key, F.posexplode(F.split("tokens", " ")).alias("pos", "token"))
+
 
-    Null and empty texts have no row. Rows that share a key count as one text,
-    whose tokens stand at the same places.
+def with_changes(texts: DataFrame, key: str, changes: DataFrame) -> DataFrame:
+    """Add ``changes``: the (token, value) of a table that a text has, as lines; null where it has none.
+
+    The table has a row for each token, of any number, and no spaces in it.
     """
-    ensure_checkpoint_dir(rows.sparkSession)
-    each = rows.select(key, F.posexplode_outer(cut(F.col(column))).alias("pos", "token")).where("token is not null")
-    return each.groupBy(key, "token").agg(F.collect_list("pos").alias("positions")).checkpoint()
+    each = texts.where("tokens <> ''").select(key, F.explode(F.array_distinct(F.split("tokens", " "))).alias("token"))
+    found = each.join(changes.select("token", "value"), "token")
+    lines = found.groupBy(key).agg(F.array_join(F.collect_list(F.concat("token", F.lit(" "), "value")), "\n").alias("changes"))
+    return texts.join(lines, key, "left")
+
+
+def changed(lines: str | None) -> dict[str, str]:
+    """The lines of :func:`with_changes`."""
+    return dict(x.split(" ") for x in lines.split("\n")) if lines else {}
+
+
+def _glued(tokens: pa.Array, changes: pa.Array) -> pa.Array:
+    out = []
+    for t, lines in zip(tokens.to_pylist(), changes.to_pylist(), strict=True):
+        parts, new = (t or "").split(" "), changed(lines)
+        out.append("".join(map(text.SPACED.__getitem__, [new.get(x, x) for x in parts] if new else parts)).strip(" "))
+    return pa.array(out, pa.string())
 
 
-def assembled(index: DataFrame, rows: DataFrame, key: str, value: Column) -> DataFrame:
-    """(key, text) of all rows: the values in the order of their positions, signs glued to what stands before."""
-    each = index.select(key, "positions", value.alias("__value")).groupBy(key).agg(F.collect_list(F.struct("positions", "__value")).alias("__all"))
-    placed = F.flatten(F.transform("__all", lambda x: F.transform(x["positions"], lambda p: F.struct(p.alias("p"), x["__value"].alias("v")))))
-    made = each.select(key, text.spaced(F.transform(F.array_sort(placed), lambda x: x["v"])).alias("__made"))
-    return rows.select(key).join(made, key, "left").select(key, F.coalesce("__made", F.lit("")).alias("text"))
+def replaced(texts: DataFrame, key: str, changes: DataFrame) -> DataFrame:
+    """(key, text) of all texts: tokens with their new values, signs glued to what stands before; an empty value drops a token."""
+    put = F.arrow_udf(_glued, StringType())
+    return with_changes(texts, key, changes).select(key, put("tokens", "changes").alias("text"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import process
 from ..plans.tables import ensure_checkpoint_dir
-from .positions import assembled, indexed
+from . import positions
 
 
 def _deletes(word: Column) -> Column:
@@ -107,24 +107,23 @@ def suggestions(words: DataFrame, dictionary: DataFrame, edits: int = 2) -> Data
     return out.select("word", F.coalesce("cand", "word").alias("correction"), F.when(sure, 1.0).otherwise(F.coalesce("share", F.lit(0.0))).alias("confidence"))
 
 
-def _kinds(index: DataFrame) -> DataFrame:
+def _kinds(tokens: DataFrame) -> DataFrame:
     """Add ``kind`` (punctuation: no letter or digit; other: not all letters; word) and ``word``."""
     kind = F.when(~F.col("token").rlike("[A-Za-z0-9]"), "punctuation").when(~F.col("token").rlike("^[A-Za-z]+$"), "other").otherwise("word")
-    return index.withColumn("kind", kind).withColumn("word", F.when(F.col("kind") == "word", F.lower("token")))
+    return tokens.withColumn("kind", kind).withColumn("word", F.when(F.col("kind") == "word", F.lower("token")))
 
 
-def corrected(index: DataFrame, key: str, dictionary: DataFrame, edits: int = 2) -> DataFrame:
-    """(key, token, positions, kind, known, correction, confidence) of an index.
+def corrected(texts: DataFrame, dictionary: DataFrame, edits: int = 2) -> DataFrame:
+    """(token, kind, known, correction, confidence) of the distinct tokens of texts that were cut.
 
-    Only words are joined, with a row for each word of a text; numbers and signs
-    pass by. Case is restored.
+    Numbers and signs pass by. Case is restored.
     """
-    tokens = _kinds(index)
+    tokens = _kinds(positions.distinct(texts)).checkpoint()  # a row for each token of the corpus; it is read three times
     found = suggestions(tokens.where("kind = 'word'"), dictionary, edits)
     found = found.join(dictionary.select("word", F.lit(True).alias("known")).distinct(), "word", "left")
     words = tokens.where("kind = 'word'").join(found, "word")
-    words = words.select(key, "token", "positions", "kind", F.coalesce("known", F.lit(False)).alias("known"), process.like_case(F.col("correction"), F.col("token")).alias("correction"), "confidence")
-    marks = tokens.where("kind <> 'word'").select(key, "token", "positions", "kind", F.lit(False).alias("known"), F.col("token").alias("correction"), F.when(F.col("kind") == "punctuation", -1.0).otherwise(-2.0).alias("confidence"))
+    words = words.select("token", "kind", F.coalesce("known", F.lit(False)).alias("known"), process.like_case(F.col("correction"), F.col("token")).alias("correction"), "confidence")
+    marks = tokens.where("kind <> 'word'").select("token", "kind", F.lit(False).alias("known"), F.col("token").alias("correction"), F.when(F.col("kind") == "punctuation", -1.0).otherwise(-2.0).alias("confidence"))
     return words.unionByName(marks)
 
 
@@ -133,23 +132,25 @@ def autocorrected(rows: DataFrame, key: str, dictionary: DataFrame, remove: bool
 
     Punctuation stays either way, glued to the token before it.
     """
-    tokens = corrected(indexed(rows, key, column), key, dictionary, edits)
+    texts = positions.cut(rows, key, column)
+    value = F.col("correction")
     if remove:
-        tokens = tokens.where((F.col("confidence") > 0) | (F.col("kind") == "punctuation"))
-    return assembled(tokens, rows, key, F.col("correction"))
+        value = F.when((F.col("confidence") > 0) | (F.col("kind") == "punctuation"), value).otherwise("")
+    return positions.replaced(texts, key, corrected(texts, dictionary, edits).select("token", value.alias("value")).where("value <> token"))
 
 
 def known_only(rows: DataFrame, key: str, dictionary: DataFrame, column: str = "text") -> DataFrame:
     """(key, text) of the words that the dictionary knows, and punctuation."""
-    tokens = indexed(rows, key, column).withColumn("word", F.lower("token"))
-    mark = ~F.col("token").rlike("[A-Za-z0-9]")
-    known = tokens.where(~mark).join(dictionary.select("word"), "word", "left_semi").select(key, "token", "positions")
-    return assembled(known.unionByName(tokens.where(mark).select(key, "token", "positions")), rows, key, F.col("token"))
+    texts = positions.cut(rows, key, column)
+    tokens = positions.distinct(texts).where(F.col("token").rlike("[A-Za-z0-9]")).withColumn("word", F.lower("token"))
+    unknown = tokens.join(dictionary.select("word"), "word", "left_anti")
+    return positions.replaced(texts, key, unknown.select("token", F.lit("").alias("value")))
 
 
 def correction_log(rows: DataFrame, key: str, dictionary: DataFrame, column: str = "text", edits: int = 2) -> DataFrame:
     """(key, pos, word, attempted, correction, confidence) of unknown words."""
-    unknown = corrected(indexed(rows, key, column), key, dictionary, edits).where("kind = 'word' and not known")
+    texts = positions.cut(rows, key, column)
+    unknown = corrected(texts, dictionary, edits).where("kind = 'word' and not known")
     done = F.col("confidence") > 0
-    each = unknown.select(key, F.explode("positions").alias("pos"), F.col("token").alias("word"), "correction", "confidence")
+    each = positions.places(texts, key).join(unknown, "token").withColumnRenamed("token", "word")
     return each.select(key, "pos", "word", done.alias("attempted"), F.when(done, F.col("correction")).alias("correction"), F.when(done, F.col("confidence")).alias("confidence"))

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
-from functools import reduce
-from operator import or_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import text
-from .positions import assembled, indexed
+from . import positions
 
 #: Closed-class words and their tags.
 LEXICON = {
@@ -91,13 +93,14 @@ def lemmas(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
 def lemmatized(rows: DataFrame, key: str, dictionary: DataFrame, column: str = "text") -> DataFrame:
     """(key, text) with every token replaced by its lemma, in lower case.
 
-    Lemmas are found for distinct words and joined to a row for each distinct
-    token of a text. Punctuation stays, glued to the token before it.
+    Lemmas are found for distinct words and come back to the texts that have
+    them. Punctuation stays, glued to the token before it.
     """
-    index = indexed(rows, key, column).withColumn("class", word_class(tag(F.col("token")))).withColumn("word", F.lower("token"))
-    found = lemmas(index, dictionary).where("lemma <> word")  # most words are their own lemma
-    done = index.join(found, ["word", "class"], "left")
-    return assembled(done, rows, key, F.coalesce("lemma", "word"))
+    # a token's class does not depend on its case
+    texts = positions.cut(rows, key, column, lambda c: F.lower(text.token_text(c)))
+    words = positions.distinct(texts).select(F.col("token").alias("word"), word_class(tag(F.col("token"))).alias("class")).checkpoint()
+    found = lemmas(words, dictionary).where("lemma <> word")  # most words are their own lemma
+    return positions.replaced(texts, key, found.select(F.col("word").alias("token"), F.col("lemma").alias("value")))
 
 
 def learned(words: DataFrame, least: int = 2) -> DataFrame:
@@ -124,27 +127,57 @@ def learned(words: DataFrame, least: int = 2) -> DataFrame:
     return plain.join(found, "word").select("word", "pos")
 
 
+_CLOSED = {w: name for name, members in LEXICON.items() for w in members}
+_TAGS = sorted({*LEXICON, *(x for _, x in ENDINGS), *(x for rule in RULES for x in (*rule[:2], *rule[3])), *VOTES, "CD", "NNP"})
+_CODES = {x: i for i, x in enumerate(_TAGS, 1)}
+_GAP = max(abs(p) for rule in RULES for p in rule[2])
+
+
+def _first_code(word: str) -> int:
+    """The tag of :func:`tag`, as its number."""
+    low = word.lower()
+    if re.fullmatch("[0-9][0-9.,]*", word):
+        return _CODES["CD"]
+    ending = next((x for e, x in ENDINGS if low.endswith(e) and len(low) > len(e) + 2), None)
+    return _CODES[_CLOSED.get(low) or ending or ("NNP" if re.match("[A-Z]", word) else "NN")]
+
+
+_FIRST = text.Cut(_first_code)
+
+
+def _in_context(tokens: pa.Array, changes: pa.Array) -> pa.Array:
+    """The rules over all texts of a batch at once; between texts stand tags that no rule looks for."""
+    codes, ends = [0] * _GAP, []
+    for t, lines in zip(tokens.to_pylist(), changes.to_pylist(), strict=True):
+        first, learned_tags = map(_FIRST.__getitem__, t.split(" ")), positions.changed(lines)
+        codes += [_CODES[learned_tags[w]] if w in learned_tags else c for w, c in zip(t.split(" "), first, strict=True)] if learned_tags else first
+        ends.append(len(codes))
+        codes += [0] * _GAP
+    tags = np.array(codes, np.int8)
+    for old, new, places, near in RULES:
+        wanted = np.isin(tags, [_CODES[x] for x in near])
+        beside = np.zeros(len(tags), bool)
+        for p in places:
+            beside |= np.roll(wanted, -p)
+        tags[(tags == _CODES[old]) & beside] = _CODES[new]
+    names, starts = np.array(["", *_TAGS], object)[tags], [_GAP, *(e + _GAP for e in ends)]
+    return pa.array([" ".join(names[a:b]) for a, b in zip(starts, ends, strict=False)], pa.string())
+
+
 def context_tags(rows: DataFrame, key: str, lexicon: DataFrame, column: str = "text") -> DataFrame:
     """(key, tokens, tags): the words of each text and their tags, by what stands beside them.
 
     A word's first tag is that of :func:`tag`, for plain nouns that of the
     learned lexicon, where it has one. The rules then go over the tags one
-    after another; a rule sees the tags as they were before it. The lexicon is
-    joined to a row for each distinct word of a text. Texts without a word,
-    null ones among them, have no row; rows that share a key count as one text.
+    after another; a rule sees the tags as they were before it. The lexicon
+    meets the distinct words of the corpus, and what it has comes back to the
+    texts. Texts without a word, null ones among them, have no row.
     """
-    index = indexed(rows, key, column, text.words).withColumn("pos", tag(F.col("token")))
-    plain = index.where("pos = 'NN'").withColumn("word", F.lower("token")).drop("pos")
-    known = plain.join(lexicon.select("word", "pos"), "word", "left").withColumn("pos", F.coalesce("pos", F.lit("NN"))).select(index.columns)
-    each = index.where("pos <> 'NN'").unionByName(known).groupBy(key).agg(F.collect_list(F.struct("positions", "token", "pos")).alias("__all"))
-    placed = F.flatten(F.transform("__all", lambda x: F.transform(x["positions"], lambda p: F.struct(p.alias("p"), x["token"].alias("token"), x["pos"].alias("pos")))))
-    out = each.select(key, F.array_sort(placed).alias("__all"))
-    out = out.select(key, F.transform("__all", lambda x: x["token"]).alias("tokens"), F.transform("__all", lambda x: x["pos"]).alias("tags"))
-    for old, new, places, near in RULES:
-        # a step of its own for each rule, as each reads the tags several times
-        beside = lambda i: reduce(or_, (F.get("tags", i + p).isin(*near) for p in places))  # noqa: B023, E731
-        out = out.withColumn("tags", F.transform("tags", lambda t, i: F.when((t == old) & beside(i), new).otherwise(t)))  # noqa: B023
-    return out
+    texts = positions.cut(rows, key, column, text.word_text).where("tokens <> ''")
+    plain = positions.distinct(texts).where(tag(F.col("token")) == "NN").withColumn("word", F.lower("token"))
+    known = plain.join(lexicon.select("word", F.col("pos").alias("value")), "word").select("token", "value")
+    tags = F.arrow_udf(_in_context, StringType())("tokens", "changes")
+    return positions.with_changes(texts, key, known).select(key, F.split("tokens", " ").alias("tokens"), F.split(tags, " ").alias("tags"))
 
 
 def tag_rows(rows: DataFrame, key: str, lexicon: DataFrame, column: str = "text") -> DataFrame:
