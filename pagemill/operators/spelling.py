@@ -31,11 +31,16 @@ def _transposes(name: str) -> str:
     return f"if(length({name}) < 2, cast(array() as array<string>), transform(sequence(1, greatest(length({name}) - 1, 1)), i -> {swap}))"
 
 
+def _letters(word: str) -> Column:
+    """The letters of a word in alphabetical order."""
+    return F.array_join(F.sort_array(F.split(F.col(word), "")), "")
+
+
 def _index(words: DataFrame, edits: int) -> DataFrame:
     keys = F.array(F.col("word"))
     for _ in range(edits):
         keys = F.array_distinct(F.flatten(F.transform(keys, _deletes)))
-    return words.select("word", F.explode(keys).alias("key"))
+    return words.select("word", "letters", F.explode(keys).alias("key"))
 
 
 #: Words of more letters meet by their parts.
@@ -48,7 +53,7 @@ def _parts(words: DataFrame, edits: int) -> DataFrame:
     size = F.length("cand")
     start = lambda k: F.floor(F.lit(k) * size / n).cast("int")
     keys = [F.concat_ws(":", size, F.lit(k), F.col("cand").substr(start(k) + 1, start(k + 1) - start(k))) for k in range(n)]
-    return words.select("cand", F.explode(F.array(*keys)).alias("key"))
+    return words.select("cand", "cand_letters", F.explode(F.array(*keys)).alias("key"))
 
 
 def _probes(words: DataFrame, edits: int) -> DataFrame:
@@ -62,23 +67,30 @@ def _probes(words: DataFrame, edits: int) -> DataFrame:
             for shift in range(-edits, edits + 1):
                 fits = (start + shift >= 0) & (end + shift <= F.length("word"))
                 keys.append(F.when(fits, F.concat_ws(":", size, F.lit(k), F.col("word").substr(start + (shift + 1), end - start))))
-    return words.select("word", F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias("key"))
+    return words.select("word", "letters", F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias("key"))
 
 
 def _candidates(unknown: DataFrame, dictionary: DataFrame, edits: int) -> DataFrame:
-    """(word, cand): pairs that may be within the edits, all that are among them."""
-    right = dictionary.select(F.col("word").alias("cand")).distinct()
-    short = unknown.where(F.length("word") <= SHORT).select("word")
-    deletes = _index(right.where(F.length("cand") <= SHORT + edits).withColumnRenamed("cand", "word"), edits).withColumnRenamed("word", "cand")
-    by_deletes = _index(short, edits).join(deletes, "key").select("word", "cand")
-    long = unknown.where(F.length("word") > SHORT).select("word")
-    by_parts = _probes(long, edits).join(_parts(right.where(F.length("cand") > SHORT - edits), edits), "key").select("word", "cand")
-    return by_deletes.unionByName(by_parts).where(F.abs(F.length("word") - F.length("cand")) <= edits).distinct()
+    """(word, cand, lev): pairs that may be within the edits, all that are among them.
+
+    Pairs that meet are checked at once, before they move: two edits change a
+    distance of four at most, of which each transposition, which leaves the
+    letters as they are, takes two.
+    """
+    right = dictionary.select(F.col("word").alias("cand")).distinct().withColumn("cand_letters", _letters("cand"))
+    left = unknown.select("word").withColumn("letters", _letters("word"))
+    short = left.where(F.length("word") <= SHORT)
+    deletes = _index(right.where(F.length("cand") <= SHORT + edits).withColumnsRenamed({"cand": "word", "cand_letters": "letters"}), edits).withColumnsRenamed({"word": "cand", "letters": "cand_letters"})
+    by_deletes = _index(short, edits).join(deletes, "key")
+    long = left.where(F.length("word") > SHORT)
+    by_parts = _probes(long, edits).join(_parts(right.where(F.length("cand") > SHORT - edits), edits), "key")
+    met = by_deletes.unionByName(by_parts).where(F.abs(F.length("word") - F.length("cand")) <= edits).withColumn("lev", F.levenshtein("word", "cand"))
+    return met.where("lev <= 2 or (lev = 3 and levenshtein(letters, cand_letters) <= 2) or (lev = 4 and letters = cand_letters)").select("word", "cand", "lev").distinct()
 
 
 def _near(unknown: DataFrame, dictionary: DataFrame, edits: int) -> DataFrame:
     """(word, cand, freq, edits): dictionary words within the edits of each word."""
-    pairs = _candidates(unknown, dictionary, edits).withColumn("lev", F.levenshtein("word", "cand"))
+    pairs = _candidates(unknown, dictionary, edits)
     t, u = _transposes("word"), _transposes("cand")
     two = f"lev <= 2 or (lev <= 4 and (exists({t}, x -> levenshtein(x, cand) <= 1) or exists({u}, x -> levenshtein(word, x) <= 1) or arrays_overlap({t}, {u})))"
     found = F.expr(f"case when lev <= 1 or (lev = 2 and array_contains({t}, cand)) then 1 when {edits} > 1 and ({two}) then 2 end")

@@ -150,3 +150,13 @@ def test_long_words_meet_by_their_parts(spark):
     d = spark.createDataFrame([(w, 3) for w in words], "word string, freq long")
     near = {(r.word, r.cand) for r in spelling._near(unknown, d, 2).collect()}
     assert pairs <= near
+
+
+def test_pairs_are_checked_before_they_move(spark):
+    unknown = spark.createDataFrame([("abcdef",)], "word string")
+    d = spark.createDataFrame([(w, 3) for w in ["abcdxy", "badcef", "xycdef", "bcdefa", "abef", "cdefab"]], "word string, freq long")
+    # cdefab meets abcdef by the key cdef but is four edits away
+    assert {(r.cand, r.lev) for r in spelling._candidates(unknown, d, 2).collect()} >= {("abcdxy", 2), ("badcef", 3), ("abef", 2)}
+    assert "cdefab" not in {r.cand for r in spelling._candidates(unknown, d, 2).where("lev < 4").collect()}
+    far = spark.createDataFrame([("zzabcd", 3)], "word string, freq long")
+    assert spelling._candidates(spark.createDataFrame([("abcdyy",)], "word string"), far, 2).count() == 0
