@@ -11,7 +11,9 @@ from __future__ import annotations
 import re
 import string
 import unicodedata
-from collections.abc import Callable, Iterable
+from collections import Counter
+from collections.abc import Callable, Iterable, Sequence
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -273,6 +275,50 @@ def counted_words(c: Column) -> Column:
     return _tokens(c, _counted_texts)
 
 
+_REPORT = pa.struct([("word", pa.string()), ("freq", pa.int64()), ("first_no", pa.int32())])
+
+
+def rows_of(found: list, kind: pa.StructType, columns: Sequence[list]) -> pa.Array:
+    """Lists of structs from the lengths of the lists and all their fields one after another."""
+    offsets = list(accumulate(map(len, found), initial=0))
+    fields = [pa.array(c, kind.field(i).type) for i, c in enumerate(columns)]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(kind)))
+
+
+#: Texts that are counted at once, so that their words don't all stand in memory.
+_AT_ONCE = 500
+
+
+def by_slices(values: pa.Array, kind: pa.DataType, change: Callable[[pa.Array], pa.Array]) -> pa.Array:
+    """What ``change`` makes of an array, a few values at a time."""
+    parts = [change(values.slice(k, _AT_ONCE)) for k in range(0, len(values), _AT_ONCE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(kind))
+
+
+def _reported(values: pa.Array, pick: Callable[[list[tuple[str, int]]], list[tuple[str, int]]] | None) -> pa.Array:
+    """Each text's words with their counts, in the order in which they occur first, or those that ``pick`` takes in its order."""
+    lists, words, freqs, firsts = [], [], [], []
+    for joined in _COUNTED.texts(values).to_pylist():
+        each = joined.split(" ") if joined else []
+        counts = Counter(each)  # keeps the order of first occurrence
+        first = dict(zip(reversed(each), range(len(each) - 1, -1, -1), strict=True))
+        if pick:
+            counts = dict(pick(list(counts.items())))
+        lists.append(counts)
+        words += counts
+        freqs += counts.values()
+        firsts += map(first.__getitem__, counts)
+    return rows_of(lists, _REPORT, [words, freqs, firsts])
+
+
+def word_counts(c: Column, pick: Callable[[list[tuple[str, int]]], list[tuple[str, int]]] | None = None) -> Column:
+    """(word, freq, first_no) of each distinct one of :func:`counted_words`, counted where the text is.
+
+    ``pick`` takes a text's (word, freq) in the order of first occurrence and gives those that stay.
+    """
+    return F.arrow_udf(lambda v: by_slices(v, _REPORT, lambda part: _reported(part, pick)), "array<struct<word: string, freq: bigint, first_no: int>>")(c)
+
+
 def tokens(c: Column) -> Column:
     """The tokens of :func:`words`, and between them the punctuation around them."""
     return _tokens(c, _token_texts)
@@ -303,6 +349,24 @@ def sentences(c: Column) -> Column:
     return F.filter(F.split(marked, "\u0001"), lambda s: F.trim(s) != "")
 
 
+_SENTENCE = pa.struct([("word_count", pa.int32()), ("sentence", pa.string())])
+_END = re.compile(r"(?a)([.!?]+[\"')]*)\s+")
+
+
+def _sentences_counted(values: pa.Array) -> pa.Array:
+    lists, flat = [], []
+    for t in values.to_pylist():
+        lists.append([s for s in _END.sub("\\1\x01", t or "").split("\x01") if s.strip(" ")])
+        flat += lists[-1]
+    joined = _WORDS.texts(pa.array(flat, pa.string())).to_pylist()
+    return rows_of(lists, _SENTENCE, [[x.count(" ") + 1 if x else 0 for x in joined], flat])
+
+
+def counted_sentences(c: Column) -> Column:
+    """(word_count, sentence) of each of :func:`sentences`, cut and counted in one pass."""
+    return F.arrow_udf(lambda v: by_slices(v, _SENTENCE, _sentences_counted), "array<struct<word_count: int, sentence: string>>")(c)
+
+
 def natural_key(c: Column) -> Column:
     """A sort key under which file2 comes before file10."""
     return F.regexp_replace(F.regexp_replace(c, r"(\d+)", "00000000000000000000$1"), r"\d*(\d{20})", "$1")

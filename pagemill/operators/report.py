@@ -17,27 +17,57 @@ from ..plans.tables import ensure_checkpoint_dir, ranked
 SCOPES = {"page": ["file_path", "page_no"], "file": ["file_path"], "corpus": []}
 
 
-def page_counts(pages: DataFrame, tags: Column | None = None) -> DataFrame:
+def page_counts(pages: DataFrame, limit: str = "") -> DataFrame:
     """(file_path, page_no, word, freq, first_no) of every page.
 
-    Everything else is aggregated from this table, so that one shuffle of
-    partial counts serves all reports. ``first_no`` is the place in the page
-    where the word first occurs. ``page_no_overall`` is kept if there is one.
+    A page is a row and is counted where it is, so that no row of a token and no
+    page's counts are shuffled; everything else is aggregated from this table.
+    ``first_no`` is the place in the page where the word first occurs.
+    ``page_no_overall`` is kept if there is one. With a limit, as
+    :func:`limited` has them, each page keeps only the words within it.
     """
     keys = [c for c in ("file_path", "page_no", "page_no_overall", "file_ord") if c in pages.columns]
-    # the outer form keeps Spark from inferring a filter that makes the words twice
-    each = pages.select(*keys, F.posexplode_outer(text.counted_words(F.col("text"))).alias("__pos", "word")).where("word is not null")
-    return each.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("freq"), F.min("__pos").alias("first_no"))
+    counted = text.word_counts(F.col("text"), _picked(limit))
+    return pages.select(*keys, F.explode(counted).alias("__w")).select(*keys, "__w.*")
+
+
+def _picked(limit: str):
+    """What a limit leaves of a page's (word, freq) in the order of first occurrence."""
+    kind, n = parse_limit(limit)
+    if (kind, n) == ("percent", 100):
+        return None
+
+    def pick(counts: list[tuple[str, int]]) -> list[tuple[str, int]]:
+        if kind == "least":
+            return [c for c in counts if c[1] >= n]
+        falling = sorted(counts, key=lambda c: -c[1])  # stable: ties stay in order
+        if kind == "top":
+            return falling[:n]
+        bound, before = math.ceil(n / 100 * sum(f for _, f in counts)), 0
+        for i, (_, freq) in enumerate(falling):
+            if before >= bound:
+                return falling[:i]
+            before += freq
+        return falling
+
+    return pick
+
+
+def _place(page: str) -> Column:
+    """A page's number and the place in it as one long that sorts as both do: a text has less than 2 ** 30 words."""
+    return F.shiftleft(F.col(page).cast("long"), 30).bitwiseOR(F.col("first_no").cast("long"))
 
 
 def frequency(counts: DataFrame, scope: str = "corpus", first: bool = False) -> DataFrame:
     """(scope's keys, word, freq): counts of pages added up.
 
-    With ``first``, also ``first_seen``: the page and the place in it where the
-    word first occurs within the scope.
+    With ``first``, also ``first_seen``, a number that sorts as the page and the
+    place in it where the word first occurs within the scope.
     """
     keys = SCOPES[scope]
-    more = [F.min(F.struct("page_no", "first_no")).alias("first_seen")] if first else []
+    if scope == "page":  # is added up already
+        return counts.select(*keys, "word", "freq", *([_place("page_no").alias("first_seen")] if first else []))
+    more = [F.min(_place("page_no")).alias("first_seen")] if first else []
     return counts.groupBy(*keys, "word").agg(F.sum("freq").alias("freq"), *more)
 
 
@@ -48,16 +78,14 @@ def last_wins(counts: DataFrame, scope: str = "corpus") -> DataFrame:
 
 
 def first_seen(counts: DataFrame) -> DataFrame:
-    """(word, freq, file_ord, page_no, first_no): where a word occurs first.
+    """(word, freq, first_seen): a number that sorts as the places where words occur first.
 
-    Needs ``file_ord``, the place of the file in natural order.
+    Needs ``page_no_overall``, the place of the page in the natural order of files.
     """
-    first = F.min(F.struct("file_ord", "page_no", "first_no")).alias("first")
-    out = counts.groupBy("word").agg(F.sum("freq").alias("freq"), first)
-    return out.select("word", "freq", "first.*")
+    return counts.groupBy("word").agg(F.sum("freq").alias("freq"), F.min(_place("page_no_overall")).alias("first_seen"))
 
 
-CHRONOLOGICAL = ["file_ord", "page_no", "first_no"]
+CHRONOLOGICAL = ["first_seen"]
 
 
 def ordered(report: DataFrame, by: str = "alpha") -> DataFrame:

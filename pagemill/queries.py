@@ -45,8 +45,8 @@ def _counts(spark: SparkSession, sf_dir: str, overall: bool = False) -> DataFram
 
 def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corpus frequencies that need no order: straight from the texts."""
-    each = _clean(spark, sf_dir).select(F.explode_outer(text.counted_words(F.col("text"))).alias("word")).where("word is not null")
-    return each.groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
+    each = _clean(spark, sf_dir).select(F.explode(text.word_counts(F.col("text"))).alias("w")).select("w.word", "w.freq")
+    return each.groupBy("word").agg(F.sum("freq").alias("freq"))
 
 
 def _seen(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +83,8 @@ def _ranked_words(change) -> Query:
 
 def _within(spark: SparkSession, sf_dir: str, scope: str, limit: str) -> DataFrame:
     """The report of each page or file, limited within it."""
+    if scope == "page":
+        return report.frequency(report.page_counts(_pages(spark, sf_dir), limit), scope)
     ensure_checkpoint_dir(spark)
     found = report.frequency(_counts(spark, sf_dir), scope, first=True).checkpoint()
     return report.limited_within(found, report.SCOPES[scope], limit).drop("first_seen")

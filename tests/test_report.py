@@ -114,3 +114,30 @@ def test_one_file_with_all_pages(spark):
     assert [r.page_no_overall for r in pg.with_overall(pages).orderBy("page_no").collect()] == list(range(1, 301))
     some = pg.with_overall(pg.selected(pages, "2 5-6"))
     assert [(r.page_no, r.page_no_overall) for r in some.orderBy("page_no").collect()] == [(2, 1), (5, 2), (6, 3)]
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pages_are_counted_where_they_are(spark):
+    pages = spark.createDataFrame(TEXTS, "file_path string, page_no int, text string")
+    counts = report.page_counts(pages)
+    assert "Exchange" not in plan(counts) and "Exchange" not in plan(report.frequency(counts, "page", first=True))
+    assert {(r.word, r.freq, r.first_no) for r in counts.where("file_path = 'f2' and page_no = 1").collect()} == {("e", 1, 0), ("a", 1, 1), ("b", 1, 2), ("the", 2, 3)}
+    whole = report.page_counts(pages.withColumn("page_no_overall", F.col("page_no").cast("long")))
+    # structs as buffers are no words of memory, and make Spark sort all rows
+    assert "SortAggregate" not in plan(report.first_seen(whole)) + plan(report.frequency(whole, "file", first=True))
+
+
+@pytest.mark.parametrize("limit", ["7%", "28%", "70%", "0%", "100%", "3", "1000", "0", "2+", ""])
+def test_limits_of_pages_equal_those_within_scopes(spark, limit):
+    pages = spark.createDataFrame([*TEXTS, (None, 1, "x y z x y q"), ("n", 7, None), ("n", 8, "c c b b a a a d e f g h i j k l")], "file_path string, page_no int, text string")
+    found = report.frequency(report.page_counts(pages), "page", first=True)
+    expected = {tuple(r) for r in report.limited_within(found, ["file_path", "page_no"], limit).drop("first_seen").collect()}
+    assert {tuple(r) for r in report.frequency(report.page_counts(pages, limit), "page").collect()} == expected
+
+
+def test_more_texts_than_are_counted_at_once(spark):
+    pages = spark.range(1201).selectExpr("'f' as file_path", "id as page_no", "concat('w', id % 7, ' w', id % 7) as text").coalesce(1)
+    assert as_dict(report.frequency(report.page_counts(pages))) == {f"w{k}": 2 * len(range(k, 1201, 7)) for k in range(7)}
