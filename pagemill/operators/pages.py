@@ -110,8 +110,8 @@ def fields(pages: DataFrame, letters: str = DEFAULT_FIELDS, template: str | None
 
 def sentence_rows(pages: DataFrame) -> DataFrame:
     """One row a sentence, with its number in the page and its own word count."""
-    out = pages.select("file_path", "page_no", F.posexplode_outer(text.sentences(F.col("text"))).alias("__pos", "sentence")).where("sentence is not null")
-    return out.select("file_path", "page_no", (F.col("__pos") + 1).alias("sentence_no"), F.size(text.words(F.col("sentence"))).alias("word_count"), "sentence")
+    out = pages.select("file_path", "page_no", F.posexplode(text.counted_sentences(F.col("text"))).alias("__pos", "__s"))
+    return out.select("file_path", "page_no", (F.col("__pos") + 1).alias("sentence_no"), "__s.word_count", "__s.sentence")
 
 
 def word_rows(pages: DataFrame) -> DataFrame:

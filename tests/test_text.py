@@ -115,3 +115,12 @@ def test_sequential_ignore(spark):
 def test_case(spark):
     rows = spark.createDataFrame([("word", "WROD"), ("word", "Wrod"), ("word", "wrod")], "w string, m string")
     assert [r.x for r in rows.select(process.like_case(F.col("w"), F.col("m")).alias("x")).collect()] == ["WORD", "Word", "word"]
+
+
+def test_sentences_are_cut_and_counted_in_one_pass(spark):
+    values = ['One. Two! "Three?" four can\'t', "", None, "no end", " .  . x", "...", "a.b c.) d"]
+    rows = spark.createDataFrame([(v,) for v in values], "t string")
+    for r in rows.select(text.counted_sentences(F.col("t")).alias("new"), text.sentences(F.col("t")).alias("old")).collect():
+        assert [x.sentence for x in r.new] == (r.old or [])
+    counts = [[x.word_count for x in r.x] for r in rows.select(text.counted_sentences(F.col("t")).alias("x")).collect()]
+    assert counts[0] == [1, 1, 1, 3] and counts[3] == [2] and counts[5] == [0]
