@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import text
+from ..plans.tables import ensure_checkpoint_dir
 from . import positions
 
 #: Closed-class words and their tags.
@@ -67,9 +68,10 @@ def word_class(tags: Column) -> Column:
 
 def tagged_frequency(pages: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, word, pos, freq) over the corpus, or over each page or file that the keys tell apart."""
-    each = pages.select(*keys, F.explode_outer(text.words(F.col("text"))).alias("token")).where("token is not null").select(*keys, "token", tag(F.col("token")).alias("pos"))
-    each = each.select(*keys, F.btrim(F.lower("token"), F.lit(text.PUNCTUATION)).alias("word"), "pos").where("word <> ''")
-    return each.groupBy(*keys, "word", "pos").agg(F.count(F.lit(1)).alias("freq"))
+    each = pages.select(*keys, F.explode_outer(text.words(F.col("text"))).alias("token")).where("token is not null")
+    counts = each.groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("freq"))  # a token is tagged once
+    each = counts.select(*keys, F.btrim(F.lower("token"), F.lit(text.PUNCTUATION)).alias("word"), tag(F.col("token")).alias("pos"), "freq").where("word <> ''")
+    return each.groupBy(*keys, "word", "pos").agg(F.sum("freq").alias("freq"))
 
 
 def lemmas(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -112,6 +114,8 @@ def learned(words: DataFrame, least: int = 2) -> DataFrame:
     class with the most votes, at least ``least``, wins; ties and nouns have no
     row, nor have words that the lexicon or an ending tags already.
     """
+    ensure_checkpoint_dir(words.sparkSession)
+    words = words.checkpoint()  # a row for each word; votes and plain words are read from it
     low, forms = F.col("word"), []
     for name, endings in VOTES.items():
         for ending in endings:

@@ -61,3 +61,19 @@ def test_rows_beside_raw(spark, text, raw, words, sentences):
     assert [(r.word, r.raw) for r in pg.word_rows_raw(pages).orderBy("word_no").collect()] == words
     assert [(r.sentence, r.raw) for r in pg.sentence_rows_raw(pages).orderBy("sentence_no").collect()] == sentences
     assert pg.word_rows_raw(pages).drop("raw").collect() == pg.word_rows(pages).collect()
+
+
+def test_tokens_are_tagged_and_words_counted_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def word(x):
+        made.add(1)
+        return x
+
+    words = spark.createDataFrame([("walking", 3), ("walk", 2), ("walked", 1)], "w string, freq long").select(F.udf(word)("w").alias("word"), "freq")
+    assert [tuple(r) for r in tagging.learned(words).collect()] == [("walk", "VB")]
+    assert made.value == 3
+    pages = spark.createDataFrame([("The the walk",), ("the Walk",)], "text string")
+    tagged = tagging.tagged_frequency(pages)
+    assert {tuple(r) for r in tagged.collect()} == {("the", "DT", 3), ("walk", "NN", 1), ("walk", "NNP", 1)}
+    assert "keys=[token" in tagged._jdf.queryExecution().executedPlan().toString()
