@@ -10,9 +10,16 @@ that have a period with the small tables learned.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+from itertools import pairwise
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..plans.tables import ensure_checkpoint_dir
 
 #: Thresholds that were published with the method.
@@ -21,14 +28,67 @@ ABBREVIATION, COLLOCATION = 0.3, 7.88
 END = r"[.!?]+[\"')]*$"
 
 
-def tokens(c: Column) -> Column:
-    """What stands between the spaces of a cleaned text."""
-    return F.filter(F.split(c, " "), lambda t: t != "")
+_INITIAL = re.compile("[^A-Za-z0-9]*([A-Za-z]|[0-9]+)[.]")
+_PAIRED = re.compile("[a-z]|[0-9]+")
+_STOP = re.compile(END)
 
 
-def type_of(t: Column) -> Column:
+def type_of(t: str) -> str:
     """A token in lower case, without signs before it and the period behind it."""
-    return F.regexp_replace(F.regexp_replace(F.lower(t), r"^[^a-z0-9]+", ""), r"\.$", "")
+    return re.sub("^[^a-z0-9]+", "", t.lower()).removesuffix(".")
+
+
+#: (type, ends with a period, is a number or single letter with a period, ends with a stop) of a token, once for each.
+_KINDS = text.Cut(lambda t: (type_of(t), t.endswith("."), bool(_INITIAL.fullmatch(t)), bool(_STOP.search(t))))
+_COUNTS = pa.struct([("type", pa.string()), ("following", pa.string()), ("n_period", pa.int64()), ("n_bare", pa.int64()), ("n_initial", pa.int64()), ("n", pa.int64())])
+
+
+def tokens(value: str | None) -> list[str]:
+    """What stands between the spaces of a cleaned text."""
+    return [t for t in (value or "").split(" ") if t]
+
+
+#: Different tokens and pairs that a task holds before it sends them on.
+_HELD = 300_000
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of a task's texts; a token is looked at once until the counts are sent on."""
+    counts, pairs = Counter(), Counter()
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        found = []
+        for t, n in counts.items():
+            kind, dot, initial = type_of(t), t.endswith("."), bool(_INITIAL.fullmatch(t))
+            found.append((kind, None, n * dot, n * (not dot), n * initial, 0))
+        found += [(type_of(a), type_of(b), 0, 0, 0, n) for (a, b), n in pairs.items()]
+        for k in range(0, len(found), 50_000):
+            columns = zip(*found[k : k + 50_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _COUNTS, strict=True)], names=[f.name for f in _COUNTS])
+        counts.clear()
+        pairs.clear()
+
+    for batch in batches:
+        for value in batch.column(0):
+            each = tokens(value.as_py())
+            counts.update(each)
+            pairs.update((a, b) for a, b in pairwise(each) if a[-1] == "." and _INITIAL.fullmatch(a))
+            if len(counts) + len(pairs) > _HELD:
+                yield from rows()
+    yield from rows()
+
+
+def counts_of(rows: DataFrame, column: str = "text") -> DataFrame:
+    """What both tests of the method need, counted in one pass, and cut from its lineage.
+
+    A row without ``following`` has the counts of a type with and without a
+    period, and as a number or single letter with one; a row with it counts a
+    pair of such a one and the type behind. Each task adds up its own first.
+    """
+    ensure_checkpoint_dir(rows.sparkSession)
+    schema = ", ".join(f"{f.name} {'string' if pa.types.is_string(f.type) else 'long'}" for f in _COUNTS)
+    each = rows.select(F.col(column)).mapInArrow(_counted, schema)
+    return each.groupBy("type", "following").agg(*(F.sum(c).alias(c) for c in ("n_period", "n_bare", "n_initial", "n"))).checkpoint()
 
 
 def _log(k: Column, n: Column, p: Column) -> Column:
@@ -45,10 +105,11 @@ def statistics(rows: DataFrame, column: str = "text") -> DataFrame:
     of inner periods and one, and the length to the minus times without period.
     A corpus without tokens gives no row.
     """
-    each = rows.select(F.explode(tokens(F.col(column))).alias("t"))
-    counts = each.select(type_of(F.col("t")).alias("type"), F.col("t").endswith(".").alias("dot")).groupBy("type").agg(F.count_if("dot").alias("n_period"), F.count_if(~F.col("dot")).alias("n_bare"))
-    ensure_checkpoint_dir(rows.sparkSession)
-    counts = counts.checkpoint()  # read twice, a row for each type
+    return _statistics(counts_of(rows, column))
+
+
+def _statistics(counts: DataFrame) -> DataFrame:
+    counts = counts.where("following is null")
     total = counts.agg(F.sum("n_period").alias("dots"), F.sum(F.col("n_period") + F.col("n_bare")).alias("all")).first()
     if not total["all"]:
         return counts.select("type", "n_period", "n_bare", F.lit(0.0).alias("score"), F.lit(False).alias("abbreviation"))
@@ -68,12 +129,12 @@ def collocations(rows: DataFrame, column: str = "text") -> DataFrame:
     more frequent than chance has it. Counts of the first and of the second
     member come from all tokens.
     """
-    each = rows.select(tokens(F.col(column)).alias("l"))
-    initial = lambda t: t.rlike(r"^[^A-Za-z0-9]*([A-Za-z]|[0-9]+)\.$")
-    pairs = each.select(F.explode(F.filter(F.transform("l", lambda t, i: F.when(initial(t), F.struct(type_of(t).alias("type"), type_of(F.try_element_at("l", i + 2)).alias("following")))), lambda x: x.isNotNull())).alias("x")).select("x.*").where("following is not null")
-    pairs = pairs.groupBy("type", "following").agg(F.count(F.lit(1)).alias("n"))
-    ensure_checkpoint_dir(rows.sparkSession)
-    counts = each.select(F.explode("l").alias("t")).select(type_of(F.col("t")).alias("type"), initial(F.col("t")).alias("dot")).groupBy("type").agg(F.count(F.lit(1)).alias("c"), F.count_if("dot").alias("c_dot")).checkpoint()
+    return _collocations(counts_of(rows, column))
+
+
+def _collocations(found: DataFrame) -> DataFrame:
+    pairs = found.where("following is not null").select("type", "following", "n")
+    counts = found.where("following is null").select("type", (F.col("n_period") + F.col("n_bare")).alias("c"), F.col("n_initial").alias("c_dot"))
     total = float(counts.agg(F.sum("c")).first()[0] or 1)
     met = pairs.join(counts.select("type", F.col("c_dot").cast("double").alias("a")), "type").join(counts.select(F.col("type").alias("following"), F.col("c").cast("double").alias("b")), "following")
     k, a, b, rest = F.col("n").cast("double"), F.col("a"), F.col("b"), F.lit(total) - F.col("a")
@@ -83,23 +144,46 @@ def collocations(rows: DataFrame, column: str = "text") -> DataFrame:
     return met.select("type", "following", "n", score.alias("score"), (k / a > p).alias("__more")).where(F.col("__more") & (F.col("score") >= COLLOCATION)).drop("__more")
 
 
+def _stops(values: pa.Array) -> pa.Array:
+    out = []
+    for value in values.to_pylist():
+        kinds = list(map(_KINDS.__getitem__, tokens(value)))
+        found = {k[0] for k in kinds if k[1]}
+        found |= {f"{a[0]} {b[0]}" for a, b in pairwise(kinds) if a[1] and _PAIRED.fullmatch(a[0])}
+        out.append(list(found))
+    return pa.array(out, pa.list_(pa.string()))
+
+
+def _cut(values: pa.Array, lines: pa.Array) -> pa.Array:
+    out = []
+    for value, known in zip(values.to_pylist(), lines.to_pylist(), strict=True):
+        kept, sentences, held, each = set((known or "").split("\n")), [], [], tokens(value)
+        kinds = list(map(_KINDS.__getitem__, each))
+        for i, (t, (kind, dot, _, ends)) in enumerate(zip(each, kinds, strict=True)):
+            held.append(t)
+            if ends and not (dot and (kind and kind in kept or i + 1 < len(each) and f"{kind} {kinds[i + 1][0]}" in kept)):
+                sentences.append(" ".join(held))
+                held = []
+        out.append([*sentences, " ".join(held)] if held else sentences)
+    return pa.array(out, pa.list_(pa.string()))
+
+
 def sentence_rows(rows: DataFrame, key: str, column: str = "text") -> DataFrame:
     """(key, sentence_no, sentence): texts cut by what the corpus teaches.
 
     A token that ends with a stop ends a sentence, unless it is an abbreviation
-    or the first of a collocation. Only tokens with a period meet the tables;
-    the places that they take out come back to a text as one list. Texts without
-    tokens have no sentence; rows that share a key must be one text.
+    or the first of a collocation. Of each text the different tokens with a
+    period meet the tables, once; those that are known come back to it as one
+    list. Texts without tokens have no sentence; rows that share a key must be
+    one text. Texts are cut from their lineage, as they are read three times.
     """
-    learned = statistics(rows, column).where("abbreviation").select("type", F.lit(None).cast("string").alias("following"))
-    pairs = collocations(rows, column).select("type", "following")
-    stops = rows.select(key, tokens(F.col(column)).alias("l")).select(key, F.explode(F.filter(F.transform("l", lambda t, i: F.when(t.endswith("."), F.struct(i.alias("i"), type_of(t).alias("type"), type_of(F.try_element_at("l", i + 2)).alias("following")))), lambda x: x.isNotNull())).alias("x")).select(key, "x.*")
-    short = stops.join(learned.select("type"), "type", "left_semi").select(key, "i")
-    paired = stops.join(pairs, ["type", "following"], "left_semi").select(key, "i")
-    kept = short.unionByName(paired).groupBy(key).agg(F.collect_set("i").alias("__kept"))
-    met = rows.select(key, tokens(F.col(column)).alias("l")).join(kept, key, "left").withColumn("__kept", F.coalesce("__kept", F.array().cast("array<int>")))
-    ends = lambda t, i: t.rlike(END) & ~F.array_contains(F.col("__kept"), i)
-    marked = F.array_join(F.transform("l", lambda t, i: F.concat(t, F.when(ends(t, i), F.lit("\u0001")).otherwise(F.lit(" ")))), "")
-    cut = F.filter(F.transform(F.split(marked, "\u0001"), lambda s: F.trim(s)), lambda s: s != "")
-    out = met.select(key, F.posexplode_outer(cut).alias("__i", "sentence")).where("sentence is not null")
+    ensure_checkpoint_dir(rows.sparkSession)
+    texts = rows.select(key, F.col(column).alias("__text")).checkpoint()
+    counts = counts_of(texts, "__text")
+    short = _statistics(counts).where("abbreviation").select(F.col("type").alias("__stop"))
+    paired = _collocations(counts).select(F.concat("type", F.lit(" "), "following").alias("__stop"))
+    stops = texts.select(key, F.explode(F.arrow_udf(_stops, "array<string>")("__text")).alias("__stop"))
+    kept = stops.join(short.unionByName(paired), "__stop", "left_semi").groupBy(key).agg(F.array_join(F.collect_set("__stop"), "\n").alias("__kept"))
+    cut = F.arrow_udf(_cut, "array<string>")("__text", "__kept")
+    out = texts.join(kept, key, "left").select(key, F.posexplode(cut).alias("__i", "sentence"))
     return out.select(key, (F.col("__i") + 1).alias("sentence_no"), "sentence")

@@ -4,6 +4,8 @@ import math
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from pagemill.operators import pages as pg
 from pagemill.operators import punkt
 
@@ -80,3 +82,18 @@ def test_text_of_a_file_in_parts(spark):
         parts = [r.text for r in sorted((r for r in rows if r.file_path == f), key=lambda r: r.part)]
         assert " ".join(parts) == " ".join(t for g, _, t in pages if g == f)
         assert f is None or len(parts) > 5
+
+
+def test_texts_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def text(x):
+        made.add(1)
+        return x
+
+    rows = spark.createDataFrame(list(enumerate(TEXTS)), "k int, text string").withColumn("text", F.udf(text)("text"))
+    assert punkt.sentence_rows(rows, "k").count() > 0
+    assert made.value == len(TEXTS)
+    made.value = 0
+    assert punkt.collocations(rows).count() > 0
+    assert made.value == len(TEXTS)
