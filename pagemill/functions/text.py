@@ -329,6 +329,11 @@ def token_text(c: Column) -> Column:
     return _arrow(_token_texts)(c)
 
 
+def counted_text(c: Column) -> Column:
+    """The words of :func:`counted_words` joined by spaces."""
+    return _arrow(_counted_texts)(c)
+
+
 def word_text(c: Column) -> Column:
     """The tokens of :func:`words` joined by spaces."""
     return _arrow(_word_texts)(c)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,6 +33,33 @@ def page_counts(pages: DataFrame, limit: str = "") -> DataFrame:
     return pages.select(*keys, F.explode(counted).alias("__w")).select(*keys, "__w.*")
 
 
+#: Different words that a task holds before it sends them on.
+_HELD = 300_000
+
+
+def corpus_counts(rows: DataFrame, column: str = "text") -> DataFrame:
+    """(word, freq) of all texts, for reports that need no place: each task adds up its own first."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[str] = Counter()
+        for batch in batches:
+            for value in batch.column(0):
+                held.update(value.as_py().split(" "))
+                if len(held) > _HELD:
+                    yield from batches_of(held)
+        yield from batches_of(held)
+
+    def batches_of(held: Counter[str]) -> Iterator[pa.RecordBatch]:
+        held.pop("", None)
+        words, freqs = list(held), list(held.values())
+        for k in range(0, len(words), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(words[k : k + 50_000], pa.string()), pa.array(freqs[k : k + 50_000], pa.int64())], names=["word", "freq"])
+        held.clear()
+
+    joined = rows.select(F.coalesce(text.counted_text(F.col(column)), F.lit("")).alias("words"))
+    return joined.mapInArrow(count, "word string, freq long").groupBy("word").agg(F.sum("freq").alias("freq"))
+
+
 def _picked(limit: str):
     """What a limit leaves of a page's (word, freq) in the order of first occurrence."""
     kind, n = parse_limit(limit)

@@ -45,8 +45,7 @@ def _counts(spark: SparkSession, sf_dir: str, overall: bool = False) -> DataFram
 
 def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corpus frequencies that need no order: straight from the texts."""
-    each = _clean(spark, sf_dir).select(F.explode(text.word_counts(F.col("text"))).alias("w")).select("w.word", "w.freq")
-    return each.groupBy("word").agg(F.sum("freq").alias("freq"))
+    return report.corpus_counts(_clean(spark, sf_dir))
 
 
 def _seen(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -141,3 +141,11 @@ def test_limits_of_pages_equal_those_within_scopes(spark, limit):
 def test_more_texts_than_are_counted_at_once(spark):
     pages = spark.range(1201).selectExpr("'f' as file_path", "id as page_no", "concat('w', id % 7, ' w', id % 7) as text").coalesce(1)
     assert as_dict(report.frequency(report.page_counts(pages))) == {f"w{k}": 2 * len(range(k, 1201, 7)) for k in range(7)}
+
+
+def test_corpus_counts_send_on_what_they_hold(spark):
+    texts = spark.createDataFrame([("b b a c.",), (None,), ("",), ("A a d",)], "text string").coalesce(1)
+    assert as_dict(report.corpus_counts(texts)) == {"a": 3, "b": 2, "c": 1, "d": 1}
+    many = spark.range(310_000).selectExpr("concat('w', id, ' w', id, ' x') as text").coalesce(1)
+    got = report.corpus_counts(many)
+    assert got.count() == 310_001 and as_dict(got.where("freq <> 2")) == {"x": 310_000}
