@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pagemill.llm import bpe, jaccard, mixing, pii, quality_rules, store
 from pagemill.llm.queries import pii_key
@@ -46,9 +45,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     import public_tokenizers
 
-    out = bpe.encoded(docs.select("doc_id", "source", "text"), public_tokenizers.path("byte_bpe_50k.json"))
-    same = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return out.select("doc_id", "source", "n_tokens", "ids", same.alias("round_trip"))
+    return bpe.encoded(docs.select("doc_id", "source", "text"), public_tokenizers.path("byte_bpe_50k.json"), compare=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -285,11 +285,13 @@ class Encoder:
         return out
 
 
-def encoded(documents: DataFrame, vocabulary_path: str, p: Lexical = Lexical(), text: str = "text", digest: bool = False) -> DataFrame:
+def encoded(documents: DataFrame, vocabulary_path: str, p: Lexical = Lexical(), text: str = "text", digest: bool = False, compare: bool = False) -> DataFrame:
     """Add ``n_tokens``, ``ids`` (binary) and ``decoded`` to the columns of ``documents``.
 
     With ``digest``, ``ids_sha256`` and ``decoded_sha256`` stand for the last
-    two and for ``text``, so that neither leaves the worker.
+    two and for ``text``, so that neither leaves the worker. With ``compare``,
+    ``round_trip``, whether decoding gives the text back, stands for ``decoded``
+    and ``text``: a text enters the worker once and no text leaves it.
     Whole texts are encoded and decoded; null is the empty text and has no ids.
     Texts of any length are worked on one at a time; rows that repeat an id each
     give a row. Input columns of these names are replaced, others stay, whatever
@@ -304,8 +306,8 @@ def encoded(documents: DataFrame, vocabulary_path: str, p: Lexical = Lexical(),
     del own_bpe
     give_back()
     held = spark.sparkContext.broadcast((vocabulary, content))
-    names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["n_tokens", "ids", "decoded"]
-    own = {f"__own{i}": c for i, c in enumerate(documents.columns) if c not in names and not (digest and c == text)}  # safe names for tasks
+    names = ["n_tokens", *(["ids_sha256", "decoded_sha256"] if digest else ["ids", "round_trip" if compare else "decoded"])]
+    own = {f"__own{i}": c for i, c in enumerate(documents.columns) if c not in names and not ((digest or compare) and c == text)}  # safe names for tasks
 
     @worker_task("bpe")
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,17 +319,18 @@ def encoded(documents: DataFrame, vocabulary_path: str, p: Lexical = Lexical(),
         for batch in batches:
             texts = batch.column("__text").fill_null("")
             for i, j, _ in grams.slices(texts, 3 << 20):
-                ids = encoder.encode(texts[i:j].to_pylist())
+                own_texts = texts[i:j].to_pylist()
+                ids = encoder.encode(own_texts)
                 back = [bpe.decode(np.frombuffer(x, "<u4").tolist()) for x in ids]
                 new = [pa.array([len(x) // 4 for x in ids], pa.int64())]
                 if digest:
                     new.append(pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()))
                     new.append(pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back], pa.string()))
                 else:
-                    new += [pa.array(ids, pa.binary()), pa.array(back, pa.string())]
+                    new += [pa.array(ids, pa.binary()), pa.array([x == y for x, y in zip(own_texts, back, strict=True)], pa.bool_()) if compare else pa.array(back, pa.string())]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c)[i:j] for c in own), *new], names=[*own, *names])
 
-    added = ["n_tokens long", *(["ids_sha256 string", "decoded_sha256 string"] if digest else ["ids binary", "decoded string"])]
+    added = ["n_tokens long", *(["ids_sha256 string", "decoded_sha256 string"] if digest else ["ids binary", "round_trip boolean" if compare else "decoded string"])]
     schema = ", ".join([*(f"{k} {documents.schema[c].dataType.simpleString()}" for k, c in own.items()), *added])
     given = documents.select(*(F.col(quoted(c)).alias(k) for k, c in own.items()), F.col(f"`{text}`").alias("__text"))
     return given.mapInArrow(task, schema).select(*(F.col(k).alias(c) for k, c in own.items()), *names)

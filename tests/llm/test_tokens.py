@@ -62,6 +62,14 @@ def test_bpe_against_the_library(docs, words):
         assert r.decoded == library.decode(ids, skip_special_tokens=False) == (r.text or "")
 
 
+def test_bpe_compares_in_the_worker(docs):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole = {(r.doc_id, r.ids, r.decoded == (r.text or "")) for r in bpe.encoded(docs, path).collect()}
+    out = bpe.encoded(docs, path, compare=True)
+    assert out.columns == ["doc_id", "n_tokens", "ids", "round_trip"]
+    assert {(r.doc_id, r.ids, r.round_trip) for r in out.collect()} == whole
+
+
 def test_bpe_digests_and_clashes(docs, spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
