@@ -12,10 +12,12 @@ import re
 import string
 import unicodedata
 from collections import Counter
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -118,20 +120,32 @@ class _Folds(dict):
 
 
 _FOLDS = _Folds({ord(a): b for a, b in [*zip(_SOURCE, _TARGET, strict=True), *WIDE.items()]})
-_BEYOND = re.compile(r"[^\x00-\x7f]+")
+_BEYOND = re.compile(r"[^\x00-\x7f]")
+#: Letters beyond ASCII, of one text, that are replaced one after another; a text with more is passed over letter by letter.
+_FEW = 32
 # each begins with the letter or sign it looks for, which the search then skips to
 _HYPHEN = re.compile(r"-(?<=\S-) +")
 _LETTER = re.compile(r" (?=\w )(?<=\b\w )")
 _THE = re.compile(r"([tT])(?!he\b)(?<=\b[tT]) ?[hH] ?[eE]\b")
+_T_H, _TH_E = re.compile(r"t h(?<=\bt h)"), re.compile(r"th e(?<=\bth e)")
 _AND = re.compile(r"a(?!nd\b)(?<=\ba) ?n ?d\b")
 
 
+def _folded(t: str) -> str:
+    found = set(_BEYOND.findall(t))
+    if len(found) > _FEW:
+        return _BEYOND.sub(lambda m: _FOLDS[ord(m[0])], t)
+    for c in found:
+        t = t.replace(c, _FOLDS[ord(c)])
+    return t
+
+
 def _cleaned(t: str | None) -> str:
     """All steps of one text. Behind the first one it is ASCII."""
     if not t:
         return ""
     if not t.isascii():
-        t = _BEYOND.sub(lambda m: m[0].translate(_FOLDS), t)
+        t = _folded(t)
     t = t.translate(_ASCII)
     if "- " in t:
         t = _HYPHEN.sub("", t)
@@ -140,7 +154,11 @@ def _cleaned(t: str | None) -> str:
         t = re.sub(" {2,}", " ", t)
     for sign in ".,;":
         t = t.replace(f" {sign}", sign)
-    return _AND.sub("and", _THE.sub(r"\1he", t)).strip(" ")
+    # what is split, or has a capital behind its first letter, is rarer than "the" and faster to find
+    low = t.lower()
+    if "TH" in t or "tH" in t or "hE" in t or _T_H.search(low) or _TH_E.search(low):
+        t = _THE.sub(r"\1he", t)
+    return _AND.sub("and", t).strip(" ")
 
 
 def _each(values: pa.Array, change: Callable[[str | None], str | None]) -> pa.Array:
@@ -195,14 +213,19 @@ def _marked(t: str) -> list[str]:
 
 
 class Cut(dict):
-    """What stands between spaces, as what a function makes of it, once for each."""
+    """What stands between spaces, as what a function makes of it, once for each.
+
+    ``quick`` makes the same of a whole ASCII text, and looks up here what it
+    doesn't know how to cut: most words are met once or twice in any corpus, and
+    the more there are of them, the less often one is remembered.
+    """
 
     #: Entries kept at most, a few tens of MB.
     MOST = 200_000
 
-    def __init__(self, cut: Callable[[str], str]):
+    def __init__(self, cut: Callable[[str], str], quick: Callable[[str, Callable[[str], str]], Iterable[str]] | None = None):
         super().__init__()
-        self.cut = cut
+        self.cut, self.quick = cut, quick
 
     def __missing__(self, t: str) -> str:
         if len(self) >= self.MOST:
@@ -210,9 +233,14 @@ class Cut(dict):
         self[t] = out = self.cut(t)
         return out
 
+    def text(self, t: str | None) -> str | None:
+        if t is None:
+            return None
+        t = t.translate(_SPACES)
+        return _joined(self.quick(t, self.__getitem__) if self.quick and t.isascii() else map(self.__getitem__, t.split(" ")))
+
     def texts(self, values: pa.Array) -> pa.Array:
-        found = self.__getitem__
-        return _each(values, lambda v: None if v is None else " ".join(filter(None, map(found, v.translate(_SPACES).split(" ")))))
+        return _each(values, self.text)
 
 
 def _joined(parts: Iterable[str]) -> str:
@@ -240,9 +268,33 @@ def _cut_tokens(t: str) -> list[str]:
     return [y for x in _pieces(t) for y in _marked(x)]
 
 
+def _split_cannot(t: str) -> list[str]:
+    return (_CANNOT.sub(r"\1 \2", t) if "cannot" in t.lower() else t).split(" ")
+
+
+def _quick_words(t: str, found: Callable[[str], str]) -> list[str]:
+    return [x if x.isalnum() else core if (core := x.strip(PUNCTUATION)).isalnum() and "'" not in x else found(x) for x in _split_cannot(t)]
+
+
+def _quick_counted(t: str, found: Callable[[str], str]) -> list[str]:
+    return _quick_words(t.lower(), found)
+
+
+#: Signs that are a token of their own behind a word.
+_ENDS = frozenset(".,;:!?")
+
+
+def _quick_tokens(t: str, found: Callable[[str], str]) -> list[str]:
+    return [x if x.isalnum() else f"{x[:-1]} {x[-1]}" if x[-1:] in _ENDS and x[:-1].isalnum() else found(x) for x in _split_cannot(t)]
+
+
 # one of each in a worker, whatever its batches
-_WORDS, _TOKENS = Cut(lambda t: _joined(_cut_words(t))), Cut(lambda t: _joined(_cut_tokens(t)))
-_COUNTED = Cut(lambda t: _joined(x.lower().strip(PUNCTUATION) for x in _cut_words(t)))
+_WORDS, _TOKENS = Cut(lambda t: _joined(_cut_words(t)), _quick_words), Cut(lambda t: _joined(_cut_tokens(t)), _quick_tokens)
+_COUNTED = Cut(lambda t: _joined(x.lower().strip(PUNCTUATION) for x in _cut_words(t)), _quick_counted)
+
+
+def _word_text(t: str | None) -> str | None:
+    return _WORDS.text(t)
 
 
 def _word_texts(values: pa.Array) -> pa.Array:
@@ -289,9 +341,9 @@ def rows_of(found: list, kind: pa.StructType, columns: Sequence[list]) -> pa.Arr
 _AT_ONCE = 500
 
 
-def by_slices(values: pa.Array, kind: pa.DataType, change: Callable[[pa.Array], pa.Array]) -> pa.Array:
-    """What ``change`` makes of an array, a few values at a time."""
-    parts = [change(values.slice(k, _AT_ONCE)) for k in range(0, len(values), _AT_ONCE)]
+def by_slices(values: pa.Array, kind: pa.DataType, change: Callable[..., pa.Array], *more: pa.Array) -> pa.Array:
+    """What ``change`` makes of an array, and of others beside it, a few values at a time."""
+    parts = [change(*(v.slice(k, _AT_ONCE) for v in (values, *more))) for k in range(0, len(values), _AT_ONCE)]
     return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(kind))
 
 
@@ -372,6 +424,58 @@ def counted_sentences(c: Column) -> Column:
     return F.arrow_udf(lambda v: by_slices(v, _SENTENCE, _sentences_counted), "array<struct<word_count: int, sentence: string>>")(c)
 
 
+#: Rows of words in a batch that goes back to Spark, at most.
+_ROWS_AT_ONCE = 50_000
+_BESIDE = pa.struct([("text", pa.string()), ("raw", pa.string())])
+
+
+def _sentence_text(t: str | None) -> str:
+    return "\x01".join(s for s in _END.sub("\\1\x01", t or "").split("\x01") if s.strip(" "))
+
+
+def _beside(cut: Callable[[str | None], str | None], sign: str) -> Callable[[pa.Array, pa.Array], pa.Array]:
+    def lists(joined: list[str | None]) -> tuple[np.ndarray, pa.Array]:
+        found = pc.split_pattern(pa.array([x or None for x in joined], pa.string()), sign)
+        return found.value_lengths().fill_null(0).to_numpy(), found.flatten()
+
+    def change(texts: pa.Array, raws: pa.Array) -> pa.Array:
+        both = list(zip(texts.to_pylist(), raws.to_pylist(), strict=True))
+        joined = [cut(t) for t, _ in both]
+        n, units = lists(joined)
+        m, raw = lists([x if t == r else cut(r) for x, (t, r) in zip(joined, both, strict=True)])
+        ends = np.cumsum(n)
+        at = np.arange(len(units)) - np.repeat(ends - n, n)
+        raw = raw.take(pa.array(at + np.repeat(np.cumsum(m) - m, n), mask=at >= np.repeat(m, n)))
+        offsets = np.concatenate([[0], ends]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([units, raw], fields=list(_BESIDE)))
+
+    return change
+
+
+def word_batches(batches: Iterable[pa.RecordBatch], names: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """Batches of (file, page, text, raw text) as rows of words: file, page, number, length, word, and the raw text's word of the same number or null.
+
+    For mapInArrow: words become rows where they are cut, and stand in no list of Spark's.
+    """
+    change = _beside(_word_text, " ")
+    for batch in batches:
+        for k in range(0, batch.num_rows, _AT_ONCE):
+            part = batch.slice(k, _AT_ONCE)
+            units = change(part.column(2), part.column(3))
+            n = units.value_lengths().to_numpy()
+            of = pa.array(np.repeat(np.arange(len(n)), n))
+            number = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + 1
+            word, raw = units.flatten().flatten()
+            rows = pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), pa.array(number.astype(np.int32)), pc.utf8_length(word), word, raw], names=list(names))
+            for at in range(0, rows.num_rows, _ROWS_AT_ONCE):
+                yield rows.slice(at, _ROWS_AT_ONCE)
+
+
+def sentences_beside(c: Column, raw: Column) -> Column:
+    """(text, raw) of each of :func:`sentences` of a text, and that of the raw text at its place, null where it has fewer; cut where the texts are."""
+    return F.arrow_udf(lambda v, w: by_slices(v, _BESIDE, _beside(_sentence_text, "\x01"), w), "array<struct<text: string, raw: string>>")(c, raw)
+
+
 def natural_key(c: Column) -> Column:
     """A sort key under which file2 comes before file10."""
     return F.regexp_replace(F.regexp_replace(c, r"(\d+)", "00000000000000000000$1"), r"\d*(\d{20})", "$1")

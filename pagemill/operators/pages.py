@@ -120,25 +120,22 @@ def word_rows(pages: DataFrame) -> DataFrame:
     return out.select("file_path", "page_no", (F.col("__pos") + 1).alias("word_no"), F.length("word").alias("word_length"), "word")
 
 
-def _beside_raw(pages: DataFrame, cut) -> DataFrame:
-    """(file_path, page_no, __pos, __x: text and raw): units of the text beside those of the raw text at the same place.
+def sentence_rows_raw(pages: DataFrame) -> DataFrame:
+    """The rows of :func:`sentence_rows`, each with the raw text's sentence of the same number in ``raw``.
 
     The processed text says how many rows there are; where the raw text has
-    fewer units, they are null.
+    fewer sentences, they are null.
     """
-    units, raws = cut(F.col("text")), cut(F.col("raw_text"))
-    both = F.slice(F.arrays_zip(units.alias("text"), raws.alias("raw")), F.lit(1), F.size(units))
-    return pages.select("file_path", "page_no", F.posexplode_outer(both).alias("__pos", "__x")).where("__x is not null")
-
-
-def sentence_rows_raw(pages: DataFrame) -> DataFrame:
-    """The rows of :func:`sentence_rows`, each with the raw text's sentence of the same number in ``raw``."""
-    return _beside_raw(pages, text.sentences).select("file_path", "page_no", (F.col("__pos") + 1).alias("sentence_no"), F.size(text.words(F.col("__x.text"))).alias("word_count"), F.col("__x.text").alias("sentence"), F.col("__x.raw").alias("raw"))
+    rows = pages.select("file_path", "page_no", F.posexplode(text.sentences_beside(F.col("text"), F.col("raw_text"))).alias("__pos", "__x"))
+    return rows.select("file_path", "page_no", (F.col("__pos") + 1).alias("sentence_no"), F.size(text.words(F.col("__x.text"))).alias("word_count"), F.col("__x.text").alias("sentence"), F.col("__x.raw").alias("raw"))
 
 
 def word_rows_raw(pages: DataFrame) -> DataFrame:
-    """The rows of :func:`word_rows`, each with the raw text's word of the same number in ``raw``."""
-    return _beside_raw(pages, text.words).select("file_path", "page_no", (F.col("__pos") + 1).alias("word_no"), F.length("__x.text").alias("word_length"), F.col("__x.text").alias("word"), F.col("__x.raw").alias("raw"))
+    """The rows of :func:`word_rows`, each with the raw text's word of the same number in ``raw``, or null."""
+    names = ["file_path", "page_no", "word_no", "word_length", "word", "raw"]
+    kinds = [*(pages.schema[c].dataType.simpleString() for c in names[:2]), "int", "int", "string", "string"]
+    rows = pages.select("file_path", "page_no", "text", "raw_text")
+    return rows.mapInArrow(lambda batches: text.word_batches(batches, names), ", ".join(f"{c} {kind}" for c, kind in zip(names, kinds, strict=True)))
 
 
 def counted_columns() -> dict[str, Column]:

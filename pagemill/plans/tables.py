@@ -20,15 +20,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(path or "file://" + tempfile.mkdtemp(prefix="pagemill-"))
 
 
+#: Rows of counts, one for each key and part, that are broadcast at most.
+FEW_COUNTS = 100_000
+
+
 def numbered(df: DataFrame, key: str, order: str, name: str, rows_per_group: int = 50_000) -> DataFrame:
     """Add the row number within ``key`` by the integer column ``order``.
 
     The range of ``order`` is cut into as many equal parts as bring about
     ``rows_per_group`` rows to each on average. Rows are ranked within (key,
     part), and the rows of a key's earlier parts are added, so that one task
-    never sorts a whole key.
+    never sorts a whole key. Where there are few keys and parts, their counts come
+    by broadcast, and rows move once.
     """
-    span = df.agg(F.min(order).alias("low"), F.max(order).alias("high"), F.count(F.lit(1)).alias("n")).first()
+    span = df.agg(F.min(order).alias("low"), F.max(order).alias("high"), F.count(F.lit(1)).alias("n"), F.approx_count_distinct(key).alias("keys")).first()
     parts = max(1, -(-span.n // rows_per_group))
     if parts == 1 or span.low is None:
         return df.withColumn(name, F.row_number().over(W.partitionBy(key).orderBy(order)))
@@ -37,6 +42,7 @@ def numbered(df: DataFrame, key: str, order: str, name: str, rows_per_group: int
     before = F.sum("__n").over(W.partitionBy(key).orderBy("__part").rowsBetween(W.unboundedPreceding, -1))
     sizes = df.groupBy(key, "__part").agg(F.count(F.lit(1)).alias("__n"))
     sizes = sizes.select(F.col(key).alias("__key"), F.col("__part").alias("__p"), F.coalesce(before, F.lit(0)).alias("__before"))
+    sizes = F.broadcast(sizes) if (span.keys + 1) * parts <= FEW_COUNTS else sizes
     out = df.join(sizes, F.col(key).eqNullSafe(F.col("__key")) & F.col("__part").eqNullSafe(F.col("__p")))
     rank = F.row_number().over(W.partitionBy("__key", "__p").orderBy(order))
     return out.withColumn(name, (rank + F.col("__before")).cast("int")).drop("__part", "__key", "__p", "__before")

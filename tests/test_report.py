@@ -85,6 +85,15 @@ def test_ranked_and_numbered(spark):
         assert got[(k, x)] == seen[k]
 
 
+def test_numbered_rows_move_once_where_counts_are_few(spark):
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else str(i % 3)) for i in range(300)], "x long, k string")
+    out = numbered(df, "k", "x", "n", rows_per_group=50)
+    assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.x: r.n for r in out.collect()}
+    keys = {r.x: r.k for r in df.collect()}
+    assert got == {x: sum(keys[y] == keys[x] for y in range(x + 1)) for x in range(300)}
+
+
 def test_limits_within_scopes_against_sorting(spark):
     import random
 

@@ -63,6 +63,13 @@ def test_rows_beside_raw(spark, text, raw, words, sentences):
     assert pg.word_rows_raw(pages).drop("raw").collect() == pg.word_rows(pages).collect()
 
 
+def test_words_beside_raw_are_rows_where_they_are_cut(spark):
+    rows = [("f", i, "one two " * i, "two " * (i % 3)) for i in range(3)] + [(None, 3, None, "x y"), ("f", 4, "a", None)]
+    out = pg.word_rows_raw(spark.createDataFrame(rows, "file_path string, page_no int, raw_text string, text string"))
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in out.orderBy("page_no", "word_no").collect()] == [("f", 1, 1, 3, "two", "one"), ("f", 2, 1, 3, "two", "one"), ("f", 2, 2, 3, "two", "two"), (None, 3, 1, 1, "x", None), (None, 3, 2, 1, "y", None)]
+
+
 def test_tokens_are_tagged_and_words_counted_once(spark):
     made = spark.sparkContext.accumulator(0)
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,3 +126,25 @@ def test_sentences_are_cut_and_counted_in_one_pass(spark):
         assert [x.sentence for x in r.new] == (r.old or [])
     counts = [[x.word_count for x in r.x] for r in rows.select(text.counted_sentences(F.col("t")).alias("x")).collect()]
     assert counts[0] == [1, 1, 1, 3] and counts[3] == [2] and counts[5] == [0]
+
+
+def test_words_met_once_are_not_remembered():
+    for cut, shown in ((text._WORDS, "one Two three"), (text._COUNTED, "one two three"), (text._TOKENS, "one Two , three .")):
+        before = len(cut)
+        assert cut.text("one Two, three.") == shown
+        assert len(cut) == before
+
+
+def test_whole_texts_are_cut_as_their_parts_are():
+    rng = random.Random(1)
+    parts = ["cannot", "Cannot's", "'cannot", "xcannot", "can't", "I'M", "a", "B2b", ".", ",", "'", '"', "-", "_", "n't", "'s", "\t", "\x01", "é", "?!", "(", "3.5", " ", " "]
+    values = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(5000)]
+    for cut in (text._WORDS, text._COUNTED, text._TOKENS):
+        each = text.Cut(cut.cut)
+        assert [cut.text(v) for v in values] == [each.text(v) for v in values]
+
+
+def test_letters_are_folded_alike_however_many_there_are():
+    many = "".join(map(chr, range(0xA1, 0x180)))
+    one_by_one = "".join(text._folded(c) for c in f"a1_{many}z")
+    assert text._folded(f"a1_{many}z") == one_by_one and one_by_one.startswith("a1_") and one_by_one.isascii()
