@@ -171,8 +171,10 @@ def file_text(pages: DataFrame, size: int = PART) -> DataFrame:
     the file's beginning; parts in order, joined by a space, are the file's
     text. Parts may be missing where a page is longer than one. No task holds a
     file: lengths are added up by ranges of pages, and only lengths are sorted.
+    Pages are made once, and kept as a checkpoint for both passes.
     """
     ensure_checkpoint_dir(pages.sparkSession)
+    pages = pages.select("file_path", "page_no", "text").checkpoint()
     lengths = pages.select("file_path", "page_no", (F.length("text") + 1).cast("long").alias("__n")).checkpoint()
     by = W.partitionBy("file_path", "__range")
     lengths = lengths.withColumn("__range", F.floor(F.col("page_no") / F.lit(10_000)))

@@ -97,3 +97,16 @@ def test_texts_are_made_once(spark):
     made.value = 0
     assert punkt.collocations(rows).count() > 0
     assert made.value == len(TEXTS)
+
+
+def test_text_of_a_file_is_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def text(x):
+        made.add(1)
+        return x
+
+    pages = spark.createDataFrame([("f", i, "x" * i) for i in range(1, 40)], "file_path string, page_no int, text string").withColumn("text", F.udf(text)("text"))
+    rows = pg.file_text(pages, size=50).collect()
+    assert " ".join(r.text for r in sorted(rows, key=lambda r: r.part)) == " ".join("x" * i for i in range(1, 40))
+    assert made.value == 39
