@@ -2,9 +2,11 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from pagemill.llm import graph, jaccard
+from pagemill.llm import graph, jaccard, store
 
 
 def sets(text):
@@ -164,3 +166,26 @@ def test_hot_keys_beyond_the_broadcast_bound(spark, monkeypatch):
         monkeypatch.setattr(jaccard, "MOST_BROADCAST", bound)
         for how, rows in expected.items():
             assert sorted(map(repr, jaccard._met(left, right, "key", how).select("key", "id", "payload").collect())) == rows
+
+
+def test_small_tasks_give_back_together(monkeypatch):
+    given = []
+    monkeypatch.setattr(store, "give_back", lambda: given.append(1))
+    task = store.worker_task("small")(lambda batches: batches)
+    small, large = (pa.record_batch({"x": pa.array(np.zeros(n))}) for n in (1000, 1 << 20))
+    list(task(iter([small])))
+    given.clear()
+    for _ in range(20):
+        assert list(task(iter([small]))) == [small]
+    assert given == []
+    list(task(iter([large])))
+    assert given == [1]
+
+
+def test_components_of_small_and_large_graphs(spark, monkeypatch):
+    edges = [(i, i + 1) for i in range(30)] + [(40, 35), (35, 50), (None, 1), (7, 7)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    expected = {i: 0 for i in range(31)} | {35: 35, 40: 35, 50: 35}
+    for few in (graph.FEW_EDGES, 0):
+        monkeypatch.setattr(graph, "FEW_EDGES", few)
+        assert {r.node: r.component for r in graph.components(df).collect()} == expected
