@@ -1,16 +1,22 @@
-"""Spelling correction against a frequency dictionary, without UDFs.
+"""Spelling correction against a frequency dictionary.
 
 Only distinct unknown words are looked up. Words within one edit (deletion,
-transposition, replacement, insertion) or two are found by one of two indexes
-and then checked exactly. Short words meet by symmetric deletion: both sides
-drop one or two letters. Its keys grow with the square of the length, so longer
+transposition, replacement, insertion) or two meet by symmetric deletion: both
+sides drop one or two letters. The unknown words of a length are dealt in blocks,
+and all dictionary words that are up to two letters shorter or longer go past
+each block: what moves are words, not their keys, which only live in a task, as
+hashes. The keys of a word grow with the square of its length, so very long
 words meet by their parts: an edit changes two parts of a word at most, so of
 five parts of a dictionary word one stands unchanged in every word within two
-edits, at most two places away. The keys of a word are then as many at any length.
+edits, at most two places away. Whatever meets is checked exactly at once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,33 +24,168 @@ from ..functions import process
 from ..plans.tables import ensure_checkpoint_dir
 from . import positions
 
+#: Words of more letters meet by their parts.
+LONG = 32
+#: Keys of unknown words that a task holds at once.
+KEYS_AT_ONCE = 2_000_000
+#: Dictionary words that go past a block at once, pairs that meet at once, and those that are checked at once.
+_WORDS_AT_ONCE, _PAIRS_AT_ONCE, _CHECKED_AT_ONCE = 2_000, 500_000, 20_000
+
+_PAIR = "word string, cand string, freq long, edits int"
+_BASE = 0x9E3779B97F4A7C15
+_FAR = 9
 
-def _deletes(word: Column) -> Column:
-    """The word with each one letter dropped, and itself."""
-    each = F.transform(F.sequence(F.lit(1), F.greatest(F.length(word), F.lit(1))), lambda i: F.concat(word.substr(F.lit(1), i - 1), word.substr(i + 1, F.length(word))))
-    return F.array_distinct(F.array_append(each, word))
 
+def _letters(words: Sequence[str], size: int) -> np.ndarray:
+    """Words of a length as rows of code points."""
+    return np.array(words, f"U{max(size, 1)}").view(np.uint32).reshape(len(words), -1)[:, :size]
 
-def _transposes(name: str) -> str:
-    """SQL for the word with each two neighbours swapped."""
-    swap = f"concat(substr({name}, 1, i - 1), substr({name}, i + 1, 1), substr({name}, i, 1), substr({name}, i + 2))"
-    return f"if(length({name}) < 2, cast(array() as array<string>), transform(sequence(1, greatest(length({name}) - 1, 1)), i -> {swap}))"
 
+def _keys(letters: np.ndarray, edits: int) -> np.ndarray:
+    """Hashes of words and of what is left when they drop up to two letters: a row for each way to drop."""
+    n, size = letters.shape
+    back = pow(_BASE, -1, 1 << 64)
+    power = [np.uint64(pow(_BASE, k, 1 << 64)) for k in range(size)]
+    one, two = np.uint64(back), np.uint64(back * back % (1 << 64))
+    upto = np.zeros((size + 1, n), np.uint64)  # hashes of the first letters; what stands behind a dropped letter moves down by a power
+    for k in range(size):
+        upto[k + 1] = upto[k] + letters[:, k].astype(np.uint64) * power[k]
+    rows = [upto[size]]
+    for i in range(size if edits > 0 else 0):
+        rows.append(upto[i] + one * (upto[size] - upto[i + 1]))
+        for j in range(i + 1, size if edits > 1 else 0):
+            rows.append(upto[i] + one * (upto[j] - upto[i + 1]) + two * (upto[size] - upto[j + 1]))
+    return np.stack(rows)
 
-def _letters(word: str) -> Column:
-    """The letters of a word in alphabetical order."""
-    return F.array_join(F.sort_array(F.split(F.col(word), "")), "")
 
+def _n_keys(size: int) -> int:
+    return 1 + size + size * (size - 1) // 2
 
-def _index(words: DataFrame, edits: int) -> DataFrame:
-    keys = F.array(F.col("word"))
-    for _ in range(edits):
-        keys = F.array_distinct(F.flatten(F.transform(keys, _deletes)))
-    return words.select("word", "letters", F.explode(keys).alias("key"))
 
+def _distance(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Edits between words of one length and words of another, row by row; more than ``most``, which is two at most, are any number above.
 
-#: Words of more letters meet by their parts.
-SHORT = 12
+    A transposition may stand around one letter that is put in or left out:
+    ab and bxa are two edits apart.
+    """
+    n, size, other = len(a), a.shape[1], b.shape[1]
+    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    far = np.full(n, _FAR, np.uint8)
+    rows: list[dict[int, np.ndarray]] = []
+    for i in range(size + 1):
+        row: dict[int, np.ndarray] = {}
+        for j in range(max(0, i - most), min(other, i + most) + 1):
+            if not i or not j:
+                row[j] = np.full(n, i + j, np.uint8)
+                continue
+            d = rows[i - 1][j - 1] + (a[i - 1] != b[j - 1])
+            np.minimum(d, np.minimum(rows[i - 1].get(j, far), row.get(j - 1, far)) + np.uint8(1), out=d)
+            for k, l in ((2, 2), (2, 3), (3, 2)):
+                if k <= i and l <= j and j - l in rows[i - k] and k + l - 3 <= most:
+                    swapped = (a[i - 1] == b[j - l]) & (a[i - k] == b[j - 1])
+                    np.minimum(d, np.where(swapped, rows[i - k][j - l] + np.uint8(k + l - 3), far), out=d)
+            row[j] = d
+        rows.append(row)
+        if i > 2:
+            rows[i - 3] = {}
+    return rows[size].get(other, far)
+
+
+class _Block:
+    """Unknown words of one length, found by their keys."""
+
+    #: Bits of a key that tell quickly that nobody has it.
+    QUICK = 24
+
+    def __init__(self, words: list[str], edits: int):
+        self.words, self.size, self.edits = words, len(words[0]), edits
+        self.letters = _letters(words, self.size)
+        keys = _keys(self.letters, edits).ravel()
+        order = np.argsort(keys)
+        self.keys, self.rows = keys[order], (order % len(words)).astype(np.int32)
+        self.some = np.zeros(1 << self.QUICK, bool)
+        self.some[self._quick(keys)] = True
+
+    def _quick(self, keys: np.ndarray) -> np.ndarray:
+        return keys >> np.uint64(64 - self.QUICK)
+
+    def near(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows of the block, rows of dictionary words of one length, and the edits between them."""
+        letters = _letters(words, len(words[0]))
+        keys = _keys(letters, self.edits).ravel()
+        at = np.flatnonzero(self.some[self._quick(keys)])
+        keys, of = keys[at], at % len(words)
+        low, high = np.searchsorted(self.keys, keys), np.searchsorted(self.keys, keys, "right")
+        n = high - low
+        low, of, n = low[n > 0], of[n > 0], n[n > 0]
+        # all that a dictionary word meets is taken at once, so that no pair comes twice
+        group = (np.cumsum(np.bincount(of, n, len(words))) // _PAIRS_AT_ONCE)[of]
+        for g in np.unique(group):
+            part = np.flatnonzero(group == g)
+            m = n[part]
+            met = np.repeat(low[part] - np.cumsum(m) + m, m) + np.arange(m.sum())
+            pairs = np.unique(np.repeat(of[part], m) * len(self.words) + self.rows[met])
+            for k in range(0, len(pairs), _CHECKED_AT_ONCE):
+                cand, word = np.divmod(pairs[k : k + _CHECKED_AT_ONCE], len(self.words))
+                edits = _distance(self.letters[word], letters[cand], self.edits)
+                ok = edits <= self.edits
+                yield word[ok], cand[ok], edits[ok]
+
+
+def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[tuple[int, bool, int], list[str], list[int]]]:
+    """((task, known, length), words, frequencies) of neighbours that share these, a few at a time."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, _WORDS_AT_ONCE):
+            task, known, word, freq = (c.to_pylist() for c in batch.slice(k, _WORDS_AT_ONCE).columns)
+            kinds = list(zip(task, known, map(len, word), strict=True))
+            starts = [i for i, x in enumerate(kinds) if not i or x != kinds[i - 1]]
+            for i, j in zip(starts, [*starts[1:], len(kinds)], strict=True):
+                yield kinds[i], word[i:j], freq[i:j]
+
+
+def _met(edits: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow: (task, known, word, freq) in this order, by length too, as pairs; of a task unknown words come first."""
+
+    def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, unknown, block = None, [], None
+        for (here, known, _), words, freqs in _runs(batches):
+            if here != task:
+                task, unknown, block = here, [], None
+            if not known:
+                unknown += words
+                continue
+            if not unknown:
+                continue
+            block = block or _Block(unknown, edits)
+            names, cands, counts = pa.array(unknown, pa.string()), pa.array(words, pa.string()), pa.array(freqs, pa.int64())
+            for word, cand, found in block.near(words):
+                at, of = pa.array(word), pa.array(cand)
+                yield pa.RecordBatch.from_arrays([names.take(at), cands.take(of), counts.take(of), pa.array(found.astype(np.int32))], names=["word", "cand", "freq", "edits"])
+
+    return meet
+
+
+def _dealt(unknown: DataFrame, dictionary: DataFrame, edits: int) -> DataFrame:
+    """(task, known, word, freq): short unknown words in the task of their block, and dictionary words in all tasks that they may have a pair in."""
+    spark = unknown.sparkSession
+    unknown = unknown.where(F.length("word") <= LONG).withColumn("size", F.length("word"))
+    blocks, sees, n = [], [], 0
+    for size, words in unknown.groupBy("size").count().collect():  # a row for each length
+        mine = -(-words * _n_keys(size) // KEYS_AT_ONCE)
+        blocks.append((size, n, mine))
+        sees += [(size + more, n + i) for i in range(mine) for more in range(-edits, edits + 1)]
+        n += mine
+    blocks = F.broadcast(spark.createDataFrame(blocks, "size int, first int, blocks int"))
+    sees = F.broadcast(spark.createDataFrame(sees, "size int, task int"))
+    task = F.col("first") + F.pmod(F.xxhash64("word"), F.col("blocks")).cast("int")
+    left = unknown.join(blocks, "size").select(task.alias("task"), F.lit(False).alias("known"), "word", F.lit(0).cast("long").alias("freq"))
+    right = dictionary.withColumn("size", F.length("word")).join(sees, "size").select("task", F.lit(True).alias("known"), "word", F.col("freq").cast("long").alias("freq"))
+    return left.unionByName(right).repartitionById(max(1, min(n, 20_000)), F.col("task"))
+
+
+def _by_keys(unknown: DataFrame, dictionary: DataFrame, edits: int) -> DataFrame:
+    """(word, cand, freq, edits): pairs of short words, a task for each block of unknown words."""
+    return _dealt(unknown, dictionary, edits).sortWithinPartitions("task", "known", F.length("word")).mapInArrow(_met(edits), _PAIR)
 
 
 def _parts(words: DataFrame, edits: int) -> DataFrame:
@@ -53,7 +194,7 @@ def _parts(words: DataFrame, edits: int) -> DataFrame:
     size = F.length("cand")
     start = lambda k: F.floor(F.lit(k) * size / n).cast("int")
     keys = [F.concat_ws(":", size, F.lit(k), F.col("cand").substr(start(k) + 1, start(k + 1) - start(k))) for k in range(n)]
-    return words.select("cand", "cand_letters", F.explode(F.array(*keys)).alias("key"))
+    return words.select("cand", F.explode(F.array(*keys)).alias("key"))
 
 
 def _probes(words: DataFrame, edits: int) -> DataFrame:
@@ -67,37 +208,38 @@ def _probes(words: DataFrame, edits: int) -> DataFrame:
             for shift in range(-edits, edits + 1):
                 fits = (start + shift >= 0) & (end + shift <= F.length("word"))
                 keys.append(F.when(fits, F.concat_ws(":", size, F.lit(k), F.col("word").substr(start + (shift + 1), end - start))))
-    return words.select("word", "letters", F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias("key"))
+    return words.select("word", F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias("key"))
 
 
-def _candidates(unknown: DataFrame, dictionary: DataFrame, edits: int) -> DataFrame:
-    """(word, cand, lev): pairs that may be within the edits, all that are among them.
+def _distances(edits: int) -> Callable[[pa.Array, pa.Array], pa.Array]:
+    def change(words: pa.Array, cands: pa.Array) -> pa.Array:
+        out = []
+        for a, b in zip(words.to_pylist(), cands.to_pylist(), strict=True):
+            out.append(int(_distance(_letters([a], len(a)), _letters([b], len(b)), edits)[0]))
+        return pa.array(out, pa.int32())
 
-    Pairs that meet are checked at once, before they move: two edits change a
-    distance of four at most, of which each transposition, which leaves the
-    letters as they are, takes two.
-    """
-    right = dictionary.select(F.col("word").alias("cand")).distinct().withColumn("cand_letters", _letters("cand"))
-    left = unknown.select("word").withColumn("letters", _letters("word"))
-    short = left.where(F.length("word") <= SHORT)
-    deletes = _index(right.where(F.length("cand") <= SHORT + edits).withColumnsRenamed({"cand": "word", "cand_letters": "letters"}), edits).withColumnsRenamed({"word": "cand", "letters": "cand_letters"})
-    by_deletes = _index(short, edits).join(deletes, "key")
-    long = left.where(F.length("word") > SHORT)
-    by_parts = _probes(long, edits).join(_parts(right.where(F.length("cand") > SHORT - edits), edits), "key")
-    met = by_deletes.unionByName(by_parts).where(F.abs(F.length("word") - F.length("cand")) <= edits).withColumn("lev", F.levenshtein("word", "cand"))
-    return met.where("lev <= 2 or (lev = 3 and levenshtein(letters, cand_letters) <= 2) or (lev = 4 and letters = cand_letters)").select("word", "cand", "lev").distinct()
+    return change
 
 
-def _near(unknown: DataFrame, dictionary: DataFrame, edits: int) -> DataFrame:
-    """(word, cand, freq, edits): dictionary words within the edits of each word."""
-    pairs = _candidates(unknown, dictionary, edits)
-    t, u = _transposes("word"), _transposes("cand")
-    two = f"lev <= 2 or (lev <= 4 and (exists({t}, x -> levenshtein(x, cand) <= 1) or exists({u}, x -> levenshtein(word, x) <= 1) or arrays_overlap({t}, {u})))"
-    found = F.expr(f"case when lev <= 1 or (lev = 2 and array_contains({t}, cand)) then 1 when {edits} > 1 and ({two}) then 2 end")
-    pairs = pairs.withColumn("edits", found).where("edits is not null")
+def _by_parts(unknown: DataFrame, dictionary: DataFrame, edits: int) -> DataFrame:
+    """(word, cand, freq, edits): pairs of long words. An edit changes a distance without transpositions by two at most."""
+    right = dictionary.where(F.length("word") > LONG - edits).select(F.col("word").alias("cand")).distinct()
+    met = _probes(unknown.where(F.length("word") > LONG), edits).join(_parts(right, edits), "key").where(F.levenshtein("word", "cand", 2 * edits) >= 0)
+    pairs = met.select("word", "cand", F.arrow_udf(_distances(edits), "int")("word", "cand").alias("edits")).where(F.col("edits") <= edits).distinct()
     return pairs.join(dictionary.select(F.col("word").alias("cand"), "freq"), "cand").select("word", "cand", "freq", "edits")
 
 
+def _near(unknown: DataFrame, dictionary: DataFrame, edits: int) -> DataFrame:
+    """(word, cand, freq, edits): dictionary words within the edits, two at most, of each word."""
+    edits, dictionary = min(edits, 2), dictionary.select("word", "freq")
+    return _by_keys(unknown, dictionary, edits).unionByName(_by_parts(unknown, dictionary, edits))
+
+
+def _candidates(unknown: DataFrame, dictionary: DataFrame, edits: int) -> DataFrame:
+    """(word, cand, lev): the pairs with their distance without transpositions."""
+    return _near(unknown, dictionary, edits).select("word", "cand", F.levenshtein("word", "cand").alias("lev"))
+
+
 def suggestions(words: DataFrame, dictionary: DataFrame, edits: int = 2) -> DataFrame:
     """(word, correction, confidence) of distinct lower-case words.
 
@@ -106,15 +248,15 @@ def suggestions(words: DataFrame, dictionary: DataFrame, edits: int = 2) -> Data
     frequencies and the largest (confidence, word) wins. Else (word, 0.0).
     """
     ensure_checkpoint_dir(words.sparkSession)
-    distinct = words.select("word").distinct().checkpoint()  # read twice; the dictionary is read four times
-    dictionary = dictionary.select("word", "freq").checkpoint()
-    left = distinct.where(F.length("word") > 1).join(dictionary.select("word"), "word", "left_anti")
+    dictionary = dictionary.select("word", "freq").checkpoint()  # read four times
+    known = dictionary.select("word", F.lit(True).alias("known")).distinct()
+    distinct = words.select("word").distinct().join(known, "word", "left").checkpoint()  # read three times
+    left = distinct.where("known is null and length(word) > 1")
     # structs compare by their first field first: the fewest edits win
     best = _near(left, dictionary, edits).groupBy("word", "edits").agg(F.sum("freq").alias("total"), F.max(F.struct("freq", "cand")).alias("top"))
     best = best.groupBy("word").agg(F.min(F.struct("edits", "total", "top")).alias("b"))
     best = best.select("word", F.col("b.top.cand").alias("cand"), (F.col("b.top.freq") / F.col("b.total")).alias("share"))
-    known = dictionary.select("word", F.lit(True).alias("known")).distinct()
-    out = distinct.join(known, "word", "left").join(best, "word", "left")
+    out = distinct.join(best, "word", "left")
     sure = (F.length("word") == 1) | F.col("known")
     return out.select("word", F.coalesce("cand", "word").alias("correction"), F.when(sure, 1.0).otherwise(F.coalesce("share", F.lit(0.0))).alias("confidence"))
 

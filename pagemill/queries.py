@@ -72,6 +72,13 @@ def _spell_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dic.shrink(_trained(spark, sf_dir), FREQ_CUT)
 
 
+def _suggested_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suggestions for all words of the texts, which are counted once."""
+    ensure_checkpoint_dir(spark)
+    words = _trained(spark, sf_dir).checkpoint()
+    return spelling.suggestions(words, dic.shrink(words, FREQ_CUT))
+
+
 def _report(change) -> Query:
     return lambda s, d: change(_corpus(s, d))
 
@@ -166,7 +173,7 @@ QUERIES: dict[str, Query] = {
     "autocorrect_documents": lambda s, d: spelling.autocorrected(_clean(s, d), "doc_id", _spell_dictionary(s, d)),
     "autocorrect_remove_documents": lambda s, d: spelling.autocorrected(_clean(s, d), "doc_id", _spell_dictionary(s, d), remove=True),
     "corrections_documents": lambda s, d: spelling.correction_log(_clean(s, d), "doc_id", _spell_dictionary(s, d)).withColumn("confidence", F.round("confidence", 6)),
-    "spelling_suggest_documents": lambda s, d: spelling.suggestions(dic.train(_read(s, d, "documents")), _spell_dictionary(s, d)).withColumn("confidence", F.round("confidence", 6)),
+    "spelling_suggest_documents": lambda s, d: _suggested_documents(s, d).withColumn("confidence", F.round("confidence", 6)),
     "lemmatize": lambda s, d: tagging.lemmatized(_clean(s, d), "doc_id", _trained(s, d)),
     "dict_train": lambda s, d: dic.train(_read(s, d, "documents")),
     "dict_merge": lambda s, d: dic.merge(_trained(s, d), _trained(s, d, "conversations")),

@@ -160,3 +160,44 @@ def test_pairs_are_checked_before_they_move(spark):
     assert "cdefab" not in {r.cand for r in spelling._candidates(unknown, d, 2).where("lev < 4").collect()}
     far = spark.createDataFrame([("zzabcd", 3)], "word string, freq long")
     assert spelling._candidates(spark.createDataFrame([("abcdyy",)], "word string"), far, 2).count() == 0
+
+
+def damerau(a, b):
+    """Edits between two words, a transposition among them, by Lowrance and Wagner's recurrence."""
+    d = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i or not j}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j - 1] + (a[i - 1] != b[j - 1]), d[i - 1, j] + 1, d[i, j - 1] + 1)
+            k = max((x for x in range(1, i) if a[x - 1] == b[j - 1]), default=0)
+            m = max((x for x in range(1, j) if b[x - 1] == a[i - 1]), default=0)
+            if k and m:
+                d[i, j] = min(d[i, j], d[k - 1, m - 1] + (i - k - 1) + 1 + (j - m - 1))
+    return d[len(a), len(b)]
+
+
+@pytest.mark.parametrize("edits", [1, 2])
+def test_blocks_of_words_find_all_pairs(spark, monkeypatch, edits):
+    monkeypatch.setattr(spelling, "KEYS_AT_ONCE", 300)  # several blocks of a length
+    rng = random.Random(5)
+    made = lambda low, high, letters: "".join(rng.choice(letters) for _ in range(rng.randint(low, high)))
+    d = {made(1, 6, "abé"): rng.randint(1, 9) for _ in range(60)} | {"bxa": 1, "ca": 2, "aaaa": 3, "b": 4}
+    base = made(spelling.LONG, spelling.LONG, "ab")
+    d |= {base[k:] + base[: k // 2]: 1 for k in range(4)} | {base + "ab"[:k]: 2 for k in range(3)}
+    words = {made(2, 7, "abé") for _ in range(80)} | {"ab", "abc", "aaab", "aa"} | {base[:-1], base + "ba", base + "abb", base[1:] + "a", base[2:]}
+    words = sorted(words - d.keys())
+    unknown = spark.createDataFrame([(w,) for w in words], "word string")
+    assert spelling._dealt(unknown, frame(spark, d), edits).where("not known").groupBy(F.length("word")).agg(F.countDistinct("task").alias("n")).where("n > 1").count()
+    found = sorted((r.word, r.cand, r.freq, r.edits) for r in spelling._near(unknown, frame(spark, d), edits).collect())
+    expected = sorted((w, c, d[c], damerau(w, c)) for w in words for c in d if damerau(w, c) <= edits)
+    assert found == expected
+
+
+def test_words_move_and_not_their_keys(spark):
+    """Words of 14 letters that share parts of three letters, but are far apart, met in pairs before."""
+    rng = random.Random(6)
+    far = lambda: "the" + "".join(rng.choice(string.ascii_lowercase) for _ in range(8)) + "ing"
+    words, known = [far() for _ in range(400)], [far() for _ in range(300)]
+    unknown, d = spark.createDataFrame([(w,) for w in words], "word string"), frame(spark, dict.fromkeys(known, 30))
+    assert spelling._dealt(unknown, d, 2).count() == 700
+    block = spelling._Block(words, 2)
+    assert sum(len(w) for w, _, _ in block.near(known)) == spelling._near(unknown, d, 2).count() < 10
