@@ -29,17 +29,37 @@ def distinct(texts: DataFrame) -> DataFrame:
     return texts.select(F.explode(F.split("tokens", " ")).alias("token")).where("token <> ''").distinct()
 
 
+def counted(texts: DataFrame) -> DataFrame:
+    """(token, n) of all texts."""
+    return texts.select(F.explode(F.split("tokens", " ")).alias("token")).where("token <> ''").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Tokens are frequent that make up more than this part of all tokens each; so there are fewer than so many.
+FREQUENT = 200_000
+
+
+def frequent(tokens: DataFrame) -> DataFrame:
+    """The frequent ones of (token, n, ...); few enough for a broadcast, though most of all texts."""
+    total = tokens.agg(F.sum("n")).first()[0] or 0
+    return tokens.where(F.col("n") * FREQUENT > total)
+
+
+def _without(each: DataFrame, same: DataFrame | None) -> DataFrame:
+    return each if same is None else each.join(F.broadcast(same.select("token")), "token", "left_anti")
+
+
 def places(texts: DataFrame, key: str) -> DataFrame:
     """(key, pos, token): a row for each token of each text."""
     return texts.where("tokens <> ''").select(key, F.posexplode(F.split("tokens", " ")).alias("pos", "token"))
 
 
-def with_changes(texts: DataFrame, key: str, changes: DataFrame) -> DataFrame:
+def with_changes(texts: DataFrame, key: str, changes: DataFrame, same: DataFrame | None = None) -> DataFrame:
     """Add ``changes``: the (token, value) of a table that a text has, as lines; null where it has none.
 
     The table has a row for each token, of any number, and no spaces in it.
+    ``same`` are :func:`frequent` tokens that it doesn't have: these don't move.
     """
-    each = texts.where("tokens <> ''").select(key, F.explode(F.array_distinct(F.split("tokens", " "))).alias("token"))
+    each = _without(texts.where("tokens <> ''").select(key, F.explode(F.array_distinct(F.split("tokens", " "))).alias("token")), same)
     found = each.join(changes.select("token", "value"), "token")
     lines = found.groupBy(key).agg(F.array_join(F.collect_list(F.concat("token", F.lit(" "), "value")), "\n").alias("changes"))
     return texts.join(lines, key, "left")
@@ -58,7 +78,7 @@ def _glued(tokens: pa.Array, changes: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
-def replaced(texts: DataFrame, key: str, changes: DataFrame) -> DataFrame:
+def replaced(texts: DataFrame, key: str, changes: DataFrame, same: DataFrame | None = None) -> DataFrame:
     """(key, text) of all texts: tokens with their new values, signs glued to what stands before; an empty value drops a token."""
     put = F.arrow_udf(_glued, StringType())
-    return with_changes(texts, key, changes).select(key, put("tokens", "changes").alias("text"))
+    return with_changes(texts, key, changes, same).select(key, put("tokens", "changes").alias("text"))

@@ -240,6 +240,22 @@ def _candidates(unknown: DataFrame, dictionary: DataFrame, edits: int) -> DataFr
     return _near(unknown, dictionary, edits).select("word", "cand", F.levenshtein("word", "cand").alias("lev"))
 
 
+def _known(dictionary: DataFrame) -> DataFrame:
+    return dictionary.select("word", F.lit(True).alias("known")).distinct()
+
+
+def _best(unknown: DataFrame, dictionary: DataFrame, edits: int) -> DataFrame:
+    """(word, cand, share): the best dictionary word of each unknown one that has any; reads both tables several times."""
+    # structs compare by their first field first: the fewest edits win
+    best = _near(unknown, dictionary, edits).groupBy("word", "edits").agg(F.sum("freq").alias("total"), F.max(F.struct("freq", "cand")).alias("top"))
+    best = best.groupBy("word").agg(F.min(F.struct("edits", "total", "top")).alias("b"))
+    return best.select("word", F.col("b.top.cand").alias("cand"), (F.col("b.top.freq") / F.col("b.total")).alias("share"))
+
+
+def _confidence() -> Column:
+    return F.when((F.length("word") == 1) | F.col("known"), 1.0).otherwise(F.coalesce("share", F.lit(0.0)))
+
+
 def suggestions(words: DataFrame, dictionary: DataFrame, edits: int = 2) -> DataFrame:
     """(word, correction, confidence) of distinct lower-case words.
 
@@ -248,36 +264,32 @@ def suggestions(words: DataFrame, dictionary: DataFrame, edits: int = 2) -> Data
     frequencies and the largest (confidence, word) wins. Else (word, 0.0).
     """
     ensure_checkpoint_dir(words.sparkSession)
-    dictionary = dictionary.select("word", "freq").checkpoint()  # read four times
-    known = dictionary.select("word", F.lit(True).alias("known")).distinct()
-    distinct = words.select("word").distinct().join(known, "word", "left").checkpoint()  # read three times
-    left = distinct.where("known is null and length(word) > 1")
-    # structs compare by their first field first: the fewest edits win
-    best = _near(left, dictionary, edits).groupBy("word", "edits").agg(F.sum("freq").alias("total"), F.max(F.struct("freq", "cand")).alias("top"))
-    best = best.groupBy("word").agg(F.min(F.struct("edits", "total", "top")).alias("b"))
-    best = best.select("word", F.col("b.top.cand").alias("cand"), (F.col("b.top.freq") / F.col("b.total")).alias("share"))
-    out = distinct.join(best, "word", "left")
-    sure = (F.length("word") == 1) | F.col("known")
-    return out.select("word", F.coalesce("cand", "word").alias("correction"), F.when(sure, 1.0).otherwise(F.coalesce("share", F.lit(0.0))).alias("confidence"))
+    dictionary = dictionary.select("word", "freq").checkpoint()
+    distinct = words.select("word").distinct().join(_known(dictionary), "word", "left").checkpoint()
+    best = _best(distinct.where("known is null and length(word) > 1"), dictionary, edits)
+    return distinct.join(best, "word", "left").select("word", F.coalesce("cand", "word").alias("correction"), _confidence().alias("confidence"))
+
 
+def _tokens(texts: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(token, n, kind, word, known) of the tokens of texts that were cut; ``word`` is in lower case.
 
-def _kinds(tokens: DataFrame) -> DataFrame:
-    """Add ``kind`` (punctuation: no letter or digit; other: not all letters; word) and ``word``."""
+    Kinds: punctuation (no letter or digit), other (not all letters), word.
+    """
     kind = F.when(~F.col("token").rlike("[A-Za-z0-9]"), "punctuation").when(~F.col("token").rlike("^[A-Za-z]+$"), "other").otherwise("word")
-    return tokens.withColumn("kind", kind).withColumn("word", F.when(F.col("kind") == "word", F.lower("token")))
+    tokens = positions.counted(texts).withColumn("word", F.lower("token")).join(_known(dictionary), "word", "left")
+    known = (F.col("kind") == "word") & F.coalesce("known", F.lit(False))
+    return tokens.withColumn("kind", kind).select("token", "n", "kind", "word", known.alias("known")).checkpoint()  # a row for each token of the corpus; it is read several times
 
 
-def corrected(texts: DataFrame, dictionary: DataFrame, edits: int = 2) -> DataFrame:
-    """(token, kind, known, correction, confidence) of the distinct tokens of texts that were cut.
+def corrected(tokens: DataFrame, dictionary: DataFrame, edits: int = 2) -> DataFrame:
+    """(token, kind, known, correction, confidence) of tokens with their words.
 
     Numbers and signs pass by. Case is restored.
     """
-    tokens = _kinds(positions.distinct(texts)).checkpoint()  # a row for each token of the corpus; it is read three times
-    found = suggestions(tokens.where("kind = 'word'"), dictionary, edits)
-    found = found.join(dictionary.select("word", F.lit(True).alias("known")).distinct(), "word", "left")
-    words = tokens.where("kind = 'word'").join(found, "word")
-    words = words.select("token", "kind", F.coalesce("known", F.lit(False)).alias("known"), process.like_case(F.col("correction"), F.col("token")).alias("correction"), "confidence")
-    marks = tokens.where("kind <> 'word'").select("token", "kind", F.lit(False).alias("known"), F.col("token").alias("correction"), F.when(F.col("kind") == "punctuation", -1.0).otherwise(-2.0).alias("confidence"))
+    unknown = tokens.where("kind = 'word' and not known and length(word) > 1").select("word").distinct().checkpoint()
+    words = tokens.where("kind = 'word'").join(_best(unknown, dictionary, edits), "word", "left")
+    words = words.select("token", "kind", "known", process.like_case(F.coalesce("cand", "word"), F.col("token")).alias("correction"), _confidence().alias("confidence"))
+    marks = tokens.where("kind <> 'word'").select("token", "kind", "known", F.col("token").alias("correction"), F.when(F.col("kind") == "punctuation", -1.0).otherwise(-2.0).alias("confidence"))
     return words.unionByName(marks)
 
 
@@ -287,10 +299,15 @@ def autocorrected(rows: DataFrame, key: str, dictionary: DataFrame, remove: bool
     Punctuation stays either way, glued to the token before it.
     """
     texts = positions.cut(rows, key, column)
-    value = F.col("correction")
+    dictionary = dictionary.select("word", "freq").checkpoint()
+    tokens = _tokens(texts, dictionary)
+    value, stays = F.col("correction"), F.col("kind") != "word"
     if remove:
         value = F.when((F.col("confidence") > 0) | (F.col("kind") == "punctuation"), value).otherwise("")
-    return positions.replaced(texts, key, corrected(texts, dictionary, edits).select("token", value.alias("value")).where("value <> token"))
+        stays = F.col("kind") == "punctuation"
+    changes = corrected(tokens, dictionary, edits).select("token", value.alias("value")).where("value <> token")
+    same = positions.frequent(tokens).where(stays | (F.col("known") & (process.like_case(F.col("word"), F.col("token")) == F.col("token"))))
+    return positions.replaced(texts, key, changes, same)
 
 
 def known_only(rows: DataFrame, key: str, dictionary: DataFrame, column: str = "text") -> DataFrame:
@@ -304,7 +321,8 @@ def known_only(rows: DataFrame, key: str, dictionary: DataFrame, column: str = "
 def correction_log(rows: DataFrame, key: str, dictionary: DataFrame, column: str = "text", edits: int = 2) -> DataFrame:
     """(key, pos, word, attempted, correction, confidence) of unknown words."""
     texts = positions.cut(rows, key, column)
-    unknown = corrected(texts, dictionary, edits).where("kind = 'word' and not known")
+    dictionary = dictionary.select("word", "freq").checkpoint()
+    unknown = corrected(_tokens(texts, dictionary), dictionary, edits).where("kind = 'word' and not known")
     done = F.col("confidence") > 0
     each = positions.places(texts, key).join(unknown, "token").withColumnRenamed("token", "word")
     return each.select(key, "pos", "word", done.alias("attempted"), F.when(done, F.col("correction")).alias("correction"), F.when(done, F.col("confidence")).alias("confidence"))

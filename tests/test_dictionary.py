@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill.operators import dictionary as dic
-from pagemill.operators import spelling, tagging
+from pagemill.operators import positions, spelling, tagging
 from pagemill.sources import lists
 
 XML = (
@@ -201,3 +201,39 @@ def test_words_move_and_not_their_keys(spark):
     assert spelling._dealt(unknown, d, 2).count() == 700
     block = spelling._Block(words, 2)
     assert sum(len(w) for w, _, _ in block.near(known)) == spelling._near(unknown, d, 2).count() < 10
+
+
+def _made_once(spark, d):
+    """A dictionary, and how many of its rows were made."""
+    made = spark.sparkContext.accumulator(0)
+
+    def word(w):
+        made.add(1)
+        return w
+
+    return frame(spark, d).select(F.udf(word)("word").alias("word"), "freq"), made
+
+
+def test_frequent_tokens_do_not_move_to_be_corrected(spark):
+    d, made = _made_once(spark, {"test": 5, "the": 9})
+    rows = spark.createDataFrame([(1, "the The tHe THE test tset Tset zq 12, x-y!"), (2, "the " * 500 + "tHe"), (3, None)], "k int, text string")
+    out = spelling.autocorrected(rows, "k", d)
+    assert {r.k: r.text for r in out.collect()} == {1: "the The the THE test test Test zq 12, x-y!", 2: "the " * 500 + "the", 3: ""}
+    assert made.value == 2
+    texts = positions.cut(rows, "k")
+    tokens = spelling._tokens(texts, frame(spark, {"the": 9}))
+    assert {r.token: r.known for r in tokens.where("word = 'the'").collect()} == dict.fromkeys(["the", "The", "tHe", "THE"], True)
+    same = tokens.where("token in ('the', 'The', ',')")
+    changes = spark.createDataFrame([("tHe", "the")], "token string, value string")
+    found = positions.with_changes(texts, "k", changes, same)
+    assert {r.k: positions.changed(r.changes) for r in found.collect()} == {1: {"tHe": "the"}, 2: {"tHe": "the"}, 3: {}}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti, BuildRight" in plan and plan.rindex("LeftAnti") > plan.index("Inner")  # below the join with the changes
+
+
+def test_frequent_tokens_are_few(spark, monkeypatch):
+    monkeypatch.setattr(positions, "FREQUENT", 10)
+    tokens = positions.counted(spark.createDataFrame([("a " * 11 + "b " * 10 + " ".join("cdefghijk") * 9,)], "tokens string"))
+    total = tokens.agg(F.sum("n")).first()[0]
+    assert {r.token for r in positions.frequent(tokens).collect()} == {r.token for r in tokens.collect() if r.n * 10 > total} == {"a", "b"}
+    assert positions.frequent(tokens.limit(0)).count() == 0
