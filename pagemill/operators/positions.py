@@ -48,9 +48,9 @@ def _without(each: DataFrame, same: DataFrame | None) -> DataFrame:
     return each if same is None else each.join(F.broadcast(same.select("token")), "token", "left_anti")
 
 
-def places(texts: DataFrame, key: str) -> DataFrame:
-    """(key, pos, token): a row for each token of each text."""
-    return texts.where("tokens <> ''").select(key, F.posexplode(F.split("tokens", " ")).alias("pos", "token"))
+def places(texts: DataFrame, key: str, same: DataFrame | None = None) -> DataFrame:
+    """(key, pos, token): a row for each token of each text, but for ``same``, which are :func:`frequent` ones."""
+    return _without(texts.where("tokens <> ''").select(key, F.posexplode(F.split("tokens", " ")).alias("pos", "token")), same)
 
 
 def with_changes(texts: DataFrame, key: str, changes: DataFrame, same: DataFrame | None = None) -> DataFrame:

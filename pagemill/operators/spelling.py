@@ -322,7 +322,9 @@ def correction_log(rows: DataFrame, key: str, dictionary: DataFrame, column: str
     """(key, pos, word, attempted, correction, confidence) of unknown words."""
     texts = positions.cut(rows, key, column)
     dictionary = dictionary.select("word", "freq").checkpoint()
-    unknown = corrected(_tokens(texts, dictionary), dictionary, edits).where("kind = 'word' and not known")
+    tokens = _tokens(texts, dictionary)
+    unknown = corrected(tokens, dictionary, edits).where("kind = 'word' and not known")
+    same = positions.frequent(tokens).where("kind <> 'word' or known")
     done = F.col("confidence") > 0
-    each = positions.places(texts, key).join(unknown, "token").withColumnRenamed("token", "word")
+    each = positions.places(texts, key, same).join(unknown, "token").withColumnRenamed("token", "word")
     return each.select(key, "pos", "word", done.alias("attempted"), F.when(done, F.col("correction")).alias("correction"), F.when(done, F.col("confidence")).alias("confidence"))

@@ -237,3 +237,15 @@ def test_frequent_tokens_are_few(spark, monkeypatch):
     total = tokens.agg(F.sum("n")).first()[0]
     assert {r.token for r in positions.frequent(tokens).collect()} == {r.token for r in tokens.collect() if r.n * 10 > total} == {"a", "b"}
     assert positions.frequent(tokens.limit(0)).count() == 0
+
+
+def test_frequent_tokens_do_not_move_to_be_logged(spark):
+    d, made = _made_once(spark, {"test": 5, "the": 9})
+    rows = spark.createDataFrame([(1, "the tset zq zq 12, a x-y!"), (2, "the " * 500 + "zq"), (3, None)], "k int, text string")
+    log = spelling.correction_log(rows, "k", d)
+    found = sorted((r.k, r.pos, r.word, r.correction) for r in log.collect())
+    assert found == [(1, 1, "tset", "test"), (1, 2, "zq", None), (1, 3, "zq", None), (1, 6, "a", "a"), (2, 500, "zq", None)]
+    assert made.value == 2
+    texts = positions.cut(rows, "k")
+    same = spark.createDataFrame([("the",), (",",)], "token string")
+    assert sorted((r.k, r.pos) for r in positions.places(texts, "k", same).collect()) == [(1, 1), (1, 2), (1, 3), (1, 4), (1, 6), (1, 7), (1, 8), (2, 500)]
