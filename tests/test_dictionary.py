@@ -239,6 +239,14 @@ def test_frequent_tokens_are_few(spark, monkeypatch):
     assert positions.frequent(tokens.limit(0)).count() == 0
 
 
+def test_frequent_tokens_do_not_move_to_be_removed(spark):
+    d, made = _made_once(spark, {"test": 5, "the": 9})
+    rows = spark.createDataFrame([(1, "the The tHe tset zq zq zq 12 12, x-y!"), (2, "the " * 500 + "12 zq"), (3, None)], "k int, text string")
+    out = spelling.autocorrected(rows, "k", d, remove=True)
+    assert {r.k: r.text for r in out.collect()} == {1: "the The the test,!", 2: ("the " * 500).strip(), 3: ""}
+    assert made.value == 2
+
+
 def test_frequent_tokens_do_not_move_to_be_logged(spark):
     d, made = _made_once(spark, {"test": 5, "the": 9})
     rows = spark.createDataFrame([(1, "the tset zq zq 12, a x-y!"), (2, "the " * 500 + "zq"), (3, None)], "k int, text string")
